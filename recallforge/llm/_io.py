@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,3 +41,10 @@ def written(df: DataFrame, stem: str) -> DataFrame:
     path = fresh_path(df.sparkSession, stem)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def held(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with a column that is computed once per row: a generator's output is
+    never put in place of its name, neither in filters nor in lambdas, where it
+    would be computed again for each element."""
+    return df.select("*", F.explode(F.array(value)).alias(name))

@@ -85,11 +85,11 @@ def _keys(minima: Column, stride: Column) -> Column:
 def _templates(spark: SparkSession, templates) -> DataFrame:
     """license_id, stride, shingles, minima, keys: one row per template."""
     rows = ", ".join("('" + i.replace("'", "''") + "', '" + t.replace("\\", "\\\\").replace("'", "''") + "')" for i, t in templates)
-    t = spark.sql(f"SELECT * FROM VALUES {rows} AS t(license_id, statement)").withColumn("w", words(F.col("statement"))).where(F.size("w") >= SIZE)
-    t = t.withColumns({"h": _hashes(F.col("w")), "shingles": F.array_distinct(_texts(F.col("w")))})
+    t = _io.held(spark.sql(f"SELECT * FROM VALUES {rows} AS t(license_id, statement)"), "w", words(F.col("statement"))).where(F.size("w") >= SIZE)
+    t = _io.held(_io.held(t, "h", _hashes(F.col("w"))), "shingles", F.array_distinct(_texts(F.col("w"))))
     most = max(len(x.split()) * 2 for _, x in templates)
     stride = F.array_min(F.filter(F.array(*map(F.lit, _classes(most))), lambda s: s >= F.size("shingles")))
-    t = t.withColumns({"stride": stride, "minima": _minima(F.col("h"))})
+    t = _io.held(t.withColumn("stride", stride), "minima", _minima(F.col("h")))
     return t.withColumn("keys", _keys(F.col("minima"), F.col("stride"))).select("license_id", "stride", "shingles", "minima", "keys")
 
 
@@ -102,10 +102,10 @@ def scan(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
     strides = sorted({r.stride for r in facts})
     mark = F.array(*map(F.lit, marks))
     known = spark.createDataFrame([], known.schema) if not facts else known
-    sets = docs.select("doc_id", words(F.col("text")).alias("w")).where(F.size("w") >= SIZE)
-    sets = sets.select("doc_id", "w", _hashes(F.col("w")).alias("h")).where(F.arrays_overlap("h", mark))
+    sets = _io.held(docs.select("doc_id", "text"), "w", words(F.col("text"))).select("doc_id", "w").where(F.size("w") >= SIZE)
+    sets = _io.held(sets, "h", _hashes(F.col("w"))).where(F.arrays_overlap("h", mark))
     places = F.filter(F.sequence(F.lit(0), F.size("h") - 1), lambda i: F.array_contains(mark, F.get(F.col("h"), i)))
-    sets = sets.withColumn("places", places)
+    sets = _io.held(sets, "places", places)
 
     def starts(s: int) -> Column:
         """The two windows of a class that may hold each place."""
@@ -119,7 +119,7 @@ def scan(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
         F.slice("w", F.col("at.start") + 1, 2 * F.col("at.stride") + SIZE - 1).alias("w"),
         F.slice("h", F.col("at.start") + 1, 2 * F.col("at.stride")).alias("h"),
     )
-    signed = windows.withColumn("sig", _keys(_minima(F.col("h")), F.col("stride"))).drop("h")
+    signed = _io.held(windows, "sig", _keys(_minima(F.col("h")), F.col("stride"))).drop("h")
     bands = signed.select("doc_id", "start", "w", "sig", F.posexplode("sig").alias("band", "key"))
     right = known.select("license_id", "shingles", "keys", F.posexplode("keys").alias("_band", "_key"))
     # of several shared bands the first counts; templates are few, so they are broadcast

@@ -151,55 +151,64 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 
 def prefix_sums(x: Column, block: int = 128) -> Column:
-    """Exclusive prefix sums of an int array, by blocks, so that a text with very
-    many matches costs far less than the square of their number."""
+    """Exclusive prefix sums of an int array, by blocks: the sum of the blocks
+    before, and of what stands before in the block.  A text with very many matches
+    costs far less than the square of their number."""
     add = lambda a, b: a + b
     zero = F.lit(0).cast("int")
-    n = F.size(x)
-    blocks = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1)), F.lit(block)), lambda i: F.slice(x, i, block))
-    sums = F.transform(blocks, lambda b: F.aggregate(b, zero, add))
-    offset = F.transform(sums, lambda _, i: F.aggregate(F.slice(sums, 1, i), zero, add))
-    return F.flatten(
-        F.transform(F.arrays_zip(blocks.alias("b"), offset.alias("o")), lambda z: F.transform(z["b"], lambda _, i: z["o"] + F.aggregate(F.slice(z["b"], 1, i), zero, add)))
-    )
-
-
-def _spans(text: Column, rule: Rule, rank: int) -> Column:
-    """array<struct<start, rank, end, kind>> of a rule's matches in a text."""
-    whole = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
-    measured = whole if rule.group == 0 else F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group))
-    between = F.split(text, rule.pattern, -1)
-    lens = F.transform(whole, lambda m: F.length(m))
-    steps = F.transform(lens, lambda n, i: n + F.length(F.get(between, i)))
-    before = prefix_sums(steps)
-    spans = F.transform(
-        lens,
-        lambda n, i: F.struct(
-            (F.get(before, i) + F.length(F.get(between, i))).alias("start"),
-            F.lit(rank).alias("rank"),
-            (F.get(before, i) + F.length(F.get(between, i)) + n).alias("end"),
-            F.lit(rule.kind).alias("kind"),
-        ),
-    )
-    return F.filter(spans, lambda s, i: F.length(F.get(measured, i)) >= rule.least)
+    firsts = F.sequence(F.lit(1), F.greatest(F.size(x), F.lit(1)), F.lit(block))
+    start = F.struct(zero.alias("sum"), F.array().cast("array<int>").alias("all"))
+    blocks = F.transform(firsts, lambda i: F.slice(x, i, block))
+    # fold over blocks: each appends its own running sums, so a block copies once
+    within = lambda b, base: F.transform(b, lambda _, i: base + F.aggregate(F.slice(b, 1, i), zero, add))
+    step = lambda acc, b: F.struct(F.aggregate(b, acc["sum"], add).alias("sum"), F.concat(acc["all"], within(b, acc["sum"])).alias("all"))
+    return F.aggregate(blocks, start, step, lambda acc: acc["all"])
 
 
-_NONE = "array<struct<start:int,rank:int,end:int,kind:string>>"
+_SPANS = "array<struct<start:int,rank:int,end:int,kind:string>>"
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``docs`` with ``secret_spans``: array<struct<start, rank, end, kind>>,
     sorted by start, then by the order of the rules."""
-    docs = docs.drop(*[c for c in docs.columns if c.lower() in ("secret_spans", "_rules")])
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in ("secret_spans", "_rules", "_match", "_step", "_place", "_id")])
     ids = candidates(docs.select("doc_id", "text"), rules).withColumnRenamed("doc_id", "_id")
     rows = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id")
     text = F.coalesce("text", F.lit(""))
-    found = []
+    none = F.array().cast("array<string>")
+    match = []
     for k, rule in enumerate(rules):
-        full = not trigram_query(rule.pattern)
-        test = text.rlike(rule.pattern) if full else F.array_contains("_rules", k) & text.rlike(rule.pattern)
-        found.append(F.when(test, _spans(text, rule, k)).otherwise(F.array().cast(_NONE)))
-    return rows.withColumn("secret_spans", F.array_sort(F.concat(*found))).drop("_rules")
+        test = text.rlike(rule.pattern) if not trigram_query(rule.pattern) else F.array_contains("_rules", k) & text.rlike(rule.pattern)
+        take = lambda x, test=test: F.when(test, x).otherwise(none)
+        match += [
+            take(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))).alias(f"whole{k}"),
+            take(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group))).alias(f"kept{k}"),
+            take(F.split(text, rule.pattern, -1)).alias(f"gaps{k}"),
+        ]
+    # each step is computed once per row: matches, running lengths, spans
+    rows = _io.held(rows, "_match", F.struct(*match))
+    part = lambda name, k: F.col(f"_match.{name}{k}")
+
+    def steps(k: int) -> Column:
+        return F.transform(part("whole", k), lambda m, i: F.length(m) + F.length(F.get(part("gaps", k), i)))
+
+    rows = _io.held(rows, "_step", F.struct(*[steps(k).alias(f"s{k}") for k in range(len(rules))]))
+    rows = _io.held(rows, "_place", F.struct(*[prefix_sums(F.col(f"_step.s{k}")).alias(f"p{k}") for k in range(len(rules))]))
+    found = F.concat(*[_spans(part, k, rule) for k, rule in enumerate(rules)])
+    return _io.held(rows, "secret_spans", F.array_sort(found)).drop("_rules", "_match", "_step", "_place")
+
+
+def _spans(part, k: int, rule: Rule) -> Column:
+    """The spans of rule k whose measured group is long enough."""
+
+    def span(m: Column, i: Column) -> Column:
+        start = F.get(F.col(f"_place.p{k}"), i) + F.length(F.get(part("gaps", k), i))
+        return F.struct(start.alias("start"), F.lit(k).alias("rank"), (start + F.length(m)).alias("end"), F.lit(rule.kind).alias("kind"))
+
+    def long_enough(_: Column, i: Column) -> Column:
+        return F.length(F.get(part("kept", k), i)) >= rule.least
+
+    return F.filter(F.transform(part("whole", k), span), long_enough).cast(_SPANS)
 
 
 def _joined(spans: Column) -> Column:
