@@ -27,12 +27,16 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
+    import recallforge.plans  # noqa: F401  (registers)
+
     return _QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
+    import recallforge.plans  # noqa: F401
+
     return _SQL
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return queries()["hybrid_search"](spark, sf_dir)

@@ -1,0 +1,3 @@
+"""Queries by area; importing this package registers them."""
+
+from recallforge.plans import retrieval  # noqa: F401
