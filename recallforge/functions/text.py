@@ -78,7 +78,7 @@ def first_sentence(text: Column, most: int = 80) -> Column:
 
 def answer_form(text: Column) -> Column:
     """Answers before comparison: lower case, no articles, no punctuation, single spaces."""
-    out = F.regexp_replace(F.lower(text), r"\b(a|an|the)\b", " ")
+    out = F.regexp_replace(F.lower(text), r"(?U)\b(a|an|the)\b", " ")
     out = F.regexp_replace(out, r"[^\p{L}\p{N}\s]", "")
     return F.trim(F.regexp_replace(out, r"\s+", " "))
 

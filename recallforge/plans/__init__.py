@@ -1,3 +1,3 @@
 """Queries by area; importing this package registers them."""
 
-from recallforge.plans import retrieval, state  # noqa: F401
+from recallforge.plans import graph, metrics, retrieval, state  # noqa: F401
