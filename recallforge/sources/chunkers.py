@@ -1,0 +1,144 @@
+"""Text into chunks: plain paragraphs, Markdown, JSON, CSV, HTML, sections.
+
+``chunk`` picks by format.  Splits that a regex can express stay on the JVM;
+packing chunks up to a size depends on what went before, so that runs as one pandas
+UDF from text to an array of chunks, Arrow batch by Arrow batch.
+"""
+
+from __future__ import annotations
+
+import json
+import re
+from collections.abc import Callable
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+
+from recallforge.functions import text as X
+
+MOST = 2000
+
+
+def plain(text: str, most: int = MOST) -> list[str]:
+    """Paragraphs, packed greedily up to ``most`` characters."""
+    out, now = [], ""
+    for p in (x.strip() for x in re.split(r"\n\s*\n", text)):
+        if not p:
+            continue
+        if now and len(now) + 2 + len(p) > most:
+            out.append(now)
+            now = p
+        else:
+            now = f"{now}\n\n{p}" if now else p
+    return [*out, now] if now else out
+
+
+def markdown(text: str, most: int = MOST) -> list[str]:
+    """Cut before headings of levels 1 to 4, and where a chunk outgrows ``most``."""
+    out, lines, size = [], [], 0
+    for line in text.split("\n"):
+        if lines and (re.match(r"#{1,4}\s+", line) or size > most):
+            out.append("\n".join(lines).strip())
+            lines, size = [], 0
+        lines.append(line)
+        size += len(line) + 1
+    out.append("\n".join(lines).strip())
+    return [x for x in out if x]
+
+
+def json_items(text: str, most: int = MOST) -> list[str]:
+    """An array: a chunk per truthy item; an object of over three keys: a chunk per
+    key; other JSON: one chunk; no JSON: plain."""
+    try:
+        value = json.loads(text)
+    except ValueError:
+        return plain(text, most)
+    if isinstance(value, list):
+        return [json.dumps(x, indent=2, ensure_ascii=False) if isinstance(x, dict | list) else str(x) for x in value if x]
+    if isinstance(value, dict) and len(value) > 3:
+        return [f"{k}: {json.dumps(v, indent=2, ensure_ascii=False)}" for k, v in value.items()]
+    return [json.dumps(value, indent=2, ensure_ascii=False)]
+
+
+def csv_rows(text: str, most: int = MOST) -> list[str]:
+    """Rows packed up to ``most`` characters, the header atop each chunk."""
+    lines = [x for x in text.split("\n") if x.strip()]
+    if len(lines) < 2:
+        return lines
+    head, out, now = lines[0], [], []
+    for line in lines[1:]:
+        if now and len(head) + sum(len(x) + 1 for x in now) + len(line) + 1 > most:
+            out.append("\n".join([head, *now]))
+            now = []
+        now.append(line)
+    return [*out, "\n".join([head, *now])]
+
+
+def overlapping(text: str, most: int, overlap: int = 100) -> list[str]:
+    """Cut at the last sentence end before ``most``, else the last space, else hard;
+    the next chunk begins ``overlap`` characters before the cut."""
+    out, at = [], 0
+    while at < len(text):
+        end = at + most
+        if end >= len(text):
+            out.append(text[at:])
+            break
+        part = text[at:end]
+        cut = max(part.rfind(s) for s in (". ", "! ", "? ", "\n"))
+        cut = cut + 1 if cut > 0 else part.rfind(" ")
+        cut = at + (cut if cut > 0 else most)
+        out.append(text[at:cut])
+        at = max(at + 1, cut - overlap)
+    return [x for x in (c.strip() for c in out) if x]
+
+
+def sections(text: str) -> list[dict]:
+    """heading, body, position: by Markdown headings, else by paragraphs."""
+    heads = list(re.finditer(r"(?m)^#{1,4}\s+(.+)$", text))
+    if len(heads) >= 2:
+        ends = [h.start() for h in heads[1:]] + [len(text)]
+        found = [(h.group(1).strip(), text[h.end() : e].strip()) for h, e in zip(heads, ends, strict=True)]
+    else:
+        found = [(p.strip().split("\n")[0][:80], p.strip()) for p in re.split(r"\n\s*\n", text) if p.strip()]
+    return [{"heading": h, "body": b, "position": k} for k, (h, b) in enumerate(found)]
+
+
+def _udf(f: Callable[[str], list], kind: str) -> Callable[[Column], Column]:
+    @F.pandas_udf(T._parse_datatype_string(kind))
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: f(t) if t is not None else [])
+
+    return run
+
+
+def chunk(df: DataFrame, text: str, form: str, most: int = MOST) -> DataFrame:
+    """``df`` with a row per chunk (``position``, ``chunk``); texts without one go."""
+    col = X.html_text(F.col(text)) if form == "html" else F.col(text)
+    cut = {"plain": plain, "html": plain, "markdown": markdown, "json": json_items, "csv": csv_rows}[form]
+    return df.select("*", F.posexplode(_udf(lambda t: cut(t, most), "array<string>")(col)).alias("position", "chunk"))
+
+
+def split_sections(df: DataFrame, text: str) -> DataFrame:
+    """``df`` with a row per section: heading, body, position."""
+    found = _udf(sections, "array<struct<heading:string,body:string,position:int>>")(F.col(text))
+    return df.select("*", F.explode(found).alias("_s")).select(*df.columns, "_s.*")
+
+
+def content_form(text: Column) -> Column:
+    """json, yaml, markdown, prose or note, by simple signs."""
+    count = lambda p: F.regexp_count(text, F.lit(p))
+    return (
+        F.when(text.rlike(r"(?s)^\s*[\[{].*[\]}]\s*$") & F.try_parse_json(text).isNotNull(), "json")
+        .when(count(r"(?m)^#{1,6}\s+\S") >= 2, "markdown")
+        .when(count(r"(?m)^[A-Za-z_][\w-]*:\s") >= 2, "yaml")
+        .when((F.length(text) > 1000) & (count(r"\n\s*\n") >= 2), "prose")
+        .otherwise("note")
+    )
+
+
+def profile(df: DataFrame, key: str, title: str, most: int = 800) -> DataFrame:
+    """key, profile: title, a bullet per section, totals; ``most`` characters."""
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("position", "heading"))), lambda s: F.concat(F.lit("- "), s["heading"]))
+    g = df.groupBy(key).agg(F.first(title).alias("_t"), rows.alias("_r"), F.sum(F.length("body")).alias("_n"))
+    body = F.concat_ws("\n", "_t", F.array_join("_r", "\n"), F.concat(F.size("_r").cast("string"), F.lit(" sections, "), F.col("_n").cast("string"), F.lit(" characters")))
+    return g.select(key, F.substring(body, 1, most).alias("profile"))
