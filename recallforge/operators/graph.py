@@ -69,9 +69,10 @@ def spread(edges: DataFrame, context: DataFrame, idf: DataFrame | None = None, *
     return best.groupBy("node").agg(F.max("activation").alias("activation"))
 
 
-def pagerank(edges: DataFrame, *, damping: float = 0.85, rounds: int = 50, every: int = 10) -> DataFrame:
+def pagerank(edges: DataFrame, *, damping: float = 0.85, rounds: int = 50) -> DataFrame:
     """node, rank: a fixed number of rounds; the mass of nodes without out-edges is
-    spread evenly.  That mass is one number per round, the rest distributed."""
+    spread evenly.  That mass is one number per round, the rest distributed.  Each
+    round is cut: it reads the ranks twice, so uncut plans would double each time."""
     e = _cut(edges.select("src", "dst").distinct())
     nodes = _cut(e.select(F.col("src").alias("node")).union(e.select("dst")).distinct())
     n = nodes.count()
@@ -81,16 +82,14 @@ def pagerank(edges: DataFrame, *, damping: float = 0.85, rounds: int = 50, every
     shares = _cut(e.join(out, "src").select("src", "dst", (1.0 / F.col("_out")).alias("_w")))
     hang = _cut(nodes.join(out, F.col("node") == F.col("src"), "left_anti").withColumn("_hang", F.lit(1)))
     rank = nodes.withColumn("rank", F.lit(1.0 / n))
-    for k in range(rounds):
-        lost = rank.join(hang, "node").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("_lost"))
+    for _ in range(rounds):
+        lost = float(rank.join(hang, "node").agg(F.sum("rank")).first()[0] or 0.0)
         moved = rank.join(shares, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") * F.col("_w")).alias("_in"))
-        rank = nodes.join(moved, "node", "left").join(F.broadcast(lost)).select("node", ((1 - damping) / n + damping * (F.coalesce("_in", F.lit(0.0)) + F.col("_lost") / n)).alias("rank"))
-        if (k + 1) % every == 0 or k + 1 == rounds:
-            rank = _cut(rank)
+        rank = _cut(nodes.join(moved, "node", "left").select("node", ((1 - damping) / n + damping * (F.coalesce("_in", F.lit(0.0)) + lost / n)).alias("rank")))
     return rank
 
 
-def personal_pagerank(edges: DataFrame, seeds: DataFrame, *, damping: float = 0.85, rounds: int = 50, every: int = 10) -> DataFrame:
+def personal_pagerank(edges: DataFrame, seeds: DataFrame, *, damping: float = 0.85, rounds: int = 50) -> DataFrame:
     """node, rank from (src, dst, weight) and seeds (node, share); empty without
     edges or without a seed of positive share in the graph."""
     e = _cut(edges.groupBy("src", "dst").agg(F.sum("weight").alias("weight")))
@@ -104,13 +103,11 @@ def personal_pagerank(edges: DataFrame, seeds: DataFrame, *, damping: float = 0.
     shares = _cut(e.join(out, "src").select("src", "dst", (F.col("weight") / F.col("_out")).alias("_w")))
     sinks = _cut(nodes.join(out, F.col("node") == F.col("src"), "left_anti"))
     rank = seeds.select("node", F.col("_s").alias("rank"))
-    for k in range(rounds):
-        lost = rank.join(sinks, "node", "left_semi").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("_lost"))
+    for _ in range(rounds):
+        lost = float(rank.join(sinks, "node", "left_semi").agg(F.sum("rank")).first()[0] or 0.0)
         moved = rank.join(shares, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), (damping * F.col("rank") * F.col("_w")).alias("rank"))
-        back = seeds.join(F.broadcast(lost)).select("node", (F.col("_s") * (1 - damping + damping * F.col("_lost"))).alias("rank"))
-        rank = moved.unionByName(back).groupBy("node").agg(F.sum("rank").alias("rank"))
-        if (k + 1) % every == 0 or k + 1 == rounds:
-            rank = _cut(rank)
+        back = seeds.select("node", (F.col("_s") * (1 - damping + damping * lost)).alias("rank"))
+        rank = _cut(moved.unionByName(back).groupBy("node").agg(F.sum("rank").alias("rank")))
     return rank
 
 

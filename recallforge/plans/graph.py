@@ -75,7 +75,7 @@ def _pagerank_sql(rounds: int) -> str:
 
 @register("pagerank_fixed_iter", _pagerank_sql(10))
 def pagerank_fixed_iter(spark, d):
-    return G.pagerank(_agents(spark, d), rounds=10, every=5).select("node", F.round("rank", 8).alias("rank"))
+    return G.pagerank(_agents(spark, d), rounds=10).select("node", F.round("rank", 8).alias("rank"))
 
 
 def _ppr_sql(rounds: int) -> str:
@@ -92,7 +92,7 @@ def _ppr_sql(rounds: int) -> str:
 def personalised_pagerank(spark, d):
     e = _agents(spark, d).withColumn("weight", F.lit(1.0))
     seeds = spark.range(1, 3).select(F.col("id").alias("node"), F.lit(0.5).alias("share"))
-    return G.personal_pagerank(e, seeds, rounds=8, every=4).select("node", F.round("rank", 8).alias("rank"))
+    return G.personal_pagerank(e, seeds, rounds=8).select("node", F.round("rank", 8).alias("rank"))
 
 
 _CC = """WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey AS a, -l_partkey - 1 AS b FROM lineitem WHERE l_quantity >= 49), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),

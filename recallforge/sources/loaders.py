@@ -27,8 +27,8 @@ def _memories(files: DataFrame, most: int) -> DataFrame:
 
 def load(spark: SparkSession, path: str, *, recursive: bool = True, most: int = chunkers.MOST) -> DataFrame:
     """A file or directory of supported texts as memories."""
-    reader = spark.read.option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", "*.{" + ",".join(FORMS) + "}").option("wholetext", "true")
-    return _memories(reader.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")), most)
+    reader = spark.read.option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", "*.{" + ",".join(FORMS) + "}")
+    return _memories(reader.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")), most)
 
 
 def load_text(spark: SparkSession, text: str, name: str = "inline.txt", most: int = chunkers.MOST) -> DataFrame:
