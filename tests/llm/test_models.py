@@ -1,0 +1,250 @@
+"""Decontamination, language ID, URL filters and neighbours against brute force."""
+
+from __future__ import annotations
+
+import hashlib
+import math
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+
+from recallforge.llm import decontam as D, graph_ann as A, langid as L, url_filter as U
+from tests.compare import SF, same
+from tests.llm.test_ngram_join import words
+
+
+def brute_hits(text, items, window=10):
+    w = words(text)
+    hit, found = set(), set()
+    for item, t in items:
+        v = words(t)
+        n = min(len(v), window)
+        pats = {tuple(v[i : i + n]) for i in range(len(v) - n + 1)} if v else set()
+        for i in range(len(w) - n + 1 if v else 0):
+            if tuple(w[i : i + n]) in pats:
+                hit.update(range(i, i + n))
+                found.add(str(item))
+    return len(w), len(hit), sorted(found)
+
+
+def test_decontamination_equals_sql(spark):
+    same(D.op7_decontamination(spark, SF), D.SQL)
+
+
+@pytest.mark.parametrize("most", [1, 400_000])
+def test_decontamination_cases(spark, most):
+    items = [(1, "one two three four five six seven eight nine ten eleven"), (2, "Short item"), (10, "two three four five six seven eight nine ten eleven"), (3, None), (4, "!!"), (None, "x y")]
+    docs = [
+        (1, "a ONE, two three four five six seven eight nine ten? b"), (2, "short ITEM short item"), (3, None), (4, ""), (5, "one two three four five six seven eight nine"),
+        (6, "zero two three four five six seven eight nine ten eleven " + "pad " * 20_000), (2, "short"), (None, "short item"),
+    ]
+    df = spark.createDataFrame([(i, t, "x") for i, t in docs], "doc_id long, text string, items string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    rows = D.digest(D.scan(df, b, max_patterns=most)).collect()
+    got = sorted((r.doc_id or -1, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in rows)
+    want = []
+    for i, t in docs:
+        n, hit, found = brute_hits(t, [(a, x) for a, x in items if a is not None])
+        want.append((i or -1, n, hit, len(found), hashlib.sha256(",".join(found).encode()).hexdigest(), hit > 0))
+    assert got == sorted(want)
+    clean = D.drop_contaminated(df, b, max_patterns=most)
+    assert clean.columns == df.columns and sorted(r.doc_id for r in clean.collect()) == [2, 3, 4, 5]
+    assert D.digest(D.scan(df, b.limit(0))).where("contaminated").count() == 0
+    assert D.scan(df.limit(0), b).count() == 0
+
+
+def test_offsets_cut_the_original(spark):
+    b = spark.createDataFrame([(1, "alpha beta")], "item_id long, text string")
+    r = D.scan(spark.createDataFrame([(1, "é, Alpha  BETA!")], "doc_id long, text string"), b).first()
+    raw = "é, Alpha  BETA!".encode()
+    assert [raw[a:z].decode() for a, z in zip(r.hit_starts, r.hit_ends, strict=True)] == ["Alpha", "BETA"]
+
+
+def brute_bits(samples, text):
+    """Code length of ``text`` by plain walks over dictionaries (method C)."""
+
+    def norm(t):
+        raw = bytearray(t.encode())
+        out, k = [], 0
+        while k < len(raw):
+            b = raw[k]
+            if 65 <= b <= 90:
+                b += 32
+            elif b < 128 and not 97 <= b <= 122:
+                b = 32
+            elif b == 0xC3 and k + 1 < len(raw) and 0x80 <= raw[k + 1] <= 0x9E and raw[k + 1] != 0x97:
+                raw[k + 1] += 32
+            out.append(b)
+            k += 1
+        return [32, 32, 32, *out]
+
+    count = defaultdict(Counter)
+    for t in samples:
+        s = norm(t)
+        for i in range(3, len(s)):
+            for k in range(4):
+                count[tuple(s[i - k : i])][s[i]] += 1
+    s, bits = norm(text), 0.0
+    for i in range(3, len(s)):
+        for k in (3, 2, 1, 0):
+            c = count.get(tuple(s[i - k : i]))
+            if not c:
+                continue
+            total, kinds = sum(c.values()), len(c)
+            if s[i] in c:
+                bits += math.log2((total + kinds) / c[s[i]])
+                break
+            bits += math.log2((total + kinds) / kinds)
+        else:
+            bits += 8
+    return bits
+
+
+def test_code_lengths_equal_plain_walks(spark):
+    rows = [(1, "the cat and the hat", "en"), (2, "Der Hut und die Straße", "de"), (3, "that hat, those cats", "en"), (5, "über die Hüte", "de")]
+    rows = [(100 + i, t, lang) for i, t, lang in rows]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    trees = L.fit(df, per_language=10)
+    assert trees.langs == ["de", "en"]
+    import pyarrow as pa
+
+    from recallforge.llm._text import utf8
+
+    texts = ["the Hüte", "ÜBER 99 cats!!", "", "日本", "zzz qqq", "die that"]
+    data, off = utf8(pa.array(texts))
+    got = trees.bits(data, off, 0, len(texts))
+    for r, t in enumerate(texts):
+        for c, lang in enumerate(trees.langs):
+            assert got[r, c] == pytest.approx(brute_bits([x for _, x, y in rows if y == lang], t), rel=1e-4, abs=1e-3)
+
+
+def test_held_out_accuracy(spark):
+    d = "/root/testdata/sf0.01"
+    got = L.op10_language_id(spark, d).join(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang"), "doc_id").collect()
+    for r in got:
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and 0 <= r.score <= 1
+    held = [r for r in got if r.held_out]
+    assert len(held) > 100 and sum(r.lang == r.lang_pred for r in held) / len(held) > 0.97
+
+
+def test_language_odd_rows(spark):
+    rows = [(1, None, "en"), (4, "", "en"), (5, "123 !!", "de"), (6, "the house", "en"), (8, "das haus", "de"), (9, "日本", None), (None, "the house", "de"), (6, "the house", "en"), (10, "the " * 50_000, "en")]
+    df = spark.createDataFrame([(i, t, x, 1.0) for i, t, x in rows], "doc_id long, text string, lang string, score double")
+    got = L.identify(df).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert (r.lang_pred == "und" and r.score == 0) == (not any(map(str.isalpha, r.text or "")))
+        assert r.doc_id is not None or not r.held_out
+    kept = L.keep_identified(df)
+    assert kept.columns == df.columns
+    none = L.identify(df.withColumn("lang", df["lang"].substr(0, 0)).where("false")).collect()
+    assert none == []
+    unlabelled = spark.createDataFrame([(1, "the", None)], "doc_id long, text string, lang string")
+    assert [(r.lang_pred, r.score) for r in L.identify(unlabelled).collect()] == [("und", 0.0)]
+
+
+def test_labels_are_no_input(spark):
+    df = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    trees = L.fit(df.where(L.fold() != 2))
+    from pyspark.sql import functions as F
+
+    a = L.predict(df, trees).select("doc_id", "lang_pred", "score").collect()
+    b = L.predict(df.withColumn("lang", F.lit("xx")), trees).select("doc_id", "lang_pred", "score").collect()
+    assert sorted(a) == sorted(b)
+
+
+def page(i, url, links=()):
+    return (i, url, "".join(f'<a href="{x}">x</a>' for x in links))
+
+
+def test_url_rules(spark):
+    rows = [
+        page(1, "http://A.Example.NET/en/x?y"), page(2, "https://example.net/de/"), page(3, "http://net/"), page(4, "http://notnet/"), page(5, "http://x.example.com/de/a#b"), page(6, "http://x.example.com/en/"),
+        page(7, "http://a.org/fr/z"), page(8, None), page(9, "no url"), page(10, "x://h?q/r"), page(11, "http://b.net"), (12, "http://c.org/fr", None), page(1, "http://A.Example.NET/en/x?y"),
+    ]
+    df = spark.createDataFrame([(*r, "v") for r in rows], "page_id long, url string, html string, verdict string")
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in U.filter_urls(df).collect()}
+    assert got[1] == ("a.example.net", "/en/x", "example.net/en/", "allow")
+    assert got[2][2:] == ("net/", "block") and got[3][2:] == ("net/", "block") and got[4][2:] == (None, "allow")
+    assert got[5] == ("x.example.com", "/de/a", "example.com/de/", "block") and got[6][2:] == (None, "allow")
+    assert got[7][2:] == ("org/fr/", "allow") and got[8] == got[9] == ("", "", None, "allow")
+    assert got[10] == ("h", "", None, "allow") and got[11][:3] == ("b.net", "", None) and got[12][2] is None
+    assert U.filter_urls(df).count() == len(rows) and U.filter_urls(df.limit(0)).count() == 0
+
+
+def test_propagation_equals_power_iteration(spark):
+    links = [("a", "b"), ("a", "c"), ("b", "c"), ("c", "a"), ("d", "a")]
+    e = spark.createDataFrame([(x, y, 1.0) for x, y in links], "src string, dst string, weight double")
+    got = {r.host: r.mass for r in U.propagate(e, spark.createDataFrame([("a", 1.0)], "host string, share double"), rounds=6).collect()}
+    out = Counter(x for x, _ in links)
+    r = {"a": 1.0}
+    for _ in range(6):
+        n = defaultdict(float, {"a": 0.15})
+        for x, y in links:
+            n[y] += 0.85 * r.get(x, 0) / out[x]
+        r = n
+    assert got == pytest.approx({k: v for k, v in r.items() if v})
+
+
+def test_distrust_flows_against_links(spark):
+    rows = [page(1, "http://bad.net/x"), page(2, "http://farm.com/", ["http://bad.net/x", "//bad.net/y"]), page(3, "http://good.org/fr/a", ["http://fine.com/"]), page(4, "http://fine.com/z")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.verdict for r in U.filter_urls(df).collect()}
+    assert got == {1: "block", 2: "block", 3: "allow", 4: "allow"}
+
+
+def brute_near(rows, queries, k):
+    out = {}
+    for q, v in queries:
+        scored = sorted((-float(np.dot(np.float64(v), np.float64(u))), i) for i, u in rows if i != q)
+        out[q] = [(i, -s) for s, i in scored[:k]]
+    return out
+
+
+def test_neighbours_on_the_table(spark):
+    e = spark.read.parquet(f"{SF}/embeddings.parquet").collect()
+    rows = [(r.vec_id, r.embedding) for r in e]
+    want = brute_near(rows, [r for r in rows if r[0] % 20 == 0], 20)
+    got = defaultdict(list)
+    for r in sorted(A.op5_graph_ann(spark, SF).collect(), key=lambda r: (r.query_id, r["rank"])):
+        got[r.query_id].append((r.vec_id, r.score))
+        assert r["rank"] == len(got[r.query_id])
+    assert set(got) == set(want) and all(len(v) == 20 for v in got.values())
+    hit = sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want)
+    assert hit >= 0.9 * 20 * len(want)
+    vec = {i: np.float64(v) for i, v in rows}
+    for q, near in got.items():
+        assert all(s == pytest.approx(float(vec[q] @ vec[i]), rel=1e-12) for i, s in near)
+        assert near == sorted(near, key=lambda x: (-x[1], x[0]))
+
+
+def test_recall_over_several_shards(spark):
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(1500, 24)) * rng.uniform(0.5, 2, size=(1500, 1))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    index, part, top = A.build_index(df, k=10, shard_rows=500, degree=16, beam=32)
+    got = A.search(index, part.where("vec_id % 20 = 0"), top, k=10, query_rows=30).collect()
+    want = brute_near(rows, [r for r in rows if r[0] % 20 == 0], 10)
+    near = defaultdict(set)
+    for r in got:
+        near[r.query_id].add(r.vec_id)
+    assert sum(len(near[q] & {i for i, _ in v}) for q, v in want.items()) >= 0.95 * 10 * len(want)
+    assert index.count() == 1500
+
+
+def test_neighbour_ties_and_odd_vectors(spark):
+    nan = float("nan")
+    rows = [(i, [1.0, 0.0]) for i in range(0, 120)] + [(200, [0.5, 0.5]), (220, None), (240, [0.0, 0.0]), (260, [nan, 1.0]), (280, [1.0, float("inf")]), (300, [1.0, None]), (320, [1.0]), (None, [1.0, 1.0]), (40, [1.0, 0.0])]
+    df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<double>, score int")
+    index, part, top = A.build_index(df, k=3)
+    got = defaultdict(list)
+    for r in A.search(index, part.where("vec_id % 20 = 0"), top, k=3).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    assert set(got) == {0, 20, 40, 60, 80, 100, 200}
+    assert got[0] == [1, 2, 3] and got[20] == [0, 1, 2] and got[200] == [0, 1, 2]
+    few = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<double>")
+    i, p, t = A.build_index(few)
+    assert [(r.vec_id, r.score) for r in A.search(i, p.where("vec_id = 0"), t).collect()] == [(1, 2.0)]
