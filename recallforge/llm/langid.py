@@ -229,7 +229,7 @@ def identify(docs: DataFrame, **options) -> DataFrame:
     return predict(rows, trees)
 
 
-def keep_identified(docs: DataFrame, *, min_score: float = 0.5, **options) -> DataFrame:
+def keep_identified(docs: DataFrame, *, min_score: float = 0.3, **options) -> DataFrame:
     """The documents with a language: not ``und``, and a score of ``min_score``."""
     cols = docs.columns
     return identify(docs, **options).where((F.col("lang_pred") != "und") & (F.col("score") >= min_score)).select(*cols)
