@@ -91,7 +91,7 @@ def test_recall_of_pairs_at_the_threshold(spark):
     for k in range(pairs):  # two texts that differ in one run of words: Jaccard just above 4/5
         w = [f"k{k}v{rng.randrange(10**6)}" for _ in range(90)]
         v = list(w)
-        v[40:46] = [f"z{k}n{i}" for i in range(6)]
+        v[40:45] = [f"z{k}n{i}" for i in range(5)]
         rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(v))]
     want = brute(rows)
     linked = sum(v[1] for v in want.values())
