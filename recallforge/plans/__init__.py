@@ -1,3 +1,3 @@
 """Queries by area; importing this package registers them."""
 
-from recallforge.plans import audit, graph, metrics, retrieval, state, tables, text  # noqa: F401
+from recallforge.plans import audit, graph, metrics, recall, retrieval, state, tables, text  # noqa: F401
