@@ -171,15 +171,16 @@ _SPANS = "array<struct<start:int,rank:int,end:int,kind:string>>"
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``docs`` with ``secret_spans``: array<struct<start, rank, end, kind>>,
     sorted by start, then by the order of the rules."""
-    docs = docs.drop(*[c for c in docs.columns if c.lower() in ("secret_spans", "_rules", "_match", "_step", "_place", "_id")])
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in ("secret_spans", "_rules", "_test", "_match", "_step", "_place", "_id")])
     ids = candidates(docs.select("doc_id", "text"), rules).withColumnRenamed("doc_id", "_id")
     rows = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id")
     text = F.coalesce("text", F.lit(""))
     none = F.array().cast("array<string>")
+    tests = [text.rlike(r.pattern) if not trigram_query(r.pattern) else F.coalesce(F.array_contains("_rules", k), F.lit(False)) & text.rlike(r.pattern) for k, r in enumerate(rules)]
+    rows = _io.held(rows, "_test", F.struct(*[t.alias(f"t{k}") for k, t in enumerate(tests)]))
     match = []
     for k, rule in enumerate(rules):
-        test = text.rlike(rule.pattern) if not trigram_query(rule.pattern) else F.array_contains("_rules", k) & text.rlike(rule.pattern)
-        take = lambda x, test=test: F.when(test, x).otherwise(none)
+        take = lambda x, k=k: F.when(F.col(f"_test.t{k}"), x).otherwise(none)
         match += [
             take(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))).alias(f"whole{k}"),
             take(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group))).alias(f"kept{k}"),
@@ -195,7 +196,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     rows = _io.held(rows, "_step", F.struct(*[steps(k).alias(f"s{k}") for k in range(len(rules))]))
     rows = _io.held(rows, "_place", F.struct(*[prefix_sums(F.col(f"_step.s{k}")).alias(f"p{k}") for k in range(len(rules))]))
     found = F.concat(*[_spans(part, k, rule) for k, rule in enumerate(rules)])
-    return _io.held(rows, "secret_spans", F.array_sort(found)).drop("_rules", "_match", "_step", "_place")
+    return _io.held(rows, "secret_spans", F.array_sort(found)).drop("_rules", "_test", "_match", "_step", "_place")
 
 
 def _spans(part, k: int, rule: Rule) -> Column:
