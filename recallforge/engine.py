@@ -51,15 +51,13 @@ class Engine:
     def search(self, query: str, *, limit: int = 10, domain: str | None = None, now: datetime | None = None, pool: int = 50) -> DataFrame:
         """memory_id, score: two lists fused, optionally reranked, in range, combined."""
         docs = self.memories if domain is None else self.memories.where(predicates.domain_prefix(F.col("domains"), domain))
-        bm = retrieval.bm25(docs, "memory_id", "content", query)
-        words = sorted(set(retrieval._split(query)))
-        sparse = docs.select("memory_id", F.size(F.array_intersect(T.tokens(F.col("content")), F.array(*map(F.lit, words)))).cast("double").alias("score")).where("score > 0")
-        lists = [retrieval.ranked(retrieval.top(x, "memory_id", pool), "memory_id") for x in (bm, sparse)]
+        found = retrieval.signals(docs, "memory_id", "content", query).withColumnRenamed("overlap", "sparse")
+        lists = [retrieval.ranked(retrieval.top(found, "memory_id", pool, s), "memory_id", s) for s in ("bm25", "sparse")]
         cands = retrieval.fuse(lists, "memory_id").select("memory_id")
-        found = temporal.parse(query, now) if now else None
-        if found and found["start"] and self.ranges is not None:
-            cands = predicates.range_filter(cands, self.ranges, "memory_id", F.lit(found["start"]), F.lit(found["end"]))
-        c = cands.join(bm.withColumnRenamed("score", "bm25"), "memory_id", "left").join(sparse.withColumnRenamed("score", "sparse"), "memory_id", "left").fillna(0.0)
+        when = temporal.parse(query, now) if now else None
+        if when and when["start"] and self.ranges is not None:
+            cands = predicates.range_filter(cands, self.ranges, "memory_id", F.lit(when["start"]), F.lit(when["end"]))
+        c = cands.join(found, "memory_id")
         c = retrieval.max_normal(c, ["bm25", "sparse"])
         c = c.withColumn("score", retrieval.combined({"bm25": F.col("bm25"), "sparse": F.col("sparse")}, {"bm25": self.weights.bm25, "sparse": self.weights.sparse}))
         if self.reranker is not None:

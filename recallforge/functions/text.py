@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 WORD_BREAK = r"[^\p{L}\p{N}]+"
 
@@ -93,37 +93,43 @@ def _clamp(x: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
 
 
-def utility(text: Column) -> Column:
-    m = marker_count(text, UTILITY)
+def utility(m: Column) -> Column:
+    """From the number of utility markers."""
     return F.when(m == 0, 0.05).otherwise(_clamp(0.15 + 0.20 * m / (1.0 + 0.15 * m)))
 
 
-def temporal_salience(text: Column) -> Column:
-    dated = F.when(text.rlike(DATE_ISO) | text.rlike(DATE_NAMED), 0.40).otherwise(0.0)
-    marks = F.least(F.lit(0.30), marker_count(text, TEMPORAL) * 0.15)
-    return _clamp(dated + marks + F.least(F.lit(0.30), marker_count(text, TEMPORAL_VERBS) * 0.10))
+def temporal_salience(dated: Column, marks: Column, verbs: Column) -> Column:
+    return _clamp(F.when(dated, 0.40).otherwise(0.0) + F.least(F.lit(0.30), marks * 0.15) + F.least(F.lit(0.30), verbs * 0.10))
 
 
-def persistence(text: Column) -> Column:
-    high, low = marker_count(text, LASTING), marker_count(text, PASSING)
+def persistence(length: Column, high: Column, low: Column) -> Column:
     return (
-        F.when(F.length(text) < 20, 0.05)
+        F.when(length < 20, 0.05)
         .when((high > 0) & (low == 0), _clamp(0.60 + 0.10 * high))
         .when((low > 0) & (high == 0), _clamp(0.20 - 0.05 * low))
         .otherwise(_clamp(0.40 + 0.05 * (high - low)))
     )
 
 
-def state_change(text: Column) -> Column:
-    low, verbs = F.lower(text), marker_count(text, STATE_VERBS)
-    out = F.least(F.lit(0.50), verbs * 0.20)
-    out = out + F.when(low.rlike(VERSION), 0.20).otherwise(0.0)
-    out = out + F.when((low.contains("status") | low.contains("state")) & (verbs > 0), 0.25).otherwise(0.0)
-    return _clamp(out + F.when(low.contains(" from ") & low.contains(" to "), 0.20).otherwise(0.0))
-
-
-def admission_score(text: Column) -> Column:
-    return 0.30 * utility(text) + 0.25 * persistence(text) + 0.25 * state_change(text) + 0.20 * temporal_salience(text)
+def state_change(verbs: Column, version: Column, status: Column, from_to: Column) -> Column:
+    out = F.least(F.lit(0.50), verbs * 0.20) + F.when(version, 0.20).otherwise(0.0)
+    return _clamp(out + F.when(status & (verbs > 0), 0.25).otherwise(0.0) + F.when(from_to, 0.20).otherwise(0.0))
+
+
+def admission(df: DataFrame, key: str, text: str) -> DataFrame:
+    """key, utility, temporal, persistence, change, score.  Texts are lower-cased and
+    searched once: the counts are columns of their own, not parts of expressions
+    that would repeat them."""
+    low = df.select(key, F.col(text).alias("_x"), F.explode(F.array(F.lower(text))).alias("_l"))
+    count = lambda markers: reduce(lambda a, b: a + b, [F.contains("_l", F.lit(m)).cast("int") for m in markers], F.lit(0))
+    has = lambda w: F.contains("_l", F.lit(w))
+    n = low.select(
+        key, F.length("_l").alias("_n"), count(UTILITY).alias("_u"), count(TEMPORAL).alias("_tm"), count(TEMPORAL_VERBS).alias("_tv"), count(LASTING).alias("_hi"), count(PASSING).alias("_lo"), count(STATE_VERBS).alias("_sv"),
+        (F.col("_x").rlike(DATE_ISO) | F.col("_x").rlike(DATE_NAMED)).alias("_d"), F.col("_l").rlike(VERSION).alias("_v"), (has("status") | has("state")).alias("_st"), (has(" from ") & has(" to ")).alias("_ft"),
+    )
+    c = F.col
+    f = n.select(key, utility(c("_u")).alias("utility"), temporal_salience(c("_d"), c("_tm"), c("_tv")).alias("temporal"), persistence(c("_n"), c("_hi"), c("_lo")).alias("persistence"), state_change(c("_sv"), c("_v"), c("_st"), c("_ft")).alias("change"))
+    return f.withColumn("score", 0.30 * c("utility") + 0.25 * c("persistence") + 0.25 * c("change") + 0.20 * c("temporal"))
 
 
 def admission_route(score: Column, change: Column) -> Column:

@@ -37,8 +37,9 @@ def query_postings(docs: DataFrame, key: str, text: str, terms: list[str]) -> Da
     return toks.select(key, F.size("_t").alias("dl"), F.explode(wanted).alias("term")).groupBy("term", key, "dl").agg(F.count("*").alias("tf"))
 
 
-def bm25(docs: DataFrame, key: str, text: str, query: str, k1: float = K1, b: float = B) -> DataFrame:
-    """key, score: BM25 of every document that holds a term of the query."""
+def signals(docs: DataFrame, key: str, text: str, query: str, k1: float = K1, b: float = B) -> DataFrame:
+    """key, bm25, overlap: BM25 and the number of distinct query terms, of every
+    document that holds one, from the same postings."""
     terms = sorted(set(_split(query)))
     stats = docs.agg(F.count("*").alias("n"), F.avg(F.size(T.tokens(F.col(text)))).alias("avgdl")).first()
     p = query_postings(docs, key, text, terms)
@@ -46,7 +47,12 @@ def bm25(docs: DataFrame, key: str, text: str, query: str, k1: float = K1, b: fl
     n, avgdl = float(stats.n), float(stats.avgdl or 1.0)
     idf = F.ln(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     gain = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
-    return p.join(F.broadcast(df), "term").groupBy(key).agg(F.sum(gain).alias("score"))
+    return p.join(F.broadcast(df), "term").groupBy(key).agg(F.sum(gain).alias("bm25"), F.count("*").cast("double").alias("overlap"))
+
+
+def bm25(docs: DataFrame, key: str, text: str, query: str, k1: float = K1, b: float = B) -> DataFrame:
+    """key, score: BM25 of every document that holds a term of the query."""
+    return signals(docs, key, text, query, k1, b).select(key, F.col("bm25").alias("score"))
 
 
 def _split(query: str) -> list[str]:

@@ -37,10 +37,8 @@ def bm25_postings(spark, d):
 _OVERLAP = f"ov AS (SELECT doc_id, CAST(len(list_filter([{_TERMS}], lambda q: list_contains(t, q))) AS DOUBLE) AS score FROM toks WHERE list_has_any(t, [{_TERMS}]))"
 
 
-def _overlap(spark, d):
-    terms = F.array(*map(F.lit, sorted(set(R._split(QUERY)))))
-    docs = M.table(spark, d, "documents").select("doc_id", F.size(F.array_intersect(T.tokens(F.col("text")), terms)).cast("double").alias("score"))
-    return docs.where("score > 0")
+def _signals(spark, d):
+    return R.signals(M.table(spark, d, "documents"), "doc_id", "text", QUERY)
 
 
 _FUSED = f"""{_BM25}, {_OVERLAP},
@@ -49,14 +47,14 @@ l2 AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM
 fu AS (SELECT doc_id, sum(1.0 / (60 + r)) AS rrf FROM (SELECT * FROM l1 UNION ALL SELECT * FROM l2) GROUP BY doc_id)"""
 
 
-def _fused(spark, d):
-    lists = [R.ranked(R.top(x, "doc_id", 100), "doc_id") for x in (_bm25(spark, d), _overlap(spark, d))]
+def _fused(found):
+    lists = [R.ranked(R.top(found, "doc_id", 100, c), "doc_id", c) for c in ("bm25", "overlap")]
     return R.fuse(lists, "doc_id").withColumnRenamed("score", "rrf")
 
 
 @register("rrf_fusion", f"WITH {_FUSED} SELECT doc_id, round(rrf, 8) AS rrf FROM fu")
 def rrf_fusion(spark, d):
-    return _fused(spark, d).select("doc_id", F.round("rrf", 8).alias("rrf"))
+    return _fused(_signals(spark, d)).select("doc_id", F.round("rrf", 8).alias("rrf"))
 
 
 _HYBRID = f"""WITH {_FUSED},
@@ -68,8 +66,8 @@ ORDER BY 0.6 * bm25 / CASE WHEN mb = 0 THEN 1 ELSE mb END + 0.3 * sparse / CASE
 
 @register("hybrid_search", _HYBRID)
 def hybrid_search(spark, d):
-    signals = _bm25(spark, d).withColumnRenamed("score", "bm25").join(_overlap(spark, d).withColumnRenamed("score", "sparse"), "doc_id", "full")
-    c = _fused(spark, d).join(signals, "doc_id", "left").select("doc_id", F.coalesce("bm25", F.lit(0.0)).alias("bm25"), F.coalesce("sparse", F.lit(0.0)).alias("sparse"))
+    found = _signals(spark, d)
+    c = _fused(found).join(found, "doc_id").select("doc_id", "bm25", F.col("overlap").alias("sparse"))
     c = R.max_normal(c, ["bm25", "sparse"])
     c = c.withColumn("score", R.combined({"bm25": F.col("bm25"), "sparse": F.col("sparse")}, {"bm25": 0.6, "sparse": 0.3}))
     return R.top(c, "doc_id", 20).select("doc_id", F.round("score", 6).alias("score"))

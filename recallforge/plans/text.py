@@ -29,8 +29,7 @@ _FEAT = f"f AS (SELECT doc_id, {_U}::DOUBLE AS utility, {_TS}::DOUBLE AS tempora
 
 
 def _features(spark, d):
-    t = F.col("text")
-    return M.table(spark, d, "documents").select("doc_id", T.utility(t).alias("utility"), T.temporal_salience(t).alias("temporal"), T.persistence(t).alias("persistence"), T.state_change(t).alias("change"))
+    return T.admission(M.table(spark, d, "documents"), "doc_id", "text")
 
 
 @register("admission_features", f"WITH {_FEAT} SELECT doc_id, round(utility, 6) AS utility, round(temporal, 6) AS temporal, round(persistence, 6) AS persistence, round(change, 6) AS change FROM f")
@@ -43,8 +42,8 @@ _SCORE = "round(0.3 * utility + 0.25 * persistence + 0.25 * change + 0.2 * tempo
 
 @register("admission_route", f"WITH {_FEAT}, s AS (SELECT doc_id, change, {_SCORE} AS score FROM f) SELECT doc_id, score, CASE WHEN change >= 0.35 THEN 'persist' WHEN score < 0.1 THEN 'discard' WHEN score < 0.25 THEN 'ephemeral_cache' ELSE 'persist' END AS route FROM s")
 def admission_route(spark, d):
-    s = F.round(0.30 * F.col("utility") + 0.25 * F.col("persistence") + 0.25 * F.col("change") + 0.20 * F.col("temporal"), 6)
-    return _features(spark, d).withColumn("score", s).select("doc_id", "score", T.admission_route(F.col("score"), F.col("change")).alias("route"))
+    f = _features(spark, d).withColumn("score", F.round("score", 6))
+    return f.select("doc_id", "score", T.admission_route(F.col("score"), F.col("change")).alias("route"))
 
 
 @register("content_hash_dedup", "SELECT min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY sha256(text)")
