@@ -5,9 +5,13 @@ none fits, by its host's place in the link graph.  Host edges are the absolute
 links of the pages' html, one per (host, host) with the number of links as weight.
 Trust is personalised PageRank from the hosts that rules allow; distrust is the
 same on reversed edges from the hosts that rules block (who links to bad hosts is
-suspect).  A host is a seed, by its number of such pages, if rules of that verdict
-fit most of its pages.  A host is blocked if its distrust exceeds ``ratio`` times its trust by
-more than ``margin``; hosts that neither reaches are allowed.
+suspect).  A host is a seed, by the part of its pages, if rules of that verdict fit
+most of them.  Seeds of both verdicts send out mass, along and against the links;
+trust is the allowed seeds' part of all the mass that comes to a host along them,
+distrust the blocked seeds' part of what comes against them, from 0 to 1.  Neither
+shrinks as hosts, seeds or links become more.  A host is blocked if its distrust
+exceeds ``ratio`` times its trust by more than ``margin``; hosts that neither
+reaches are allowed.
 
 All of it is DataFrame functions.  Only (host, mass) and (host, host, weight) move
 in the rounds; in-links are summed map-side first, so a host that everybody links
@@ -61,20 +65,27 @@ def host_edges(rows: DataFrame) -> DataFrame:
     return links.select(F.col("host").alias("src"), dst.alias("dst")).where("dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, *, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
-    """host, mass: personalised PageRank of (src, dst, weight) from seeds (host,
-    share); mass of hosts without links is not passed on.  A fixed number of
-    rounds: what is left out is below damping ** rounds of the whole."""
+def _walk(edges: DataFrame, seeds: DataFrame, *, damping: float, rounds: int) -> DataFrame:
+    """The columns of ``seeds`` (host, one or more masses), each propagated over
+    (src, dst, weight)."""
+    masses = [c for c in seeds.columns if c != "host"]
     spread = edges.groupBy("src").agg(F.sum("weight").alias("all"))
     shares = _io.cut(edges.join(spread, "src").select("src", "dst", (F.col("weight") / F.col("all")).alias("share")))
-    restart = seeds.select("host", (F.col("share") * (1 - damping)).alias("mass"))
-    mass = seeds.select("host", F.col("share").alias("mass"))
+    restart = seeds.select("host", *[(F.col(c) * (1 - damping)).alias(c) for c in masses])
+    mass = seeds
     for _ in range(rounds):
-        moved = mass.join(shares, mass["host"] == shares["src"]).select(F.col("dst").alias("host"), (F.col("mass") * F.col("share") * damping).alias("mass"))
-        mass = _io.cut(moved.unionByName(restart).groupBy("host").agg(F.sum("mass").alias("mass")))
+        moved = mass.join(shares, mass["host"] == shares["src"]).select(F.col("dst").alias("host"), *[(F.col(c) * F.col("share") * damping).alias(c) for c in masses])
+        mass = _io.cut(moved.unionByName(restart).groupBy("host").agg(*[F.sum(c).alias(c) for c in masses]))
     return mass
 
 
+def propagate(edges: DataFrame, seeds: DataFrame, *, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+    """host, mass: personalised PageRank of (src, dst, weight) from seeds (host,
+    share); mass of hosts without links is not passed on.  A fixed number of
+    rounds: what is left out is below damping ** rounds of the whole."""
+    return _walk(edges, seeds.select("host", F.col("share").alias("mass")), damping=damping, rounds=rounds)
+
+
 def filter_urls(pages: DataFrame, rules=RULES, *, damping: float = DAMPING, rounds: int = ROUNDS, ratio: float = RATIO, margin: float = MARGIN) -> DataFrame:
     """page_id, host, path, rule, verdict, trust, distrust for every page."""
     rows = judged(pages, rules)
@@ -82,20 +93,18 @@ def filter_urls(pages: DataFrame, rules=RULES, *, damping: float = DAMPING, roun
     by = F.col("by_rule")
     votes = rows.where("host <> ''").groupBy("host").agg(F.count("*").alias("pages"), F.count_if(by == "allow").alias("allow"), F.count_if(by == "block").alias("block"))
     # a path rule alone makes no seed: most pages of the host must fall under it
-    votes = _io.cut(votes.select("host", *[F.when(2 * F.col(c) > F.col("pages"), F.col(c)).otherwise(0).alias(c) for c in ("allow", "block")]))
-    total = votes.agg(F.sum("allow").alias("allow"), F.sum("block").alias("block")).first()
-
-    def seeds(column: str) -> DataFrame:
-        return votes.where(F.col(column) > 0).select("host", (F.col(column) / F.lit(float(total[column] or 1))).alias("share"))
-
-    if edges.isEmpty():  # no links: every seed keeps its own mass
-        trust, distrust = seeds("allow").withColumnRenamed("share", "mass"), seeds("block").withColumnRenamed("share", "mass")
-    else:
-        back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
-        trust, distrust = propagate(edges, seeds("allow"), damping=damping, rounds=rounds), propagate(back, seeds("block"), damping=damping, rounds=rounds)
-    scores = trust.withColumnRenamed("mass", "trust").join(distrust.withColumnRenamed("mass", "distrust"), "host", "full")
-    bad = F.coalesce("distrust", F.lit(0.0)) > ratio * F.coalesce("trust", F.lit(0.0)) + margin
-    scores = scores.select("host", F.round(F.coalesce("trust", F.lit(0.0)), 9).alias("trust"), F.round(F.coalesce("distrust", F.lit(0.0)), 9).alias("distrust"), F.when(bad, "block").otherwise("allow").alias("by_host"))
+    votes = votes.select("host", *[F.when(2 * F.col(c) > F.col("pages"), F.col(c) / F.col("pages")).otherwise(0.0).alias(c) for c in ("allow", "block")])
+    seeds = _io.cut(votes.where("allow > 0 or block > 0"))
+
+    def part(links: DataFrame, column: str, name: str) -> DataFrame:
+        """host, name: which part of the seeds' mass at a host is that of ``column``."""
+        mass = _walk(links, seeds.select("host", F.col(column).alias("mass"), (F.col("allow") + F.col("block")).alias("whole")), damping=damping, rounds=rounds)
+        return mass.where("whole > 0").select("host", (F.col("mass") / F.nullif("whole", F.lit(0.0))).alias(name))
+
+    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
+    scores = part(edges, "allow", "trust").join(part(back, "block", "distrust"), "host", "full").fillna(0.0, ["trust", "distrust"])
+    bad = F.col("distrust") > ratio * F.col("trust") + margin
+    scores = scores.select("host", F.round("trust", 9).alias("trust"), F.round("distrust", 9).alias("distrust"), F.when(bad, "block").otherwise("allow").alias("by_host"))
     return rows.drop("html").join(scores, "host", "left").select(
         "page_id", "host", "path", "rule", F.coalesce("by_rule", "by_host", F.lit("allow")).alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust")
     )

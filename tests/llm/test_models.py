@@ -195,6 +195,26 @@ def test_distrust_flows_against_links(spark):
     assert got == {1: "block", 2: "block", 3: "allow", 4: "allow"}
 
 
+def test_verdicts_do_not_depend_on_the_size_of_the_table(spark):
+    """A host that links to a blocked one, alone, among 12,000 that do the same and
+    among 12,000 blocked ones; an unlinked seed with and without an edge elsewhere."""
+    schema = "page_id long, url string, html string"
+    few = [page(1, "http://bad.net/x"), page(2, "http://spam.com/", ["http://bad.net/x"]), page(3, "http://far.com/", ["http://spam.com/"]), page(4, "http://fine.com/")]
+    farm = [page(10 + i, f"http://f{i}.com/", ["http://bad.net/x"]) for i in range(12000)]
+    seeds = [page(20000 + i, f"http://s{i}.net/") for i in range(12000)]
+    for rows in (few, few + farm, few + seeds):
+        got = {r.page_id: (r.verdict, r.distrust) for r in U.filter_urls(spark.createDataFrame(rows, schema)).collect()}
+        assert [got[i][0] for i in (1, 2, 3, 4)] == ["block", "block", "block", "allow"]
+        assert got[2][1] == got[3][1] == 1
+        assert {got[r[0]][0] for r in rows[4:]} <= {"block"}
+    alone = [page(1, "http://lone.net/"), page(2, "http://lone.net")]  # the second has no path, so no rule
+    alone.append(page(3, "http://lone.net/y"))
+    other = [page(4, "http://a.com/", ["http://b.com/"])]
+    for rows in (alone, alone + other):
+        got = {r.page_id: (r.verdict, r.distrust) for r in U.filter_urls(spark.createDataFrame(rows, schema)).collect()}
+        assert got[2] == ("block", 1)
+
+
 def brute_near(rows, queries, k):
     out = {}
     for q, v in queries:
