@@ -25,6 +25,8 @@ Empty table: no rows.  Extra columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from recallforge.llm import _io
@@ -32,7 +34,8 @@ from recallforge.llm import _io
 #: (rule, verdict): host suffix and path prefix.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 DAMPING = 0.85
-ROUNDS = 8
+#: Well under MARGIN: what a round may still change, as part of a host's mass.
+TOLERANCE = 1e-6
 RATIO = 1.0
 MARGIN = 1e-4
 
@@ -65,28 +68,37 @@ def host_edges(rows: DataFrame) -> DataFrame:
     return links.select(F.col("host").alias("src"), dst.alias("dst")).where("dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
 
 
-def _walk(edges: DataFrame, seeds: DataFrame, *, damping: float, rounds: int) -> DataFrame:
-    """The columns of ``seeds`` (host, one or more masses), each propagated over
-    (src, dst, weight)."""
+def _walk(edges: DataFrame, seeds: DataFrame, *, damping: float, rounds: int | None) -> DataFrame:
+    """The columns of ``seeds`` (host, one or more masses, the last the largest),
+    each propagated over (src, dst, weight) until no mass changes by more than
+    TOLERANCE of its host's largest, or less than TOLERANCE of every seed's mass
+    is still on its way; ``rounds``, if given, is the exact number instead."""
     masses = [c for c in seeds.columns if c != "host"]
     spread = edges.groupBy("src").agg(F.sum("weight").alias("all"))
     shares = _io.cut(edges.join(spread, "src").select("src", "dst", (F.col("weight") / F.col("all")).alias("share")))
-    restart = seeds.select("host", *[(F.col(c) * (1 - damping)).alias(c) for c in masses])
+    zero = [F.lit(0.0).alias(f"{c}_before") for c in masses]
+    restart = seeds.select("host", *[(F.col(c) * (1 - damping)).alias(c) for c in masses], *zero)
+    moving = F.lit(False)
+    for c in masses:
+        moving = moving | (F.abs(F.col(c) - F.col(f"{c}_before")) > TOLERANCE * F.col(masses[-1]))
     mass = seeds
-    for _ in range(rounds):
-        moved = mass.join(shares, mass["host"] == shares["src"]).select(F.col("dst").alias("host"), *[(F.col(c) * F.col("share") * damping).alias(c) for c in masses])
-        mass = _io.cut(moved.unionByName(restart).groupBy("host").agg(*[F.sum(c).alias(c) for c in masses]))
+    for _ in range(rounds if rounds is not None else math.ceil(math.log(TOLERANCE / 2) / math.log(damping))):
+        moved = mass.join(shares, mass["host"] == shares["src"]).select(F.col("dst").alias("host"), *[(F.col(c) * F.col("share") * damping).alias(c) for c in masses], *zero)
+        before = mass.select("host", *[F.lit(0.0).alias(c) for c in masses], *[F.col(c).alias(f"{c}_before") for c in masses])
+        step = _io.cut(moved.unionByName(restart).unionByName(before).groupBy("host").agg(*[F.sum(c).alias(c) for x in masses for c in (x, f"{x}_before")]))
+        mass = step.select("host", *masses)
+        if rounds is None and step.where(moving).isEmpty():
+            break
     return mass
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, *, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, *, damping: float = DAMPING, rounds: int | None = None) -> DataFrame:
     """host, mass: personalised PageRank of (src, dst, weight) from seeds (host,
-    share); mass of hosts without links is not passed on.  A fixed number of
-    rounds: what is left out is below damping ** rounds of the whole."""
+    share), settled or after ``rounds``; mass of hosts without links is not passed on."""
     return _walk(edges, seeds.select("host", F.col("share").alias("mass")), damping=damping, rounds=rounds)
 
 
-def filter_urls(pages: DataFrame, rules=RULES, *, damping: float = DAMPING, rounds: int = ROUNDS, ratio: float = RATIO, margin: float = MARGIN) -> DataFrame:
+def filter_urls(pages: DataFrame, rules=RULES, *, damping: float = DAMPING, rounds: int | None = None, ratio: float = RATIO, margin: float = MARGIN) -> DataFrame:
     """page_id, host, path, rule, verdict, trust, distrust for every page."""
     rows = judged(pages, rules)
     edges = _io.cut(host_edges(rows))

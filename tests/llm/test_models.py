@@ -215,6 +215,24 @@ def test_verdicts_do_not_depend_on_the_size_of_the_table(spark):
         assert got[2] == ("block", 1)
 
 
+def test_distrust_reaches_the_end_of_a_long_chain(spark):
+    rows = [page(0, "http://bad.net/x")] + [page(i, f"http://h{i}.com/", [f"http://h{i - 1}.com/" if i > 1 else "http://bad.net/x"]) for i in range(1, 21)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.verdict for r in U.filter_urls(df).collect()} == {"block"}
+    links = [(f"h{i + 1}", f"h{i}") for i in range(12)]
+    e = spark.createDataFrame([(b, a, 1.0) for a, b in links], "src string, dst string, weight double")
+    got = {r.host: r.mass for r in U.propagate(e, spark.createDataFrame([("h0", 1.0)], "host string, share double")).collect()}
+    assert got == pytest.approx({f"h{i}": 0.15 * 0.85**i for i in range(13)}, rel=1e-5)
+
+
+def test_propagation_settles_on_loops(spark):
+    links = [("a", "b"), ("a", "c"), ("b", "c"), ("c", "a"), ("d", "a")]
+    e = spark.createDataFrame([(x, y, 1.0) for x, y in links], "src string, dst string, weight double")
+    got = {r.host: r.mass for r in U.propagate(e, spark.createDataFrame([("a", 1.0)], "host string, share double")).collect()}
+    a = 0.15 / (1 - 0.85 * (0.85 * 0.5 + 0.85 * 0.85 * 0.5))  # a = 0.15 + 0.85 c, b = 0.85 a / 2, c = 0.85 (a / 2 + b)
+    assert got == pytest.approx({"a": a, "b": 0.85 * a / 2, "c": (a - 0.15) / 0.85}, rel=1e-4)
+
+
 def brute_near(rows, queries, k):
     out = {}
     for q, v in queries:
