@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from recallforge.operators import ranking
 
@@ -131,3 +131,60 @@ def gazetteer(texts: DataFrame, key: str, tokens: str, catalogue: DataFrame, mos
     step = lambda acc, h: F.when(h["start"] >= acc["end"], F.struct((h["start"] - h["_l"]).alias("end"), F.array_append(acc["kept"], F.struct(h["start"].alias("start"), (-h["_l"]).alias("length"), h["canonical"].alias("canonical"))).alias("kept"))).otherwise(acc)
     kept = F.aggregate("_h", F.struct(F.lit(0).alias("end"), none.alias("kept")), step, lambda acc: acc["kept"])
     return hits.select(key, F.explode(kept).alias("_k")).select(key, "_k.*")
+
+
+def _tile_overlaps(key, rows):
+    """common, union, pairs of one tile: the pairs whose first common x is the
+    tile's, so that each pair counts once."""
+    import numpy as np
+    import pandas as pd
+
+    x, row_block, col_block = key
+    sizes = rows["xs"].map(len).to_numpy()
+    names, at = np.unique(np.concatenate(rows["xs"].to_numpy()), return_inverse=True)
+    has = np.zeros((len(rows), len(names)), np.float32)
+    has[np.repeat(np.arange(len(rows)), sizes), at] = 1
+    up = rows["block"].to_numpy() == row_block
+    a, b = np.flatnonzero(up), np.flatnonzero(up if row_block == col_block else ~up)
+    first = int(np.searchsorted(names, x))
+    mine = has[a, :first] @ has[b, :first].T == 0
+    if row_block == col_block:
+        mine = np.triu(mine, 1)
+    common = (has[a] @ has[b].T)[mine].astype(np.int64)
+    union = (sizes[a][:, None] + sizes[b][None, :])[mine] - common
+    base = int(union.max(initial=0)) + 1
+    k, n = np.unique(common * base + union, return_counts=True)
+    return pd.DataFrame({"common": k // base, "union": k % base, "pairs": n})
+
+
+def overlap_counts(rows: DataFrame, tile: int = 1024) -> DataFrame:
+    """common, union, pairs: how many pairs of ids (id, x) share ``common`` of their
+    ``union`` x, for common > 0.  No pair becomes a row: an x of many ids is dealt in
+    tiles, each a matrix product."""
+    s = rows.select("id", "x").where("id is not null and x is not null").distinct()
+    sets = s.groupBy("id").agg(F.collect_list("x").alias("xs"))
+    wide = s.groupBy("x").agg(F.count("*").alias("n")).where("n > 1").select("x", F.ceil(F.col("n") / tile).cast("int").alias("blocks"))
+    m = sets.select("id", "xs", F.explode("xs").alias("x")).join(wide, "x").withColumn("block", F.pmod(F.xxhash64("id", "x"), F.col("blocks")).cast("int"))
+    places = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(F.least("block", b).alias("row_block"), F.greatest("block", b).alias("col_block")))
+    placed = m.select("x", "block", "xs", F.explode(places).alias("p")).select("x", "p.row_block", "p.col_block", "block", "xs")
+    found = placed.groupBy("x", "row_block", "col_block").applyInPandas(_tile_overlaps, "common long, union long, pairs long")
+    return found.groupBy("common", "union").agg(F.sum("pairs").alias("pairs"))
+
+
+def overlap_statistics(rows: DataFrame, tile: int = 1024) -> DataFrame:
+    """One row: total (pairs of ids), pairs (that share an x), fraction, and mean,
+    median, most and sd (sample) of the Jaccard of the pairs that share one; 0 where
+    there is none.  The counts have a row per (common, union), few and small."""
+    h = overlap_counts(rows, tile).withColumn("j", F.col("common") / F.col("union")).groupBy("j").agg(F.sum("pairs").alias("p"))
+    ids = rows.where("id is not null and x is not null").agg(F.countDistinct("id").alias("ids"))
+    h = h.withColumns({"upto": F.sum("p").over(Window.orderBy("j")), "n": F.sum("p").over(Window.partitionBy()), "m": F.sum(F.col("p") * F.col("j")).over(Window.partitionBy()) / F.sum("p").over(Window.partitionBy())})
+    middle = lambda place: F.min(F.when(F.col("upto") >= place, F.col("j")))
+    one = h.agg(
+        F.coalesce(F.sum("p"), F.lit(0)).alias("pairs"),
+        F.coalesce(F.max("m"), F.lit(0.0)).alias("mean"),
+        F.coalesce((middle(F.floor((F.col("n") + 1) / 2)) + middle(F.floor(F.col("n") / 2) + 1)) / 2, F.lit(0.0)).alias("median"),
+        F.coalesce(F.max("j"), F.lit(0.0)).alias("most"),
+        F.coalesce(F.sqrt(F.sum(F.col("p") * (F.col("j") - F.col("m")) ** 2) / F.nullif(F.max("n") - 1, F.lit(0))), F.lit(0.0)).alias("sd"),
+    )
+    total = F.expr("ids * (ids - 1) div 2")
+    return one.crossJoin(ids).select(total.alias("total"), "pairs", (F.col("pairs") / F.greatest(total, F.lit(1))).alias("fraction"), "mean", "median", "most", "sd")

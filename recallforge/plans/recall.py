@@ -120,6 +120,12 @@ def overlap_statistics(spark, d):
     return j.agg(F.count("*").alias("pairs"), F.round(F.avg("j"), 6).alias("mean"), F.round(F.max("j"), 6).alias("most"), F.round(F.stddev_samp("j"), 6).alias("sd"))
 
 
+@register("overlap_statistics_all", None)
+def overlap_statistics_all(spark, d):
+    s = R.overlap_statistics(M.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_suppkey").alias("x")))
+    return s.select("total", "pairs", *[F.round(c, 6).alias(c) for c in ("fraction", "mean", "median", "most", "sd")])
+
+
 @register("term_frequency_lift", rf"WITH t AS (SELECT doc_id, source, unnest(list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')) AS t FROM documents), r AS (SELECT doc_id, source, count(*) FILTER (t IN ('the', 'edition', 'de'))::DOUBLE / count(*) AS rate FROM t GROUP BY ALL) SELECT doc_id, round(rate - (sum(rate) OVER w - rate) / nullif(count(*) OVER w - 1, 0), 6) AS lift FROM r WINDOW w AS (PARTITION BY source)")
 def term_frequency_lift(spark, d):
     t = T.tokens(F.col("text"))

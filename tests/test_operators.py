@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import math
+import random
+import statistics
 
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from recallforge.functions import scores as S, text as T
-from recallforge.operators import audit, classify, consolidation, grammar, graph, metrics, predicates, ranking, retrieval, scans, state
+from recallforge.operators import audit, classify, consolidation, grammar, graph, metrics, predicates, ranking, recall, retrieval, scans, state
+from tests.compare import SF
 
 
 def one(df):
@@ -190,3 +193,30 @@ def test_empty_tables(spark):
     assert retrieval.bm25(d, "doc_id", "text", "a b").count() == 0
     e = spark.createDataFrame([], "src long, dst long")
     assert graph.components(e).count() == 0 and graph.pagerank(e).count() == 0
+
+
+def overlap_by_brute_force(rows):
+    sets = {}
+    for i, x in rows:
+        sets.setdefault(i, set()).add(x)
+    ids = sorted(sets)
+    j = [len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for k, a in enumerate(ids) for b in ids[:k] if sets[a] & sets[b]]
+    total = len(ids) * (len(ids) - 1) // 2
+    return [total, len(j), len(j) / max(total, 1), statistics.mean(j or [0]), statistics.median(j or [0]), max(j or [0]), statistics.stdev(j) if len(j) > 1 else 0]
+
+
+@pytest.mark.parametrize("tile", [5, 1024])
+def test_overlap_statistics_in_tiles(spark, tile):
+    rng = random.Random(1)
+    rows = [(i, rng.randrange(30) if rng.random() < 0.8 else 7) for i in range(60) for _ in range(rng.randrange(1, 8))]
+    for r in (rows, rows[:1], [(1, 1), (2, 1)], []):
+        got = recall.overlap_statistics(spark.createDataFrame(r, "id long, x long"), tile).first()
+        assert list(got) == pytest.approx(overlap_by_brute_force(r), rel=1e-9, abs=1e-12)
+
+
+def test_overlap_statistics_of_all_orders(spark):
+    from recallforge import catalog, model
+
+    rows = [tuple(r) for r in model.table(spark, SF, "lineitem").select("l_orderkey", "l_suppkey").collect()]
+    got = catalog.queries()["overlap_statistics_all"](spark, SF).first()
+    assert list(got) == pytest.approx(overlap_by_brute_force(rows), abs=1e-6)
