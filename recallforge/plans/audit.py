@@ -20,6 +20,15 @@ def audit_timeline_union(spark, d):
     return A.timeline([o, r, e])
 
 
+@register("audit_timeline_all", "SELECT o_orderdate AS at, 'document' AS type, CAST(o_custkey AS VARCHAR) AS agent, CAST(o_orderkey AS VARCHAR) AS detail FROM orders UNION ALL SELECT l_shipdate, 'review', CAST(l_suppkey AS VARCHAR), CAST(l_orderkey AS VARCHAR) || ':' || CAST(l_linenumber AS VARCHAR) FROM lineitem UNION ALL SELECT ts, event_type, CAST(user_id AS VARCHAR), CAST(event_id AS VARCHAR) FROM events")
+def audit_timeline_all(spark, d):
+    s = lambda c: F.col(c).cast("string")
+    o = M.table(spark, d, "orders").select(F.col("o_orderdate").alias("at"), F.lit("document").alias("type"), s("o_custkey").alias("agent"), s("o_orderkey").alias("detail"))
+    r = M.table(spark, d, "lineitem").select(F.col("l_shipdate").alias("at"), F.lit("review").alias("type"), s("l_suppkey").alias("agent"), F.concat_ws(":", s("l_orderkey"), s("l_linenumber")).alias("detail"))
+    e = M.table(spark, d, "events").select(F.col("ts").alias("at"), F.col("event_type").alias("type"), s("user_id").alias("agent"), s("event_id").alias("detail"))
+    return A.timeline([o, r, e])
+
+
 _SRC = """rv AS (SELECT o_custkey AS project_id, avg(l_quantity * 2) AS review FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1),
 vi AS (SELECT o_custkey AS project_id, sum(CASE WHEN l_returnflag = 'R' THEN 10 WHEN l_returnflag = 'A' THEN 25 ELSE 0 END) AS pen, count(*) FILTER (l_returnflag = 'N') AS cit FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1),
 de AS (SELECT o_custkey AS project_id, count(*) FILTER (o_orderstatus = 'P') AS denied, count(DISTINCT CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH', '3-MEDIUM') THEN o_orderpriority END) AS kinds FROM orders GROUP BY 1)"""
@@ -57,6 +66,12 @@ def hash_chain(spark, d):
     return A.hash_chain(e, "user_id", "event_id", "record").select("user_id", F.size("chain").cast("long").alias("n"), F.element_at("chain", -1).alias("head"))
 
 
+@register("hash_chain_all", None)
+def hash_chain_all(spark, d):
+    e = M.table(spark, d, "events").select("user_id", "event_id", F.concat(F.col("event_id").cast("string"), "event_type").alias("record"))
+    return A.hash_chain(e, "user_id", "event_id", "record").select("user_id", F.size("chain").cast("long").alias("n"), F.element_at("chain", -1).alias("head"))
+
+
 @register("publish_versions", "SELECT o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS version, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS supersedes FROM orders")
 def publish_versions(spark, d):
     o = M.table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate")

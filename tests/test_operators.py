@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import random
 import statistics
@@ -220,3 +221,22 @@ def test_overlap_statistics_of_all_orders(spark):
     rows = [tuple(r) for r in model.table(spark, SF, "lineitem").select("l_orderkey", "l_suppkey").collect()]
     got = catalog.queries()["overlap_statistics_all"](spark, SF).first()
     assert list(got) == pytest.approx(overlap_by_brute_force(rows), abs=1e-6)
+
+
+def test_hash_chain_and_timeline_of_everyone(spark, tmp_path):
+    """Users, customers and suppliers of any number, against a walk with hashlib."""
+    from recallforge import catalog
+
+    events = [(k, (k * 7919) % 60, f"t{k % 3}", pd.Timestamp(2024, 1, 1 + k % 28)) for k in range(300)]
+    pd.DataFrame(events, columns=["event_id", "user_id", "event_type", "ts"]).sample(frac=1, random_state=0).to_parquet(tmp_path / "events.parquet", coerce_timestamps="us")
+    day = pd.Timestamp(2024, 1, 2)
+    pd.DataFrame([(1, 3, day), (2, 900, day)], columns=["o_orderkey", "o_custkey", "o_orderdate"]).to_parquet(tmp_path / "orders.parquet", coerce_timestamps="us")
+    pd.DataFrame([(1, 1, 2, day), (2, 1, 77, day)], columns=["l_orderkey", "l_linenumber", "l_suppkey", "l_shipdate"]).to_parquet(tmp_path / "lineitem.parquet", coerce_timestamps="us")
+    want = {}
+    for i, user, kind, _ in events:
+        n, head = want.get(user, (0, ""))
+        want[user] = (n + 1, hashlib.sha256(f"{head}{i}{kind}".encode()).hexdigest())
+    assert len(want) == 60
+    assert {r.user_id: (r.n, r["head"]) for r in catalog.queries()["hash_chain_all"](spark, str(tmp_path)).collect()} == want
+    got = sorted((r.type, r.agent, r.detail) for r in catalog.queries()["audit_timeline_all"](spark, str(tmp_path)).collect())
+    assert got == sorted([("document", "3", "1"), ("document", "900", "2"), ("review", "2", "1:1"), ("review", "77", "2:1"), *((kind, str(user), str(i)) for i, user, kind, _ in events)])
