@@ -78,6 +78,11 @@ def pagerank_fixed_iter(spark, d):
     return G.pagerank(_agents(spark, d), rounds=10).select("node", F.round("rank", 8).alias("rank"))
 
 
+@register("pagerank_50_iter", None)
+def pagerank_50_iter(spark, d):
+    return G.pagerank(_agents(spark, d)).select("node", F.round("rank", 8).alias("rank"))
+
+
 def _ppr_sql(rounds: int) -> str:
     steps = ["r0 AS MATERIALIZED (SELECT node, s AS r FROM seed)"]
     for k in range(rounds):
@@ -95,6 +100,13 @@ def personalised_pagerank(spark, d):
     return G.personal_pagerank(e, seeds, rounds=8).select("node", F.round("rank", 8).alias("rank"))
 
 
+@register("personalised_pagerank_50_iter", None)
+def personalised_pagerank_50_iter(spark, d):
+    e = _agents(spark, d).withColumn("weight", F.lit(1.0))
+    seeds = spark.range(1, 3).select(F.col("id").alias("node"), F.lit(0.5).alias("share"))
+    return G.personal_pagerank(e, seeds).select("node", F.round("rank", 8).alias("rank"))
+
+
 _CC = """WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey AS a, -l_partkey - 1 AS b FROM lineitem WHERE l_quantity >= 49), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 r(node, root) AS (SELECT a, a FROM u UNION SELECT u.b, r.root FROM r JOIN u ON u.a = r.node)
 SELECT node, min(root) AS component FROM r GROUP BY node"""
