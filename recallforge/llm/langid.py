@@ -13,7 +13,8 @@ code lengths as walking the trees.
 
 Sample bound: about ``per_language`` rows per label (default 400), drawn by a hash
 of doc_id at a rate that follows the label's count, and the ``max_grams`` most
-frequent 4-grams, so the broadcast stays below about 100 MB at any corpus size.
+frequent 4-grams of each label, whatever the others hold: no label is dropped.  The
+broadcast has a row per gram and a column per label, at any corpus size.
 
 Null text, or text without a letter: ``und``, score 0.  No labelled row: all
 ``und``.  A null doc_id is not held out and not learned from.  Every row is
@@ -26,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from recallforge.llm import _io
 from recallforge.llm._text import slices, utf8
@@ -158,16 +159,14 @@ class Trees:
 def fit(rows: DataFrame, *, per_language: int = PER_LANGUAGE, max_grams: int = MAX_GRAMS) -> Trees | None:
     """Trees from ``rows`` (doc_id, text, lang), which may be used for learning."""
     rows = rows.where("doc_id is not null and text is not null and lang is not null")
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").limit(4096).collect()}
-    if not counts:
-        return None
-    rate = F.create_map(*[x for k, v in counts.items() for x in (F.lit(k), F.lit(min(1.0, per_language / v)))])
+    rate = rows.groupBy("lang").agg(F.least(F.lit(1.0), per_language / F.count("*")).alias("rate"))
     draw = F.pmod(F.xxhash64(F.lit("ppm"), "doc_id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    sample = rows.select("lang", "text").where(draw < rate[F.col("lang")])
+    sample = rows.join(F.broadcast(rate), "lang").where(draw < F.col("rate")).select("lang", "text")
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     grams = (
         sample.mapInArrow(_grams, "lang string, gram long, n long")
         .groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-        .orderBy(F.desc("n"), "lang", "gram").limit(max_grams).toPandas()
+        .withColumn("place", place).where(F.col("place") <= max_grams).drop("place").toPandas()
     )
     langs = sorted(set(grams["lang"]))
     if not langs:
