@@ -6,16 +6,12 @@ the folder that spark.checkpoint.dir names, so a lost executor costs one round.
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, functions as F
 
+from recallforge.shared import cut, hot_keys, salted_join
 
-def _cut(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="recallforge-"))
-    return df.checkpoint(eager=True)
+#: Rounds between two cuts of an iteration's lineage.
+STRIDE = 5
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -69,63 +65,86 @@ def spread(edges: DataFrame, context: DataFrame, idf: DataFrame | None = None, *
     return best.groupBy("node").agg(F.max("activation").alias("activation"))
 
 
+def _ranked(shares: DataFrame, restart: DataFrame, rank: DataFrame, hang: DataFrame, damping: float, rounds: int, tolerance: float | None) -> DataFrame:
+    """Power iteration over shares (src, dst, _w): each node keeps its part of
+    ``restart`` (node, _s; summing to 1) and gets what its in-links bring; the mass of
+    nodes without out-links (``hang``) follows ``restart`` too.  That mass is one
+    number a round, found in the round's own plan (a one-row aggregate, broadcast).
+    Lineage is cut every STRIDE rounds.  With a ``tolerance`` the rounds end once the
+    ranks change by less in sum between two cuts."""
+    done = 0
+    while done < rounds:
+        before, n = rank, min(STRIDE, rounds - done)
+        for _ in range(n):
+            lost = rank.join(hang, "node", "left_semi").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("_lost"))
+            moved = rank.join(shares, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), (damping * F.col("rank") * F.col("_w")).alias("rank"))
+            back = restart.join(F.broadcast(lost)).select("node", (F.col("_s") * (1 - damping + damping * F.col("_lost"))).alias("rank"))
+            rank = moved.unionByName(back).groupBy("node").agg(F.sum("rank").alias("rank"))
+        rank, done = cut(rank), done + n
+        if tolerance is not None:
+            change = rank.unionByName(before.select("node", (-F.col("rank")).alias("rank"))).groupBy("node").agg(F.abs(F.sum("rank")).alias("d")).agg(F.sum("d")).first()[0]
+            if change < tolerance:
+                break
+    return rank
+
+
+def _nodes(edges: DataFrame) -> DataFrame:
+    return cut(edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct())
+
+
 def pagerank(edges: DataFrame, *, damping: float = 0.85, rounds: int = 50) -> DataFrame:
     """node, rank: a fixed number of rounds; the mass of nodes without out-edges is
-    spread evenly.  That mass is one number per round, the rest distributed.  Each
-    round is cut: it reads the ranks twice, so uncut plans would double each time."""
-    e = _cut(edges.select("src", "dst").distinct())
-    nodes = _cut(e.select(F.col("src").alias("node")).union(e.select("dst")).distinct())
+    spread evenly."""
+    e = cut(edges.select("src", "dst").distinct())
+    nodes = _nodes(e)
     n = nodes.count()
     if n == 0:
         return nodes.withColumn("rank", F.lit(0.0))
     out = e.groupBy("src").agg(F.count("*").alias("_out"))
-    shares = _cut(e.join(out, "src").select("src", "dst", (1.0 / F.col("_out")).alias("_w")))
-    hang = _cut(nodes.join(out, F.col("node") == F.col("src"), "left_anti").withColumn("_hang", F.lit(1)))
-    rank = nodes.withColumn("rank", F.lit(1.0 / n))
-    for _ in range(rounds):
-        lost = float(rank.join(hang, "node").agg(F.sum("rank")).first()[0] or 0.0)
-        moved = rank.join(shares, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") * F.col("_w")).alias("_in"))
-        rank = _cut(nodes.join(moved, "node", "left").select("node", ((1 - damping) / n + damping * (F.coalesce("_in", F.lit(0.0)) + lost / n)).alias("rank")))
-    return rank
+    shares = cut(e.join(out, "src").select("src", "dst", (1.0 / F.col("_out")).alias("_w")))
+    hang = cut(nodes.join(out, F.col("node") == F.col("src"), "left_anti"))
+    even = nodes.withColumn("_s", F.lit(1.0 / n))
+    return _ranked(shares, even, even.select("node", F.col("_s").alias("rank")), hang, damping, rounds, None)
 
 
-def personal_pagerank(edges: DataFrame, seeds: DataFrame, *, damping: float = 0.85, rounds: int = 50) -> DataFrame:
+def personal_pagerank(edges: DataFrame, seeds: DataFrame, *, damping: float = 0.85, rounds: int = 50, tolerance: float | None = None) -> DataFrame:
     """node, rank from (src, dst, weight) and seeds (node, share); empty without
-    edges or without a seed of positive share in the graph."""
-    e = _cut(edges.groupBy("src", "dst").agg(F.sum("weight").alias("weight")))
-    nodes = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
+    edges or without a seed of positive share in the graph.  ``rounds`` at most, or
+    until the ranks settle within ``tolerance``."""
+    e = cut(edges.groupBy("src", "dst").agg(F.sum("weight").alias("weight")))
+    nodes = _nodes(e)
     seeds = seeds.where("share > 0").join(nodes, "node", "left_semi")
     total = seeds.agg(F.sum("share")).first()[0]
     if not total:
         return nodes.limit(0).withColumn("rank", F.lit(0.0))
-    seeds = _cut(seeds.select("node", (F.col("share") / total).alias("_s")))
+    seeds = cut(seeds.select("node", (F.col("share") / total).alias("_s")))
     out = e.groupBy("src").agg(F.sum("weight").alias("_out"))
-    shares = _cut(e.join(out, "src").select("src", "dst", (F.col("weight") / F.col("_out")).alias("_w")))
-    sinks = _cut(nodes.join(out, F.col("node") == F.col("src"), "left_anti"))
-    rank = seeds.select("node", F.col("_s").alias("rank"))
-    for _ in range(rounds):
-        lost = float(rank.join(sinks, "node", "left_semi").agg(F.sum("rank")).first()[0] or 0.0)
-        moved = rank.join(shares, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), (damping * F.col("rank") * F.col("_w")).alias("rank"))
-        back = seeds.select("node", (F.col("_s") * (1 - damping + damping * lost)).alias("rank"))
-        rank = _cut(moved.unionByName(back).groupBy("node").agg(F.sum("rank").alias("rank")))
-    return rank
+    shares = cut(e.join(out, "src").select("src", "dst", (F.col("weight") / F.col("_out")).alias("_w")))
+    hang = cut(nodes.join(out, F.col("node") == F.col("src"), "left_anti"))
+    return _ranked(shares, seeds, seeds.select("node", F.col("_s").alias("rank")), hang, damping, rounds, tolerance)
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """node, component (its smallest node), by alternating large and small stars."""
-    e = _cut(edges.where("src <> dst").select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct())
-    last = None
+def components(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
+    """node, component (its smallest node), by alternating large and small stars
+    until nothing moves; a graph that takes more than ``most_rounds`` is an error.
+    Nodes with very many neighbours are dealt over several tasks."""
+    e = cut(edges.where("src <> dst").select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct())
+    rows, last = e.count(), None
     for _ in range(most_rounds):
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        e = _cut(small.where("a <> b").distinct())
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("_n"))
+        # large star: neighbours above a node go to its smallest neighbour
+        large = salted_join(both, low.drop("_n"), "a", hot_keys(low, "a", "_n", 2 * rows), ["b"]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        # small star: a node and its lower neighbours go to the smallest of them
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("_n"))
+        small = salted_join(large, least.drop("_n"), "a", hot_keys(least, "a", "_n", rows), ["b"]).select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
+        e = cut(small.where("a <> b").distinct())
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1000003)).first()
         if now == last:
             break
-        last = now
+        rows, last = now[0], now
+    else:
+        raise RuntimeError(f"components: not settled after {most_rounds} rounds")
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
@@ -136,18 +155,20 @@ def ends(edges: DataFrame) -> DataFrame:
     return o.unionByName(i).groupBy("node").agg((F.sum("_o") == 0).alias("is_root"), (F.sum("_i") == 0).alias("is_leaf"))
 
 
-def descend(parents: DataFrame, roots: DataFrame, most: int = 16) -> DataFrame:
-    """root, node, level: nodes under each root over (child, parent) rows; stops
-    where a level is empty."""
-    level = roots.select(F.col("node").alias("root"), F.col("node"), F.lit(0).alias("level"))
-    out = level
+def descend(parents: DataFrame, roots: DataFrame, most: int = 10_000) -> DataFrame:
+    """root, node, level: nodes under each root over (child, parent) rows, level by
+    level until one is empty.  A node counts at its first level, so loops end;
+    ``most`` levels without an end are an error."""
+    new = seen = cut(roots.select(F.col("node").alias("root"), F.col("node"), F.lit(0).alias("level")).distinct())
     for k in range(1, most + 1):
-        level = level.join(parents, F.col("node") == F.col("parent")).select("root", F.col("child").alias("node"), F.lit(k).alias("level"))
-        level = _cut(level)
-        if level.isEmpty():
-            break
-        out = out.unionByName(level)
-    return out
+        below = new.join(parents, F.col("node") == F.col("parent")).select("root", F.col("child").alias("node")).distinct()
+        new = cut(below.join(seen.select("root", "node"), ["root", "node"], "left_anti").withColumn("level", F.lit(k)))
+        if new.isEmpty():
+            return seen
+        seen = seen.unionByName(new)
+        if k % STRIDE == 0:
+            seen = cut(seen)
+    raise RuntimeError(f"descend: more than {most} levels")
 
 
 def document_frequency(links: DataFrame) -> DataFrame:

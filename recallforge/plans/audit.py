@@ -11,17 +11,8 @@ from recallforge.catalog import register
 from recallforge.operators import audit as A
 
 
-@register("audit_timeline_union", "SELECT * FROM (SELECT o_orderdate AS at, 'document' AS type, CAST(o_custkey AS VARCHAR) AS agent, CAST(o_orderkey AS VARCHAR) AS detail FROM orders WHERE o_custkey < 20 UNION ALL SELECT l_shipdate, 'review', CAST(l_suppkey AS VARCHAR), CAST(l_orderkey AS VARCHAR) || ':' || CAST(l_linenumber AS VARCHAR) FROM lineitem WHERE l_suppkey < 5 UNION ALL SELECT ts, event_type, CAST(user_id AS VARCHAR), CAST(event_id AS VARCHAR) FROM events WHERE user_id < 5)")
+@register("audit_timeline_union", "SELECT o_orderdate AS at, 'document' AS type, CAST(o_custkey AS VARCHAR) AS agent, CAST(o_orderkey AS VARCHAR) AS detail FROM orders UNION ALL SELECT l_shipdate, 'review', CAST(l_suppkey AS VARCHAR), CAST(l_orderkey AS VARCHAR) || ':' || CAST(l_linenumber AS VARCHAR) FROM lineitem UNION ALL SELECT ts, event_type, CAST(user_id AS VARCHAR), CAST(event_id AS VARCHAR) FROM events")
 def audit_timeline_union(spark, d):
-    s = lambda c: F.col(c).cast("string")
-    o = M.table(spark, d, "orders").where("o_custkey < 20").select(F.col("o_orderdate").alias("at"), F.lit("document").alias("type"), s("o_custkey").alias("agent"), s("o_orderkey").alias("detail"))
-    r = M.table(spark, d, "lineitem").where("l_suppkey < 5").select(F.col("l_shipdate").alias("at"), F.lit("review").alias("type"), s("l_suppkey").alias("agent"), F.concat_ws(":", s("l_orderkey"), s("l_linenumber")).alias("detail"))
-    e = M.table(spark, d, "events").where("user_id < 5").select(F.col("ts").alias("at"), F.col("event_type").alias("type"), s("user_id").alias("agent"), s("event_id").alias("detail"))
-    return A.timeline([o, r, e])
-
-
-@register("audit_timeline_all", "SELECT o_orderdate AS at, 'document' AS type, CAST(o_custkey AS VARCHAR) AS agent, CAST(o_orderkey AS VARCHAR) AS detail FROM orders UNION ALL SELECT l_shipdate, 'review', CAST(l_suppkey AS VARCHAR), CAST(l_orderkey AS VARCHAR) || ':' || CAST(l_linenumber AS VARCHAR) FROM lineitem UNION ALL SELECT ts, event_type, CAST(user_id AS VARCHAR), CAST(event_id AS VARCHAR) FROM events")
-def audit_timeline_all(spark, d):
     s = lambda c: F.col(c).cast("string")
     o = M.table(spark, d, "orders").select(F.col("o_orderdate").alias("at"), F.lit("document").alias("type"), s("o_custkey").alias("agent"), s("o_orderkey").alias("detail"))
     r = M.table(spark, d, "lineitem").select(F.col("l_shipdate").alias("at"), F.lit("review").alias("type"), s("l_suppkey").alias("agent"), F.concat_ws(":", s("l_orderkey"), s("l_linenumber")).alias("detail"))
@@ -60,16 +51,10 @@ def document_integrity(spark, d):
     return A.integrity(t, "text", "recorded").select("doc_id", "intact")
 
 
-@register("hash_chain", "WITH RECURSIVE r AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events WHERE user_id < 20), c(user_id, k, h) AS (SELECT user_id, k, sha256('' || event_id || event_type) FROM r WHERE k = 1 UNION ALL SELECT r.user_id, r.k, sha256(c.h || r.event_id || r.event_type) FROM c JOIN r ON r.user_id = c.user_id AND r.k = c.k + 1) SELECT user_id, max(k) AS n, last(h ORDER BY k) AS head FROM c GROUP BY 1")
+@register("hash_chain", "WITH RECURSIVE r AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events), c(user_id, k, h) AS (SELECT user_id, k, sha256('' || event_id || event_type) FROM r WHERE k = 1 UNION ALL SELECT r.user_id, r.k, sha256(c.h || r.event_id || r.event_type) FROM c JOIN r ON r.user_id = c.user_id AND r.k = c.k + 1) SELECT user_id, max(k) AS n, last(h ORDER BY k) AS head FROM c GROUP BY 1")
 def hash_chain(spark, d):
-    e = M.table(spark, d, "events").where("user_id < 20").select("user_id", "event_id", F.concat(F.col("event_id").cast("string"), "event_type").alias("record"))
-    return A.hash_chain(e, "user_id", "event_id", "record").select("user_id", F.size("chain").cast("long").alias("n"), F.element_at("chain", -1).alias("head"))
-
-
-@register("hash_chain_all", None)
-def hash_chain_all(spark, d):
     e = M.table(spark, d, "events").select("user_id", "event_id", F.concat(F.col("event_id").cast("string"), "event_type").alias("record"))
-    return A.hash_chain(e, "user_id", "event_id", "record").select("user_id", F.size("chain").cast("long").alias("n"), F.element_at("chain", -1).alias("head"))
+    return A.chain_heads(e, "user_id", "event_id", "record")
 
 
 @register("publish_versions", "SELECT o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS version, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS supersedes FROM orders")

@@ -73,14 +73,9 @@ def _pagerank_sql(rounds: int) -> str:
     sh AS (SELECT src, dst, 1.0::DOUBLE / count(*) OVER (PARTITION BY src) AS w FROM de), {', '.join(steps)} SELECT node, round(r, 8) AS rank FROM r{rounds}"""
 
 
-@register("pagerank_fixed_iter", _pagerank_sql(10))
+@register("pagerank_fixed_iter", _pagerank_sql(50))
 def pagerank_fixed_iter(spark, d):
-    return G.pagerank(_agents(spark, d), rounds=10).select("node", F.round("rank", 8).alias("rank"))
-
-
-@register("pagerank_50_iter", None)
-def pagerank_50_iter(spark, d):
-    return G.pagerank(_agents(spark, d)).select("node", F.round("rank", 8).alias("rank"))
+    return G.pagerank(_agents(spark, d), rounds=50).select("node", F.round("rank", 8).alias("rank"))
 
 
 def _ppr_sql(rounds: int) -> str:
@@ -93,35 +88,35 @@ def _ppr_sql(rounds: int) -> str:
     seed AS (SELECT CAST(node AS BIGINT) AS node, 0.5::DOUBLE AS s FROM (VALUES (1), (2)) v(node)), {', '.join(steps)} SELECT node, round(r, 8) AS rank FROM r{rounds}"""
 
 
-@register("personalised_pagerank", _ppr_sql(8))
+@register("personalised_pagerank", _ppr_sql(50))
 def personalised_pagerank(spark, d):
     e = _agents(spark, d).withColumn("weight", F.lit(1.0))
     seeds = spark.range(1, 3).select(F.col("id").alias("node"), F.lit(0.5).alias("share"))
-    return G.personal_pagerank(e, seeds, rounds=8).select("node", F.round("rank", 8).alias("rank"))
+    return G.personal_pagerank(e, seeds, rounds=50).select("node", F.round("rank", 8).alias("rank"))
 
 
-@register("personalised_pagerank_50_iter", None)
-def personalised_pagerank_50_iter(spark, d):
-    e = _agents(spark, d).withColumn("weight", F.lit(1.0))
-    seeds = spark.range(1, 3).select(F.col("id").alias("node"), F.lit(0.5).alias("share"))
-    return G.personal_pagerank(e, seeds).select("node", F.round("rank", 8).alias("rank"))
+def _components_sql(rounds: int = 40) -> str:
+    """Smallest label of a neighbour, ``rounds`` times: exact for components of that
+    diameter (orders and parts are a few steps apart)."""
+    steps = ["l0 AS MATERIALIZED (SELECT a AS node, min(least(a, b)) AS m FROM u GROUP BY 1)"]
+    for k in range(rounds):
+        steps.append(f"l{k + 1} AS MATERIALIZED (SELECT u.a AS node, least(min(x.m), min(y.m)) AS m FROM u JOIN l{k} x ON x.node = u.b JOIN l{k} y ON y.node = u.a GROUP BY 1)")
+    return f"""WITH e AS (SELECT DISTINCT l_orderkey AS a, -l_partkey - 1 AS b FROM lineitem), u AS MATERIALIZED (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+    {', '.join(steps)} SELECT node, m AS component FROM l{rounds}"""
 
 
-_CC = """WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey AS a, -l_partkey - 1 AS b FROM lineitem WHERE l_quantity >= 49), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-r(node, root) AS (SELECT a, a FROM u UNION SELECT u.b, r.root FROM r JOIN u ON u.a = r.node)
-SELECT node, min(root) AS component FROM r GROUP BY node"""
+_CC = _components_sql()
 
 
 @register("entity_components", _CC)
 def entity_components(spark, d):
-    li = M.table(spark, d, "lineitem").where("l_quantity >= 49")
+    li = M.table(spark, d, "lineitem")
     return G.components(li.select(F.col("l_orderkey").alias("src"), (-F.col("l_partkey") - 1).alias("dst")))
 
 
 @register("knowledge_clusters", f"WITH sizes AS (SELECT component, count(*) FILTER (node >= 0) AS size FROM ({_CC}) GROUP BY 1) SELECT size, count(*) AS clusters FROM sizes WHERE size >= 3 GROUP BY 1")
 def knowledge_clusters(spark, d):
-    links = M.table(spark, d, "lineitem").where("l_quantity >= 49").select(F.col("l_orderkey").alias("memory_id"), F.col("l_partkey").alias("entity_id")).distinct()
-    return C.clusters(links).groupBy("size").agg(F.count("*").alias("clusters"))
+    return C.clusters(M.links(spark, d)).groupBy("size").agg(F.count("*").alias("clusters"))
 
 
 @register("edge_ends", f"{_AG}, de AS (SELECT DISTINCT src, dst FROM e), n AS (SELECT src AS node FROM de UNION SELECT dst FROM de) SELECT node, node NOT IN (SELECT src FROM de) AS is_root, node NOT IN (SELECT dst FROM de) AS is_leaf FROM n")
@@ -149,9 +144,9 @@ pc AS (SELECT x.entity_id AS a, y.entity_id AS b, count(*) AS ab FROM links x JO
 s AS (SELECT a, b, least(10.0, greatest(0.0, ln(ab * n / (ia.c * ib.c)))) / 10 AS strength FROM pc JOIN ic ia ON ia.entity_id = a JOIN ic ib ON ib.entity_id = b, n)"""
 
 
-@register("pmi_associations", f"{_PM} SELECT a, b, round(strength, 6) AS strength FROM s WHERE strength > 0.45")
+@register("pmi_associations", f"{_PM} SELECT a, b, round(strength, 6) AS strength FROM s WHERE strength > 0.01")
 def pmi_associations(spark, d):
-    return C.associations(M.links(spark, d), "memory_id", "entity_id").where("strength > 0.45").select("a", "b", F.round("strength", 6).alias("strength"))
+    return C.associations(M.links(spark, d), "memory_id", "entity_id").select("a", "b", F.round("strength", 6).alias("strength"))
 
 
 @register("query_expansion_dictionary", f"{_PM}, r AS (SELECT a AS entity, b AS partner, round(strength, 9) AS strength FROM s WHERE strength >= 0.3 UNION ALL SELECT b, a, round(strength, 9) FROM s WHERE strength >= 0.3) SELECT entity, partner, row_number() OVER (PARTITION BY entity ORDER BY strength DESC, partner) AS rank FROM r QUALIFY rank <= 3")

@@ -110,18 +110,8 @@ def holistic_qrels(spark, d):
     return s.join(big, "subsystem", "left_semi").select("*", F.explode(F.array(*map(F.lit, ("overview", "history", "risks")))).alias("query"))
 
 
-@register("overlap_statistics", "WITH s AS (SELECT l_orderkey AS id, l_suppkey AS x FROM lineitem WHERE l_orderkey < 300 GROUP BY ALL), n AS (SELECT id, count(*) AS n FROM s GROUP BY 1), p AS (SELECT a.id AS a, b.id AS b, count(*) AS c FROM s a JOIN s b ON a.x = b.x AND a.id < b.id GROUP BY ALL), j AS (SELECT c::DOUBLE / (na.n + nb.n - c) AS j FROM p JOIN n na ON na.id = a JOIN n nb ON nb.id = b) SELECT count(*) AS pairs, round(avg(j), 6) AS mean, round(max(j), 6) AS most, round(stddev_samp(j), 6) AS sd FROM j")
+@register("overlap_statistics", None)
 def overlap_statistics(spark, d):
-    s = M.table(spark, d, "lineitem").where("l_orderkey < 300").select(F.col("l_orderkey").alias("id"), F.col("l_suppkey").alias("x")).distinct()
-    n = s.groupBy("id").agg(F.count("*").alias("n"))
-    o = s.select(F.col("id").alias("b"), "x")
-    p = s.withColumnRenamed("id", "a").join(o, "x").where("a < b").groupBy("a", "b").agg(F.count("*").alias("c"))
-    j = p.join(n.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b").select((F.col("c") / (F.col("na") + F.col("nb") - F.col("c"))).alias("j"))
-    return j.agg(F.count("*").alias("pairs"), F.round(F.avg("j"), 6).alias("mean"), F.round(F.max("j"), 6).alias("most"), F.round(F.stddev_samp("j"), 6).alias("sd"))
-
-
-@register("overlap_statistics_all", None)
-def overlap_statistics_all(spark, d):
     s = R.overlap_statistics(M.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_suppkey").alias("x")))
     return s.select("total", "pairs", *[F.round(c, 6).alias(c) for c in ("fraction", "mean", "median", "most", "sd")])
 

@@ -141,11 +141,14 @@ def test_anchor_and_state(spark):
 
 
 def test_hash_chain_detects_change(spark):
-    rows = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y")], "c string, k long, r string")
-    chain = audit.hash_chain(rows, "c", "k", "r").first().chain
-    kept = spark.createDataFrame([("a", 1, "x", chain[0]), ("a", 2, "y", chain[1])], "c string, k long, r string, h string")
-    assert audit.verify_chain(kept, "c", "k", "r", "h").first().verified
-    assert not audit.verify_chain(kept.withColumn("r", F.lit("z")), "c", "k", "r", "h").first().verified
+    rows = spark.createDataFrame([("a", i, f"r{i}") for i in range(5)], "c string, k int, r string")
+    kept = rows.join(audit.hash_chain(rows, "c", "k", "r").withColumnRenamed("hash", "h"), ["c", "k"])
+    heads = audit.chain_heads(rows, "c", "k", "r").first()
+    assert heads.n == 5 and heads["head"] == kept.where("k = 4").first().h
+    assert audit.verify_chain(kept, "c", "k", "r", "h").first()[1:] == (5, True)
+    for k in range(5):
+        changed = kept.withColumn("r", F.when(F.col("k") == k, "z").otherwise(F.col("r")))
+        assert not audit.verify_chain(changed, "c", "k", "r", "h").first().verified
 
 
 def test_scans(spark):
@@ -220,7 +223,7 @@ def test_overlap_statistics_of_all_orders(spark):
     from recallforge import catalog, model
 
     rows = [tuple(r) for r in model.table(spark, SF, "lineitem").select("l_orderkey", "l_suppkey").collect()]
-    got = catalog.queries()["overlap_statistics_all"](spark, SF).first()
+    got = catalog.queries()["overlap_statistics"](spark, SF).first()
     assert list(got) == pytest.approx(overlap_by_brute_force(rows), abs=1e-6)
 
 
@@ -238,8 +241,8 @@ def test_hash_chain_and_timeline_of_everyone(spark, tmp_path):
         n, head = want.get(user, (0, ""))
         want[user] = (n + 1, hashlib.sha256(f"{head}{i}{kind}".encode()).hexdigest())
     assert len(want) == 60
-    assert {r.user_id: (r.n, r["head"]) for r in catalog.queries()["hash_chain_all"](spark, str(tmp_path)).collect()} == want
-    got = sorted((r.type, r.agent, r.detail) for r in catalog.queries()["audit_timeline_all"](spark, str(tmp_path)).collect())
+    assert {r.user_id: (r.n, r["head"]) for r in catalog.queries()["hash_chain"](spark, str(tmp_path)).collect()} == want
+    got = sorted((r.type, r.agent, r.detail) for r in catalog.queries()["audit_timeline_union"](spark, str(tmp_path)).collect())
     assert got == sorted([("document", "3", "1"), ("document", "900", "2"), ("review", "2", "1:1"), ("review", "77", "2:1"), *((kind, str(user), str(i)) for i, user, kind, _ in events)])
 
 
@@ -264,7 +267,7 @@ def test_pagerank_runs_the_rounds_of_the_reference(spark, tmp_path):
         return r
 
     even, seeds = dict.fromkeys(nodes, 1 / len(nodes)), {v: 0.5 * (v in (1, 2)) for v in nodes}
-    for name, start, few in (("pagerank_50_iter", even, 10), ("personalised_pagerank_50_iter", seeds, 8)):
+    for name, start, few in (("pagerank_fixed_iter", even, 10), ("personalised_pagerank", seeds, 8)):
         got = {r.node: r["rank"] for r in catalog.queries()[name](spark, str(tmp_path)).collect()}
         assert got == pytest.approx(rounds(start, start, 50), abs=2e-8)
         assert got != pytest.approx(rounds(start, start, few), abs=1e-4)
