@@ -1,39 +1,35 @@
-"""Table access and the shared folder for cut lineage."""
+"""Table access, and files in the shared folder."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from recallforge.shared import cut, hot_keys, salted_join, shared_dir
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+__all__ = ["cut", "fresh_path", "held", "hot_keys", "release", "salted_join", "shared_dir", "table", "written"]
 
+_written: list[str] = []
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where it is unset (local tests)
-    a temporary one becomes the checkpoint folder of the context."""
-    sc = spark.sparkContext
-    set_dir = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not set_dir:
-        set_dir = tempfile.mkdtemp(prefix="recallforge-")
-        sc.setCheckpointDir(set_dir)
-    elif not sc.getCheckpointDir():
-        sc.setCheckpointDir(set_dir)
-    return set_dir
 
-
-def fresh_path(spark: SparkSession, stem: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{stem}-{uuid.uuid4().hex}"
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise in the shared folder, so that a lost executor costs nothing
-    that came before."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def fresh_path(spark: SparkSession, stem: str) -> str:
+    path = f"{shared_dir(spark).rstrip('/')}/{stem}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
+def release(spark: SparkSession, *keep: str) -> None:
+    """Deletes what this process wrote in the shared folder by ``fresh_path``, but
+    for the paths to ``keep``.  Frames read from deleted paths are of no more use."""
+    for path in [p for p in _written if p not in keep]:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        _written.remove(path)
 
 
 def written(df: DataFrame, stem: str) -> DataFrame:

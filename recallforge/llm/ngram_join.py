@@ -2,29 +2,33 @@
 
 Texts are sets of hashed five-word shingles (all words, if fewer).  Documents with
 equal sets form one record.  Records are split recursively: at each node of a path
-a record goes to the children named by its ``BRANCH`` smallest tokens under a hash
-seeded by that node, so records that share a sampled token meet again.  A bucket
-of at most ``small`` records is a leaf.  So is a larger one that a further split
-would not break up (its largest child keeps half of it, a group of near copies),
-and any at the last level.  Leaves are joined by brute force on the whole sets,
-exactly; a leaf of more than ``tile`` records is dealt as tiles of record blocks,
-one task each.  Runs repeat until a pair at the threshold is missed with a
-probability below ``1 - recall``.
+a record goes to the children named by its two smallest tokens under a hash seeded
+by that node, so records that share a sampled token meet again.  A bucket of at
+most ``small`` records is a leaf.  So is a larger one that a further split would
+not break up (its largest child keeps half of it, a group of near copies).  All
+others are split on, however deep: each level at least halves them.  Leaves are
+joined by brute force on the whole sets, exactly; a leaf of more than ``tile``
+records, or of very long ones, is dealt as tiles of record blocks, one task each.
+Runs repeat until a pair at the threshold is missed with a probability below
+``1 - recall``, at any depth (``runs_for``).
 
 What moves: 64-bit paths first; leaves with one record, and all but one of the
 leaves with the same members, are dropped before any token set is moved, so only
-records with possible partners are, about once for each distinct leaf.  A pair
-that meets in several leaves is counted in the first of them only.  No pair is
-ever emitted: leaves give the number of links of each record, and edges of a
-spanning forest (fewer than records).
+records with possible partners are, about once for each distinct leaf.  Paths of
+the first ``DEPTH`` levels come with the shingles; deeper ones are computed for the
+records of buckets that are still too large.  A pair that meets in several leaves is
+counted in the first of them only.  No pair is ever emitted: leaves give the number
+of links of each record, and edges of a spanning forest (fewer than records).  Joins
+on paths and records deal their hot keys over many tasks.
 
 Result, a row per document: ``doc_id``, ``class_id`` (the smallest doc_id of its
 group: linked directly or through others) and ``n_links`` (other documents at
 Jaccard ``threshold`` or more, copies counted each).
 
 Null text and text without a word: a class of its own and no links.  Null doc_id:
-class_id null and no links.  Repeated doc_ids are one document where they link;
-each row is returned.  Empty table: no rows.  Other columns are ignored.
+class_id null and no links.  A doc_id of several rows with different texts is one
+document for each text; equal rows are one document.  Each row is returned.  Empty
+table: no rows.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,51 +40,60 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from recallforge.llm import _io
 from recallforge.llm._text import Words, mix, shingle_sets, slices, utf8
+from recallforge.operators.graph import components
 
 SHINGLE = 5
 THRESHOLD = (4, 5)
 RECALL = 0.99
-BRANCH = 2
 DEPTH = 3
 SMALL = 256
 TILE = 768
+#: Tokens of a block of records, so a tile of long texts is not larger in memory.
+TILE_TOKENS = 1_000_000
 
 
-def runs_for(recall: float, threshold: float, depth: int) -> int:
+def runs_for(recall: float, threshold: float) -> int:
     """Runs until a pair at the threshold is missed with probability below
-    ``1 - recall``.  At a node such a pair shares one of its two smallest tokens
-    with probability ``t + (1 - t) t`` at least (the second smallest of the union
-    is a common one if the first is not, and is then among both pairs of two)."""
-    node = threshold + (1 - threshold) * threshold
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - node**depth)))
-
-
-def _paths(tokens: np.ndarray, runs: int) -> list[tuple[int, list[int]]]:
-    """(first-level path, deeper paths level by level) for each run and branch."""
-    seeds = mix(np.arange(1, runs + 1, dtype=np.uint64))
-    level = np.repeat(seeds, 1)
-    deep: list[np.ndarray] = []
-    for _ in range(DEPTH):
-        h = mix(tokens[None, :] ^ level[:, None])
-        if len(tokens) > BRANCH:
-            h = np.partition(h, BRANCH - 1, axis=1)[:, :BRANCH]
-        else:
-            h = np.concatenate([h] * BRANCH, axis=1)[:, :BRANCH] if len(tokens) < BRANCH else h
-        level = mix(np.sort(h, axis=1) + level[:, None]).reshape(-1)
-        deep.append(level)
-    first = deep[0]
-    out = []
-    for k in range(len(first)):
-        below: list[int] = []
-        for d in range(1, DEPTH):
-            n = BRANCH**d
-            below += deep[d][k * n : (k + 1) * n].view(np.int64).tolist()
-        out.append((int(first[k].view(np.int64)), below))
-    return out
+    ``1 - recall``, however deep the recursion goes.
+
+    A node takes the two smallest tokens of each record.  Of a pair at Jaccard t the
+    two smallest of the union are both common with probability t^2, then both
+    children are shared; none is shared with at most (1 - t)^2.  Shared nodes are so
+    a branching process that dies out with at most the root of
+    e = (1 - t)^2 + (1 - t^2 - (1 - t)^2) e + t^2 e^2, which is ((1 - t) / t)^2."""
+    if threshold <= 0.5:
+        raise ValueError("two children a node find pairs above a threshold of 1/2 only")
+    missed = ((1 - threshold) / threshold) ** 2
+    return max(1, math.ceil(math.log(1 - recall) / math.log(missed))) if missed else 1
+
+
+def _children(tokens: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """The two children of each path of ``level``, side by side."""
+    h = mix(tokens[None, :] ^ level[:, None])
+    if len(tokens) > 2:
+        h = np.partition(h, 1, axis=1)[:, :2]
+    elif len(tokens) == 1:
+        h = np.concatenate([h, h], axis=1)
+    return mix(np.sort(h, axis=1) + level[:, None]).reshape(-1)
+
+
+def _below(tokens: np.ndarray, paths: np.ndarray, levels: int) -> list[list[int]]:
+    """For each path, the paths of the ``levels`` levels under it, level by level."""
+    deep, level = [], paths
+    for k in range(1, levels + 1):
+        level = _children(tokens, level)
+        deep.append(level.view(np.int64).reshape(len(paths), 2**k))
+    return np.concatenate(deep, axis=1).tolist() if deep else [[] for _ in paths]
+
+
+def _paths(tokens: np.ndarray, runs: int) -> dict[int, list[int]]:
+    """First-level path of each run and branch, and the paths under it."""
+    first = _children(tokens, mix(np.arange(1, runs + 1, dtype=np.uint64)))
+    return dict(zip(first.view(np.int64).tolist(), _below(tokens, first, DEPTH - 1), strict=True))
 
 
 def _digest(tokens: np.ndarray) -> bytes:
@@ -97,8 +110,7 @@ def _split(runs: int):
                 sets = shingle_sets(Words(data, off, i, j), SHINGLE)
                 paths = []
                 for s in sets:
-                    seen = dict(_paths(s, runs)) if len(s) else {}
-                    paths.append([{"path": p, "below": b} for p, b in seen.items()])
+                    paths.append([{"path": p, "below": b} for p, b in _paths(s, runs).items()] if len(s) else [])
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(i, j - i), pa.array([_digest(s) if len(s) else None for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int32()), pa.array(paths, schema.field("paths").type)],
                     schema=schema,
@@ -110,34 +122,69 @@ def _split(runs: int):
 _SPLIT = "doc_id long, record binary, tokens int, paths array<struct<path:long,below:array<long>>>"
 
 
-def _leaves(paths: DataFrame, small: int) -> DataFrame:
-    """(path, record) of leaves: ``paths`` has path, record, below (the paths under
-    it, level by level)."""
-    out = None
-    for level in range(DEPTH):
-        last = level == DEPTH - 1
-        sizes = paths.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
-        rows = paths.join(sizes, "path")  # a bucket of one record has no pairs
-        if last:
-            done = rows.select("path", "record")
-            return done if out is None else out.unionByName(done)
-        width = BRANCH
-        child = rows.where(F.col("n") > small).select("path", F.explode(F.array_distinct(F.slice("below", 1, width))).alias("child"))
+def _deeper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (record, tokens, open, text): a row per open path with the paths of the
+    next DEPTH levels under it."""
+    for batch in batches:
+        data, off = utf8(batch.column("text"))
+        for i, j in slices(off, 1 << 20):
+            out: list[tuple] = []
+            part = batch.slice(i, j - i)
+            for record, paths, s in zip(part.column("record").to_pylist(), part.column("open").to_pylist(), shingle_sets(Words(data, off, i, j), SHINGLE), strict=True):
+                if len(s) and _digest(s) == record:
+                    below = _below(s, np.array(paths, np.int64).view(np.uint64), DEPTH)
+                    out += [(record, len(s), p, b) for p, b in zip(paths, below, strict=True)]
+            if out:
+                kinds = [pa.binary(), pa.int32(), pa.int64(), pa.list_(pa.int64())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["record", "tokens", "path", "below"])
+
+
+_PATHS = "record binary, tokens int, path long, below array<long>"
+
+
+def _level(paths: DataFrame, small: int, last: bool, rows: int) -> DataFrame:
+    """What becomes of each (path, record) of a level, written: a leaf, to be split
+    by its children, or open, where the level is the last whose paths are known.
+    A bucket of one record has no pairs and goes."""
+    sizes = paths.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
+    hot = _io.hot_keys(sizes, "path", "n", rows)
+    placed = _io.salted_join(paths, sizes, "path", hot, ["record"])
+    if last:
+        state = F.when(F.col("n") <= small, "leaf").otherwise("open")
+    else:
+        child = placed.where(F.col("n") > small).select("path", F.explode(F.array_distinct(F.slice("below", 1, 2))).alias("child"))
         largest = child.groupBy("path", "child").agg(F.count("*").alias("c")).groupBy("path").agg(F.max("c").alias("c"))
-        rows = rows.join(largest, "path", "left").withColumn("leaf", F.col("c").isNull() | (2 * F.col("c") >= F.col("n")))
-        done = rows.where("leaf").select("path", "record")
-        out = done if out is None else out.unionByName(done)
-        # children: child i's own descendants are every width-th run of each level below
-        parts = []
-        for i in range(width):
-            below = F.array().cast("array<long>")
-            at, n = 1 + width, width
-            for _ in range(level + 2, DEPTH):
-                below = F.concat(below, F.slice("below", at + i * n, n))
-                at, n = at + width * n, n * width
-            parts.append(F.struct(F.get("below", F.lit(i)).alias("path"), below.alias("below")))
-        paths = rows.where("not leaf").select("record", F.explode(F.array_distinct(F.array(*parts))).alias("k")).select("k.path", "record", "k.below").distinct()
-    return out
+        placed = _io.salted_join(placed, largest, "path", hot, ["record"], "left")
+        state = F.when(F.col("c").isNull() | (2 * F.col("c") >= F.col("n")), "leaf").otherwise("split")
+    placed = placed.withColumn("state", state)
+    return _io.written(placed.select("path", "record", "tokens", "state", F.when(F.col("state") == "split", F.col("below")).alias("below")), "level")
+
+
+def _split_up(level: DataFrame, levels: int) -> DataFrame:
+    """The rows of the next level: each record under the children of its path, with
+    the paths below them.  ``levels``: how many levels ``below`` holds."""
+    parts = []
+    for i in range(2):  # child i's own descendants are the i-th part of each level below it
+        below, at = F.array().cast("array<long>"), 3
+        for k in range(1, levels):
+            below = F.concat(below, F.slice("below", at + i * 2**k, 2**k))
+            at += 2 ** (k + 1)
+        parts.append(F.struct(F.get("below", F.lit(i)).alias("path"), below.alias("below")))
+    return level.where("state = 'split'").select("record", "tokens", F.explode(F.array_distinct(F.array(*parts))).alias("k")).select("k.path", "record", "tokens", "k.below").distinct()
+
+
+def _leaves(paths: DataFrame, small: int, levels: int, rows: int) -> tuple[DataFrame, DataFrame]:
+    """((path, record, tokens) of leaves, (path, record) of buckets still to split):
+    ``paths`` has path, record, tokens and below, the paths under it on the next
+    ``levels`` levels.  ``rows``: those of the table, by which a path is hot."""
+    leaves = None
+    for k in range(levels, -1, -1):
+        step = _level(paths, small, k == 0, rows)
+        part = step.where("state = 'leaf'").select("path", "record", "tokens")
+        leaves = part if leaves is None else leaves.unionByName(part)
+        if k:
+            paths = _split_up(step, k)
+    return leaves, step.where("state = 'open'").select("path", "record")
 
 
 def _load_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,7 +240,7 @@ def _join_tile(threshold: tuple[int, int]):
     def run(key, rows: pd.DataFrame) -> pd.DataFrame:
         leaf, rb, cb = (int(k) for k in key)
         rows = rows.drop_duplicates("record").sort_values(["doc_id", "record"], kind="stable").reset_index(drop=True)
-        doc, copies = rows["doc_id"].to_numpy(), rows["copies"].to_numpy(np.int64)
+        copies = rows["copies"].to_numpy(np.int64)
         sets = [np.frombuffer(t, np.uint64) for t in rows["tokens"]]
         size = np.array([len(s) for s in sets], np.int64)
         both = _shared(sets).astype(np.int64)
@@ -205,98 +252,124 @@ def _join_tile(threshold: tuple[int, int]):
             link &= block[:, None] != block[None, :]
         # edges of a spanning forest
         forest: list[tuple[int, int]] = []
-        left = np.ones(len(doc), bool)
-        for k in range(len(doc)):
+        left = np.ones(len(rows), bool)
+        for k in range(len(rows)):
             if left[k]:
-                reach, edge = np.zeros(len(doc), bool), np.array([k])
+                reach, edge = np.zeros(len(rows), bool), np.array([k])
                 reach[k] = True
                 while len(edge):
                     new = link[edge].any(axis=0) & ~reach
                     reach |= new
                     edge = np.flatnonzero(new)
                 left &= ~reach
-                forest += [(doc[x], doc[k]) for x in np.flatnonzero(reach) if x != k]
+                forest += [(int(x), k) for x in np.flatnonzero(reach) if x != k]
         # a pair counts in the first leaf that both records share
         earlier = [s[s < leaf] for s in (np.frombuffer(x, np.int64) for x in rows["leaves"])]
         if any(len(s) for s in earlier) and link.any():
             link &= _shared([s.view(np.uint64) for s in earlier]) == 0
         links = link @ copies
-        out = [(r, None, n) for r, n in zip(rows["record"], links.tolist(), strict=True) if n]
-        a = pd.DataFrame({"doc_id": doc[links > 0], "other": pd.array([None] * int((links > 0).sum()), "Int64"), "record": [x[0] for x in out], "links": links[links > 0]})
-        b = pd.DataFrame({"doc_id": [x[0] for x in forest], "other": pd.array([x[1] for x in forest], "Int64"), "record": [None] * len(forest), "links": [0] * len(forest)})
-        return pd.concat([x for x in (a, b) if len(x)] or [a])[["doc_id", "other", "record", "links"]]
+        record = rows["record"]
+        own = pd.DataFrame({"record": record[links > 0], "other": None, "links": links[links > 0]})
+        tied = pd.DataFrame({"record": record.iloc[[x for x, _ in forest]], "other": record.iloc[[k for _, k in forest]].to_numpy(), "links": 0})
+        return pd.concat([x for x in (own, tied) if len(x)] or [own])
 
     return run
 
 
-def components(edges: DataFrame, *, most_rounds: int = 60) -> DataFrame:
-    """(node, root): connected components by alternating large-star and small-star
-    rounds, each written to the shared folder; root is the smallest node."""
-    edges = _io.cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    state = None
-    for _ in range(most_rounds):
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        # large star: neighbours above a node go to its smallest neighbour
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        # small star: a node and its lower neighbours go to the smallest of them
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        edges = _io.cut(small.where("a <> b").distinct())
-        now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b") % 1000003).alias("h")).first()
-        if now == state:
-            break
-        state = now
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-
-
-def classes(
-    docs: DataFrame, *, threshold: tuple[int, int] = THRESHOLD, recall: float = RECALL, small: int = SMALL, tile: int = TILE
-) -> DataFrame:
-    """doc_id, class_id, n_links for every row of ``docs`` (doc_id, text)."""
-    spark = docs.sparkSession
+def _classes(docs: DataFrame, threshold: tuple[int, int], recall: float, small: int, tile: int, tile_tokens: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, record) of every row; (record, root, links) of every record; and
+    (record, doc_id) of the record that stands for each class."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    runs = runs_for(recall, threshold[0] / threshold[1], DEPTH)
+    runs = runs_for(recall, threshold[0] / threshold[1])
     base = _io.written(docs.mapInArrow(_split(runs), _SPLIT), "paths")
+    count = base.count()
     real = base.where("doc_id is not null and record is not null")
     records = real.groupBy("record").agg(F.min("doc_id").alias("first"), F.countDistinct("doc_id").alias("copies"))
+
+    def with_texts(wanted: DataFrame) -> DataFrame:
+        """``wanted`` (a row per record) with the text of the record's first document."""
+        named = wanted.join(records, "record").withColumnRenamed("first", "_id")
+        return docs.join(named, docs["doc_id"] == named["_id"])
+
     # one row per record and path, however many copies there are
-    rows = real.select("record", F.explode("paths").alias("p")).groupBy("record", "p.path").agg(F.first("p.below").alias("below"))
-    leaves = _io.written(_leaves(rows, small), "leaves")
+    paths = real.select("record", "tokens", F.explode("paths").alias("p")).groupBy("record", "p.path").agg(F.first("tokens").alias("tokens"), F.first("p.below").alias("below"))
+    leaves, levels = None, DEPTH - 1
+    while True:
+        done, still = _leaves(paths, small, levels, count)
+        leaves = done if leaves is None else leaves.unionByName(done)
+        if still.isEmpty():
+            break
+        wanted = still.groupBy("record").agg(F.collect_list("path").alias("open"))
+        below = with_texts(wanted).select("record", "open", "text").mapInArrow(_deeper, _PATHS)
+        paths, levels = below.groupBy("record", "path").agg(F.first("tokens").alias("tokens"), F.first("below").alias("below")), DEPTH
     # leaves with the same members are one leaf
-    marks = leaves.groupBy("path").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("record")).alias("x"), F.sum(F.shiftright(F.xxhash64(F.lit(7), "record"), 20)).alias("s"))
-    kept = marks.groupBy("n", "x", "s").agg(F.min("path").alias("path"))
-    members = leaves.join(kept.select("path", "n"), "path").withColumn("blocks", F.ceil(F.col("n") / tile).cast("int"))
-    block = F.pmod(F.xxhash64(F.lit(11), "record", "path"), F.col("blocks")).cast("int")
-    members = members.withColumn("block", block)
+    marks = leaves.groupBy("path").agg(F.count("*").alias("n"), F.sum("tokens").alias("t"), F.bit_xor(F.xxhash64("record")).alias("x"), F.sum(F.shiftright(F.xxhash64(F.lit(7), "record"), 20)).alias("s"))
+    blocks = F.greatest(F.ceil(F.col("n") / tile), F.ceil(F.col("t") / tile_tokens)).cast("int")
+    kept = marks.groupBy("n", "t", "x", "s").agg(F.min("path").alias("path")).select("path", "n", blocks.alias("blocks"))
+    members = _io.salted_join(leaves, kept.drop("n"), "path", _io.hot_keys(kept, "path", "n", count), ["record"])
+    members = members.withColumn("block", F.pmod(F.xxhash64(F.lit(11), "record", "path"), F.col("blocks")).cast("int"))
     # a record of block b goes to the tiles (b, x) and (x, b)
     tiles = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.col("path").alias("leaf"), F.least("block", x).alias("row_block"), F.greatest("block", x).alias("col_block"), F.col("block").alias("block")))
     places = members.select("record", F.explode(tiles).alias("place")).groupBy("record").agg(F.collect_list("place").alias("places"))
-    wanted = places.join(records, "record").select(F.col("first").alias("_id"), "record", "copies", "places")
-    placed = docs.join(wanted, docs["doc_id"] == wanted["_id"]).select("doc_id", "record", "copies", "places", "text").mapInArrow(_load_sets, _PLACED)
-    # the same record twice in a tile (repeated rows) is one
-    found = placed.groupBy("leaf", "row_block", "col_block").applyInPandas(_join_tile(threshold), "doc_id long, other long, record binary, links long")
+    placed = with_texts(places).select("doc_id", "record", "copies", "places", "text").mapInArrow(_load_sets, _PLACED)
+    found = placed.groupBy("leaf", "row_block", "col_block").applyInPandas(_join_tile(threshold), "record binary, other binary, links long")
     found = _io.written(found, "links")
     links = found.where("other is null").groupBy("record").agg(F.sum("links").alias("links"))
-    roots = components(found.where("other is not null").select(F.col("doc_id").alias("a"), F.col("other").alias("b")))
-    answer = (
-        records.join(links, "record", "left")
-        .join(roots, F.col("first") == F.col("node"), "left")
-        .select("record", F.coalesce("root", "first").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
-    )
-    return (
-        base.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("record")).alias("record")).join(answer, "record", "left")
-        .select("doc_id", F.coalesce("root", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
-    )
-
-
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """One document of each class stays, the one whose doc_id is the class id;
-    of repeated rows of it, one.  Rows without a doc_id stay."""
-    cols = docs.columns
-    keep = classes(docs, **options).where("doc_id = class_id").select(F.col("doc_id").alias("_keep")).distinct()
-    named = docs.where("doc_id is not null").join(keep, F.col("doc_id") == F.col("_keep"), "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null")).select(*cols)
+    # records are grouped, not doc_ids, so that two texts under one doc_id stay apart
+    groups = components(found.where("other is not null").select(F.col("record").alias("src"), F.col("other").alias("dst"))).withColumnRenamed("node", "record")
+    named = records.join(links, "record", "left").join(groups, "record", "left").withColumn("component", F.coalesce("component", "record"))
+    heads = named.groupBy("component").agg(F.min(F.struct("first", "record")).alias("head"), F.count("*").alias("n"))
+    roots = heads.select("component", F.col("head.first").alias("root"))
+    named = _io.salted_join(named, roots, "component", _io.hot_keys(heads, "component", "n", count), ["record"])
+    answer = named.select("record", "root", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
+    return base.select("doc_id", "tokens", F.when(F.col("doc_id").isNotNull(), F.col("record")).alias("record")), answer, heads.select("head.record", F.col("head.first").alias("doc_id"))
+
+
+def classes(
+    docs: DataFrame, *, threshold: tuple[int, int] = THRESHOLD, recall: float = RECALL, small: int = SMALL, tile: int = TILE, tile_tokens: int = TILE_TOKENS
+) -> DataFrame:
+    """doc_id, class_id, n_links for every row of ``docs`` (doc_id, text)."""
+    rows, answer, _ = _classes(docs, threshold, recall, small, tile, tile_tokens)
+    sizes = rows.where("record is not null").groupBy("record").agg(F.count("*").alias("n"))
+    rows = _io.salted_join(rows, answer, "record", _io.hot_keys(sizes, "record", "n", rows.count()), ["doc_id", "tokens"], "left")
+    return rows.select("doc_id", F.coalesce("root", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def _marked(schema: pa.Schema):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, off = utf8(batch.column("text"))
+            for i, j in slices(off, 1 << 20):
+                record = [_digest(s) if len(s) else None for s in shingle_sets(Words(data, off, i, j), SHINGLE)]
+                cols = [batch.column(k).slice(i, j - i) for k in range(batch.num_columns)] + [pa.array(record, pa.binary())]
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
+
+    return run
+
+
+def keep_one(docs: DataFrame, *, threshold: tuple[int, int] = THRESHOLD, recall: float = RECALL, small: int = SMALL, tile: int = TILE, tile_tokens: int = TILE_TOKENS) -> DataFrame:
+    """One document of each class stays: the text of the smallest doc_id (of several
+    texts under it that are in the class, the one of the smallest digest; of rows
+    with equal shingles under it, the first by text and then by the hash of the row).
+    Rows without a doc_id and texts without a word stay.  All columns of ``docs``."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    rows, _, heads = _classes(docs, threshold, recall, small, tile, tile_tokens)
+    cols, named = docs.columns, docs.where("doc_id is not null")
+    counts = rows.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"))
+    several = counts.where("n > 1").select(F.col("doc_id").alias("_several"))
+    wordless = rows.where("doc_id is not null and record is null").select("doc_id")
+    stay = heads.select("doc_id").unionByName(wordless).join(several, F.col("doc_id") == F.col("_several"), "left_anti").select(F.col("doc_id").alias("_stay"))
+    out = named.join(stay, F.col("doc_id") == F.col("_stay"), "left_semi").unionByName(docs.where("doc_id is null"))
+    if several.isEmpty():
+        return out
+    # rows that share a doc_id are told apart by their shingles
+    schema = T.StructType([*docs.schema.fields, T.StructField("_record", T.BinaryType())])
+    told = named.join(several, F.col("doc_id") == F.col("_several"), "left_semi").mapInArrow(_marked(to_arrow_schema(schema)), schema)
+    mine = told.where("_record is not null").join(heads.select(F.col("record").alias("_record"), F.col("doc_id").cast("long").alias("_head")), "_record").where(F.col("doc_id").cast("long") == F.col("_head"))
+    first = Window.partitionBy("doc_id", "_record").orderBy("text", F.xxhash64(*cols))
+    mine = mine.withColumn("_place", F.row_number().over(first)).where("_place = 1")
+    return out.unionByName(mine.select(*cols)).unionByName(told.where("_record is null").select(*cols))
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

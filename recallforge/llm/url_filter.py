@@ -1,8 +1,15 @@
 """Operator 4: URL filters by link-graph propagation over hosts.
 
 Every page's url is judged by the longest rule that fits its host and path; where
-none fits, by its host's place in the link graph.  Host edges are the absolute
-links of the pages' html, one per (host, host) with the number of links as weight.
+none fits, by its host's place in the link graph.  Host edges (``host_edges``) are
+
+* links: href, src and action values of the html that name a host, by themselves or
+  through the page's ``<base>`` (weight: their number; a relative link without such a
+  base stays on its host);
+* names: the hosts of e-mail addresses in the html, and hosts of the table that it
+  spells out (weight: the number of pages, for each of the two);
+* parents: from a host to the nearest host above it that the table holds.
+
 Trust is personalised PageRank from the hosts that rules allow; distrust is the
 same on reversed edges from the hosts that rules block (who links to bad hosts is
 suspect).  A host is a seed, by the part of its pages, if rules of that verdict fit
@@ -15,12 +22,12 @@ reaches are allowed.
 
 All of it is DataFrame functions.  Only (host, mass) and (host, host, weight) move
 in the rounds; in-links are summed map-side first, so a host that everybody links
-to costs one row per task.  Each round's ranks are cut in the shared folder.
+to costs one row per task.  Ranks are cut in the shared folder every few rounds.
 
 Host: after the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z
 lower-cased; path: then up to ``?``, ``#`` or the end.  Null url, or none with
-``://``: both empty, allowed.  Null html: no links.  Repeated rows are judged each.
-Empty table: no rows.  Extra columns are ignored.
+``://``: both empty, allowed.  Null html: no links.  Very long html is read whole.
+Repeated rows are judged each.  Empty table: no rows.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,6 +45,12 @@ DAMPING = 0.85
 TOLERANCE = 1e-6
 RATIO = 1.0
 MARGIN = 1e-4
+#: Rounds between two cuts of the lineage.
+STRIDE = 4
+_LINK = r"""(?i)\b(?:href|src|action)\s*=\s*["']?\s*([^"'\s>]+)"""
+_BASE = r"""(?is)<base\b[^>]*?\bhref\s*=\s*["']?\s*([^"'\s>]+)"""
+#: A name with a dot that may be a host's, or ``@`` and an address's host.
+_NAME = r"(?i)(?:@|(?<![a-z0-9.@-]))(?:[a-z0-9-]++\.)+[a-z]{2,}(?![a-z0-9-])"
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -61,11 +74,35 @@ def judged(pages: DataFrame, rules=RULES) -> DataFrame:
     return rows.withColumns({"rule": rule, "by_rule": verdict})
 
 
+def _named(link: Column) -> Column:
+    """The host that a link itself names, else empty: absolute, ``//host``, mail."""
+    at = F.regexp_extract(link, r"(?i)^(?:[a-z][a-z0-9+.-]*:)?//([^/?#]*)", 1)
+    mail = F.regexp_extract(link, r"(?i)^mailto:[^@?]*@([^?]*)", 1)
+    return F.translate(F.when(at != "", at).otherwise(mail), _UPPER, _LOWER)
+
+
 def host_edges(rows: DataFrame) -> DataFrame:
-    """src, dst, weight: links between different hosts."""
-    links = rows.where("host <> ''").select("host", F.explode(F.regexp_extract_all("html", F.lit(r"""(?i)href\s*=\s*["']?\s*((?:https?:)?//[^"'\s>]+)"""), F.lit(1))).alias("link"))
-    dst = F.translate(F.regexp_extract("link", r"^(?i:https?:)?//([^/?#]*)", 1), _UPPER, _LOWER)
-    return links.select(F.col("host").alias("src"), dst.alias("dst")).where("dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
+    """src, dst, weight between different hosts, from ``rows`` (host, html)."""
+    rows = rows.where("host <> ''").select("host", "html")
+    base = _named(F.regexp_extract("html", _BASE, 1))
+    links = rows.select("host", base.alias("base"), F.explode(F.regexp_extract_all("html", F.lit(_LINK), F.lit(1))).alias("link"))
+    # a link without a host of its own goes to that of <base>, if it names one
+    local = ~F.col("link").rlike(r"(?i)^[a-z][a-z0-9+.-]*:")
+    dst = F.when(_named(F.col("link")) != "", _named(F.col("link"))).when(local, F.col("base")).otherwise("")
+    linked = links.select(F.col("host").alias("src"), dst.alias("dst")).where("dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
+
+    spelt = rows.select(F.col("host").alias("src"), F.explode(F.array_distinct(F.transform(F.regexp_extract_all("html", F.lit(_NAME), F.lit(0)), lambda x: F.translate(x, _UPPER, _LOWER)))).alias("dst"))
+    mail = F.col("dst").startswith("@")
+    spelt = spelt.select("src", mail.alias("mail"), F.when(mail, F.substring("dst", 2, 1 << 30)).otherwise(F.col("dst")).alias("dst")).where("src <> dst").groupBy("src", "dst", "mail").agg(F.count("*").cast("double").alias("weight"))
+    hosts = rows.select(F.col("host").alias("dst")).distinct()
+    named = spelt.where("mail").unionByName(spelt.where("not mail").join(hosts, "dst", "left_semi")).select("src", "dst", "weight")
+
+    # a.b.c: b.c, then c
+    parts = F.split("dst", r"\.")
+    above = F.transform(F.sequence(F.lit(2), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+    up = hosts.where(F.size(parts) > 1).select(F.col("dst").alias("src"), F.explode(above).alias("dst")).join(hosts, "dst", "left_semi")
+    parent = up.groupBy("src").agg(F.max_by("dst", F.length("dst")).alias("dst")).select("src", "dst", F.lit(1.0).alias("weight"))
+    return linked.unionByName(named).unionByName(parent).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
 def _walk(edges: DataFrame, seeds: DataFrame, *, damping: float, rounds: int | None) -> DataFrame:
@@ -81,11 +118,17 @@ def _walk(edges: DataFrame, seeds: DataFrame, *, damping: float, rounds: int | N
     moving = F.lit(False)
     for c in masses:
         moving = moving | (F.abs(F.col(c) - F.col(f"{c}_before")) > TOLERANCE * F.col(masses[-1]))
-    mass = seeds
-    for _ in range(rounds if rounds is not None else math.ceil(math.log(TOLERANCE / 2) / math.log(damping))):
-        moved = mass.join(shares, mass["host"] == shares["src"]).select(F.col("dst").alias("host"), *[(F.col(c) * F.col("share") * damping).alias(c) for c in masses], *zero)
-        before = mass.select("host", *[F.lit(0.0).alias(c) for c in masses], *[F.col(c).alias(f"{c}_before") for c in masses])
-        step = _io.cut(moved.unionByName(restart).unionByName(before).groupBy("host").agg(*[F.sum(c).alias(c) for x in masses for c in (x, f"{x}_before")]))
+    # after so many rounds less than TOLERANCE of the seeds' mass is on its way
+    most, done, mass = rounds if rounds is not None else math.ceil(math.log(TOLERANCE / 2) / math.log(damping)), 0, seeds
+    while done < most:
+        for k in range(min(STRIDE, most - done), 0, -1):
+            moved = mass.join(shares, mass["host"] == shares["src"]).select(F.col("dst").alias("host"), *[(F.col(c) * F.col("share") * damping).alias(c) for c in masses], *zero)
+            step = moved.unionByName(restart)
+            if k == 1:  # the last round before a cut is compared with the one before it
+                step = step.unionByName(mass.select("host", *[F.lit(0.0).alias(c) for c in masses], *[F.col(c).alias(f"{c}_before") for c in masses]))
+            step = step.groupBy("host").agg(*[F.sum(c).alias(c) for x in masses for c in (x, f"{x}_before")])
+            mass, done = step.select("host", *masses), done + 1
+        step = _io.cut(step)
         mass = step.select("host", *masses)
         if rounds is None and step.where(moving).isEmpty():
             break

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -243,6 +244,86 @@ def test_propagation_settles_on_loops(spark):
     assert got == pytest.approx({"a": a, "b": 0.85 * a / 2, "c": (a - 0.15) / 0.85}, rel=1e-4)
 
 
+def brute_urls(pages, rules=U.RULES):
+    """{page_id: verdict} by plain dictionaries: seeds, edges, ranks to 1e-12."""
+    low = lambda x: (x or "").translate({c: c + 32 for c in range(65, 91)})
+    judged, edges = [], Counter()
+    for i, url, html in pages:
+        _, sep, rest = (url or "").partition("://")
+        cut = re.match(r"([^/?#]*)([^?#]*)", rest if sep else "")
+        host, path = low(cut[1]), cut[2]
+        fits = [(len(r), r, v) for r, v in rules if (host == r.split("/")[0] or host.endswith("." + r.split("/")[0])) and path.startswith("/" + r.partition("/")[2])]
+        judged.append((i, host, max(fits)[2] if fits else None, html or ""))
+    hosts = {h for _, h, _, _ in judged if h}
+    for _, host, _, html in judged:
+        named = lambda x: low((re.match(r"(?i)(?:[a-z][a-z0-9+.-]*:)?//([^/?#]*)", x) or re.match(r"(?i)mailto:[^@?]*@([^?]*)", x) or [None, ""])[1])
+        base = re.search(r"""(?is)<base\b[^>]*?\bhref\s*=\s*["']?\s*([^"'\s>]+)""", html)
+        for link in re.findall(r"""(?i)\b(?:href|src|action)\s*=\s*["']?\s*([^"'\s>]+)""", html) if host else ():
+            dst = named(link) or (named(base[1]) if base and not re.match(r"(?i)[a-z][a-z0-9+.-]*:", link) else "")
+            edges[host, dst] += 1
+        for name in {low(x) for x in re.findall(r"(?i)(?:@|(?<![a-z0-9.@-]))(?:[a-z0-9-]+\.)+[a-z]{2,}(?![a-z0-9-])", html)}:
+            if host and (name[0] == "@" or name in hosts):
+                edges[host, name.lstrip("@")] += 1
+    for h in hosts:
+        above = [h.split(".", k)[k] for k in range(1, h.count(".") + 1) if h.split(".", k)[k] in hosts]
+        if above:
+            edges[h, above[0]] += 1
+    edges = {(a, b): w for (a, b), w in edges.items() if b and a != b}
+    seeds = {}
+    for h in hosts:
+        mine = [v for _, x, v, _ in judged if x == h]
+        share = {v: mine.count(v) / len(mine) for v in ("allow", "block")}
+        seeds[h] = {v: s if 2 * s > 1 else 0.0 for v, s in share.items()}
+
+    def part(links, verdict):
+        out = Counter()
+        for (a, _), w in links.items():
+            out[a] += w
+
+        def rank(start):
+            r = dict(start)
+            for _ in range(200):
+                n = defaultdict(float, {h: 0.15 * s for h, s in start.items()})
+                for (a, b), w in links.items():
+                    n[b] += 0.85 * r.get(a, 0.0) * w / out[a]
+                r = n
+            return r
+
+        one, all_ = rank({h: s[verdict] for h, s in seeds.items()}), rank({h: sum(s.values()) for h, s in seeds.items()})
+        return {h: one.get(h, 0.0) / m for h, m in all_.items() if m}
+
+    trust, distrust = part(edges, "allow"), part({(b, a): w for (a, b), w in edges.items()}, "block")
+    return {i: v or ("block" if distrust.get(h, 0.0) > trust.get(h, 0.0) + U.MARGIN else "allow") for i, h, v, _ in judged}, len(edges)
+
+
+@pytest.mark.parametrize("sf, some", [(SF, False), ("/root/testdata/sf0.01", True)])
+def test_url_query_equals_plain_ranks(spark, sf, some):
+    pages = [(r.page_id, r.url, r.html) for r in spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url", "html").collect()]
+    want, edges = brute_urls(pages)
+    assert {r.page_id: r.verdict for r in U.op4_url_filter(spark, sf).collect()} == want
+    assert U.host_edges(U.judged(spark.read.parquet(f"{sf}/pages.parquet"))).count() == edges and (edges > 0) == some
+
+
+def test_url_edges_of_every_kind(spark):
+    rows = [
+        (1, "http://a.org/x", '<base href="//cdn.example.com/p/"><a href="y.html">1</a><img src=\'z.png\'><a href="http://B.org:80/q">2</a><form action=https://c.org?x><a href="#top">'),
+        (2, "http://b.org/", 'write to joe@Mail.Example.com or JOE@mail.example.com, see a.org, e.g. no.host.here or sub.a.org'),
+        (3, "http://sub.a.org/", '<a href="mailto:x@d.org?subject=s">m</a><a href="javascript:f()">j</a><a href="/own">o</a>'),
+        (4, "http://farm.com/", '<p>visit x.bad.net</p>'), (5, "http://x.bad.net/", None), (6, "http://deep.farm.com/", "farm.com"), (7, None, '<a href="http://a.org">'),
+    ]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {(r.src, r.dst): r.weight for r in U.host_edges(U.judged(df)).collect()}
+    assert got == {
+        ("a.org", "cdn.example.com"): 4, ("a.org", "b.org:80"): 1, ("a.org", "b.org"): 1, ("a.org", "c.org"): 1, ("b.org", "mail.example.com"): 1, ("b.org", "a.org"): 1, ("b.org", "sub.a.org"): 1,
+        ("sub.a.org", "d.org"): 2, ("sub.a.org", "a.org"): 1, ("farm.com", "x.bad.net"): 1, ("deep.farm.com", "farm.com"): 2,
+    }
+    want, _ = brute_urls(rows)
+    assert {r.page_id: r.verdict for r in U.filter_urls(df).collect()} == want
+    assert want[4] == want[5] == want[6] == "block" and want[1] == want[7] == "allow"
+    twice = {r.page_id: r.verdict for r in U.filter_urls(df, rounds=180).collect()}
+    assert twice == want
+
+
 def brute_near(rows, queries, k):
     out = {}
     for q, v in queries:

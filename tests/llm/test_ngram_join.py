@@ -100,4 +100,66 @@ def test_recall_of_pairs_at_the_threshold(spark):
 
 
 def test_runs():
-    assert J.runs_for(0.99, 0.8, 1) == 2 and J.runs_for(0.99, 0.8, 3) == 3
+    """1 - ((1 - t) / t)^2 per run, as simulated shared nodes of two sets die out."""
+    assert J.runs_for(0.99, 0.8) == 2 and J.runs_for(0.999, 0.8) == 3 and J.runs_for(0.99, 0.6) == 6
+    rng, lost = random.Random(1), 0
+    for _ in range(2000):
+        alive = 1
+        for _ in range(12):
+            nxt = 0
+            for _ in range(min(alive, 64)):
+                union = [rng.random() < 0.8 for _ in range(8)]  # the smallest of the union, common or not
+                mine, other = [], []
+                for k, common in enumerate(union):
+                    side = rng.random() < 0.5
+                    if len(mine) < 2 and (common or side):
+                        mine.append(k)
+                    if len(other) < 2 and (common or not side):
+                        other.append(k)
+                nxt += len({k for k in mine if union[k]} & {k for k in other if union[k]})
+            alive = nxt
+            if not alive:
+                break
+        lost += not alive
+    assert lost / 2000 <= (0.2 / 0.8) ** 2
+
+
+def test_recursion_goes_on_below_the_first_levels(spark):
+    """Texts that share most of one passage, so that buckets stay large for long,
+    with near copies among them."""
+    rng = random.Random(11)
+    passage = [f"p{i}" for i in range(70)]
+    rows = []
+    for i in range(0, 240, 2):
+        own = [f"o{i}x{rng.randrange(10**6)}" for _ in range(60)]
+        w = passage + own
+        v = list(w)
+        v[100] = f"changed{i}"
+        rows += [(i, " ".join(w)), (i + 1, " ".join(v))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert found(J.classes(df, small=4)) == brute(rows)
+
+
+def test_tiles_are_cut_by_tokens(spark):
+    rows = near_copies(40, seed=8)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert found(J.classes(df, tile_tokens=500)) == brute(rows)
+
+
+def test_texts_that_share_a_doc_id(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(1, a, "x"), (1, b, "y"), (2, b, "z"), (3, a + " end", "u"), (4, None, "v"), (4, "!!", "w"), (4, a, "t"), (None, a, "s"), (5, b, "r"), (5, b + "!", "q")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _place string")
+    got = sorted((r.doc_id or 0, r.class_id or 0, r.n_links) for r in J.classes(df.drop("_place")).collect())
+    assert got == [(0, 0, 0), (1, 1, 2), (1, 1, 2), (2, 1, 2), (3, 1, 2), (4, 1, 2), (4, 4, 0), (4, 4, 0), (5, 1, 2), (5, 1, 2)]
+    kept = sorted(((r.doc_id or 0, r.text or "") for r in J.keep_one(df.withColumnRenamed("_place", "n_links")).collect()))
+    assert kept == [(0, a), (1, a), (1, b), (4, ""), (4, "!!")]
+
+
+def test_hot_paths_and_records_are_dealt(spark):
+    """More copies and more near copies than a key may hold in one task."""
+    same = [(i, "one text that many documents hold word for word") for i in range(3000)]
+    rows = same + [(5000 + i, t) for i, t in near_copies(30)]
+    got = found(J.classes(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert all(got[i] == (0, 2999) for i in range(3000)) and {got[5000 + i] for i in range(30)} == {v for v in [got[5000]]}
+    assert got[5000][0] == 5000
