@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from recallforge.shared import cut, hot_keys, salted_join, shared_dir
 
-__all__ = ["cut", "fresh_path", "held", "hot_keys", "release", "salted_join", "shared_dir", "table", "written"]
+__all__ = ["cut", "fresh_path", "held", "hot_keys", "release", "salted_join", "shared_dir", "sieve", "sifted", "table", "written"]
 
 _written: list[str] = []
 
@@ -44,3 +44,23 @@ def held(df: DataFrame, name: str, value: Column) -> DataFrame:
     never put in place of its name, neither in filters nor in lambdas, where it
     would be computed again for each element."""
     return df.select("*", F.explode(F.array(value)).alias(name))
+
+
+#: Bits of a sieve: at most 2**18 rows of 16 bytes, whatever it stands for.
+SIEVE_BITS = 1 << 24
+
+
+def sieve(rows: DataFrame, key: str) -> DataFrame:
+    """(_word, _bits): a hashed bit set of the keys of ``rows``, of bounded size, to be
+    broadcast.  It holds every key, and others by chance; the more keys, the more."""
+    at = F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(SIEVE_BITS))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))
+    return rows.select(F.shiftright(at, 6).cast("int").alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+
+
+def sifted(rows: DataFrame, key: str, bits: DataFrame) -> DataFrame:
+    """``rows`` with ``_maybe``: false if their key is surely not in the sieve."""
+    at = F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(SIEVE_BITS))
+    marked = rows.withColumn("_at", at).join(F.broadcast(bits), F.shiftright("_at", 6).cast("int") == F.col("_word"), "left")
+    hit = F.call_function("shiftright", F.col("_bits"), F.col("_at").bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
+    return marked.withColumn("_maybe", F.coalesce(hit, F.lit(False))).drop("_at", "_word", "_bits")

@@ -122,21 +122,28 @@ def _split(runs: int):
 _SPLIT = "doc_id long, record binary, tokens int, paths array<struct<path:long,below:array<long>>>"
 
 
-def _deeper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (record, tokens, open, text): a row per open path with the paths of the
-    next DEPTH levels under it."""
+def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (record, text) to (record, set)."""
     for batch in batches:
         data, off = utf8(batch.column("text"))
         for i, j in slices(off, 1 << 20):
-            out: list[tuple] = []
-            part = batch.slice(i, j - i)
-            for record, paths, s in zip(part.column("record").to_pylist(), part.column("open").to_pylist(), shingle_sets(Words(data, off, i, j), SHINGLE), strict=True):
-                if len(s) and _digest(s) == record:
-                    below = _below(s, np.array(paths, np.int64).view(np.uint64), DEPTH)
-                    out += [(record, len(s), p, b) for p, b in zip(paths, below, strict=True)]
-            if out:
-                kinds = [pa.binary(), pa.int32(), pa.int64(), pa.list_(pa.int64())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["record", "tokens", "path", "below"])
+            sets = shingle_sets(Words(data, off, i, j), SHINGLE)
+            rows = [(r, s.tobytes()) for r, s in zip(batch.column("record").slice(i, j - i).to_pylist(), sets, strict=True) if len(s) and _digest(s) == r]
+            yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in rows], pa.binary()), pa.array([s for _, s in rows], pa.binary())], names=["record", "set"])
+
+
+def _deeper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (record, open, set): a row per open path with the paths of the next
+    DEPTH levels under it."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, 256):
+            part, out = batch.slice(k, 256), []
+            for record, paths, raw in zip(*(part.column(c).to_pylist() for c in ("record", "open", "set")), strict=True):
+                s = np.frombuffer(raw, np.uint64)
+                below = _below(s, np.array(paths, np.int64).view(np.uint64), DEPTH)
+                out += [(record, len(s), p, b) for p, b in zip(paths, below, strict=True)]
+            kinds = [pa.binary(), pa.int32(), pa.int64(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["record", "tokens", "path", "below"])
 
 
 _PATHS = "record binary, tokens int, path long, below array<long>"
@@ -288,20 +295,21 @@ def _classes(docs: DataFrame, threshold: tuple[int, int], recall: float, small:
 
     def with_texts(wanted: DataFrame) -> DataFrame:
         """``wanted`` (a row per record) with the text of the record's first document."""
-        named = wanted.join(records, "record").withColumnRenamed("first", "_id")
-        return docs.join(named, docs["doc_id"] == named["_id"])
+        named = _io.written(wanted.join(records, "record").withColumnRenamed("first", "_id"), "wanted")
+        some = _io.sifted(docs, "doc_id", _io.sieve(named, "_id")).where("_maybe")  # no other text is moved
+        return some.join(named, some["doc_id"] == named["_id"])
 
     # one row per record and path, however many copies there are
     paths = real.select("record", "tokens", F.explode("paths").alias("p")).groupBy("record", "p.path").agg(F.first("tokens").alias("tokens"), F.first("p.below").alias("below"))
-    leaves, levels = None, DEPTH - 1
-    while True:
-        done, still = _leaves(paths, small, levels, count)
-        leaves = done if leaves is None else leaves.unionByName(done)
-        if still.isEmpty():
-            break
+    leaves, still = _leaves(paths, small, DEPTH - 1, count)
+    # token sets of the records that need deeper paths, moved once
+    deep = with_texts(still.select("record").distinct()).select("record", "text").mapInArrow(_whole_sets, "record binary, set binary")
+    deep = _io.written(deep.groupBy("record").agg(F.first("set").alias("set")), "sets")
+    while not still.isEmpty():
         wanted = still.groupBy("record").agg(F.collect_list("path").alias("open"))
-        below = with_texts(wanted).select("record", "open", "text").mapInArrow(_deeper, _PATHS)
-        paths, levels = below.groupBy("record", "path").agg(F.first("tokens").alias("tokens"), F.first("below").alias("below")), DEPTH
+        paths = wanted.join(deep, "record").select("record", "open", "set").mapInArrow(_deeper, _PATHS)
+        done, still = _leaves(paths, small, DEPTH, count)
+        leaves = leaves.unionByName(done)
     # leaves with the same members are one leaf
     marks = leaves.groupBy("path").agg(F.count("*").alias("n"), F.sum("tokens").alias("t"), F.bit_xor(F.xxhash64("record")).alias("x"), F.sum(F.shiftright(F.xxhash64(F.lit(7), "record"), 20)).alias("s"))
     blocks = F.greatest(F.ceil(F.col("n") / tile), F.ceil(F.col("t") / tile_tokens)).cast("int")

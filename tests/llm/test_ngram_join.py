@@ -124,9 +124,12 @@ def test_runs():
     assert lost / 2000 <= (0.2 / 0.8) ** 2
 
 
-def test_recursion_goes_on_below_the_first_levels(spark):
+def test_recursion_goes_on_below_the_first_levels(spark, monkeypatch):
     """Texts that share most of one passage, so that buckets stay large for long,
-    with near copies among them."""
+    with near copies among them; paths of one level come with the shingles."""
+    monkeypatch.setattr(J, "DEPTH", 1)
+    passes, deeper = [], J._leaves
+    monkeypatch.setattr(J, "_leaves", lambda *a: passes.append(1) or deeper(*a))
     rng = random.Random(11)
     passage = [f"p{i}" for i in range(70)]
     rows = []
@@ -138,6 +141,7 @@ def test_recursion_goes_on_below_the_first_levels(spark):
         rows += [(i, " ".join(w)), (i + 1, " ".join(v))]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert found(J.classes(df, small=4)) == brute(rows)
+    assert len(passes) > 1
 
 
 def test_tiles_are_cut_by_tokens(spark):
