@@ -9,8 +9,10 @@ with a template of which it holds four fifths; with ``BANDS`` bands of one row,
 collides with a probability of 1 - (3/4)^BANDS (0.999 for 24).
 
 A window shares band i with a template only if it holds the template's smallest
-shingle under hash i.  So signatures are computed only for windows around these
-shingles, without losing a collision.  Colliding (window, template) pairs are then
+shingle under hash i.  So signatures are computed only for windows, of that
+template's class, around these shingles, without losing a collision.  They are found
+by a hash table, so a document costs the same however many templates there are.
+Colliding (window, template) pairs are then
 verified on the shingles themselves: containment of 4/5 or more.
 
 All of it is DataFrame functions; there is no Python on the executors.
@@ -19,11 +21,14 @@ Result: a row per doc_id and license: ``matched`` of ``total`` shingles in the b
 window, and ``window_start``, the number of that window's first word (ties: the
 first window).  Documents without a license have no row.  Null or empty text, or
 fewer than five words: no row.  Rows that share a doc_id count as one document;
-null is a doc_id like any other.  Empty table: no rows.  Extra columns are ignored.
+null is a doc_id like any other.  Very long texts are scanned whole.  Empty table, or
+no template of five words: no rows.  Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from recallforge.llm import _io
@@ -82,38 +87,57 @@ def _keys(minima: Column, stride: Column) -> Column:
     return F.transform(minima, lambda m, i: F.xxhash64(stride, i, m["v"]))
 
 
-def _templates(spark: SparkSession, templates) -> DataFrame:
-    """license_id, stride, shingles, minima, keys: one row per template."""
-    rows = ", ".join("('" + i.replace("'", "''") + "', '" + t.replace("\\", "\\\\").replace("'", "''") + "')" for i, t in templates)
-    t = _io.held(spark.sql(f"SELECT * FROM VALUES {rows} AS t(license_id, statement)"), "w", words(F.col("statement"))).where(F.size("w") >= SIZE)
+def _templates(known: DataFrame) -> DataFrame:
+    """license_id, stride, shingles, minima, keys: a row per statement of ``known``
+    (license_id, statement) of SIZE words or more."""
+    t = _io.held(known.select("license_id", "statement"), "w", words(F.col("statement"))).where(F.size("w") >= SIZE)
     t = _io.held(_io.held(t, "h", _hashes(F.col("w"))), "shingles", F.array_distinct(_texts(F.col("w"))))
-    most = max(len(x.split()) * 2 for _, x in templates)
-    stride = F.array_min(F.filter(F.array(*map(F.lit, _classes(most))), lambda s: s >= F.size("shingles")))
-    t = _io.held(t.withColumn("stride", stride), "minima", _minima(F.col("h")))
+    # the smallest class that is at least the number of shingles: 2^k or 3 * 2^(k - 1)
+    n = F.size("shingles")
+    power = F.pow(F.lit(2.0), F.ceil(F.log2(n))).cast("int")
+    between = (power / 4 * 3).cast("int")
+    t = _io.held(t.withColumn("stride", F.when((power >= 4) & (between >= n), between).otherwise(power)), "minima", _minima(F.col("h")))
     return t.withColumn("keys", _keys(F.col("minima"), F.col("stride"))).select("license_id", "stride", "shingles", "minima", "keys")
 
 
+def statements(spark: SparkSession, templates) -> DataFrame:
+    """license_id, statement: the templates as a table."""
+    return spark.createDataFrame(list(templates), "license_id string, statement string")
+
+
+def _marks(spark: SparkSession, known: DataFrame) -> str | None:
+    """The smallest shingles of all templates, each with the strides of its templates,
+    as a hash table: the JSON text of an array of buckets.  Templates are a parameter,
+    so this is bounded by them: BANDS numbers for each."""
+    rows = known.select("stride", F.explode("minima").alias("m")).groupBy(F.col("m.s").alias("s")).agg(F.array_sort(F.collect_set("stride")).alias("strides")).collect()
+    if not rows:
+        return None
+    size = 1 << max(4, (2 * len(rows)).bit_length())
+    table: list[list[dict]] = [[] for _ in range(size)]
+    for r in sorted(rows, key=lambda r: r.s):
+        table[r.s % size].append({"s": r.s, "strides": r.strides})
+    return json.dumps(table)
+
+
 def scan(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
+    """``templates``: (license_id, statement) pairs, or a DataFrame of them."""
     spark = docs.sparkSession
-    known = _templates(spark, templates)
-    # the templates are a parameter: their minima and strides are a few hundred numbers
-    facts = known.select("stride", F.array_distinct(F.transform("minima", lambda m: m["s"])).alias("s")).collect()
-    marks = sorted({x for r in facts for x in r.s})
-    strides = sorted({r.stride for r in facts})
-    mark = F.array(*map(F.lit, marks))
-    known = spark.createDataFrame([], known.schema) if not facts else known
+    known = _templates(templates if isinstance(templates, DataFrame) else statements(spark, templates))
+    marks = _marks(spark, known)
+    if marks is None:
+        return spark.createDataFrame([], docs.select("doc_id").schema.add("license_id", "string").add("matched", "long").add("total", "long").add("window_start", "long"))
+    table = F.from_json(F.lit(marks), "array<array<struct<s:long,strides:array<int>>>>")  # one constant
+    size = F.size(table)
+    found = lambda h: F.filter(F.get(table, F.pmod(h, size.cast("long")).cast("int")), lambda x: x["s"] == h)
     sets = _io.held(docs.select("doc_id", "text"), "w", words(F.col("text"))).select("doc_id", "w").where(F.size("w") >= SIZE)
-    sets = _io.held(sets, "h", _hashes(F.col("w"))).where(F.arrays_overlap("h", mark))
-    places = F.filter(F.sequence(F.lit(0), F.size("h") - 1), lambda i: F.array_contains(mark, F.get(F.col("h"), i)))
-    sets = _io.held(sets, "places", places)
-
-    def starts(s: int) -> Column:
-        """The two windows of a class that may hold each place."""
-        at = lambda p: (F.floor(p / s) * s).cast("int")
-        both = F.flatten(F.transform("places", lambda p: F.array(at(p), F.greatest(at(p) - s, F.lit(0)))))
-        return F.transform(F.array_distinct(both), lambda a: F.struct(F.lit(s).alias("stride"), a.alias("start")))
-
-    windows = sets.select("doc_id", "w", "h", F.explode(F.concat(*map(starts, strides))).alias("at")).select(
+    sets = _io.held(sets, "h", _hashes(F.col("w")))
+    # the two windows of a class that may hold the place of a mark of that class
+    at = lambda p, s: F.floor(p / s) * s
+    pair = lambda p, s: F.array(*[F.struct(s.alias("stride"), a.cast("int").alias("start")) for a in (at(p, s), F.greatest(at(p, s) - s, F.lit(0)))])
+    here = lambda h, p: F.flatten(F.transform(found(h), lambda x: F.flatten(F.transform(x["strides"], lambda s: pair(p, s)))))
+    starts = F.array_distinct(F.flatten(F.filter(F.transform("h", here), lambda a: F.size(a) > 0)))
+
+    windows = sets.select("doc_id", "w", "h", F.explode(starts).alias("at")).select(
         "doc_id",
         "at.*",
         F.slice("w", F.col("at.start") + 1, 2 * F.col("at.stride") + SIZE - 1).alias("w"),

@@ -14,15 +14,19 @@ literal that a match must hold.  A rule without such trigrams scans fully.
 
 All of it is DataFrame functions; there is no Python on the executors.
 
+Candidates are (document, rules) rows in the shared folder; a sieve of bounded size
+tells which texts may be theirs, and only those are moved to meet their rules.
+
 Spans are in code points, end exclusive.  Null text: empty, so no spans.  A
 repeated doc_id: each row is verified on its own text (the rows share candidates,
 which can only add checks).  A null doc_id is a value like any other.  Empty
-table: no rows.  Matches of one kind never overlap; those of two kinds may.
+table or no rules: no spans.  Very long texts are scanned whole.  Equal rows are
+scanned each.  Matches of one kind never overlap; those of two kinds may.  Columns
+of ``docs`` whose names the scan uses itself are replaced.
 """
 
 from __future__ import annotations
 
-import re._parser as regex_parser
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -60,6 +64,14 @@ RULES = BASE + MORE
 MOST_LITERALS = 64
 
 
+def regex_tree(pattern: str) -> list[tuple[str, object]]:
+    """The parsed pattern as (operation, argument) pairs, by the parser of ``re``: it
+    is no public interface, so the shapes that ``literals`` relies on are tested."""
+    from re import _parser
+
+    return list(_parser.parse(pattern))
+
+
 def literals(pattern: str) -> list[frozenset[str]]:
     """The mandatory literal groups of a regex: of each, a match holds one."""
     groups: list[frozenset[str]] = []
@@ -100,7 +112,7 @@ def literals(pattern: str) -> list[frozenset[str]]:
             groups.append(at)
         return frozenset([""])
 
-    flush(run(regex_parser.parse(pattern), frozenset([""])))
+    flush(run(regex_tree(pattern), frozenset([""])))
     return groups
 
 
@@ -134,12 +146,14 @@ def _postings(docs: DataFrame, trigrams: list[str]) -> DataFrame:
 
 
 def candidates(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """doc_id, rules: the numbers of the rules whose trigram query holds."""
+    """doc_id, _rules: the numbers of the rules whose trigram query holds."""
     rows = []
     for k, rule in enumerate(rules):
         for alternative, need in enumerate(trigram_query(rule.pattern)):
             for bit, t in enumerate(sorted(need)):
                 rows.append((k, alternative, t, 1 << bit, (1 << len(need)) - 1))
+    if not rows:  # every rule scans fully
+        return docs.select("doc_id", F.array().cast("array<int>").alias("_rules")).limit(0)
     quoted = ", ".join(f"({k}, {a}, '{t.replace(chr(39), chr(39) * 2)}', {bit}L, {full}L)" for k, a, t, bit, full in rows)
     query = docs.sparkSession.sql(f"SELECT * FROM VALUES {quoted} AS q(rule, alternative, trigram, bit, full)")
     postings = _postings(docs, sorted({r[2] for r in rows}))
@@ -171,11 +185,21 @@ _SPANS = "array<struct<start:int,rank:int,end:int,kind:string>>"
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``docs`` with ``secret_spans``: array<struct<start, rank, end, kind>>,
     sorted by start, then by the order of the rules."""
-    docs = docs.drop(*[c for c in docs.columns if c.lower() in ("secret_spans", "_rules", "_test", "_match", "_step", "_place", "_id")])
-    ids = candidates(docs.select("doc_id", "text"), rules).withColumnRenamed("doc_id", "_id")
-    rows = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id")
-    text = F.coalesce("text", F.lit(""))
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in ("secret_spans", "_rules", "_test", "_match", "_step", "_place", "_id", "_key", "_maybe", "_salt", "_hot", "_at", "_word", "_bits", "_n")])
     none = F.array().cast("array<string>")
+    text = F.coalesce("text", F.lit(""))
+    if not rules:
+        return docs.withColumn("secret_spans", F.array().cast(_SPANS))
+    ids = _io.written(candidates(docs.select("doc_id", "text"), rules).withColumnRenamed("doc_id", "_id"), "candidates")
+    # texts that are surely no candidates stay where they are
+    marked = _io.sifted(docs, "doc_id", _io.sieve(ids, "_id"))
+    some = marked.where("_maybe").drop("_maybe")
+    key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    some = some.withColumn("_key", key("doc_id"))
+    sizes = some.groupBy("_key").agg(F.count("*").alias("_n"))
+    hot = _io.hot_keys(sizes, "_key", "_n", docs.count())  # a doc_id of very many rows
+    rows = _io.salted_join(some, ids.select(key("_id").alias("_key"), "_rules"), "_key", hot, ["text"], "left").drop("_key")
+    rows = rows.unionByName(marked.where("not _maybe").drop("_maybe").withColumn("_rules", F.lit(None).cast("array<int>")))
     tests = [text.rlike(r.pattern) if not trigram_query(r.pattern) else F.coalesce(F.array_contains("_rules", k), F.lit(False)) & text.rlike(r.pattern) for k, r in enumerate(rules)]
     rows = _io.held(rows, "_test", F.struct(*[t.alias(f"t{k}") for k, t in enumerate(tests)]))
     match = []

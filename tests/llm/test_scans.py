@@ -29,6 +29,27 @@ def test_license_cases(spark):
     assert L.scan(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("templates", [(), [("short", "only four words here")], [("none", "!!")]])
+def test_no_template_of_five_words(spark, templates):
+    df = spark.createDataFrame([(1, "Released under the MIT License.")], "doc_id long, text string")
+    got = L.scan(df, templates)
+    assert got.count() == 0 and got.columns == ["doc_id", "license_id", "matched", "total", "window_start"]
+
+
+def test_classes_cover_every_length(spark):
+    rows = [(str(n), " ".join(f"w{i}" for i in range(n + 4))) for n in range(1, 70)]
+    got = {int(r.license_id): r.stride for r in L._templates(L.statements(spark, rows)).collect()}
+    assert got == {n: min(c for c in L._classes(256) if c >= n) for n in range(1, 70)}
+
+
+def test_many_templates_as_a_table(spark):
+    rows = [(f"t{k}", " ".join(f"k{k}w{i}" for i in range(5 + k % 40))) for k in range(300)]
+    docs = [(k, "before " * (k % 7) + t.upper() + " after" * 3) for k, (_, t) in enumerate(rows)] + [(-1, "nothing of the kind in this text")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(r.doc_id, r.license_id): (r.matched, r.total) for r in L.scan(df, L.statements(spark, rows)).collect()}
+    assert got == {(k, f"t{k}"): (1 + k % 40, 1 + k % 40) for k in range(300)}
+
+
 def python_spans(text):
     kinds = [("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A, 2, 8), ("access", r"AKIA[A-Z0-9]+", 0, 0, 16), ("hex", r"[0-9a-f]+", 0, 0, 32)]
     out = []
@@ -74,6 +95,39 @@ def test_trigram_queries():
     assert frozenset({"tok", "oke", "ken"}) in alternatives and all(alternatives)
 
 
+def test_shapes_of_the_regex_tree():
+    names = lambda p: [str(op) for op, _ in S.regex_tree(p)]
+    assert names("ab[cd]e?f{2,}(x)(?:xy|z)[^a]") == ["LITERAL", "LITERAL", "IN", "MAX_REPEAT", "MAX_REPEAT", "SUBPATTERN", "BRANCH", "NOT_LITERAL"]
+    tree = S.regex_tree("[cd]e?((?i:xy|z))")
+    assert [str(op) for op, _ in tree[0][1]] == ["LITERAL"] * 2 and tree[1][1][:2] == (0, 1) and str(tree[1][1][2][0][0]) == "LITERAL"
+    inner = tree[2][1][3][0]
+    assert str(inner[0]) == "SUBPATTERN" and str(inner[1][3][0][0]) == "BRANCH" and len(inner[1][3][0][1][1]) == 2
+
+
+@pytest.mark.parametrize("rules", [(), (S.BASE[2],), (S.BASE[0],)])
+def test_rules_with_and_without_trigrams(spark, rules):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(CASES)], "doc_id long, text string")
+    got = {r.doc_id: r.n for r in S.scan(df, rules).selectExpr("doc_id", "size(secret_spans) n").collect()}
+    kinds = {r.kind for r in rules}
+    assert got == {i: sum(s[3] in kinds for s in python_spans(t)) for i, t in enumerate(CASES)}
+    assert S.redact(df, rules).count() == len(CASES)
+
+
+def test_many_rows_of_one_id_are_dealt(spark):
+    df = spark.range(3000).selectExpr("CAST(NULL AS LONG) doc_id", "concat('token=', lpad(id, 9, '0')) text").unionByName(spark.range(5).selectExpr("id doc_id", "'none' text"))
+    got = S.digest(S.scan(df)).groupBy("n_assign").count().collect()
+    assert sorted(tuple(r) for r in got) == [(0, 5), (1, 3000)]
+
+
+def test_clashing_columns_and_very_long_texts(spark):
+    rows = [(1, "x " * 200_000 + "token=abcdefgh", 7, "u"), (2, None, 8, "v")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _rules int, rule string")
+    got = {r.doc_id: r for r in S.scan(df).collect()}
+    assert [s.start for s in got[1].secret_spans] == [400_000] and got[2].secret_spans == [] and got[1].rule == "u"
+    kept = S.redact(df.drop("_rules"))
+    assert kept.columns == ["doc_id", "text", "rule"] and kept.where("doc_id = 2").first().text is None
+
+
 def test_repeated_and_null_ids(spark):
     df = spark.createDataFrame([(1, "token=aaaaaaaa"), (1, "plain"), (None, "secret: bbbbbbbb"), (None, None)], "doc_id long, text string")
     assert sorted(r.n_assign for r in S.digest(S.scan(df)).collect()) == [0, 0, 1, 1]
