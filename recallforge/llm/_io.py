@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from recallforge.shared import cut, hot_keys, salted_join, shared_dir
 
-__all__ = ["cut", "fresh_path", "held", "hot_keys", "release", "salted_join", "shared_dir", "sieve", "sifted", "table", "written"]
+__all__ = ["apart", "cut", "fresh_path", "held", "hot_keys", "release", "salted_join", "scratch", "shared_dir", "sieve", "sifted", "table", "written"]
 
 _written: list[str] = []
 
@@ -23,15 +25,24 @@ def fresh_path(spark: SparkSession, stem: str) -> str:
     return path
 
 
-def release(spark: SparkSession, *keep: str) -> None:
-    """Deletes what this process wrote in the shared folder by ``fresh_path``, but
-    for the paths to ``keep``.  Frames read from deleted paths are of no more use."""
-    for path in [p for p in _written if p not in keep]:
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes ``paths`` of ``fresh_path``; frames read from them are of no more use."""
+    for path in paths:
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
         _written.remove(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession, *keep: str) -> Iterator[None]:
+    """What is written by ``fresh_path`` within goes at the end, but for ``keep``."""
+    before = set(_written)
+    try:
+        yield
+    finally:
+        release(spark, [p for p in _written if p not in before and p not in keep])
+
+
 def written(df: DataFrame, stem: str) -> DataFrame:
     """Write as Parquet in the shared folder and read it back."""
     path = fresh_path(df.sparkSession, stem)
@@ -46,6 +57,13 @@ def held(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
+def apart(docs: DataFrame, *used: str) -> tuple[DataFrame, list[Column]]:
+    """``docs`` with all columns but the ``used`` ones under names that no operator
+    uses, and the columns that give its own names and order back."""
+    names = {c: c if c in used else f"_own{k}" for k, c in enumerate(docs.columns)}
+    return docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), [F.col(n).alias(c) for c, n in names.items()]
+
+
 #: Bits of a sieve: at most 2**18 rows of 16 bytes, whatever it stands for.
 SIEVE_BITS = 1 << 24
 

@@ -189,8 +189,8 @@ def digest(scanned: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents without a hit, with their own columns only."""
-    cols = docs.columns
-    return scan(docs, benchmark, **options).where(F.size("hit_words") == 0).select(*cols)
+    rows, own = _io.apart(docs, "doc_id", "text")
+    return scan(rows, benchmark, **options).where(F.size("hit_words") == 0).select(*own)
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

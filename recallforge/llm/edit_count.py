@@ -1,23 +1,24 @@
 """Operator 6: edit-aware token counts.
 
 A document is kept as leaves, runs of whole pre-tokens of about ``leaf_chars``
-characters, under a segment tree of character and token sums.  A leaf begins at a
-single space between two characters that are no white space: no pre-token of the
-tokenizer's pattern crosses such a place, whatever stands further away, so the
-leaves' token counts add up to the document's.
+characters, under a segment tree of character and token sums.  A leaf ends where the
+tokenizer's pattern always ends a pre-token, whatever stands further away: before
+white space, or between a letter and a sign other than the apostrophe.  So the leaves'
+token counts add up to the document's.
 
 An edit finds its leaves by descending the tree, re-encodes them together with the
 neighbours it needs so that both ends are such boundaries again, and updates the
 sums on their paths to the root.  The rest of the text is not encoded anew.
 
 ``build`` adds the leaves to each row (columns ``leaf_chars``, ``leaf_tokens``),
-``apply_edits`` uses them.  Edits are ``array<struct<start, stop, text>>`` in code
-points of the document before any edit; they are applied from the last to the
-first, clipped to the text, a null text inserting nothing.
+``apply_edits`` sums them up and uses them.  Edits are ``array<struct<start, stop,
+text>>`` in code points of the document before any edit; they are applied from the
+last to the first, clipped to the text, a null text inserting nothing.
 
 Null text: empty, no leaves, 0 tokens; an edit may insert into it.  Null edits:
-none.  A text without such boundaries is one leaf.  Repeated rows are counted
-each.  Empty table: no rows.  Other columns pass through ``build``.
+none.  A very long run without a boundary is one pre-token or a few and one leaf,
+encoded anew as a whole.  Repeated rows are counted each.  Empty table: no rows.
+Other columns pass through ``build``.
 """
 
 from __future__ import annotations
@@ -33,7 +34,11 @@ from recallforge.llm import _io
 
 RANKS_FILE = "byte_bpe_50k.tiktoken"
 LEAF_CHARS = 256
-_BOUNDARY = re.compile(r"(?<=\S)(?= \S)")
+# Characters that every Unicode version has as letters, and signs: where both are
+# known, a pre-token ends between them.
+_LETTER = r"A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u02af\u0391-\u03a1\u03b1-\u03c9\u0410-\u044f\u3041-\u3094\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3"
+_SIGN = r"!-&(-/:-@\[-`{-~\u3001\u3002\uff01\uff0c\uff1f"
+_BOUNDARY = re.compile(rf"(?<=\S)(?=[ \t\n\v\f\r])|(?<=[{_LETTER}])(?=[{_SIGN}])|(?<=[{_SIGN}])(?=[{_LETTER}])")
 _encodings: dict[str, object] = {}
 
 
@@ -61,20 +66,19 @@ def cut_leaves(text: str, leaf_chars: int = LEAF_CHARS) -> list[str]:
 
 def _parts(left: str, right: str) -> bool:
     """Whether a pre-token always ends between the two texts."""
-    return not left or not right or (not left[-1].isspace() and len(right) > 1 and right[0] == " " and not right[1].isspace())
+    return not left or not right or _BOUNDARY.match(left[-1] + right[0], 1) is not None
 
 
 class TokenTree:
     """Leaves of a text under sums of their characters and tokens."""
 
     def __init__(self, leaves: list[str], tokens: list[int], count):
-        self.leaves, self.count = list(leaves), count
-        self.m = max(1, len(leaves))
+        self.leaves, self.count = list(leaves) or [""], count
+        self.m = 1 << (len(self.leaves) - 1).bit_length()
+        self.leaves += [""] * (self.m - len(self.leaves))
         self.chars, self.tokens = [0] * (2 * self.m), [0] * (2 * self.m)
         for k, (s, n) in enumerate(zip(leaves, tokens, strict=True)):
             self.chars[self.m + k], self.tokens[self.m + k] = len(s), n
-        if not leaves:
-            self.leaves = [""]
         for k in range(self.m - 1, 0, -1):
             self.chars[k] = self.chars[2 * k] + self.chars[2 * k + 1]
             self.tokens[k] = self.tokens[2 * k] + self.tokens[2 * k + 1]
@@ -82,11 +86,11 @@ class TokenTree:
 
     @property
     def n_tokens(self) -> int:
-        return self.tokens[1] if self.m > 1 else self.tokens[self.m]
+        return self.tokens[1]
 
     @property
     def n_chars(self) -> int:
-        return self.chars[1] if self.m > 1 else self.chars[self.m]
+        return self.chars[1]
 
     def text(self) -> str:
         return "".join(self.leaves)
@@ -101,30 +105,24 @@ class TokenTree:
             k //= 2
 
     def _before(self, leaf: int) -> int:
-        """Characters before a leaf: sums of the subtrees to its left."""
-        total, lo, hi = 0, self.m, self.m + leaf
-        while lo < hi:
-            if lo & 1:
-                total += self.chars[lo]
-                lo += 1
-            if hi & 1:
-                hi -= 1
-                total += self.chars[hi]
-            lo, hi = lo // 2, hi // 2
+        """Characters before a leaf: the left siblings on its path to the root."""
+        total, k = 0, self.m + leaf
+        while k > 1:
+            if k & 1:
+                total += self.chars[k - 1]
+            k //= 2
         return total
 
     def _find(self, at: int) -> int:
-        """The leaf of character ``at`` (the last leaf at the end of the text)."""
-        lo, hi = 0, self.m - 1
-        while lo < hi:
-            mid = (lo + hi + 1) // 2
-            if self._before(mid) <= at:
-                lo = mid
-            else:
-                hi = mid - 1
-        while lo > 0 and not self.leaves[lo]:
-            lo -= 1
-        return lo
+        """The leaf of character ``at`` (the last leaf that is not empty at the end of
+        the text), by descent from the root."""
+        at, k = min(at, self.n_chars - 1), 1
+        while k < self.m:
+            k *= 2
+            if at >= self.chars[k] and self.chars[k + 1]:
+                at -= self.chars[k]
+                k += 1
+        return k - self.m
 
     def edit(self, start: int, stop: int, text: str) -> None:
         size = self.n_chars

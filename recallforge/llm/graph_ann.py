@@ -13,27 +13,31 @@ pass relaxes ``alpha`` above 1, which keeps diverse, longer edges.  Every row is
 indexed.  The index is written to the shared folder.
 
 A query runs a beam search in every shard; the nearest of all shards are ranked by
-the double-precision product of the original vectors.  Queries go to the shards in
-blocks of about ``query_rows``, so a task holds one shard and one block.
+the double-precision product of the original vectors.  A task holds one shard, read
+once, while all queries stream past it in batches, so no graph is moved twice and
+memory does not grow with the queries.  Moving and searching grow with queries times
+shards: larger shards make fewer of both, at longer tasks.
 
 Equal vectors are one node with its ``k + 1`` smallest ids: no other id of them can
 be among any k nearest, since ties go to the smaller id.
 
 Vectors that are null, zero, hold a null or non-finite component, differ in length
-from the most frequent length, or have no vec_id take no part.  Repeated vec_ids
-with one vector count once.  Fewer candidates than k: all.  Empty table: no rows.
+from the most frequent length (ties: the shorter), or have no vec_id take no part.  A
+repeated vec_id counts once, with the smallest of its vectors, component by component.
+Fewer candidates than k: all.  Empty table: no rows.  Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from recallforge.llm import _io
 
-SHARD_ROWS = 8192
-QUERY_ROWS = 4096
+SHARD_ROWS = 16_384
 DEGREE = 32
 BEAM = 56
 SEARCH_BEAM = 128
@@ -176,53 +180,109 @@ def _square(v: Column) -> Column:
     return F.aggregate(v, F.lit(0.0), lambda a, c: a + c * c)
 
 
-def _stack(column) -> np.ndarray:
-    return np.stack([np.asarray(v, np.float64) for v in column])
+def _matrix(column: pa.ListArray) -> np.ndarray:
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    return np.asarray(flat, np.float64).reshape(len(column), -1)
+
+
+def _widened(v: np.ndarray, top: float) -> np.ndarray:
+    """One more component, so that the largest product is the smallest distance."""
+    return np.concatenate([v, np.sqrt(np.maximum(top - (v * v).sum(1, keepdims=True), 0))], 1).astype(np.float32)
+
+
+_INDEX = pa.schema([("shard", pa.int32()), ("position", pa.int32()), ("start", pa.int32()), ("ids", pa.list_(pa.int64())), ("v", pa.list_(pa.float64())), ("near", pa.list_(pa.int32()))])
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """(shard, rows) for each run of one shard in a batch; rows are sorted by shard."""
+    for batch in batches:
+        shard = batch.column("shard").to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if b > a:
+                yield int(shard[a]), batch.slice(a, b - a)
 
 
 def _index(top: float, degree: int, beam: int, alpha: float):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("node").reset_index(drop=True)
-        v = _stack(rows["v"])
-        x = np.concatenate([v, np.sqrt(np.maximum(top - (v * v).sum(1, keepdims=True), 0))], 1).astype(np.float32)
-        graph, start = build_graph(x, degree=degree, beam=beam, alpha=alpha)
-        rows["near"] = [g[g >= 0].tolist() for g in graph]
-        rows["position"], rows["start"] = np.arange(len(rows), dtype=np.int32), np.int32(start)
-        return rows[["shard", "position", "start", "ids", "v", "near"]]
+    def graph(shard: int, parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v, ids = np.concatenate([_matrix(p.column("v")) for p in parts]), pa.concat_arrays([p.column("ids") for p in parts])
+        near, start = build_graph(_widened(v, top), degree=degree, beam=beam, alpha=alpha)
+        for a in range(0, len(v), 4096):
+            part, g = v[a : a + 4096], near[a : a + 4096]
+            off = np.arange(0, part.size + 1, v.shape[1], dtype=np.int32)
+            at = np.concatenate([[0], np.cumsum((g >= 0).sum(1))]).astype(np.int32)
+            n = len(part)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.full(n, shard, np.int32)), pa.array(np.arange(a, a + n, dtype=np.int32)), pa.array(np.full(n, start, np.int32)), ids.slice(a, n),
+                    pa.ListArray.from_arrays(pa.array(off), pa.array(part.reshape(-1))), pa.ListArray.from_arrays(pa.array(at), pa.array(g[g >= 0].astype(np.int32))),
+                ],
+                schema=_INDEX,
+            )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts = None, []
+        for shard, rows in _runs(batches):
+            if shard != now and parts:
+                yield from graph(now, parts)
+                parts = []
+            now = shard
+            parts.append(rows)
+        if parts:
+            yield from graph(now, parts)
 
     return run
 
 
+class _Shard:
+    """One shard's graph, from index rows in order of position."""
+
+    def __init__(self, parts: list[pa.RecordBatch], top: float):
+        self.v = np.concatenate([_matrix(p.column("v")) for p in parts])
+        self.x = _widened(self.v, top)
+        self.norm = (self.x * self.x).sum(1)
+        self.start = int(parts[0].column("start")[0].as_py())
+        self.ids = pa.concat_arrays([p.column("ids") for p in parts])
+        near = pa.concat_arrays([p.column("near") for p in parts])
+        off = near.offsets.to_numpy()
+        count = np.diff(off)
+        self.graph = np.full((len(self.x), max(1, int(count.max(initial=0)))), -1, np.int32)
+        row = np.repeat(np.arange(len(count)), count)
+        self.graph[row, np.arange(off[-1] - off[0]) - np.repeat(off[:-1] - off[0], count)] = near.flatten().to_numpy()
+
+    def nearest(self, own: np.ndarray, q: np.ndarray, k: int, beam: int) -> list[tuple[int, int, float]]:
+        found: list[tuple[int, int, float]] = []
+        p = np.concatenate([q, np.zeros((len(q), 1))], 1).astype(np.float32)
+        near, _ = beam_search(self.x, self.norm, self.graph, self.start, p, min(max(beam, k + 1), len(self.x)))
+        for me, u, nodes in zip(own.tolist(), q, near, strict=True):
+            nodes = nodes[nodes >= 0]
+            score = self.v[nodes] @ u
+            order = np.argsort(-score, kind="stable")
+            # ties at the edge need every node of that score
+            edge = score[order[min(k, len(order) - 1)]]
+            rows = [(-float(score[o]), i) for o in order[score[order] >= edge] for i in self.ids[int(nodes[o])].as_py() if i != me]
+            rows.sort()
+            found += [(me, i, -s) for s, i in rows[:k]]
+        return found
+
+
 def _search(top: float, k: int, beam: int):
-    def run(index: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": np.empty(0, np.int64), "vec_id": np.empty(0, np.int64), "score": np.empty(0)})
-        if not len(index) or not len(queries):
-            return empty
-        index = index.sort_values("position").reset_index(drop=True)
-        v = _stack(index["v"])
-        x = np.concatenate([v, np.sqrt(np.maximum(top - (v * v).sum(1, keepdims=True), 0))], 1).astype(np.float32)
-        graph = np.full((len(x), max(1, max(map(len, index["near"])))), -1, np.int32)
-        for i, near in enumerate(index["near"]):
-            graph[i, : len(near)] = near
-        norm = (x * x).sum(1)
-        ids = index["ids"].to_list()
-        width = max(beam, k + 1)
-        found: list[tuple] = []
-        for a in range(0, len(queries), 512):
-            part = queries.iloc[a : a + 512]
-            q = _stack(part["v"])
-            p = np.concatenate([q, np.zeros((len(q), 1))], 1).astype(np.float32)
-            near, _ = beam_search(x, norm, graph, int(index["start"][0]), p, min(width, len(x)))
-            for own, u, nodes in zip(part["vec_id"].to_numpy(), q, near, strict=True):
-                nodes = nodes[nodes >= 0]
-                score = v[nodes] @ u
-                order = np.argsort(-score, kind="stable")
-                # ties at the edge need every node of that score
-                edge = score[order[min(k, len(order) - 1)]]
-                rows = [(-score[o], i) for o in order[score[order] >= edge] for i in ids[nodes[o]] if i != own]
-                rows.sort()
-                found += [(own, i, -s) for s, i in rows[:k]]
-        return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]) if found else empty
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts, shard = None, [], None
+        for number, rows in _runs(batches):
+            if number != now:
+                now, parts, shard = number, [], None
+            query = rows.column("query").to_numpy(zero_copy_only=False)
+            if not query.all():
+                parts.append(rows.filter(pa.array(~query)))
+            if not query.any() or not parts:
+                continue  # queries of a shard without rows find nothing there
+            shard = shard or _Shard(parts, top)
+            asked = rows.filter(pa.array(query))
+            for a in range(0, asked.num_rows, 512):
+                part = asked.slice(a, 512)
+                found = shard.nearest(part.column("vec_id").to_numpy(), _matrix(part.column("v")), k, beam)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True) if found else ([], [], []), (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "vec_id", "score"])
 
     return run
 
@@ -233,31 +293,36 @@ def build_index(vectors: DataFrame, *, k: int = 20, shard_rows: int = SHARD_ROWS
     sizes = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.max(_square(F.col("v"))).alias("top")).orderBy(F.desc("n"), "d").first()
     if sizes is None:
         return rows.select(F.lit(0).alias("shard"), "v").limit(0), rows, 0.0
-    rows = rows.where(F.size("v") == sizes.d)
+    rows = rows.where(F.size("v") == sizes.d).groupBy("vec_id").agg(F.min("v").alias("v"))
     # equal vectors: their k + 1 smallest ids, in two steps so that none is one task's
     same = ["h1", "h2"]
     marked = rows.select("vec_id", "v", F.xxhash64("v").alias("h1"), F.hash("v").alias("h2")).withColumn("salt", F.pmod("vec_id", F.lit(64)))
     first = Window.partitionBy(*same, "salt").orderBy("vec_id")
     again = Window.partitionBy(*same).orderBy("vec_id")
-    few = marked.withColumn("_r", F.dense_rank().over(first)).where(F.col("_r") <= k + 1).withColumn("_r", F.dense_rank().over(again)).where(F.col("_r") <= k + 1)
-    nodes = few.groupBy(*same).agg(F.array_sort(F.collect_set("vec_id")).alias("ids"), F.first("v").alias("v"))
+    few = marked.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= k + 1).withColumn("_r", F.row_number().over(again)).where(F.col("_r") <= k + 1)
+    nodes = few.groupBy(*same).agg(F.array_sort(F.collect_list("vec_id")).alias("ids"), F.first("v").alias("v"))
     shards = max(1, -(-sizes.n // shard_rows))
-    nodes = nodes.select(F.pmod(F.xxhash64(F.get("ids", F.lit(0))), F.lit(shards)).cast("int").alias("shard"), F.get("ids", F.lit(0)).alias("node"), "ids", "v")
-    index = nodes.groupBy("shard").applyInPandas(_index(sizes.top, degree, beam, alpha), "shard int, position int, start int, ids array<long>, v array<double>, near array<int>")
+    node = F.get("ids", F.lit(0))
+    nodes = nodes.select(F.pmod(F.xxhash64(node), F.lit(shards)).cast("int").alias("shard"), node.alias("node"), "ids", "v")
+    index = nodes.repartitionById(shards, "shard").sortWithinPartitions("shard", "node").mapInArrow(_index(sizes.top, degree, beam, alpha), "shard int, position int, start int, ids array<long>, v array<double>, near array<int>")
     return _io.written(index, "graph"), rows, sizes.top
 
 
-def search(index: DataFrame, queries: DataFrame, top: float, *, k: int = 20, beam: int = SEARCH_BEAM, query_rows: int = QUERY_ROWS) -> DataFrame:
+def search(index: DataFrame, queries: DataFrame, top: float, *, k: int = 20, beam: int = SEARCH_BEAM) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k nearest, by all shards.
     ``queries``: vec_id, v."""
-    blocks = max(1, -(-queries.count() // query_rows))
-    number = lambda c: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias(c)
-    shards = [r.shard for r in index.select("shard").distinct().collect()]  # one number per shard
-    left = index.select("*", number("block"))
-    right = queries.dropDuplicates(["vec_id"]).select("vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"), F.explode(F.array(*map(F.lit, shards)).cast("array<int>")).alias("shard"))
-    found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(_search(top, k, beam), "query_id long, vec_id long, score double")
+    last = index.agg(F.max("shard")).first()[0]
+    empty = lambda kind: F.lit(None).cast(kind)
+    left = index.select("shard", F.lit(False).alias("query"), "position", "start", "ids", "near", empty("long").alias("vec_id"), "v")
+    asked = queries.groupBy("vec_id").agg(F.min("v").alias("v"))
+    right = asked.select(
+        F.explode(F.sequence(F.lit(0), F.lit(last))).alias("shard"), F.lit(True).alias("query"), F.lit(0).alias("position"), F.lit(0).alias("start"),
+        F.array().cast("array<long>").alias("ids"), F.array().cast("array<int>").alias("near"), "vec_id", "v",
+    )
+    rows = left.unionByName(right).repartitionById(last + 1, "shard").sortWithinPartitions("shard", "query", "position")
+    found = rows.mapInArrow(_search(top, k, beam), "query_id long, vec_id long, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.distinct().withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op5_graph_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

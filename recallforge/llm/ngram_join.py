@@ -363,21 +363,22 @@ def keep_one(docs: DataFrame, *, threshold: tuple[int, int] = THRESHOLD, recall:
     from pyspark.sql.pandas.types import to_arrow_schema
 
     rows, _, heads = _classes(docs, threshold, recall, small, tile, tile_tokens)
-    cols, named = docs.columns, docs.where("doc_id is not null")
+    all_, own = _io.apart(docs, "doc_id", "text")
+    named = all_.where("doc_id is not null")
     counts = rows.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"))
     several = counts.where("n > 1").select(F.col("doc_id").alias("_several"))
     wordless = rows.where("doc_id is not null and record is null").select("doc_id")
     stay = heads.select("doc_id").unionByName(wordless).join(several, F.col("doc_id") == F.col("_several"), "left_anti").select(F.col("doc_id").alias("_stay"))
-    out = named.join(stay, F.col("doc_id") == F.col("_stay"), "left_semi").unionByName(docs.where("doc_id is null"))
+    out = named.join(stay, F.col("doc_id") == F.col("_stay"), "left_semi").unionByName(all_.where("doc_id is null"))
     if several.isEmpty():
-        return out
+        return out.select(*own)
     # rows that share a doc_id are told apart by their shingles
-    schema = T.StructType([*docs.schema.fields, T.StructField("_record", T.BinaryType())])
+    schema = T.StructType([*all_.schema.fields, T.StructField("_record", T.BinaryType())])
     told = named.join(several, F.col("doc_id") == F.col("_several"), "left_semi").mapInArrow(_marked(to_arrow_schema(schema)), schema)
-    mine = told.where("_record is not null").join(heads.select(F.col("record").alias("_record"), F.col("doc_id").cast("long").alias("_head")), "_record").where(F.col("doc_id").cast("long") == F.col("_head"))
-    first = Window.partitionBy("doc_id", "_record").orderBy("text", F.xxhash64(*cols))
+    mine = told.where("_record is not null").join(heads.select(F.col("record").alias("_record"), F.col("doc_id").alias("_head")), "_record").where(F.col("doc_id").cast("long") == F.col("_head"))
+    first = Window.partitionBy("doc_id", "_record").orderBy("text", F.xxhash64(*all_.columns))
     mine = mine.withColumn("_place", F.row_number().over(first)).where("_place = 1")
-    return out.unionByName(mine.select(*cols)).unionByName(told.where("_record is null").select(*cols))
+    return out.unionByName(mine.select(*all_.columns)).unionByName(told.where("_record is null").drop("_record")).select(*own)
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

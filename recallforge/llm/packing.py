@@ -1,36 +1,47 @@
 """Operator 9: best-fit packing into sequences of several permitted lengths.
 
-A document's length is its number of byte tokens, one per UTF-8 byte and an end
-token (null text: the end token alone), or a column that the caller names.  A
-document longer than the longest permitted length is cut into pieces of that
-length; no token is lost or repeated.
+``pack`` takes token ids, a list a document (``token_store.encode`` makes them of
+texts: the tokenizer's ids and an end id; null text: the end id alone), and gives
+sequences: their ids, and which pieces of which documents they hold.  A document
+longer than the longest permitted length is cut into pieces of that length; no token
+is lost or repeated.
 
 Best fit, decreasing: each piece goes to the open bin with the least room that
 holds it.  If there is none, a bin opens whose size costs least per token that
 can still be put into it (``cost``: the price of one sequence of that length).
 At the end every bin is downsized to the shortest permitted length that holds
-its contents.  Shards of about ``shard_items`` pieces are packed apart, in one task
-each; a shard that repeated rows make larger is packed in rounds of
-``round_items``, so memory is bounded and no row is dropped.
+its contents.
 
-Ties: longer piece first, then doc_id, then start.  Empty table: no rows.
-Repeated documents are packed each.  Extra columns are ignored.
+Pieces are dealt by a hash of document, place and ids to shards of about
+``shard_tokens`` tokens, each packed apart, one partition each.  A shard that equal
+rows make larger is packed in rounds of ``round_tokens``, so memory is bounded and no
+row is dropped.
+
+Ties: longer piece first, then doc_id (null first), then start, then ids.  A document
+of no ids (null or empty) is a piece of no tokens in a bin with the least room.
+Repeated documents are packed each.  Empty table: no rows.  Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import zlib
 from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from recallforge.llm import _io
+from recallforge.llm import _io, token_store
 
 LENGTHS = (1024, 2048, 4096, 8192, 16384)
-SHARD_ITEMS = 20_000
-ROUND_ITEMS = 200_000
-SCHEMA = "bin_id long, bin_capacity long, bin_used long, position int, doc_id long, piece_start long, piece_tokens long"
+SHARD_TOKENS = 8_000_000
+ROUND_TOKENS = 16_000_000
+#: A task packs one shard; beyond so many tasks, several in turn.
+MOST_TASKS = 50_000
+#: Bytes of text that a token stands for at least, on average: sizes shards of texts.
+TEXT_BYTES = 2
+SCHEMA = "bin_id long, capacity long, used long, doc_ids array<long>, starts array<long>, lengths array<long>, ids array<int>"
 
 
 def sequence_cost(length: int) -> float:
@@ -52,7 +63,7 @@ def best_fit(pieces: list[int], lengths: tuple[int, ...], cost: Callable[[int],
             if not room[free]:
                 del room[free], rooms[k]
         else:
-            size = min((s for s in lengths if s >= n), key=lambda s: (cost(s) / min(s, rest), s))
+            size = min((s for s in lengths if s >= n), key=lambda s: (cost(s) / max(1, min(s, rest)), s))
             b, free = len(used), size
             used.append(0)
             capacity.append(size)
@@ -68,62 +79,103 @@ def best_fit(pieces: list[int], lengths: tuple[int, ...], cost: Callable[[int],
     return where, used
 
 
-def _pack(lengths: tuple[int, ...], cost: Callable[[int], float], round_items: int):
-    def emit(shard: int, turn: int, rows: list[tuple]) -> pa.RecordBatch:
-        where, used = best_fit([r[2] for r in rows], lengths, cost)
-        size = [min(s for s in lengths if s >= u) for u in used]
-        seen = [0] * len(used)
-        out: list[tuple] = []
-        base = (shard << 34) | (turn << 24)
-        for (doc, start, n), b in zip(rows, where, strict=True):
-            out.append((base + b, size[b], used[b], seen[b], doc, start, n))
-            seen[b] += 1
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-        names = [f.split()[0] for f in SCHEMA.split(", ")]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+def _pack(lengths: tuple[int, ...], cost: Callable[[int], float], round_tokens: int):
+    schema = pa.schema([("bin_id", pa.int64()), ("capacity", pa.int64()), ("used", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("starts", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("ids", pa.list_(pa.int32()))])
+
+    def emit(first: int, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        where, used = best_fit([len(r[2]) for r in rows], lengths, cost)
+        bins: list[list[tuple]] = [[] for _ in used]
+        for r, b in zip(rows, where, strict=True):
+            bins[b].append(r)
+        for k in range(0, len(bins), 64):
+            part, u = bins[k : k + 64], used[k : k + 64]
+            flat = [np.concatenate([r[2] for r in x]) for x in part]
+            ends = np.concatenate([[0], np.cumsum(u)]).astype(np.int32)
+            cols = [
+                pa.array(range(first + k, first + k + len(part)), pa.int64()), pa.array([min(s for s in lengths if s >= n) for n in u], pa.int64()), pa.array(u, pa.int64()),
+                *(pa.array([[f(r) for r in x] for x in part], pa.list_(pa.int64())) for f in (lambda r: r[0], lambda r: r[1], lambda r: len(r[2]))),
+                pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(flat), pa.int32())),
+            ]
+            yield pa.RecordBatch.from_arrays(cols, schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, turn, rows = None, 0, []
+        shard, first, held, rows = None, 0, 0, []
         for batch in batches:
-            for s, doc, start, n in zip(*(batch.column(c).to_pylist() for c in ("shard", "doc_id", "piece_start", "piece_tokens")), strict=True):
-                if s != shard or len(rows) == round_items:
+            ids = batch.column("ids")
+            off, flat = ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False)
+            for k, (s, doc, start) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("shard", "doc_id", "piece_start")), strict=True)):
+                if s != shard or held >= round_tokens:
                     if rows:
-                        yield emit(shard, turn, rows)
-                    turn = turn + 1 if s == shard else 0
-                    shard, rows = s, []
-                rows.append((doc, start, n))
+                        for out in emit(first, rows):
+                            yield out
+                            first += out.num_rows
+                    if s != shard:
+                        shard, first = s, s << 40
+                    held, rows = 0, []
+                rows.append((doc, start, flat[off[k] : off[k + 1]]))
+                held += 1 + int(off[k + 1] - off[k])
         if rows:
-            yield emit(shard, turn, rows)
+            yield from emit(first, rows)
 
     return run
 
 
 def pack(
-    docs: DataFrame,
+    tokens: DataFrame,
     *,
     lengths: tuple[int, ...] = LENGTHS,
-    tokens: Column | None = None,
     cost: Callable[[int], float] = sequence_cost,
-    shard_items: int = SHARD_ITEMS,
-    round_items: int = ROUND_ITEMS,
+    shards: int | None = None,
+    shard_tokens: int = SHARD_TOKENS,
+    round_tokens: int = ROUND_TOKENS,
 ) -> DataFrame:
-    """One row per piece: its bin, the bin's final size and fill, its place."""
+    """A row per sequence of ``tokens`` (doc_id, ids): bin_id, capacity (its final
+    length), used, the doc_ids, starts and lengths of its pieces, and their ids."""
     lengths = tuple(sorted(set(lengths)))
     top = lengths[-1]
-    n = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1 if tokens is None else tokens.cast("long")
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), n.alias("n")).where("n > 0")
-    pieces = sized.select("doc_id", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(top).cast("long"))).alias("piece_start")).select(
-        "doc_id", "piece_start", F.least(F.col("n") - F.col("piece_start"), F.lit(top).cast("long")).alias("piece_tokens")
-    )
-    shards = max(1, -(-docs.count() // shard_items))
-    partitions = min(shards, max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    rows = tokens.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("ids").cast("array<int>"), F.array().cast("array<int>")).alias("ids"))
+    if shards is None:
+        total = rows.agg(F.sum(F.size("ids")).alias("n")).first().n
+        shards = max(1, -(-(total or 0) // shard_tokens))
+    starts = F.sequence(F.lit(0), F.greatest(F.size("ids") - 1, F.lit(0)), F.lit(top))
+    pieces = rows.select("doc_id", "ids", F.explode(starts).alias("at")).select("doc_id", F.col("at").cast("long").alias("piece_start"), F.slice("ids", F.col("at") + 1, top).alias("ids"))
+    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece_start", "ids"), F.lit(shards)).cast("int"))
+    tasks = min(shards, MOST_TASKS)
     return (
-        pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece_start"), F.lit(shards)))
-        .repartition(partitions, "shard")
-        .sortWithinPartitions("shard", F.desc("piece_tokens"), "doc_id", "piece_start")
-        .mapInArrow(_pack(lengths, cost, round_items), SCHEMA)
+        dealt.repartitionById(tasks, F.pmod("shard", F.lit(tasks)))
+        .sortWithinPartitions("shard", F.desc(F.size("ids")), F.col("doc_id").asc_nulls_first(), "piece_start", "ids")
+        .mapInArrow(_pack(lengths, cost, round_tokens), SCHEMA)
     )
 
 
+def pack_texts(docs: DataFrame, *, tokenizer: str | None = None, end_id: int = token_store.END_ID, shard_tokens: int = SHARD_TOKENS, **options) -> DataFrame:
+    """Sequences of the texts of ``docs`` (doc_id, text).  Shards are sized by the
+    bytes of the texts, so that each text is encoded once."""
+    size = docs.agg(F.sum(F.octet_length("text").cast("long")).alias("n")).first().n or 0
+    shards = max(1, -(-size // (TEXT_BYTES * shard_tokens)))
+    return pack(token_store.encode(docs, tokenizer=tokenizer, end_id=end_id), shards=shards, **options)
+
+
+def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["bin_id", "bin_capacity", "bin_used", "position", "doc_id", "piece_start", "piece_tokens", "ids_crc32"]
+    for batch in batches:
+        out: list[tuple] = []
+        ids = batch.column("ids")
+        off, flat = ids.offsets.to_numpy(), np.ascontiguousarray(ids.values.to_numpy(zero_copy_only=False), "<i4")
+        rows = zip(*(batch.column(c).to_pylist() for c in ("bin_id", "capacity", "used", "doc_ids", "starts", "lengths")), strict=True)
+        for (b, size, used, docs, starts, counts), at in zip(rows, off[:-1].tolist(), strict=True):
+            for k, (doc, start, n) in enumerate(zip(docs, starts, counts, strict=True)):
+                out.append((b, size, used, k, doc, start, n, zlib.crc32(flat[at : at + n])))
+                at += n
+        kinds = [pa.int64()] * 3 + [pa.int32()] + [pa.int64()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)] if out else [pa.array([], k) for k in kinds], names=names)
+
+
+def piece_digest(sequences: DataFrame) -> DataFrame:
+    """A row per piece: its bin, the bin's length and fill, its place, and the crc32
+    of its ids as little-endian 32-bit integers."""
+    return sequences.mapInArrow(_digest, "bin_id long, bin_capacity long, bin_used long, position int, doc_id long, piece_start long, piece_tokens long, ids_crc32 long")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(_io.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return piece_digest(pack_texts(_io.table(spark, sf_dir, "documents").select("doc_id", "text")))

@@ -254,7 +254,6 @@ def digest(scanned: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mask: str = "[SECRET]") -> DataFrame:
     """The documents with every span masked (overlapping spans as one), n_chars
     (where it is a column) renewed for changed texts; all rows and columns stay."""
-    cols = docs.columns
     # merge overlapping spans, then stitch what lies between: both linear folds
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("done"))
     text = F.col("text")
@@ -267,12 +266,12 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mask: str = "[SECRE
         ),
         lambda acc: F.concat(acc["done"], F.substring(text, acc["at"] + 1, F.length(text))),
     )
-    out = scan(docs, rules)
+    rows, own = _io.apart(docs, "doc_id", "text", "n_chars")
     hit = F.size("secret_spans") > 0
-    out = out.withColumn("_masked", F.when(hit, stitched).otherwise(text))
-    if "n_chars" in cols:
+    out = scan(rows, rules).withColumn("_masked", F.when(hit, stitched).otherwise(text))
+    if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(hit, F.length("_masked").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.withColumn("text", F.col("_masked")).select(*cols)
+    return out.withColumn("text", F.col("_masked")).select(*own)
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,6 +14,7 @@ are kept, ordered by text; a null doc_id sorts first.  Extra columns are ignored
 
 from __future__ import annotations
 
+import json
 import os
 import unicodedata
 from collections.abc import Iterator
@@ -45,10 +46,30 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in shown else chr(next(hidden)) for b in range(256)]
 
 
+# The normaliser and the pattern of the tokenizer whose pieces are known.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
+def known_pieces(spec: dict) -> bool:
+    """Whether a tokenizer of this definition cuts texts as PieceEncoder does."""
+    same = spec["normalizer"] == _NORMALIZER and spec["pre_tokenizer"] == _PRE_TOKENIZER and not spec.get("truncation")
+    model = spec["model"]
+    whole = model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "byte_fallback"))
+    return same and whole and all("<|" in t["content"] for t in spec["added_tokens"])
+
+
 class PieceEncoder:
     """Whole texts through the tokenizers library, each distinct piece once.
 
-    The tokenizer drops white space before it merges, so a text's ids are those
+    That is for tokenizers whose normaliser and pattern are the ones known here; with
+    any other file texts are encoded whole, by the library.  The known one drops white space before it merges, so a text's ids are those
     of its pieces between ASCII white space in order.  Its pattern also always
     parts letters, digits and ASCII signs other than the apostrophe, so pieces
     are parted there too (letters: ASCII and Latin-1; nothing else is parted).
@@ -64,6 +85,7 @@ class PieceEncoder:
 
         self.tok = Tokenizer.from_file(path)
         self.model = self.tok.model
+        self.by_piece = known_pieces(json.loads(self.tok.to_str()))
         self.letters = _byte_letters()
         self._clear()
 
@@ -95,7 +117,7 @@ class PieceEncoder:
     def encode(self, data: np.ndarray, off: np.ndarray, i: int, j: int, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, counts): the ids of rows i..j, each closed by ``end_id``."""
         raw = data[int(off[i]) : int(off[j])].tobytes()
-        if b"<|" in raw:
+        if not self.by_piece or b"<|" in raw:
             return self._whole(data, off, i, j, end_id)
         if len(self.place) > CACHE_PIECES:
             self._clear()
@@ -150,6 +172,25 @@ def _encode_partition(path: str, end_id: int):
     return run
 
 
+def _encode_rows(path: str, end_id: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = _encoder(path)
+        for batch in batches:
+            data, off = utf8(batch.column("text"))
+            for i, j in slices(off):
+                ids, n = enc.encode(data, off, i, j, end_id)
+                where = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.ListArray.from_arrays(pa.array(where), pa.array(ids.view(np.int32)))], names=["doc_id", "ids"])
+
+    return run
+
+
+def encode(docs: DataFrame, *, tokenizer: str | None = None, end_id: int = END_ID) -> DataFrame:
+    """doc_id, ids of ``docs`` (doc_id, text), each closed by ``end_id``."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return rows.mapInArrow(_encode_rows(tokenizer or tokenizer_path(), end_id), "doc_id long, ids array<int>")
+
+
 def write_tokens(
     docs: DataFrame,
     path: str,

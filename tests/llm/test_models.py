@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from recallforge.llm import decontam as D, graph_ann as A, langid as L, url_filter as U
 from tests.compare import SF, same
@@ -156,11 +157,27 @@ def test_language_odd_rows(spark):
     assert [(r.lang_pred, r.score) for r in L.identify(unlabelled).collect()] == [("und", 0.0)]
 
 
+def test_texts_in_no_learned_language_go(spark):
+    """Each language left out in turn: its texts go, whichever others compete; texts
+    in learned languages stay, and so do short ones."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    langs = [r.lang for r in docs.select("lang").distinct().collect()]
+    for out in langs:
+        for known in ([x for x in langs if x != out], [x for x in langs if x != out][:1]):
+            mixed = docs.where(docs["lang"].isin([*known, out]))
+            named = mixed.withColumn("lang", F.when(F.col("lang") != out, F.col("lang")))
+            kept = {r.doc_id for r in L.keep_identified(named).collect()}
+            rows = mixed.where("octet_length(text) >= 100").collect()
+            mine, other = [r.doc_id in kept for r in rows if r.lang != out], [r.doc_id in kept for r in rows if r.lang == out]
+            assert sum(mine) >= 0.995 * len(mine) and sum(other) <= 0.15 * len(other)
+    more = [(-1, "All human beings are born free", None), (-2, "Все люди рождаются свободными и равными в своем достоинстве и правах.", None), (-3, "a", None), (-4, "xqz kvj wpf zzq jxk qwv bnm zxc vbn qwr tyu plk jhg", None)]
+    kept = {r.doc_id for r in L.keep_identified(docs.unionByName(spark.createDataFrame(more, docs.schema))).collect()}
+    assert -3 in kept and not {-2, -4} & kept
+
+
 def test_labels_are_no_input(spark):
     df = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
     trees = L.fit(df.where(L.fold() != 2))
-    from pyspark.sql import functions as F
-
     a = L.predict(df, trees).select("doc_id", "lang_pred", "score").collect()
     b = L.predict(df.withColumn("lang", F.lit("xx")), trees).select("doc_id", "lang_pred", "score").collect()
     assert sorted(a) == sorted(b)
@@ -355,7 +372,7 @@ def test_recall_over_several_shards(spark):
     rows = [(i, v.tolist()) for i, v in enumerate(x)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     index, part, top = A.build_index(df, k=10, shard_rows=500, degree=16, beam=32)
-    got = A.search(index, part.where("vec_id % 20 = 0"), top, k=10, query_rows=30).collect()
+    got = A.search(index, part.where("vec_id % 20 = 0"), top, k=10).collect()
     want = brute_near(rows, [r for r in rows if r[0] % 20 == 0], 10)
     near = defaultdict(set)
     for r in got:
@@ -364,6 +381,14 @@ def test_recall_over_several_shards(spark):
     assert index.count() == 1500
 
 
+def test_repeated_ids_take_their_smallest_vector(spark):
+    rows = [(0, [1.0, 5.0]), (0, [1.0, 2.0]), (1, [3.0, 0.0]), (2, [0.0, 4.0]), (1, [3.0, 0.0])]
+    for part in (rows, rows[::-1]):
+        i, p, t = A.build_index(spark.createDataFrame(part, "vec_id long, embedding array<double>"))
+        got = [(r.vec_id, r.score) for r in A.search(i, p.where("vec_id = 0"), t).orderBy("rank").collect()]
+        assert got == [(2, 8.0), (1, 3.0)]
+
+
 def test_neighbour_ties_and_odd_vectors(spark):
     nan = float("nan")
     rows = [(i, [1.0, 0.0]) for i in range(0, 120)] + [(200, [0.5, 0.5]), (220, None), (240, [0.0, 0.0]), (260, [nan, 1.0]), (280, [1.0, float("inf")]), (300, [1.0, None]), (320, [1.0]), (None, [1.0, 1.0]), (40, [1.0, 0.0])]

@@ -52,6 +52,42 @@ def test_empty_table(spark, tmp_path):
     assert K.token_digest(K.read_tokens(spark, str(tmp_path / "t"))).count() == 0
 
 
+@pytest.mark.parametrize("name, known", [("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)])
+def test_any_tokenizer_file_gives_the_library_ids(spark, name, known):
+    path = K.tokenizer_path(name)
+    assert K.PieceEncoder(path).by_piece == known
+    tok = Tokenizer.from_file(path)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "doc_id long, text string")
+    got = {r.doc_id: list(r.ids) for r in K.encode(df, tokenizer=path, end_id=7).collect()}
+    assert got == {i: [*tok.encode(t or "", add_special_tokens=False).ids, 7] for i, t in enumerate(TEXTS)}
+
+
+def test_files_have_row_groups_indexes_and_delta_pages(spark, tmp_path):
+    """Footers: several row groups, column and offset indexes, delta-encoded ids; and
+    a read of one document opens few of the row groups."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    rng = random.Random(4)
+    rows = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(300))) for i in range(600)]
+    K.write_tokens(spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path / "t"), shards=1, row_group_bytes=1 << 18, page_bytes=1 << 14)
+    (file,) = glob.glob(str(tmp_path / "t" / "*.parquet"))
+    meta = pq.ParquetFile(file).metadata
+    assert meta.num_row_groups > 2
+    for g in range(meta.num_row_groups):
+        cols = {meta.row_group(g).column(c).path_in_schema: meta.row_group(g).column(c) for c in range(meta.num_columns)}
+        assert all(c.has_offset_index and c.compression == "ZSTD" for c in cols.values())
+        assert cols["doc_id"].has_column_index and cols["local_start"].has_column_index
+        ids = next(c for name, c in cols.items() if name.startswith("ids"))
+        assert {"DELTA_BINARY_PACKED", "RLE_DICTIONARY"} & set(ids.encodings)
+        assert "DELTA_BINARY_PACKED" in cols["doc_id"].encodings or "RLE_DICTIONARY" in cols["doc_id"].encodings
+    ends = [meta.row_group(g).column(0).statistics for g in range(meta.num_row_groups)]
+    assert all(a.max < b.min for a, b in zip(ends, ends[1:]))
+    one = K.read_tokens(spark, str(tmp_path / "t")).where("doc_id = 333")
+    assert "PushedFilters: [IsNotNull(doc_id), EqualTo(doc_id,333)" in one._jdf.queryExecution().toString() and len(one.collect()) == 1
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text(alphabet=st.sampled_from("aAbéÉßİ'.,* \n\t1½́日"), max_size=24), min_size=1, max_size=4))
 def test_pieces_equal_the_tokenizer(texts):
@@ -115,31 +151,61 @@ def test_best_fit_takes_a_tightest_bin():
         assert [cap[b] - room[b] for b in range(len(used))] == used
 
 
-@pytest.mark.parametrize("sf", [SF])
-def test_packing_keeps_every_token(spark, sf):
-    rows = P.op9_packing(spark, sf).collect()
-    sizes = {r.doc_id: len((r.text or "").encode()) + 1 for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
-    parts, bins = {}, {}
-    for r in rows:
-        parts.setdefault(r.doc_id, []).append((r.piece_start, r.piece_tokens))
-        bins.setdefault(r.bin_id, []).append(r)
-    assert set(parts) == set(sizes)
-    for d, p in parts.items():
-        at = 0
-        for start, n in sorted(p):
-            assert start == at
+def packed(df):
+    """(pieces of each document, bins) of sequences."""
+    parts, bins = {}, []
+    for r in df.collect():
+        at, bin_ = 0, []
+        for doc, start, n in zip(r.doc_ids, r.starts, r.lengths, strict=True):
+            parts.setdefault(doc, []).append((start, list(r.ids[at : at + n])))
             at += n
-        assert at == sizes[d]
-    for b in bins.values():
-        used = sum(r.piece_tokens for r in b)
-        assert {r.bin_used for r in b} == {used} and sorted(r.position for r in b) == list(range(len(b)))
-        assert {r.bin_capacity for r in b} == {min(s for s in P.LENGTHS if s >= used)}
-    total = sum(sizes.values())
-    assert total / sum(b[0].bin_capacity for b in bins.values()) > 0.95
+            bin_.append(n)
+        assert at == len(r.ids) == r.used
+        bins.append((r.bin_id, r.capacity, r.used, bin_))
+    return parts, bins
+
+
+def test_packing_keeps_every_token(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    want = dict(zip(texts, reference(texts.values()), strict=True))
+    parts, bins = packed(P.pack_texts(docs, shard_tokens=20_000))
+    assert len({b for b, *_ in bins}) == len(bins) and len({b >> 40 for b, *_ in bins}) > 1
+    for d, pieces in parts.items():
+        assert [x for _, p in sorted(pieces) for x in p] == want[d]
+        assert all(start % P.LENGTHS[-1] == 0 for start, _ in pieces)
+    assert set(parts) == set(want)
+    assert all(size == min(s for s in P.LENGTHS if s >= used) for _, size, used, _ in bins)
+    _, one = packed(P.pack_texts(docs))
+    assert sum(map(len, want.values())) / sum(size for _, size, *_ in one) > 0.95
+    got = sorted((r.doc_id, r.piece_start, r.piece_tokens, r.ids_crc32) for r in P.op9_packing(spark, SF).collect())
+    top = P.LENGTHS[-1]
+    assert got == sorted((d, a, len(ids[a : a + top]), crc(ids[a : a + top])) for d, ids in want.items() for a in range(0, len(ids), top))
 
 
 def test_packing_odd_rows(spark):
-    df = spark.createDataFrame([(1, None, 5), (None, "x" * 40_000, 5), (2, "", 5), (2, "", 5)], "doc_id long, text string, bin_id int")
-    rows = P.pack(df, round_items=2).collect()
-    assert sum(r.piece_tokens for r in rows) == 40_001 + 3 and len({(r.bin_id, r.position) for r in rows}) == len(rows)
-    assert P.pack(df.limit(0)).count() == 0
+    rows = [(1, None, 5), (None, [7] * 40_000, 5), (2, [], 5), (2, [1, 2], 5), (2, [1, 2], 5), (None, [3], 6)]
+    df = spark.createDataFrame(rows, "doc_id long, ids array<int>, bin_id int")
+    for options in ({}, {"round_tokens": 2}, {"shards": 3}):
+        parts, bins = packed(P.pack(df, **options))
+        assert sorted(len(p) for x in parts.values() for _, p in x) == [0, 0, 1, 2, 2, 40_000 - 2 * 16384, 16384, 16384]
+        assert len({b for b, *_ in bins}) == len(bins) and sorted(parts, key=str) == [1, 2, None]
+    assert P.pack(df.limit(0)).count() == 0 and P.piece_digest(P.pack(df.limit(0))).count() == 0
+    alone = spark.createDataFrame([(1, None)], "doc_id long, ids array<int>")
+    assert [(r.capacity, r.used, r.doc_ids) for r in P.pack(alone).collect()] == [(1024, 0, [1])]
+    assert P.pack_texts(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_rows_of_one_id_are_dealt_over_shards(spark):
+    df = spark.range(400).selectExpr("CAST(NULL AS LONG) doc_id", "transform(sequence(0, 20), x -> CAST(id + x AS INT)) ids")
+    got = P.pack(df, shards=8).selectExpr("shiftright(bin_id, 40) s").groupBy("s").count().collect()
+    assert len(got) == 8
+
+
+def test_edit_texts_without_boundaries_and_long_ones(spark):
+    enc = E.encoding()
+    rows = [(1, "日本語のテキスト" * 800), (2, "word " * 30_000), (3, "x" * 20_000), (4, "a\n" * 5000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("edits", E.revision())
+    for r in E.apply_edits(E.build(df), with_text=True).collect():
+        assert r.n_tokens == len(enc.encode_ordinary(dict(rows)[r.doc_id])) and r.n_tokens_after == len(enc.encode_ordinary(r.text_after))
+    assert E.apply_edits(E.build(df.where("doc_id = 2"))).first().reencoded_chars < 10_000
