@@ -101,8 +101,10 @@ def _templates(known: DataFrame) -> DataFrame:
 
 
 def statements(spark: SparkSession, templates) -> DataFrame:
-    """license_id, statement: the templates as a table."""
-    return spark.createDataFrame(list(templates), "license_id string, statement string")
+    """license_id, statement: (license_id, statement) pairs as a table."""
+    quote = lambda x: "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    rows = ", ".join(f"({quote(i)}, {quote(t)})" for i, t in templates)
+    return spark.sql(f"SELECT * FROM VALUES {rows or '(NULL, NULL)'} AS t(license_id, statement)").where("statement IS NOT NULL").select(F.col("license_id").cast("string").alias("license_id"), F.col("statement").cast("string").alias("statement"))
 
 
 def _marks(spark: SparkSession, known: DataFrame) -> str | None:

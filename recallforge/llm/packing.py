@@ -35,13 +35,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from recallforge.llm import _io, token_store
 
 LENGTHS = (1024, 2048, 4096, 8192, 16384)
-SHARD_TOKENS = 8_000_000
-ROUND_TOKENS = 16_000_000
+SHARD_TOKENS = 4_000_000
+ROUND_TOKENS = 8_000_000
 #: A task packs one shard; beyond so many tasks, several in turn.
 MOST_TASKS = 50_000
 #: Bytes of text that a token stands for at least, on average: sizes shards of texts.
 TEXT_BYTES = 2
-SCHEMA = "bin_id long, capacity long, used long, doc_ids array<long>, starts array<long>, lengths array<long>, ids array<int>"
+SEQUENCES = "bin_id long, capacity long, used long, doc_ids array<long>, starts array<long>, lengths array<long>, ids array<int>"
+PIECES = "bin_id long, bin_capacity long, bin_used long, position int, doc_id long, piece_start long, piece_tokens long, ids_crc32 long"
 
 
 def sequence_cost(length: int) -> float:
@@ -79,24 +80,35 @@ def best_fit(pieces: list[int], lengths: tuple[int, ...], cost: Callable[[int],
     return where, used
 
 
-def _pack(lengths: tuple[int, ...], cost: Callable[[int], float], round_tokens: int):
-    schema = pa.schema([("bin_id", pa.int64()), ("capacity", pa.int64()), ("used", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("starts", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("ids", pa.list_(pa.int32()))])
+def _sequences(first: int, sizes: list[int], used: list[int], bins: list[list[tuple]]) -> pa.RecordBatch:
+    ends = np.concatenate([[0], np.cumsum(used)]).astype(np.int32)
+    names = [f.split()[0] for f in SEQUENCES.split(", ")]
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(range(first, first + len(bins)), pa.int64()), pa.array(sizes, pa.int64()), pa.array(used, pa.int64()),
+            *(pa.array([[f(r) for r in x] for x in bins], pa.list_(pa.int64())) for f in (lambda r: r[0], lambda r: r[1], lambda r: len(r[2]))),
+            pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([r[2] for x in bins for r in x]), pa.int32())),
+        ],
+        names=names,
+    )
 
-    def emit(first: int, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+
+def _pieces(first: int, sizes: list[int], used: list[int], bins: list[list[tuple]]) -> pa.RecordBatch:
+    rows = [(first + b, sizes[b], used[b], k, doc, start, len(ids), zlib.crc32(np.ascontiguousarray(ids, "<i4"))) for b, x in enumerate(bins) for k, (doc, start, ids) in enumerate(x)]
+    kinds = [pa.int64()] * 3 + [pa.int32()] + [pa.int64()] * 4
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[f.split()[0] for f in PIECES.split(", ")])
+
+
+def _pack(lengths: tuple[int, ...], cost: Callable[[int], float], round_tokens: int, batch: Callable[..., pa.RecordBatch]):
+    def emit(first: int, rows: list[tuple]) -> Iterator[tuple[int, pa.RecordBatch]]:
         where, used = best_fit([len(r[2]) for r in rows], lengths, cost)
         bins: list[list[tuple]] = [[] for _ in used]
         for r, b in zip(rows, where, strict=True):
             bins[b].append(r)
+        size = [min(s for s in lengths if s >= n) for n in used]
         for k in range(0, len(bins), 64):
-            part, u = bins[k : k + 64], used[k : k + 64]
-            flat = [np.concatenate([r[2] for r in x]) for x in part]
-            ends = np.concatenate([[0], np.cumsum(u)]).astype(np.int32)
-            cols = [
-                pa.array(range(first + k, first + k + len(part)), pa.int64()), pa.array([min(s for s in lengths if s >= n) for n in u], pa.int64()), pa.array(u, pa.int64()),
-                *(pa.array([[f(r) for r in x] for x in part], pa.list_(pa.int64())) for f in (lambda r: r[0], lambda r: r[1], lambda r: len(r[2]))),
-                pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(flat), pa.int32())),
-            ]
-            yield pa.RecordBatch.from_arrays(cols, schema=schema)
+            end = min(k + 64, len(bins))
+            yield end - k, batch(first + k, size[k:end], used[k:end], bins[k:end])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, first, held, rows = None, 0, 0, []
@@ -106,16 +118,17 @@ def _pack(lengths: tuple[int, ...], cost: Callable[[int], float], round_tokens:
             for k, (s, doc, start) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("shard", "doc_id", "piece_start")), strict=True)):
                 if s != shard or held >= round_tokens:
                     if rows:
-                        for out in emit(first, rows):
+                        for n, out in emit(first, rows):
                             yield out
-                            first += out.num_rows
+                            first += n
                     if s != shard:
                         shard, first = s, s << 40
                     held, rows = 0, []
                 rows.append((doc, start, flat[off[k] : off[k + 1]]))
                 held += 1 + int(off[k + 1] - off[k])
         if rows:
-            yield from emit(first, rows)
+            for _, out in emit(first, rows):
+                yield out
 
     return run
 
@@ -128,9 +141,12 @@ def pack(
     shards: int | None = None,
     shard_tokens: int = SHARD_TOKENS,
     round_tokens: int = ROUND_TOKENS,
+    pieces: bool = False,
 ) -> DataFrame:
     """A row per sequence of ``tokens`` (doc_id, ids): bin_id, capacity (its final
-    length), used, the doc_ids, starts and lengths of its pieces, and their ids."""
+    length), used, the doc_ids, starts and lengths of its pieces, and their ids.  With
+    ``pieces`` a row per piece instead: its bin, the bin's length and fill, its place,
+    and the crc32 of its ids as little-endian 32-bit integers."""
     lengths = tuple(sorted(set(lengths)))
     top = lengths[-1]
     rows = tokens.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("ids").cast("array<int>"), F.array().cast("array<int>")).alias("ids"))
@@ -138,13 +154,13 @@ def pack(
         total = rows.agg(F.sum(F.size("ids")).alias("n")).first().n
         shards = max(1, -(-(total or 0) // shard_tokens))
     starts = F.sequence(F.lit(0), F.greatest(F.size("ids") - 1, F.lit(0)), F.lit(top))
-    pieces = rows.select("doc_id", "ids", F.explode(starts).alias("at")).select("doc_id", F.col("at").cast("long").alias("piece_start"), F.slice("ids", F.col("at") + 1, top).alias("ids"))
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece_start", "ids"), F.lit(shards)).cast("int"))
+    parts = rows.select("doc_id", "ids", F.explode(starts).alias("at")).select("doc_id", F.col("at").cast("long").alias("piece_start"), F.slice("ids", F.col("at") + 1, top).alias("ids"))
+    dealt = parts.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece_start", "ids"), F.lit(shards)).cast("int"))
     tasks = min(shards, MOST_TASKS)
     return (
         dealt.repartitionById(tasks, F.pmod("shard", F.lit(tasks)))
         .sortWithinPartitions("shard", F.desc(F.size("ids")), F.col("doc_id").asc_nulls_first(), "piece_start", "ids")
-        .mapInArrow(_pack(lengths, cost, round_tokens), SCHEMA)
+        .mapInArrow(_pack(lengths, cost, round_tokens, _pieces if pieces else _sequences), PIECES if pieces else SEQUENCES)
     )
 
 
@@ -156,26 +172,5 @@ def pack_texts(docs: DataFrame, *, tokenizer: str | None = None, end_id: int = t
     return pack(token_store.encode(docs, tokenizer=tokenizer, end_id=end_id), shards=shards, **options)
 
 
-def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["bin_id", "bin_capacity", "bin_used", "position", "doc_id", "piece_start", "piece_tokens", "ids_crc32"]
-    for batch in batches:
-        out: list[tuple] = []
-        ids = batch.column("ids")
-        off, flat = ids.offsets.to_numpy(), np.ascontiguousarray(ids.values.to_numpy(zero_copy_only=False), "<i4")
-        rows = zip(*(batch.column(c).to_pylist() for c in ("bin_id", "capacity", "used", "doc_ids", "starts", "lengths")), strict=True)
-        for (b, size, used, docs, starts, counts), at in zip(rows, off[:-1].tolist(), strict=True):
-            for k, (doc, start, n) in enumerate(zip(docs, starts, counts, strict=True)):
-                out.append((b, size, used, k, doc, start, n, zlib.crc32(flat[at : at + n])))
-                at += n
-        kinds = [pa.int64()] * 3 + [pa.int32()] + [pa.int64()] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)] if out else [pa.array([], k) for k in kinds], names=names)
-
-
-def piece_digest(sequences: DataFrame) -> DataFrame:
-    """A row per piece: its bin, the bin's length and fill, its place, and the crc32
-    of its ids as little-endian 32-bit integers."""
-    return sequences.mapInArrow(_digest, "bin_id long, bin_capacity long, bin_used long, position int, doc_id long, piece_start long, piece_tokens long, ids_crc32 long")
-
-
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return piece_digest(pack_texts(_io.table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return pack_texts(_io.table(spark, sf_dir, "documents").select("doc_id", "text"), pieces=True)

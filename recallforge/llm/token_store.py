@@ -29,7 +29,7 @@ from recallforge.llm._text import PIECE_LUT, Words, latin_classes, slices, utf8
 TOKENIZER_FILE = "word_bpe_49k.json"
 END_ID = 2
 #: Distinct text pieces kept per Python worker before the cache starts anew.
-CACHE_PIECES = 1_000_000
+CACHE_PIECES = 300_000
 
 
 def tokenizer_path(name: str = TOKENIZER_FILE) -> str:
