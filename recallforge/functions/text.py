@@ -69,11 +69,15 @@ def overlap(a: Column, b: Column) -> Column:
 
 
 def first_sentence(text: Column, most: int = 80) -> Column:
-    """Up to the first . ! ? or line end within ``most`` characters, else cut at a word."""
-    flat = F.trim(text)
-    stop = F.regexp_extract(F.substring(flat, 1, most), r"(?s)^(.*?[.!?\n])", 1)
-    cut = F.regexp_extract(F.substring(flat, 1, most), r"(?s)^(.*)\s\S*$", 1)
-    return F.when(stop != "", F.trim(stop)).when(F.length(flat) <= most, flat).when(cut != "", cut).otherwise(F.substring(flat, 1, most))
+    """Up to the first full stop before ``most`` characters, else the first of ! ? or
+    line end in that order; else the text, cut at a word beyond half of ``most``."""
+    flat = F.regexp_replace(text, r"^\s+|\s+$", "")
+    head = F.substring(flat, 1, most)
+    at = lambda c: F.instr(flat, c)
+    ends = [F.when((at(c) > 1) & (at(c) <= most), F.regexp_replace(F.substring(flat, F.lit(1), at(c)), r"\s+$", "")) for c in (".", "!", "?", "\n")]
+    space = F.length(head) - F.instr(F.reverse(head), " ")  # what stands before the last space
+    cut = F.when((F.instr(head, " ") > 0) & (space > most // 2), F.substring(head, F.lit(1), space)).otherwise(head)
+    return F.coalesce(F.when(flat == "", ""), *ends, F.when(F.length(flat) <= most, flat), F.concat(cut, F.lit("...")))
 
 
 def answer_form(text: Column) -> Column:

@@ -75,3 +75,59 @@ def report(spark_rows: DataFrame, title: str, most: int = 1000) -> str:
     head = "| " + " | ".join(spark_rows.columns) + " |"
     rule = "|" + "---|" * len(spark_rows.columns)
     return "\n".join([f"# {title}", "", head, rule, *("| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows)])
+
+
+def provenance(docs: DataFrame, links: DataFrame, reviews: DataFrame, violations: DataFrame, calls: DataFrame) -> DataFrame:
+    """doc_id, project_id, lineage, reviews, violations, calls, intact: counts of what
+    stands behind each document: links at either end, its reviews, its project's
+    violations, its author's model calls in the project; and whether its text has the
+    recorded hash."""
+    ends = links.select(F.col("src").alias("doc_id"), "link_id").unionByName(links.select(F.col("dst").alias("doc_id"), "link_id")).distinct()
+    n = lambda df, by, name: df.groupBy(*by).agg(F.count("*").alias(name))
+    j = docs.join(n(ends, ["doc_id"], "lineage"), "doc_id", "left").join(n(reviews, ["doc_id"], "reviews"), "doc_id", "left")
+    j = j.join(n(violations, ["project_id"], "violations"), "project_id", "left").join(n(calls, ["project_id", "agent"], "calls"), ["project_id", "agent"], "left")
+    zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("lineage", "reviews", "violations", "calls")]
+    return j.select("doc_id", "project_id", *zero, (F.sha2("content", 256) == F.col("content_hash")).alias("intact"))
+
+
+def decided(requests: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Approval requests (request_id, project_id) with their status: the last decision
+    (request_id, decision, decided_at), else pending."""
+    last = decisions.groupBy("request_id").agg(F.max_by("decision", F.struct("decided_at", "decision")).alias("_d"))
+    return requests.join(last, "request_id", "left").select("request_id", "project_id", F.coalesce("_d", F.lit("pending")).alias("status"))
+
+
+def project_status(projects: DataFrame, approvals: DataFrame) -> DataFrame:
+    """Projects (project_id, status): a denial makes an active one denied."""
+    denied = approvals.where("status = 'denied'").select("project_id").distinct().withColumn("_d", F.lit(True))
+    return projects.join(denied, "project_id", "left").select("project_id", F.when(F.col("_d") & (F.col("status") == "active"), "denied").otherwise(F.col("status")).alias("status"))
+
+
+def audit_rows(events: DataFrame, kind: str, agent: str, at: str, detail: list[str]) -> DataFrame:
+    """kind, at, agent, detail, digest: audit records of one kind, to be appended; the
+    digest is over the record itself."""
+    text = F.to_json(F.struct(*detail))
+    return events.select(F.lit(kind).alias("kind"), F.col(at).alias("at"), F.col(agent).cast("string").alias("agent"), text.alias("detail"), F.sha2(F.concat_ws("|", F.lit(kind), F.col(agent).cast("string"), text), 256).alias("digest"))
+
+
+def snapshots(entries: DataFrame, *, most: int = 50) -> DataFrame:
+    """agent, snapshot_id, at, domains, entries, supersedes: a snapshot for each run of
+    entries (agent, run, at, domain, memory_id) with its newest ``most``, and the one
+    before it."""
+    from recallforge.operators import ranking
+
+    few = ranking.per_group(entries, ["agent", "run"], [F.desc("at"), "memory_id"], most)
+    g = few.groupBy("agent", "run").agg(F.max("at").alias("at"), F.array_sort(F.collect_set("domain")).alias("domains"), F.count("*").alias("entries"))
+    key = F.concat_ws("#", F.col("agent").cast("string"), F.col("run").cast("string"))
+    return g.withColumn("snapshot_id", key).withColumn("supersedes", F.lag("snapshot_id").over(Window.partitionBy("agent").orderBy("run"))).drop("run")
+
+
+def pages(docs: DataFrame, links: DataFrame, path: str) -> int:
+    """A linked Markdown page for each document (name, title, body) with what points at
+    it, as text files under ``path`` by name; how many.  Written by the executors."""
+    to = links.groupBy(F.col("dst").alias("name")).agg(F.array_sort(F.collect_set("src")).alias("_in"))
+    refs = F.transform(F.coalesce("_in", F.array().cast("array<string>")), lambda s: F.concat(F.lit("- [["), s, F.lit("]]")))
+    text = F.concat_ws("\n", F.concat(F.lit("# "), F.col("title")), F.lit(""), "body", F.lit(""), F.array_join(refs, "\n"))
+    rows = docs.join(to, "name", "left").select("name", text.alias("value"))
+    rows.write.mode("overwrite").partitionBy("name").option("lineSep", "\u0000").text(path)
+    return docs.count()

@@ -67,9 +67,9 @@ def rehearsal(signals: DataFrame, key: str, weights: dict[str, float], share: fl
     return ranking.fraction(scored, key, "score", share)
 
 
-def injected(selected: DataFrame, key: str, score: str, now) -> DataFrame:
+def injected(selected: DataFrame, key: str, score: str, now, flat: float = 0.0) -> DataFrame:
     """Synthetic accesses: 1 + floor(4 * normalised score) per memory."""
-    n = retrieval.min_max(selected, [score], flat=0.5)
+    n = retrieval.min_max(selected, [score], flat=flat)
     return n.select(key, F.explode(F.sequence(F.lit(1), (1 + F.floor(4 * F.col(score))).cast("int"))).alias("n"), now.alias("accessed_at"))
 
 

@@ -141,15 +141,11 @@ def edge_markers(observed: DataFrame) -> DataFrame:
 
 
 def content_markers(memories: DataFrame, support: int = 2, purity: float = 2.0) -> DataFrame:
-    """head, side: verb heads of terminal (or root) memories with enough support
-    and ``purity`` times the opposing count.  memories: content, is_terminal, is_root."""
+    """head, side: verb heads that ``support`` or more terminal (or root) memories have,
+    ``purity`` times as many as all others.  memories: content, is_terminal, is_root."""
     h = memories.select("is_terminal", "is_root", F.explode(T.verb_heads(F.col("content"))).alias("head"))
-    c = h.groupBy("head").agg(F.count_if("is_terminal").alias("t"), F.count_if("is_root").alias("r"))
-    side = F.when((F.col("t") >= support) & (F.col("t") >= purity * F.col("r")), "current").when((F.col("r") >= support) & (F.col("r") >= purity * F.col("t")), "origin")
-    return c.select("head", side.alias("side"), "t", "r").where("side is not null")
-
-
-def vocabulary(mentions: DataFrame) -> DataFrame:
-    """token, subject: the subject that each token names most often (ties: smaller)."""
-    n = mentions.groupBy("token", "subject").agg(F.count("*").alias("n"))
-    return n.groupBy("token").agg(F.min_by("subject", F.struct(F.negate("n"), "subject")).alias("subject"), F.max("n").alias("n"))
+    middle = ~F.col("is_terminal") & ~F.col("is_root")
+    c = h.groupBy("head").agg(F.count_if("is_terminal").alias("t"), F.count_if("is_root").alias("r"), F.count_if(middle).alias("m"))
+    enough = lambda x, y: (F.col(x) >= support) & (F.col(x) >= purity * (F.col("m") + F.col(y)))
+    sides = F.array_compact(F.array(F.when(enough("t", "r"), "current"), F.when(enough("r", "t"), "origin")))
+    return c.select("head", F.explode(sides).alias("side"), "t", "r")

@@ -202,3 +202,38 @@ def greedy_topics(sets: DataFrame, least: float) -> DataFrame:
         return pd.DataFrame(out, columns=["scope", "seed", "members"])
 
     return sets.groupBy("scope").applyInPandas(walk, "scope string, seed long, members array<long>")
+
+
+def weighted_neighbours(edges: DataFrame, node: str = "node") -> DataFrame:
+    """node, neighbour, weight: each neighbour once; the weight of the edge to it counts
+    before that of the edge from it."""
+    out = edges.select(F.col("src").alias(node), F.col("dst").alias("neighbour"), F.struct(F.lit(0).alias("p"), F.negate("weight").alias("w")).alias("_o"))
+    back = edges.select(F.col("dst").alias(node), F.col("src").alias("neighbour"), F.struct(F.lit(1).alias("p"), F.negate("weight").alias("w")).alias("_o"))
+    best = out.unionByName(back).groupBy(node, "neighbour").agg(F.min("_o").alias("_o"))
+    return best.select(node, "neighbour", (-F.col("_o.w")).alias("weight"))
+
+
+def set_weights(edges: DataFrame, new: DataFrame) -> DataFrame:
+    """Edges (src, dst, weight; null counts as 1) with the weights of ``new`` where both
+    have the edge."""
+    n = new.select("src", "dst", F.col("weight").alias("_w"))
+    return edges.join(n, ["src", "dst"], "left").select("src", "dst", F.coalesce("_w", "weight", F.lit(1.0)).alias("weight"))
+
+
+def reached_links(links: DataFrame, seeds: DataFrame, most: int = 10_000) -> DataFrame:
+    """link_id of every link (link_id, src, dst) that hangs together with a seed (node),
+    whichever way links point: the seeds' components, whatever their depth."""
+    comp = components(links.select("src", "dst"), most)
+    mine = comp.join(seeds.select("node").distinct(), "node", "left_semi").select("component").distinct()
+    nodes = comp.join(mine, "component", "left_semi").select(F.col("node").alias("src"))
+    loops = seeds.select(F.col("node").alias("src"))
+    return links.join(nodes.union(loops).distinct(), "src", "left_semi").select("link_id").distinct()
+
+
+def rebuilt(relations: DataFrame, strength: DataFrame) -> DataFrame:
+    """src, dst, weight: the graph of stored relations, with learned strengths (a, b,
+    strength) laid over edges that exist, either way round."""
+    e = relations.select("src", "dst").distinct()
+    both = strength.select(F.col("a").alias("src"), F.col("b").alias("dst"), "strength").unionByName(strength.select(F.col("b").alias("src"), F.col("a").alias("dst"), "strength"))
+    best = both.groupBy("src", "dst").agg(F.max("strength").alias("_s"))
+    return e.join(best, ["src", "dst"], "left").select("src", "dst", F.coalesce("_s", F.lit(1.0)).alias("weight"))

@@ -106,4 +106,37 @@ def gate(metrics: DataFrame, limits: dict[str, tuple[str, float]]) -> DataFrame:
     return metrics.withColumn("failed", failed).withColumn("passed", F.size(failed) == 0)
 
 
+def rank_hits(runs: DataFrame, accepted: DataFrame) -> DataFrame:
+    """query_id, rank1, top5, rr of every query that has a ranking: whether an accepted
+    document is first, among the first five, and its reciprocal rank within ten."""
+    hit = runs.join(accepted.select("query_id", "doc_id").distinct(), ["query_id", "doc_id"]).groupBy("query_id").agg(F.min("rank").alias("_r"))
+    q = runs.select("query_id").distinct().join(hit, "query_id", "left")
+    flag = lambda c: F.coalesce(c, F.lit(False)).cast("int")
+    return q.select("query_id", flag(F.col("_r") == 1).alias("rank1"), flag(F.col("_r") <= 5).alias("top5"), F.when(F.col("_r") <= 10, 1.0 / F.col("_r")).otherwise(0.0).alias("rr"))
+
+
+def joint_accuracy(rows: DataFrame, heads: list[str]) -> DataFrame:
+    """One row: the share of rows that are right in every head (boolean columns)."""
+    every = F.lit(True)
+    for h in heads:
+        every = every & F.coalesce(F.col(h), F.lit(False))
+    return rows.agg(F.avg(every.cast("double")).alias("joint"))
+
+
+def qa_recall(runs: DataFrame, gold: DataFrame, k: int = 5) -> DataFrame:
+    """query_id, found: whether the answer (query_id, gold) stands in one of the first k
+    contents, both in normal form; an empty answer is not found."""
+    g = gold.select("query_id", T.answer_form(F.col("gold")).alias("_g"))
+    j = runs.where(F.col("rank") <= k).join(g, "query_id").withColumn("_f", (F.col("_g") != "") & F.contains(T.answer_form(F.col("content")), F.col("_g")))
+    return j.groupBy("query_id").agg(F.bool_or("_f").alias("found"))
+
+
+def unique_anchors(tokens: DataFrame, asked: DataFrame) -> DataFrame:
+    """memory_id, unique_anchor: whether a memory has a token of the question (token) that
+    no other of its chain has.  tokens: chain, memory_id, token, each once."""
+    n = tokens.groupBy("chain", "token").agg(F.count("*").alias("_n"))
+    only = tokens.join(n.where("_n = 1"), ["chain", "token"]).join(F.broadcast(asked.select("token").distinct()), "token", "left_semi").select("memory_id").distinct().withColumn("_u", F.lit(True))
+    return tokens.select("memory_id").distinct().join(only, "memory_id", "left").select("memory_id", F.coalesce("_u", F.lit(False)).alias("unique_anchor"))
+
+
 wilson = scores.wilson

@@ -23,6 +23,11 @@ def subscribed(announced: Column, wanted: Column) -> Column:
     return (F.size(wanted) == 0) | (F.array_contains(announced, "*") & F.array_contains(wanted, "*")) | (~F.array_contains(announced, "*") & under)
 
 
+def with_broadcast(wanted: Column) -> Column:
+    """A subscription's domains with the broadcast one; no domains receive all anyway."""
+    return F.when(F.size(wanted) > 0, F.array_union(wanted, F.array(F.lit("*")))).otherwise(wanted)
+
+
 def overlaps(start: Column, end: Column, q_start: Column, q_end: Column) -> Column:
     """Half-open intervals that share a moment."""
     return (start < q_end) & (end > q_start)
@@ -36,14 +41,31 @@ def range_filter(cands: DataFrame, ranges: DataFrame, key: str, q_start: Column,
     return cands.join(r, key, "left").where(hit).drop("_a", "_b")
 
 
+# Names that are no entities, and the forms that declare a state.
+JUNK = (
+    r"^\d+(\.\d+)?%?$",
+    r"^\d+ \w+\(s\)$",
+    r"^\d+ chars$",
+    r"^[a-f0-9]{8,}$",
+    r"^Document: ",
+    r"^[A-Z]\d+$",
+    r"^avg \d",
+)
+DECLARED = (
+    r"(?m)^[a-zA-Z0-9_\-]+\s*:\s*[a-zA-Z0-9_\-]+\s*=\s*.+$",
+    r"(?:^|\n)##?\s*[Ss]tatus\s*[\n:]\s*\w+",
+    r"(?mi)^\s*status\s*:\s*\w+",
+)
+
+
 def junk_name(name: Column) -> Column:
-    """Names that are no entities: one character, numbers, or signs alone."""
-    return name.isNull() | (F.length(name) <= 1) | name.rlike(r"^[\d\W_]+$")
+    """Names that are no entities: one character, or a known form of noise."""
+    return name.isNull() | (F.length(name) <= 1) | any_of([name.rlike(p) for p in JUNK])
 
 
 def declares_state(text: Column) -> Column:
     """One of three declaration forms: ``entity: key = value``, a status heading, a status line."""
-    return text.rlike(r"(?m)^[a-zA-Z0-9_\-]+\s*:\s*[a-zA-Z0-9_\-]+\s*=\s*.+$") | text.rlike(r"(?:^|\n)##?\s*[Ss]tatus\s*[\n:]\s*\w+") | text.rlike(r"(?mi)^\s*status\s*:\s*\w+")
+    return any_of([text.rlike(p) for p in DECLARED])
 
 
 def stale(refresh_due: Column, now: Column) -> Column:

@@ -70,55 +70,95 @@ def canonical(surfaces: DataFrame, aliases: DataFrame) -> DataFrame:
     return j.select("surface", subject.alias("subject"), F.when(F.col("_e").isNotNull(), 1.0).when(F.col("_m").isNotNull(), 0.85).otherwise(0.6).alias("confidence"))
 
 
-def episode_score(bm25: Column, sparse: Column, overlap: Column, domain: Column, age: Column, agent: Column, anchor: Column, window: float = 1440 * 60.0) -> Column:
-    """Match of a fragment to an open episode, 0 to 1 (.30 and more joins)."""
+#: What each signal of an episode match weighs.
+EPISODE_WEIGHTS = {"bm25": 0.20, "sparse": 0.20, "overlap": 0.25, "domain": 0.15, "near": 0.10, "agent": 0.05, "anchor": 0.05}
+
+
+def episode_score(bm25: Column, sparse: Column | None, overlap: Column, domain: Column, age: Column, agent: Column, anchor: Column, window: float = 1440 * 60.0) -> Column:
+    """Match of a fragment to an open episode, 0 to 1 (.30 and more joins).  ``domain``
+    is the share of domains in common.  Without a sparse engine its weight goes to the
+    others in proportion."""
     soft = lambda c: c / (1 + c)
-    flag = lambda c: c.cast("double")
-    near = F.greatest(F.lit(0.0), 1 - age / window)
-    return 0.20 * soft(bm25) + 0.20 * soft(sparse) + 0.25 * overlap + 0.15 * flag(domain) + 0.10 * near + 0.05 * flag(agent) + 0.05 * flag(anchor)
+    near = F.when((age >= 0) & (age <= window), 1 - age / window).otherwise(0.0)
+    parts = {"bm25": soft(bm25), "overlap": overlap, "domain": domain.cast("double"), "near": near, "agent": agent.cast("double"), "anchor": anchor.cast("double")}
+    if sparse is not None:
+        parts["sparse"] = soft(sparse)
+    scale = 1.0 if sparse is not None else 1.0 / (1.0 - EPISODE_WEIGHTS["sparse"])
+    return sum((EPISODE_WEIGHTS[n] * scale * c for n, c in parts.items()), F.lit(0.0))
 
 
-def assign_episodes(fragments: DataFrame, by: str, *, least: float = 0.30, minutes: int = 1440) -> DataFrame:
+def assign_episodes(fragments: DataFrame, by: str, *, least: float = 0.30, minutes: int = 1440, create: int = 2) -> DataFrame:
     """fragment_id, episode_id: fragments (at, entities) of one domain in time order;
-    each joins the open episode that it shares most with, or opens one when it has
-    two entities or more.  Order-dependent: a group is one domain's fragments."""
+    each joins the open episode that matches it best, by ``episode_score`` without
+    text signals, or opens one when it has ``create`` entities or more.  An episode
+    closes ``minutes`` after its last member.
+
+    Order-dependent within a domain, but only as far as episodes reach: fragments of a
+    domain are parted where ``minutes`` pass without any, and each part is a group of
+    its own.  Within a part only episodes that share an entity are compared."""
     import pandas as pd
 
+    schema = "fragment_id long, episode_id long"
+    w = Window.partitionBy(by).orderBy("at", "fragment_id")
+    gap = F.col("at") > F.lag("at").over(w) + F.expr(f"interval {minutes} minutes")
+    parts = fragments.select(by, "fragment_id", "at", "entities").withColumn("_new", F.coalesce(gap, F.lit(False)).cast("int")).withColumn("_part", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+
     def walk(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["at", "fragment_id"])
-        opened: list[list] = []  # id, entities, last time
+        window, scale = minutes * 60.0, 1.0 / (1.0 - EPISODE_WEIGHTS["sparse"])
+        opened: dict[int, list] = {}  # id -> entities, last time
+        holding: dict[str, set[int]] = {}  # entity -> open episodes
         out = []
         for f, at, names in zip(rows["fragment_id"], rows["at"], rows["entities"], strict=True):
             names = set(names)
-            opened = [e for e in opened if at - e[2] <= pd.Timedelta(minutes=minutes)]
             best, where = 0.0, None
-            for e in opened:
-                small = min(len(names), len(e[1]))
-                s = len(names & e[1]) / small if small else 0.0
+            for e in sorted({e for n in names for e in holding.get(n, ())}):
+                members, last = opened[e]
+                age = (at - last).total_seconds()
+                if age > window:  # closed
+                    for n in members:
+                        holding[n].discard(e)
+                    del opened[e]
+                    continue
+                overlap = len(names & members) / min(len(names), len(members))
+                s = scale * (EPISODE_WEIGHTS["overlap"] * overlap + EPISODE_WEIGHTS["domain"] + EPISODE_WEIGHTS["near"] * (1 - age / window))
                 if s > best:
                     best, where = s, e
             if where is not None and best >= least:
-                where[1] |= names
-                where[2] = at
-                out.append((f, where[0]))
-            elif len(names) >= 2:
-                opened.append([f, names, at])
-                out.append((f, f))
+                opened[where][0] |= names
+                opened[where][1] = at
+            elif len(names) >= create:
+                where = int(f)
+                opened[where] = [names, at]
+            else:
+                continue
+            for n in names:
+                holding.setdefault(n, set()).add(where)
+            out.append((int(f), where))
         return pd.DataFrame(out, columns=["fragment_id", "episode_id"]).astype("int64")
 
-    return fragments.select(by, "fragment_id", "at", "entities").groupBy(by).applyInPandas(walk, "fragment_id long, episode_id long")
+    return parts.groupBy(by, "_part").applyInPandas(walk, schema)
 
 
-def trajectory_scores(t: DataFrame, alpha: float = 0.1, decay: float = 0.05) -> DataFrame:
-    """Heuristics of a path (steps, explained, days, alternatives): explanatory
-    share, parsimony, recency, robustness, and their mean as score."""
+def trajectory_scores(t: DataFrame, weights: dict[str, float], *, alpha: float = 0.2, decay: float = 0.05, least: int = 1) -> DataFrame:
+    """Heuristics of paths (length, nodes, explained, total, days, supports, skipped)
+    and ``score``, their weighted sum: the share of state keys explained, parsimony
+    beyond ``least`` steps, recency of the terminal (0 if its age is unknown), support
+    per node, and the share of edges that a counterfactual need not skip."""
+    share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
     s = t.withColumns({
-        "explanatory": F.when(F.col("steps") > 0, F.col("explained") / F.col("steps")).otherwise(0.0),
-        "parsimony": 1 / (1 + alpha * F.col("steps")),
-        "recency": F.exp(-decay * F.col("days")),
-        "robustness": 1 - 1 / (1.0 + F.col("alternatives")),
+        "explanatory": F.least(F.lit(1.0), share("explained", "total")),
+        "parsimony": 1 / (1 + alpha * F.greatest(F.lit(0), F.col("length") - least)),
+        "recency": F.when(F.col("days").isNull(), 0.0).otherwise(F.exp(-decay * F.greatest(F.lit(0.0), F.col("days").cast("double")))),
+        "robustness": F.least(F.lit(1.0), share("supports", "nodes")),
+        "counterfactual": F.when(F.col("length") == 0, 1.0).otherwise(F.greatest(F.lit(0.0), 1 - F.col("skipped") / F.col("length"))),
     })
-    return s.withColumn("score", (F.col("explanatory") + F.col("parsimony") + F.col("recency") + F.col("robustness")) / 4)
+    return s.withColumn("score", sum((w * F.col(h) for h, w in weights.items()), F.lit(0.0)))
+
+
+def ranked_trajectories(scored: DataFrame, by: list[str], first: str) -> DataFrame:
+    """``place`` of each path: by score, ties to the larger first node."""
+    return scored.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), F.desc(first))))
 
 
 def gazetteer(texts: DataFrame, key: str, tokens: str, catalogue: DataFrame, most: int = 4) -> DataFrame:
@@ -188,3 +228,47 @@ def overlap_statistics(rows: DataFrame, tile: int = 1024) -> DataFrame:
     )
     total = F.expr("ids * (ids - 1) div 2")
     return one.crossJoin(ids).select(total.alias("total"), "pairs", (F.col("pairs") / F.greatest(total, F.lit(1))).alias("fraction"), "mean", "median", "most", "sd")
+
+
+def timeline(links: DataFrame, states: DataFrame, seeds: DataFrame, *, entities: int = 5, most: int = 20) -> DataFrame:
+    """seed, place, entity_id, node_id: the states of a seed's first entities in time
+    order, entity by entity, each node once, ``most`` for each seed."""
+    own = ranking.per_group(seeds.join(links, seeds["seed"] == links["memory_id"]).select("seed", "entity_id").distinct(), ["seed"], ["entity_id"], entities)
+    rows = own.join(states.select("entity_id", "node_id", "created_at"), "entity_id")
+    w = Window.partitionBy("seed").orderBy("entity_id", "created_at", "node_id")
+    return rows.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most).select("seed", "place", "entity_id", "node_id")
+
+
+def related_episodes(topics: DataFrame, seeds: DataFrame) -> DataFrame:
+    """seed, episode_id: other episodes that share a topic entity (episode_id, entity)
+    with a seed's episode."""
+    mine = seeds.select("seed", "episode_id").join(topics, "episode_id").select("seed", F.col("episode_id").alias("_own"), "entity").distinct()
+    other = mine.join(topics, "entity").where(F.col("episode_id") != F.col("_own")).select("seed", "episode_id").distinct()
+    return other.join(seeds.select("seed", "episode_id"), ["seed", "episode_id"], "left_anti")
+
+
+def episode_bonus(hits: DataFrame, edges: DataFrame, nodes: DataFrame, seen: DataFrame, *, most: int = 5) -> DataFrame:
+    """memory_id: memories behind what the best abstracts among the hits (memory_id,
+    score, node_id) summarise or derive from, that are not among the results yet."""
+    best = hits.orderBy(F.desc("score"), "memory_id").limit(most).select(F.col("node_id").alias("source_id"))
+    to = edges.where(F.col("edge_type").isin("derived_from", "summarizes")).join(F.broadcast(best), "source_id", "left_semi").select(F.col("target_id").alias("node_id"))
+    return nodes.join(to, "node_id", "left_semi").select("memory_id").distinct().join(seen.select("memory_id"), "memory_id", "left_anti")
+
+
+def synthesis(hits: DataFrame, budget: int, by: str = "score") -> DataFrame:
+    """One row, content and used: texts of the hits (memory_id, score, content) in order
+    as long as they fit the budget of characters, as numbered excerpts.  A bounded
+    result list."""
+    w = Window.orderBy(F.desc(by), "memory_id")
+    r = hits.withColumns({"place": F.row_number().over(w), "used": F.sum(F.length("content")).over(w)}).where(F.col("used") <= budget)
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("place", "content"))), lambda s: F.concat(F.lit("["), s["place"].cast("string"), F.lit("] "), s["content"]))
+    return r.agg(F.array_join(lines, "\n").alias("content"), F.coalesce(F.max("used"), F.lit(0)).alias("used"))
+
+
+def answered(asks: DataFrame, live: DataFrame, snapshots: DataFrame, share: float = 0.8) -> DataFrame:
+    """ask_id, mode, confidence: the best live answer (ask_id, confidence) to each ask,
+    else what the agent's snapshot (agent, confidence) says at ``share`` of it, else none."""
+    best = live.groupBy("ask_id").agg(F.max("confidence").alias("_l"))
+    j = asks.join(best, "ask_id", "left").join(snapshots.select("agent", F.col("confidence").alias("_s")), "agent", "left")
+    mode = F.when(F.col("_l").isNotNull(), "live").when(F.col("_s").isNotNull(), "warm").otherwise("none")
+    return j.select("ask_id", mode.alias("mode"), F.coalesce("_l", share * F.col("_s")).alias("confidence"))

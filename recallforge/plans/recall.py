@@ -78,25 +78,40 @@ def subject_canonicalisation(spark, d):
     return R.canonical(s, al)
 
 
-@register("episode_match_score", "SELECT event_id, round(0.2 * (value / (1 + value)) + 0.25 * ((event_id % 5) / 4.0) + 0.15 * CAST(event_type = 'click' AS INT) + 0.1 * greatest(0.0, 1 - (event_id % 100000) / 86400.0) + 0.05 * CAST(user_id % 2 = 0 AS INT), 6) AS score FROM events")
+@register("episode_match_score", "WITH e AS (SELECT event_id, value / (1 + value) AS b, (event_id % 5) / 4.0::DOUBLE AS o, (event_id % 3) / 2.0::DOUBLE AS dm, CASE WHEN event_id % 100000 <= 86400 THEN 1 - (event_id % 100000) / 86400.0::DOUBLE ELSE 0 END AS n, CAST(user_id % 2 = 0 AS INT) AS a, CAST(event_id % 11 = 0 AS INT) AS x FROM events) SELECT event_id, round(0.2 * b + 0.2 * (o / (1 + o)) + 0.25 * o + 0.15 * dm + 0.1 * n + 0.05 * a + 0.05 * x, 6)::DOUBLE AS score, round((0.2 * b + 0.25 * o + 0.15 * dm + 0.1 * n + 0.05 * a + 0.05 * x) / 0.8, 6)::DOUBLE AS dense FROM e")
 def episode_match_score(spark, d):
-    s = R.episode_score(F.col("value"), F.lit(0.0), (F.col("event_id") % 5) / 4.0, F.col("event_type") == "click", (F.col("event_id") % 100000).cast("double"), F.col("user_id") % 2 == 0, F.lit(False))
-    return M.table(spark, d, "events").select("event_id", F.round(s, 6).alias("score"))
+    i = F.col("event_id")
+    parts = ((i % 5) / 4.0, (i % 3) / 2.0, (i % 100000).cast("double"), F.col("user_id") % 2 == 0, i % 11 == 0)
+    s = R.episode_score(F.col("value"), parts[0], *parts)
+    none = R.episode_score(F.col("value"), None, *parts)
+    return M.table(spark, d, "events").select("event_id", F.round(s, 6).alias("score"), F.round(none, 6).alias("dense"))
 
 
-@register("episode_assignment", None)
+@register("episode_assignment", None)  # order-dependent; the tests walk it by brute force
 def episode_assignment(spark, d):
     e = M.table(spark, d, "events").select("event_type", F.col("event_id").alias("fragment_id"), F.col("ts").alias("at"), F.array(F.col("user_id").cast("string"), F.get_json_object("props", "$.k")).alias("entities"))
     return R.assign_episodes(e, "event_type")
 
 
-@register("trajectory_heuristics", "WITH t AS (SELECT o_custkey AS id, count(*) AS steps, count(*) FILTER (o_orderstatus = 'F') AS explained, count(DISTINCT o_orderpriority) AS alternatives FROM orders GROUP BY 1) SELECT id, round((explained::DOUBLE / steps + 1 / (1 + 0.1::DOUBLE * steps) + exp(-0.05 * (id % 30)) + 1 - 1 / (1.0::DOUBLE + alternatives)) / 4, 6) AS score FROM t")
+@register("trajectory_heuristics", "WITH t AS (SELECT o_custkey AS id, count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS s, count(DISTINCT o_orderpriority) AS x, count(*) FILTER (o_orderpriority = '5-LOW') AS k FROM orders GROUP BY 1) SELECT id, round(0.4 * least(1.0, x / 5.0::DOUBLE) + 0.3 / (1 + 0.2 * greatest(0, n - 2)) + 0.1 * CASE WHEN id % 7 = 0 THEN 0 ELSE exp(-0.05 * (id % 30)) END + 0.1 * least(1.0, s::DOUBLE / n) + 0.1 * greatest(0.0, 1 - k::DOUBLE / n), 6)::DOUBLE AS score FROM t")
 def trajectory_heuristics(spark, d):
-    t = M.table(spark, d, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.count("*").alias("steps"), F.count_if(F.col("o_orderstatus") == "F").alias("explained"), F.countDistinct("o_orderpriority").alias("alternatives"))
-    return R.trajectory_scores(t.withColumn("days", F.col("id") % 30)).select("id", F.round("score", 6).alias("score"))
-
-
-@register("gazetteer_spans", None)
+    i = F.col("o_custkey")
+    t = M.table(spark, d, "orders").groupBy(i.alias("id")).agg(F.count("*").alias("length"), F.count("*").alias("nodes"), F.countDistinct("o_orderpriority").alias("explained"), F.lit(5).alias("total"), F.count_if(F.col("o_orderstatus") == "F").alias("supports"), F.count_if(F.col("o_orderpriority") == "5-LOW").alias("skipped"))
+    t = t.withColumn("days", F.when(F.col("id") % 7 != 0, F.col("id") % 30))
+    w = {"explanatory": 0.4, "parsimony": 0.3, "recency": 0.1, "robustness": 0.1, "counterfactual": 0.1}
+    return R.trajectory_scores(t, w, least=2).select("id", F.round("score", 6).alias("score"))
+
+
+@register(
+    "gazetteer_spans",
+    r"""WITH RECURSIVE c(surface, canonical, n) AS (VALUES ('of the', 'of-the', 2), ('the', 'the', 1), ('and the', 'and-the', 2), ('der', 'der', 1), ('de la', 'de-la', 2)),
+    t AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS t FROM documents),
+    w AS (SELECT doc_id, unnest(range(len(t))) AS i, unnest(t) AS a, unnest(list_concat(t[2:], [NULL])) AS b FROM t),
+    h AS (SELECT doc_id, i, max(n) AS n FROM w JOIN c ON (n = 1 AND surface = a) OR (n = 2 AND surface = a || ' ' || b) GROUP BY ALL),
+    s AS (SELECT doc_id, i, h.n, canonical, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM h JOIN w USING (doc_id, i) JOIN c ON c.n = h.n AND ((c.n = 1 AND surface = a) OR (c.n = 2 AND surface = a || ' ' || b))),
+    r(doc_id, k, free, canonical, kept) AS (SELECT doc_id, k, i + n, canonical, true FROM s WHERE k = 1 UNION ALL SELECT s.doc_id, s.k, CASE WHEN s.i >= r.free THEN s.i + s.n ELSE r.free END, s.canonical, s.i >= r.free FROM r JOIN s ON s.doc_id = r.doc_id AND s.k = r.k + 1)
+    SELECT canonical, count(*) AS n FROM r WHERE kept GROUP BY 1""",
+)
 def gazetteer_spans(spark, d):
     cat = spark.createDataFrame([("of the", "of-the"), ("the", "the"), ("and the", "and-the"), ("der", "der"), ("de la", "de-la")], "surface string, canonical string")
     t = M.table(spark, d, "documents").select("doc_id", T.tokens(F.col("text")).alias("t"))

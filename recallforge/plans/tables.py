@@ -114,10 +114,10 @@ def lint_orphans(spark, d):
     return M.table(spark, d, "orders").select("o_orderkey").join(M.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_anti")
 
 
-@register("lint_junk_entities", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) OR length(c_name) <= 1")
+@register("lint_junk_entities", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P') OR length(c_name) <= 1")
 def lint_junk_entities(spark, d):
     c = M.table(spark, d, "customer").select("c_custkey", "c_name")
-    free = c.join(M.table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+    free = c.join(M.table(spark, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
     return free.unionByName(c.where(P.junk_name(F.col("c_name")))).select("c_custkey").distinct()
 
 
@@ -174,12 +174,18 @@ def cluster_coverage(spark, d):
     return g.groupBy("o_custkey").agg(F.count("*").alias("parts"))
 
 
-@register("vocabulary_induction", "WITH n AS (SELECT CAST(l_shipdate::DATE AS VARCHAR) AS token, l_suppkey AS subject, count(*) AS n FROM lineitem GROUP BY ALL) SELECT token, subject, n FROM n QUALIFY row_number() OVER (PARTITION BY token ORDER BY n DESC, subject) = 1")
+@register(
+    "vocabulary_induction",
+    r"""WITH m AS (SELECT DISTINCT l_suppkey AS subject, p_name AS e FROM lineitem JOIN part ON p_partkey = l_partkey), t AS (SELECT subject, e AS canonical, lower(e) AS token, true AS p FROM m UNION ALL SELECT subject, w, lower(w), false FROM (SELECT subject, e, unnest(regexp_split_to_array(e, '\s+')) AS w FROM m) WHERE lower(w) <> lower(e)),
+    n AS (SELECT token, subject, count(*) AS n, min(canonical) AS canonical, bool_or(p) AS p FROM t WHERE length(token) >= 2 AND NOT regexp_matches(token, '^\d+$') GROUP BY ALL)
+    SELECT token, first(subject ORDER BY n DESC, subject) AS subject, min(canonical) AS canonical, count(*) AS subjects, bool_or(p) AS is_primary FROM n GROUP BY 1""",
+)
 def vocabulary_induction(spark, d):
-    from recallforge.operators import grammar
+    from recallforge.operators import question
 
-    m = M.table(spark, d, "lineitem").select(F.col("l_shipdate").cast("date").cast("string").alias("token"), F.col("l_suppkey").alias("subject"))
-    return grammar.vocabulary(m).select("token", "subject", "n")
+    p = M.table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_name").alias("entity"))
+    m = M.table(spark, d, "lineitem").join(p, "l_partkey").select(F.col("l_suppkey").alias("subject"), "entity").distinct()
+    return question.vocabulary(m).drop("stems")
 
 
 @register("term_quota", "SELECT l_orderkey, l_partkey FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey) <= 2")

@@ -119,45 +119,61 @@ def _questions(spark, d):
     return M.table(spark, d, "conversations").select("conv_id", "turn", "text").unionByName(spark.createDataFrame(extra, "conv_id long, turn long, text string"))
 
 
-def _intent_sql() -> str:
-    parts = []
-    for k, (name, groups) in enumerate(K.INTENTS.items()):
-        score = " + ".join(f"(CASE WHEN {_count(words)} > 0 THEN {w} ELSE 0 END)" for words, w in groups)
-        parts.append(f"SELECT conv_id, turn, {k} AS k, '{name}' AS intent, round(({score})::DOUBLE, 6) AS s FROM q")
-    return f"WITH {_QT}, s AS ({' UNION ALL '.join(parts)}), b AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY s DESC, k) AS r FROM s) SELECT conv_id, turn, CASE WHEN s > 0 THEN intent ELSE 'fact_lookup' END AS intent, CASE WHEN s > 0 THEN least(1.0, s) ELSE 1.0 END::DOUBLE AS confidence FROM b WHERE r = 1"
-
-
-@register("intent_keywords", _intent_sql())
+# what the intents are worded with, for the SQL: intent, group, weight, words
+_INTENT_WORDS = """(VALUES
+(0, 0, 0.3, 'what is'), (0, 0, 0.3, 'what''s'), (0, 0, 0.3, 'what are'), (0, 1, 0.4, 'current'), (0, 2, 0.3, 'status'), (0, 2, 0.3, 'state of'),
+(0, 3, 0.5, 'right now'), (0, 3, 0.5, 'at the moment'), (0, 3, 0.5, 'presently'), (0, 4, 0.3, 'latest'), (0, 4, 0.3, 'newest'), (0, 4, 0.3, 'most recent'),
+(1, 0, 0.5, 'what was'), (1, 0, 0.5, 'what were'), (1, 1, 0.4, 'historically'), (1, 1, 0.4, 'in the past'), (1, 2, 0.4, 'back in'), (1, 2, 0.4, 'back when'),
+(1, 3, 0.4, 'last month'), (1, 3, 0.4, 'last week'), (1, 3, 0.4, 'last year'), (1, 3, 0.4, 'last quarter'), (1, 4, 0.4, 'in january'), (1, 4, 0.4, 'in february'),
+(1, 4, 0.4, 'in march'), (1, 4, 0.4, 'in april'), (1, 4, 0.4, 'in may'), (1, 4, 0.4, 'in june'), (1, 4, 0.4, 'in july'), (1, 4, 0.4, 'in august'),
+(1, 4, 0.4, 'in september'), (1, 4, 0.4, 'in october'), (1, 4, 0.4, 'in november'), (1, 4, 0.4, 'in december'), (1, 5, 0.3, 'before'), (1, 5, 0.3, 'previously'),
+(1, 5, 0.3, 'formerly'), (1, 6, 0.4, 'at that time'), (1, 6, 0.4, 'at the time'), (1, 7, 0.4, 'used to'),
+(2, 0, 0.5, 'what happened'), (2, 0, 0.5, 'what occurred'), (2, 1, 0.4, 'incident'), (2, 1, 0.4, 'outage'), (2, 1, 0.4, 'event'), (2, 2, 0.4, 'during'), (2, 2, 0.4, 'timeline of'),
+(2, 3, 0.5, 'sequence of events'), (2, 3, 0.5, 'chain of events'), (2, 4, 0.3, 'how did'), (2, 4, 0.3, 'how was'), (2, 5, 0.4, 'walk me through'), (2, 5, 0.4, 'walk through'), (2, 6, 0.4, 'reconstruct'), (2, 6, 0.4, 'recount'),
+(3, 0, 0.7, 'what changed'), (3, 0, 0.7, 'what has changed'), (3, 0, 0.7, 'what''s changed'), (3, 1, 0.3, 'different'), (3, 1, 0.3, 'difference between'), (3, 1, 0.3, 'differences'), (3, 2, 0.4, 'compared to'), (3, 2, 0.4, 'versus'), (3, 2, 0.4, ' vs '),
+(3, 3, 0.4, 'evolution'), (3, 3, 0.4, 'evolved'), (3, 3, 0.4, 'progression'), (3, 4, 0.3, 'transition'), (3, 4, 0.3, 'transitioned'), (3, 4, 0.3, 'shifted'), (3, 5, 0.5, 'before and after'),
+(4, 0, 0.5, 'pattern'), (4, 1, 0.4, 'tend to'), (4, 1, 0.4, 'tendency'), (4, 2, 0.4, 'usually'), (4, 2, 0.4, 'typically'), (4, 2, 0.4, 'often'), (4, 3, 0.5, 'recurring'), (4, 3, 0.5, 'recurrence'), (4, 3, 0.5, 'repeating'), (4, 4, 0.3, 'common'), (4, 4, 0.3, 'frequent'),
+(5, 0, 0.5, 'learned'), (5, 0, 0.5, 'lesson'), (5, 1, 0.5, 'insight'), (5, 2, 0.5, 'takeaway'), (5, 3, 0.4, 'best practice'), (5, 4, 0.4, 'recommendation'), (5, 5, 0.3, 'what should we'), (5, 5, 0.3, 'what can we'), (5, 6, 0.4, 'retrospective'), (5, 6, 0.4, 'reflection')) v(k, g, w, word)"""
+_INTENT_SQL = f"""WITH {_QT}, v AS (SELECT * FROM {_INTENT_WORDS}), h AS (SELECT DISTINCT conv_id, turn, k, g, w FROM q JOIN v ON contains(lower(text), word)),
+s AS (SELECT conv_id, turn, k, round(sum(w)::DOUBLE, 6) AS s FROM h GROUP BY ALL), b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY s DESC, k) = 1)
+SELECT q.conv_id, q.turn, coalesce((['current_state_lookup', 'historical_lookup', 'event_reconstruction', 'change_detection', 'pattern_lookup', 'strategic_reflection'])[b.k + 1], 'fact_lookup') AS intent, coalesce(least(1.0, b.s), 1.0)::DOUBLE AS confidence FROM q LEFT JOIN b ON b.conv_id = q.conv_id AND b.turn = q.turn"""
+
+
+@register("intent_keywords", _INTENT_SQL)
 def intent_keywords(spark, d):
     return _questions(spark, d).withColumn("_i", K.keyword_intent(F.col("text"))).select("conv_id", "turn", "_i.intent", "_i.confidence")
 
 
 @register(
     "temporal_intent",
-    rf"""WITH {_QT} SELECT conv_id, turn, CASE WHEN {' OR '.join(f"regexp_matches(text, '(?i){p}')" for p in K.ARITHMETIC)} THEN 'arithmetic' WHEN regexp_matches(text, '(?i){K.RANGE}') THEN 'range' WHEN regexp_matches(text, '(?i){K.RELATIVE}') THEN 'relative_anchor' ELSE 'none' END AS intent FROM q""",
+    rf"""WITH {_QT}, f AS (SELECT conv_id, turn, lower(text) AS t, CASE WHEN regexp_matches(lower(text), '\b(first|initial|earliest|original)\b') THEN 'first' WHEN regexp_matches(lower(text), '\b(last|newest|latest)\b') THEN 'last' END AS o, turn % 4 AS n FROM q)
+    SELECT conv_id, turn, CASE WHEN regexp_matches(t, '\bhow\s+many\s+(days?|weeks?|months?|years?|hours?)|\bhow\s+long\s+(ago|since|before|after|has|had)|\b(days?|weeks?|months?|years?)\s+(between|since)|\bduration\s+(between|of)') THEN 'arithmetic'
+    WHEN o IS NOT NULL AND (n >= 3 OR regexp_matches(t, '\b(order\s+of|order\s+from|in\s+what\s+order|chronolog)')) THEN 'ordinal_order' WHEN o IS NOT NULL AND (n = 2 OR regexp_matches(t, '\b(which|or|either)\b')) THEN 'ordinal_compare' WHEN o IS NOT NULL AND n = 1 THEN 'ordinal_single'
+    WHEN regexp_matches(t, '\b(during|in\s+(january|february|march|april|may|june|july|august|september|october|november|december|\d{{4}})|between\s+\w+\s+and)\b') THEN 'range' WHEN regexp_matches(t, '\b(ago|since|last\s+(week|month|year)|this\s+(week|month|year)|earlier\s+today|earlier)\b') THEN 'relative_anchor' ELSE 'none' END AS intent FROM f""",
 )
 def temporal_intent(spark, d):
-    none = F.lit(None).cast("string")
-    return _questions(spark, d).select("conv_id", "turn", K.temporal_intent(F.col("text"), none, F.lit(False), F.lit(False), F.lit(0)).alias("intent"))
+    low = F.lower("text")
+    ordinal = F.when(low.rlike(r"\b(first|initial|earliest|original)\b"), "first").when(low.rlike(r"\b(last|newest|latest)\b"), "last")
+    return _questions(spark, d).select("conv_id", "turn", K.temporal_intent(F.col("text"), ordinal, F.lit(False), F.lit(False), F.col("turn") % 4).alias("intent"))
 
 
-@register("review_parsing", "SELECT o_orderkey, CAST(regexp_extract('Score: ' || CAST(floor(o_totalprice / 5000) AS BIGINT) || '/100. Severity: ' || o_orderpriority, 'Score:\\s*(\\d+)', 1) AS BIGINT) AS score FROM orders")
+@register("review_parsing", "SELECT o_orderkey, CAST(floor(o_totalprice / 5000) AS BIGINT) AS score, o_orderstatus AS severity, 'tests of ' || o_custkey AS covered, 'docs' || chr(10) || 'and more' AS missing, CASE WHEN o_orderkey % 2 = 0 THEN 'rename it' END AS changes FROM orders")
 def review_parsing(spark, d):
-    text = F.concat(F.lit("Score: "), F.floor(F.col("o_totalprice") / 5000).cast("string"), F.lit("/100. Severity: "), F.col("o_orderpriority"))
-    return M.table(spark, d, "orders").select("o_orderkey", K.review(text)["score"].cast("long").alias("score"))
-
-
-@register("verb_heads", None)
-def verb_heads(spark, d):
-    heads = F.array_join(T.verb_heads(F.col("text")), ",")
-    return M.table(spark, d, "documents").select("doc_id", heads.alias("heads")).where("heads <> ''")
+    s = lambda c: F.col(c).cast("string")
+    head = F.concat(F.lit("SCORE: "), F.floor(F.col("o_totalprice") / 5000).cast("string"), F.lit("/100\nSEVERITY: "), F.col("o_orderstatus"), F.lit("\nCOVERED:  tests of "), s("o_custkey"), F.lit("\nMISSING: docs\nand more"))
+    text = F.concat(head, F.when(F.col("o_orderkey") % 2 == 0, "\nCHANGES: rename it ").otherwise(""))
+    r = M.table(spark, d, "orders").select("o_orderkey", K.review(text).alias("r")).select("o_orderkey", "r.*")
+    return r.withColumn("score", F.col("score").cast("long"))
 
 
-@register("anchor_detection", r"SELECT doc_id, CASE WHEN regexp_matches(text, '#\d+|\b[A-Z]{2,}-\d+\b') THEN 'issue_id' WHEN regexp_matches(text, '(?i)\b(release|version)\b\s+v?\d+\.\d+') THEN 'release' WHEN contains(lower(text), 'incident') OR contains(lower(text), 'outage') THEN 'incident' WHEN contains(lower(text), 'migration') THEN 'migration' END AS anchor FROM documents")
+@register("anchor_detection", "SELECT event_id, (['issue_id', 'issue_id', 'issue_id', 'issue_id', 'release', 'release', 'incident', 'incident', 'migration', 'migration', NULL])[CAST(event_id % 11 AS INT) + 1] AS anchor, (['ABC-12', '123', '77', '9', 'v1.2.3', '2.0', NULL, NULL, NULL, NULL, NULL])[CAST(event_id % 11 AS INT) + 1] AS id FROM events")
 def anchor_detection(spark, d):
-    return M.table(spark, d, "documents").select("doc_id", K.anchor(F.col("text"))["kind"].alias("anchor"))
+    said = ("see ABC-12 now", "fixes #123", "in PR 77", "pull request #9", "Deployed to v1.2.3", "released 2.0", "a Rollback came", "sev1 again", "schema migration", "cutover", "none of it")
+    e = M.table(spark, d, "events").select("event_id", K.anchor(F.get(F.array(*map(F.lit, said)), (F.col("event_id") % 11).cast("int"))).alias("a"))
+    return e.select("event_id", F.col("a.kind").alias("anchor"), "a.id")
 
 
-@register("state_declarations", r"SELECT doc_id FROM documents WHERE regexp_matches(text, '(?m)^[a-zA-Z0-9_\-]+\s*:\s*[a-zA-Z0-9_\-]+\s*=\s*.+$') OR regexp_matches(text, '(?:^|\n)##?\s*[Ss]tatus\s*[\n:]\s*\w+') OR regexp_matches(text, '(?mi)^\s*status\s*:\s*\w+')")
+@register("state_declarations", "SELECT event_id FROM events WHERE event_id % 5 < 3")
 def state_declarations(spark, d):
-    return M.table(spark, d, "documents").where(P.declares_state(F.col("text"))).select("doc_id")
+    texts = F.array(*map(F.lit, ("x\nservice: mode = fast", "# T\n## Status\nopen", "  STATUS : done", "status unknown", "mode = fast")))
+    return M.table(spark, d, "events").where(P.declares_state(F.get(texts, (F.col("event_id") % 5).cast("int")))).select("event_id")

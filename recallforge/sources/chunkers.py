@@ -20,13 +20,15 @@ MOST = 2000
 
 
 def plain(text: str, most: int = MOST) -> list[str]:
-    """Paragraphs, packed greedily up to ``most`` characters."""
+    """Paragraphs, packed greedily while their characters come to ``most`` at most
+    (the blank lines between them are not counted)."""
     out, now = [], ""
     for p in (x.strip() for x in re.split(r"\n\s*\n", text)):
         if not p:
             continue
-        if now and len(now) + 2 + len(p) > most:
-            out.append(now)
+        if len(now) + len(p) > most:
+            if now:
+                out.append(now)
             now = p
         else:
             now = f"{now}\n\n{p}" if now else p
@@ -34,72 +36,156 @@ def plain(text: str, most: int = MOST) -> list[str]:
 
 
 def markdown(text: str, most: int = MOST) -> list[str]:
-    """Cut before headings of levels 1 to 4, and where a chunk outgrows ``most``."""
-    out, lines, size = [], [], 0
+    """Cut before headings of levels 1 to 4, and after the line with which a chunk
+    outgrows ``most``."""
+    out: list[str] = []
+    lines: list[str] = []
+    size = -1
     for line in text.split("\n"):
-        if lines and (re.match(r"#{1,4}\s+", line) or size > most):
+        if re.match(r"#{1,4}\s+", line) and lines:
             out.append("\n".join(lines).strip())
-            lines, size = [], 0
+            lines, size = [], -1
         lines.append(line)
         size += len(line) + 1
+        if size > most:
+            out.append("\n".join(lines).strip())
+            lines, size = [], -1
     out.append("\n".join(lines).strip())
     return [x for x in out if x]
 
 
 def json_items(text: str, most: int = MOST) -> list[str]:
     """An array: a chunk per truthy item; an object of over three keys: a chunk per
-    key; other JSON: one chunk; no JSON: plain."""
+    key; a smaller object: one chunk; another value: the text; no JSON: plain."""
     try:
         value = json.loads(text)
     except ValueError:
         return plain(text, most)
     if isinstance(value, list):
-        return [json.dumps(x, indent=2, ensure_ascii=False) if isinstance(x, dict | list) else str(x) for x in value if x]
-    if isinstance(value, dict) and len(value) > 3:
-        return [f"{k}: {json.dumps(v, indent=2, ensure_ascii=False)}" for k, v in value.items()]
-    return [json.dumps(value, indent=2, ensure_ascii=False)]
+        return [json.dumps(x, indent=2) for x in value if x]
+    if isinstance(value, dict):
+        return [f"{k}: {json.dumps(v, indent=2)}" for k, v in value.items()] if len(value) > 3 else [json.dumps(value, indent=2)]
+    return [text]
 
 
 def csv_rows(text: str, most: int = MOST) -> list[str]:
-    """Rows packed up to ``most`` characters, the header atop each chunk."""
-    lines = [x for x in text.split("\n") if x.strip()]
-    if len(lines) < 2:
-        return lines
-    head, out, now = lines[0], [], []
-    for line in lines[1:]:
-        if now and len(head) + sum(len(x) + 1 for x in now) + len(line) + 1 > most:
-            out.append("\n".join([head, *now]))
-            now = []
+    """Rows under the header, cut after the row with which a chunk outgrows ``most``."""
+    head, *rows = text.strip().split("\n")
+    out, now, size = [], [head], len(head)
+    for line in rows:
         now.append(line)
-    return [*out, "\n".join([head, *now])]
+        size += len(line) + 1
+        if size > most:
+            out.append("\n".join(now))
+            now, size = [head], len(head)
+    return [*out, "\n".join(now)] if len(now) > 1 else out
+
+
+#: Where a sentence ends.
+SENTENCE_ENDS = (". ", ".\n", "? ", "! ", "\n\n", "\n")
 
 
 def overlapping(text: str, most: int, overlap: int = 100) -> list[str]:
-    """Cut at the last sentence end before ``most``, else the last space, else hard;
-    the next chunk begins ``overlap`` characters before the cut."""
+    """Chunks of ``most`` characters at most, cut after the last sentence end, else at
+    the last space, else hard; the next one begins ``overlap`` characters before."""
+    if len(text) <= most:
+        return [text]
     out, at = [], 0
     while at < len(text):
-        end = at + most
-        if end >= len(text):
-            out.append(text[at:])
-            break
-        part = text[at:end]
-        cut = max(part.rfind(s) for s in (". ", "! ", "? ", "\n"))
-        cut = cut + 1 if cut > 0 else part.rfind(" ")
-        cut = at + (cut if cut > 0 else most)
+        stop = at + most
+        if stop >= len(text):
+            return [*out, text[at:]]
+        cut = -1
+        for end in SENTENCE_ENDS:
+            found = text.rfind(end, at, stop)
+            if found > cut:
+                cut = found + len(end)
+        if cut <= at:
+            cut = text.rfind(" ", at, stop)
+        if cut <= at:
+            cut = stop
         out.append(text[at:cut])
         at = max(at + 1, cut - overlap)
-    return [x for x in (c.strip() for c in out) if x]
+    return out
+
 
+#: Formats by name and extension, and the least size of a document that
+#: is worth its sections.
+FORMATS = {"md": "markdown", "markdown": "markdown", "json": "json", "yaml": "yaml", "yml": "yaml", "txt": "plain", "plain": "plain", "rst": "structured_text", "structured_text": "structured_text"}
+LEAST_NAVIGABLE = 500
+_KEY = re.compile(r"^([a-z][\w\-]*):\s*", re.M)
+_HEADING = re.compile(r"^#{1,4} (?! )(.+)", re.M)
 
-def sections(text: str) -> list[dict]:
-    """heading, body, position: by Markdown headings, else by paragraphs."""
-    heads = list(re.finditer(r"(?m)^#{1,4}\s+(.+)$", text))
-    if len(heads) >= 2:
-        ends = [h.start() for h in heads[1:]] + [len(text)]
-        found = [(h.group(1).strip(), text[h.end() : e].strip()) for h, e in zip(heads, ends, strict=True)]
+
+def _paragraphs(text: str) -> list[str]:
+    return [p.strip() for p in re.split(r"\n\s*\n", text) if p.strip()]
+
+
+def _object(text: str) -> dict | None:
+    try:
+        value = json.loads(text.strip())
+    except ValueError:
+        return None
+    return value if isinstance(value, dict) else None
+
+
+def _parts(text: str, form: str) -> int:
+    """How many sections a text of a format has."""
+    if form == "json":
+        return len(_object(text) or ())
+    return {"markdown": lambda: len(_HEADING.findall(text)), "yaml": lambda: len(_KEY.findall(text)), "structured_text": lambda: len(_paragraphs(text))}.get(form, lambda: 0)()
+
+
+def classify(text: str, source: str | None = None, kind: str | None = None) -> dict:
+    """navigable, form, parts of a content.  A file name or format is the authority;
+    else a document's kind; else, from ``LEAST_NAVIGABLE`` characters on, two top-level
+    keys, two headings, an object of two keys, or long text of three paragraphs."""
+    as_ = lambda navigable, form, parts=0: {"navigable": navigable, "form": form, "parts": parts}
+    if source:
+        name = source.strip().lower()
+        form = FORMATS.get(name) or FORMATS.get(name.rpartition(".")[2] if "." in name else name, "plain")
+        n = _parts(text, form)
+        return as_(True, form, n) if n >= 2 and len(text) >= LEAST_NAVIGABLE else as_(False, form)
+    headings = len(_HEADING.findall(text))
+    if kind in ("document_chunk", "document", "section_index"):
+        return as_(True, "markdown", headings) if headings >= 2 else as_(True, "structured_text")
+    if len(text) < LEAST_NAVIGABLE:
+        return as_(False, "plain")
+    keys = len(_KEY.findall(text))
+    if keys >= 2:
+        return as_(True, "yaml", keys)
+    if headings >= 2:
+        return as_(False, "plain") if keys else as_(True, "markdown", headings)
+    if text.strip().startswith("{") and len(_object(text) or ()) >= 2:
+        return as_(True, "json", len(_object(text)))
+    if len(text) > 1000 and text.count("\n\n") >= 3 and len(_paragraphs(text)) >= 3:
+        return as_(True, "structured_text", len(_paragraphs(text)))
+    return as_(False, "plain")
+
+
+def _cut(text: str, at: re.Pattern, preamble: str | None) -> list[tuple[str, str]]:
+    """(heading, body) from each line that fits to the next; what stands before the
+    first under ``preamble``, or dropped."""
+    marks = list(at.finditer(text))
+    found = [(m.group(1).strip(), text[m.start() : n].strip()) for m, n in zip(marks, [m.start() for m in marks[1:]] + [len(text)], strict=True)]
+    before = text[: marks[0].start()].strip() if marks else text.strip()
+    return [(preamble, before), *found] if preamble and before else found
+
+
+def sections(text: str, form: str | None = None) -> list[dict]:
+    """heading, body, position of a navigable text: by headings (the body with its
+    heading line), keys of an object, top-level keys, or paragraphs."""
+    form = form or (classify(text)["form"] if classify(text)["navigable"] else None)
+    if form == "markdown":
+        found = _cut(text, _HEADING, "(preamble)")
+    elif form == "json":
+        found = [(str(k), f"{k}: {json.dumps(v, indent=2)}") for k, v in (_object(text) or {}).items()]
+    elif form == "yaml":
+        found = _cut(text, _KEY, None)
+    elif form == "structured_text":
+        found = [(p.split("\n")[0][:80].strip() or f"Section {k}", p) for k, p in enumerate(_paragraphs(text), 1)]
     else:
-        found = [(p.strip().split("\n")[0][:80], p.strip()) for p in re.split(r"\n\s*\n", text) if p.strip()]
+        found = []
     return [{"heading": h, "body": b, "position": k} for k, (h, b) in enumerate(found)]
 
 
@@ -118,27 +204,50 @@ def chunk(df: DataFrame, text: str, form: str, most: int = MOST) -> DataFrame:
     return df.select("*", F.posexplode(_udf(lambda t: cut(t, most), "array<string>")(col)).alias("position", "chunk"))
 
 
-def split_sections(df: DataFrame, text: str) -> DataFrame:
+def split_sections(df: DataFrame, text: str, form: str | None = None) -> DataFrame:
     """``df`` with a row per section: heading, body, position."""
-    found = _udf(sections, "array<struct<heading:string,body:string,position:int>>")(F.col(text))
+    found = _udf(lambda t: sections(t, form), "array<struct<heading:string,body:string,position:int>>")(F.col(text))
     return df.select("*", F.explode(found).alias("_s")).select(*df.columns, "_s.*")
 
 
-def content_form(text: Column) -> Column:
-    """json, yaml, markdown, prose or note, by simple signs."""
-    count = lambda p: F.regexp_count(text, F.lit(p))
-    return (
-        F.when(text.rlike(r"(?s)^\s*[\[{].*[\]}]\s*$") & F.try_parse_json(text).isNotNull(), "json")
-        .when(count(r"(?m)^#{1,6}\s+\S") >= 2, "markdown")
-        .when(count(r"(?m)^[A-Za-z_][\w-]*:\s") >= 2, "yaml")
-        .when((F.length(text) > 1000) & (count(r"\n\s*\n") >= 2), "prose")
-        .otherwise("note")
+def content_class(text: Column, source: Column | None = None) -> Column:
+    """struct<navigable, form, parts> of each content; null of null."""
+
+    @F.pandas_udf("navigable boolean, form string, parts int")
+    def run(texts: pd.Series, names: pd.Series) -> pd.DataFrame:
+        rows = [classify(t or "", n) for t, n in zip(texts, names, strict=True)]
+        return pd.DataFrame(rows, columns=["navigable", "form", "parts"])
+
+    return F.when(text.isNotNull(), run(text, F.lit(None).cast("string") if source is None else source))
+
+
+def profile(df: DataFrame, key: str, source: str | None = None, form: str = "markdown", most: int = 800) -> DataFrame:
+    """key, profile: the first section's heading as title, source, format, a line with
+    the first sentence of each section, totals; ``most`` characters at most."""
+    first = X.first_sentence(F.col("body"))
+    line = F.concat(F.lit("- "), F.col("heading"), F.when(first != "", F.concat(F.lit(": "), first)).otherwise(""))
+    rows = F.array_sort(F.collect_list(F.struct("position", "heading", line.alias("line"))))
+    named = F.lit(None).cast("string") if source is None else F.first(source)
+    g = df.groupBy(key).agg(rows.alias("_r"), F.sum(F.length("body")).alias("_n"), named.alias("_s"))
+    n = F.size("_r").cast("string")
+    body = F.concat_ws(
+        "\n",
+        F.concat(F.lit("Document: "), F.get("_r", F.lit(0))["heading"]),
+        F.concat(F.lit("Source: "), F.col("_s")),
+        F.concat(F.lit(f"Format: {form} | Sections: "), n),
+        F.lit(""),
+        F.array_join(F.transform("_r", lambda r: r["line"]), "\n"),
+        F.lit(""),
+        F.concat(F.lit("Total content: "), F.format_number("_n", 0), F.lit(" chars across "), n, F.lit(" sections")),
     )
+    return g.select(key, F.when(F.length(body) > most, F.concat(F.substring(body, 1, most - 3), F.lit("..."))).otherwise(body).alias("profile"))
 
 
-def profile(df: DataFrame, key: str, title: str, most: int = 800) -> DataFrame:
-    """key, profile: title, a bullet per section, totals; ``most`` characters."""
-    rows = F.transform(F.array_sort(F.collect_list(F.struct("position", "heading"))), lambda s: F.concat(F.lit("- "), s["heading"]))
-    g = df.groupBy(key).agg(F.first(title).alias("_t"), rows.alias("_r"), F.sum(F.length("body")).alias("_n"))
-    body = F.concat_ws("\n", "_t", F.array_join("_r", "\n"), F.concat(F.size("_r").cast("string"), F.lit(" sections, "), F.col("_n").cast("string"), F.lit(" characters")))
-    return g.select(key, F.substring(body, 1, most).alias("profile"))
+def document_tree(df: DataFrame, key: str, text: str, form: str = "markdown") -> DataFrame:
+    """doc_id, parent_id, heading, body, position of navigable documents: the document
+    itself (no parent) and a child per section."""
+    parts = split_sections(df.select(key, text), text, form)
+    parent = F.col(key).cast("string")
+    child = parts.select(F.concat_ws("#", parent, F.col("position").cast("string")).alias("doc_id"), parent.alias("parent_id"), "heading", "body", "position")
+    whole = df.select(parent.alias("doc_id"), F.lit(None).cast("string").alias("parent_id"), F.lit(None).cast("string").alias("heading"), F.col(text).alias("body"), F.lit(-1).alias("position"))
+    return whole.join(child.select(F.col("parent_id").alias("doc_id")).distinct(), "doc_id", "left_semi").unionByName(child)

@@ -12,17 +12,29 @@ from recallforge.functions import temporal
 NOW = datetime(2024, 6, 15, 12)
 
 
+END = dict(hour=23, minute=59, second=59)
+
+
 @pytest.mark.parametrize("text, start, end", [
-    ("what happened on 2024-03-05", datetime(2024, 3, 5), datetime(2024, 3, 6)),
-    ("in march 2023", datetime(2023, 3, 1), datetime(2023, 4, 1)),
-    ("in december", datetime(2023, 12, 1), datetime(2024, 1, 1)),
-    ("yesterday", datetime(2024, 6, 14), datetime(2024, 6, 15)),
-    ("three days ago", datetime(2024, 6, 12), datetime(2024, 6, 13)),
-    ("between january 2024 and march 2024", datetime(2024, 1, 1), datetime(2024, 4, 1)),
+    ("yesterday", datetime(2024, 6, 14), datetime(2024, 6, 14, **END)),
+    ("what happened today", datetime(2024, 6, 15), NOW),
+    ("three days ago", datetime(2024, 6, 12), datetime(2024, 6, 12, **END)),
+    ("thirteen days ago", datetime(2024, 6, 2), datetime(2024, 6, 2, **END)),
+    ("last week", datetime(2024, 6, 3), datetime(2024, 6, 9, **END)),
+    ("2 weeks ago", datetime(2024, 5, 27), datetime(2024, 6, 2, **END)),
+    ("last month", datetime(2024, 5, 1), datetime(2024, 5, 31, **END)),
+    ("seven months ago", datetime(2023, 11, 1), datetime(2023, 11, 30, **END)),
+    ("in march 2023", datetime(2023, 3, 1), datetime(2023, 3, 31, **END)),
+    ("in December", datetime(2023, 12, 1), datetime(2023, 12, 31, **END)),
+    ("in june", datetime(2024, 6, 1), datetime(2024, 6, 30, **END)),
+    ("since apr", datetime(2024, 4, 1), NOW),
     ("since 2023", datetime(2023, 1, 1), NOW),
-    ("last two weeks", datetime(2024, 6, 1, 12), NOW),
-    ("this month", datetime(2024, 6, 1), NOW),
-    ("Q1 2024", datetime(2024, 1, 1), datetime(2024, 4, 1)),
+    ("in 2022", datetime(2022, 1, 1), datetime(2022, 12, 31, **END)),
+    ("Q1 2023", datetime(2023, 1, 1), datetime(2023, 3, 31, **END)),
+    ("this quarter", datetime(2024, 4, 1), datetime(2024, 6, 30, **END)),
+    ("last quarter", datetime(2024, 1, 1), datetime(2024, 3, 31, **END)),
+    ("past 14 days", datetime(2024, 6, 1), NOW),
+    ("the latest build", datetime(2024, 6, 13, 12), NOW),
 ])
 def test_parse(text, start, end):
     got = temporal.parse(text, NOW)
@@ -30,17 +42,54 @@ def test_parse(text, start, end):
 
 
 def test_parse_words():
-    assert temporal.parse("the first release", NOW)["ordinal"] == "first" and temporal.parse("the latest", NOW)["recency"]
+    assert temporal.parse("the first release", NOW) == {"start": None, "end": None, "recency": False, "ordinal": "first"}
+    new = temporal.parse("what is the current state", NOW)
+    assert new["recency"] and new["ordinal"] == "last"
     assert temporal.parse("last week", NOW)["ordinal"] is None and temporal.parse("hello", NOW) is None and temporal.parse(None, NOW) is None
-    assert temporal.duration_days("a couple of weeks") == 14 and temporal.duration_days("soon") is None
+    assert temporal.duration_days("a couple of weeks") == 14 and temporal.duration_days("soon") is None and temporal.duration_days("3 hours") is None
     a, b = datetime(2024, 1, 1), datetime(2024, 2, 1)
     assert temporal.merge([(a, b, 0.5), (b, NOW, 0.9), (b, b, 1.0), (a, NOW, 0.1)]) == (a, NOW, 0.9) and temporal.merge([]) is None
 
 
-def test_reference_column(spark):
-    q = spark.createDataFrame([("on 2024-03-05",), (None,), ("before 2020",)], "q string")
+@pytest.mark.parametrize("text, label, start, end, origin", [
+    ("2024", "date", datetime(2024, 1, 1), datetime(2025, 1, 1), "date:year"),
+    ("March 2024", "date", datetime(2024, 3, 1), datetime(2024, 4, 1), "date:year-month"),
+    ("Q4 2023", "date", datetime(2023, 10, 1), datetime(2024, 1, 1), "date:quarter"),
+    ("June 5, 2024", "date", datetime(2024, 6, 5), datetime(2024, 6, 6), "date:absolute"),
+    ("2024-02-29", "date", datetime(2024, 2, 29), datetime(2024, 3, 1), "date:absolute"),
+    ("yesterday", "relative date", datetime(2024, 6, 14), datetime(2024, 6, 15), "relative:canonical"),
+    ("last month", "relative date", datetime(2024, 5, 1), datetime(2024, 6, 1), "relative:last-month"),
+    ("next year", "relative date", datetime(2025, 1, 1), datetime(2026, 1, 1), "relative:next-year"),
+    ("last Thursday", "relative date", datetime(2024, 6, 13), datetime(2024, 6, 14), "relative:modifier"),
+    ("next Friday", "relative date", datetime(2024, 6, 21), datetime(2024, 6, 22), "relative:modifier"),
+    ("3 days ago", "relative date", datetime(2024, 6, 12), datetime(2024, 6, 13), "relative:fallback"),
+    ("since June 5", "start date", datetime(2024, 6, 5), NOW, "start-date"),
+    ("until yesterday", "end date", NOW - temporal.HORIZON, datetime(2024, 6, 15), "end-date"),
+])
+def test_spans_to_intervals(text, label, start, end, origin):
+    (got,) = temporal.normalise([temporal.Span(text, label, 3, 9)], NOW)
+    assert (got.start, got.end, got.origin) == (start, end, origin)
+
+
+def test_span_rules():
+    S = temporal.Span
+    both = temporal.normalise([S("June 5, 2024", "end date", 0, 12), S("June 5, 2024", "date", 0, 12)], NOW)
+    assert [i.origin for i in both] == ["date:absolute"]
+    wide = temporal.normalise([S("June 5, 2024", "date", 0, 12), S("two weeks", "duration", 20, 29)], NOW)
+    assert [(i.start, i.end, i.confidence) for i in wide] == [(datetime(2024, 6, 5), datetime(2024, 6, 19), 0.75)]
+    assert temporal.normalise([S("two weeks", "duration", 1, 9), S("12", "date", 10, 12), S("2pm", "time of day", 13, 16), S("", "date", 17, 18), S("1000", "date", 20, 24)], NOW) == []
+    names, hull = temporal.query_range([S("auth service", "service"), S("May 2024", "date", 5, 9), S("today", "relative date", 12, 17)], NOW)
+    assert names == ["auth service"] and hull == (datetime(2024, 5, 1), datetime(2024, 6, 16), 0.92)
+
+
+def test_temporal_columns(spark):
+    q = spark.createDataFrame([("in 2020",), (None,), ("hello",)], "q string")
     got = q.select(temporal.reference(F.col("q"), NOW).alias("r")).select("r.*").collect()
-    assert got[0].start == datetime(2024, 3, 5) and got[1].start is None and got[2].end == datetime(2020, 1, 1)
+    assert got[0].start == datetime(2020, 1, 1) and got[1].start is None and got[2].end is None
+    kind = "spans array<struct<text:string,label:string,start:int,end:int>>, ref timestamp"
+    rows = spark.createDataFrame([([("May 2024", "date", 1, 9)], NOW), ([], NOW), (None, NOW), ([("May 2024", "date", 1, 9)], None)], kind)
+    got = [r.i for r in rows.select(temporal.intervals(F.col("spans"), F.col("ref")).alias("i")).collect()]
+    assert got[0].start == datetime(2024, 5, 1) and got[0].confidence == 0.92 and all(i.start is None for i in got[1:])
 
 
 def test_engine(spark, tmp_path):

@@ -135,7 +135,7 @@ def test_intents(spark):
 
 def test_anchor_and_state(spark):
     df = spark.createDataFrame([("see ABC-12",), ("release v1.2.3 is out",), ("db: mode = fast",)], "t string")
-    got = df.select(classify.anchor(F.col("t")).alias("a"), classify.state_meta(F.col("t")).alias("s")).collect()
+    got = df.select(classify.anchor(F.col("t")).alias("a"), classify.state_meta(F.col("t"), F.array(F.lit("db"))).alias("s")).collect()
     assert got[0].a.id == "ABC-12" and got[1].a.kind == "release" and got[1].a.id == "v1.2.3"
     assert (got[2].s.entity, got[2].s.key, got[2].s.value) == ("db", "mode", "fast")
 
