@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from recallforge.functions import temporal, text as T
-from recallforge.operators import classify, graph, predicates, recall, retrieval, scans, state
+from recallforge.operators import classify, graph, maintenance, predicates, recall, retrieval, scans, scoring, state
 
 
 class Extractor(Protocol):
@@ -24,14 +24,27 @@ class Extractor(Protocol):
     def __call__(self, texts: pd.Series) -> pd.Series: ...
 
 
-@dataclass
-class Weights:
-    """Signal weights; defaults as documented for the combined score."""
+class Index(Protocol):
+    """Full-text search: signals (key, bm25, overlap) of a question."""
+
+    def signals(self, query: str) -> DataFrame: ...
+
+
+class Graph(Protocol):
+    """Edges (src, dst, weight) between entities."""
+
+    def edges(self) -> DataFrame: ...
 
-    bm25: float = 0.6
-    sparse: float = 0.3
-    graph: float = 0.3
-    temporal: float = 0.2
+
+class Store(Protocol):
+    """Tables by name: memories, links, states, ranges, nodes, episodes."""
+
+    def table(self, name: str) -> DataFrame: ...
+
+
+#: Text from a prompt; where none is plugged in, steps that write quote instead.
+Writer = Callable[[str], str]
+Weights = scoring.Weights
 
 
 @dataclass
@@ -44,25 +57,110 @@ class Engine:
     links: DataFrame | None = None
     states: DataFrame | None = None
     ranges: DataFrame | None = None
+    nodes: DataFrame | None = None
     weights: Weights = field(default_factory=Weights)
     extractor: Extractor | None = None
     reranker: Callable[[Column], Column] | None = None
+    writer: Writer | None = None
+    index: Index | None = None
+
+    def classified(self, query: str) -> str:
+        """The intent of one question."""
+        one = self.memories.sparkSession.createDataFrame([(query,)], "q string")
+        return one.select(classify.keyword_intent(F.col("q"))["intent"]).first()[0]
 
-    def search(self, query: str, *, limit: int = 10, domain: str | None = None, now: datetime | None = None, pool: int = 50) -> DataFrame:
-        """memory_id, score: two lists fused, optionally reranked, in range, combined."""
+    def search(self, query: str, *, limit: int = 10, domain: str | None = None, now: datetime | None = None, pool: int = 50, intent: str | None = None) -> DataFrame:
+        """memory_id, score: two lists fused, in range, expanded through the graph, and
+        combined by the weights of the question's intent; reranked where a model helps."""
         docs = self.memories if domain is None else self.memories.where(predicates.domain_prefix(F.col("domains"), domain))
-        found = retrieval.signals(docs, "memory_id", "content", query).withColumnRenamed("overlap", "sparse")
+        intent = intent or self.classified(query)
+        found = self.index.signals(query) if self.index is not None else retrieval.signals(docs, "memory_id", "content", query)
+        if self.index is not None and domain is not None:
+            found = scans.semi(found, docs, "memory_id")
+        found = found.withColumnRenamed("overlap", "sparse")
         lists = [retrieval.ranked(retrieval.top(found, "memory_id", pool, s), "memory_id", s) for s in ("bm25", "sparse")]
-        cands = retrieval.fuse(lists, "memory_id").select("memory_id")
+        cands = retrieval.fuse(lists, "memory_id")
         when = temporal.parse(query, now) if now else None
         if when and when["start"] and self.ranges is not None:
             cands = predicates.range_filter(cands, self.ranges, "memory_id", F.lit(when["start"]), F.lit(when["end"]))
-        c = cands.join(found, "memory_id")
-        c = retrieval.max_normal(c, ["bm25", "sparse"])
-        c = c.withColumn("score", retrieval.combined({"bm25": F.col("bm25"), "sparse": F.col("sparse")}, {"bm25": self.weights.bm25, "sparse": self.weights.sparse}))
-        if self.reranker is not None:
-            return retrieval.rerank(c.select("memory_id", "score").join(docs.select("memory_id", "content"), "memory_id"), "memory_id", self.reranker, most=pool, keep=limit).select("memory_id", "score")
-        return retrieval.top(c, "memory_id", limit).select("memory_id", "score")
+        if self.links is not None:
+            cands = scoring.graph_expansion(cands, self.links, graph.cooccurrence(self.links))
+        if domain is not None:
+            cands = scans.semi(cands, docs, "memory_id")
+        rows = cands.select("memory_id").join(found, "memory_id", "left").withColumns({
+            "graph": F.lit(0.0), "temporal": F.lit(0.0), "activation": F.lit(0.0), "recency": F.lit(0.0), "superseded": F.lit(False), "conflicted": F.lit(False),
+            "intent": F.lit(intent), "label": F.lit(None).cast("string"), "change": F.lit(None).cast("string"),
+            "roles": F.array().cast("array<struct<role:string,canonical:string>>"), "names": F.array().cast("array<string>"),
+        })
+        kinds = self.nodes.groupBy("memory_id").agg(F.collect_set("node_type").alias("node_types")) if self.nodes is not None else None
+        rows = rows.join(kinds, "memory_id", "left") if kinds is not None else rows.withColumn("node_types", F.array().cast("array<string>"))
+        scored = scoring.combined(rows, self.weights, temporal=False).select("memory_id", "score")
+        if self.reranker is not None and intent in scoring.RERANKED:
+            return retrieval.rerank(scored.join(docs.select("memory_id", "content"), "memory_id"), "memory_id", self.reranker, most=pool, keep=limit).select("memory_id", "score")
+        return retrieval.top(scored, "memory_id", limit).select("memory_id", "score")
+
+    def search_level(self, query: str, kinds: list[str], *, limit: int = 10, factor: int = 3) -> DataFrame:
+        """The ``limit`` best of a wider search that have a node of one of the kinds."""
+        wide = self.search(query, limit=limit * factor)
+        mine = self.nodes.where(F.col("node_type").isin(kinds)).select("memory_id").distinct()
+        return retrieval.top(scans.semi(wide, mine, "memory_id"), "memory_id", limit)
+
+    def traverse(self, seeds: DataFrame, mode: str, *, summaries: DataFrame | None = None, members: DataFrame | None = None, most: int = 20) -> DataFrame:
+        """From abstracts down, from memories up, across an episode, or along time.
+        ``seeds``: node (or member_id and episode_id across; seed along time)."""
+        if mode == "top_down":
+            return recall.top_down(summaries, members, seeds)
+        if mode == "bottom_up":
+            return recall.bottom_up(summaries, members, seeds)
+        if mode == "lateral":
+            return recall.siblings(members, seeds, most)
+        if mode == "temporal":
+            return recall.timeline(self.links, self.states, seeds, most=most)
+        raise ValueError(f"no traversal {mode!r}")
+
+    def topic_map(self, *, least: float = 0.3, members: int = 3) -> DataFrame:
+        """cluster, size, ids, shared: memories by the entities that they share."""
+        sets = self.links.groupBy(F.col("memory_id").alias("id")).agg(F.collect_set("entity_id").alias("items"))
+        return maintenance.overlap_clusters(sets, least=least, members=members)
+
+    def synthesise(self, query: str, *, budget: int = 4000, limit: int = 10) -> str:
+        """Excerpts of the best memories within a budget of characters, or what the
+        plugged writer makes of them."""
+        hits = self.search(query, limit=limit).join(self.memories.select("memory_id", "content"), "memory_id")
+        text = recall.synthesis(hits, budget).first().content or ""
+        return self.writer(f"{query}\n\n{text}") if self.writer is not None else text
+
+    def arithmetic(self, query: str, anchors: list[str], entities: DataFrame, now: datetime) -> str | None:
+        """The answer to a question for a duration: between two anchors, or from one to
+        now; None if it is no such question or an anchor is not found.  Memories need
+        created_at."""
+        spark = self.memories.sparkSession
+        spec = spark.createDataFrame([(query,)], "q string").select(classify.arithmetic(F.col("q")).alias("a")).first().a
+        need = 2 if spec and spec.operation == "between" else 1
+        if not spec or len(anchors) < need:
+            return None
+        scored = retrieval.bm25(self.memories, "memory_id", "content", query)
+        at = []
+        for name in anchors[:need]:
+            found = scoring.anchor_candidates(name, self.memories, self.links, entities).join(self.memories.select("memory_id", F.col("created_at").alias("at")), "memory_id")
+            at.append(scoring.anchor_date(found, scored).first())
+        if any(a is None or a["at"] is None for a in at):
+            return None
+        end = at[1]["at"] if need == 2 else now
+        one = spark.createDataFrame([(abs((end - at[0]["at"]).total_seconds()), spec.unit)], "s double, u string")
+        return one.select(classify.duration_text(classify.duration(F.col("s"), F.col("u")), F.col("u"))).first()[0]
+
+    def feedback(self, returned: DataFrame, agent: str, now: datetime) -> DataFrame:
+        """The accesses to append for what a search returned and a caller used."""
+        return scans.access_log(returned, agent, F.lit(now))
+
+    def delete(self, ids: DataFrame) -> dict[str, DataFrame]:
+        """Memories and what hangs on them without the deleted ones."""
+        tables = {"memories": (self.memories, "memory_id")}
+        for name in ("links", "ranges", "nodes"):
+            if getattr(self, name) is not None:
+                tables[name] = (getattr(self, name), "memory_id")
+        return scans.delete_cascade(tables, ids, "memory_id")
 
     def intent(self, questions: DataFrame, column: str) -> DataFrame:
         return questions.withColumn("intent", classify.keyword_intent(F.col(column)))

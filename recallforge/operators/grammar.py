@@ -90,12 +90,12 @@ def earlier_of(states: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def concurrent_counts(probes: DataFrame, states: DataFrame, subject: str, days: int) -> DataFrame:
-    """How many other nodes of the subject lie within ``days`` of each probe: an
-    equi-join on the subject, summed as it streams."""
-    p = probes.select(subject, F.col("node_id").alias("_p"), F.col("created_at").alias("_t"))
-    gap = F.expr(f"interval {days} days")
-    near = (F.col("node_id") != F.col("_p")) & F.col("created_at").between(F.col("_t") - gap, F.col("_t") + gap)
-    return p.join(states, subject).where(near).groupBy(F.col("_p").alias("node_id")).agg(F.count("*").alias("n"))
+    """How many other nodes of the subject lie within ``days`` of each probe (0: no
+    row): a count over a sliding range of the subject's sorted nodes, no pairs."""
+    micros = days * 86_400_000_000
+    w = Window.partitionBy(subject).orderBy("_t").rangeBetween(-micros, micros)
+    n = states.select("node_id", subject, F.unix_micros(F.col("created_at").cast("timestamp")).alias("_t")).withColumn("n", F.count("*").over(w) - 1)
+    return n.join(probes.select("node_id"), "node_id", "left_semi").where("n > 0").select("node_id", "n")
 
 
 def causes(edges: DataFrame, seeds: DataFrame, hops: int = 6) -> DataFrame:

@@ -1,15 +1,20 @@
 """Full-text, vector and fused retrieval.
 
-Postings are built once per call from the token lists, or read from a table that
-``write_index`` left; only the terms of the query are exploded, so the scan of the
-texts ends in a filter on a handful of tokens and the shuffle carries matches alone.
+``open_index`` keeps postings and corpus statistics as Parquet in the shared folder,
+clustered by term: a search reads the row groups of its terms alone, and the corpus is
+tokenised once, not once a search.  Without files behind the texts postings of the
+query's terms are built in the search itself.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import hashlib
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from recallforge.functions import text as T
+from recallforge.shared import shared_dir
 
 K1, B = 1.2, 0.75
 
@@ -21,15 +26,79 @@ def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def write_index(docs: DataFrame, key: str, text: str, path: str, mode: str = "overwrite") -> None:
-    """Postings as Parquet, clustered by term so a query reads few row groups;
-    ``append`` adds documents."""
-    postings(docs, key, text).repartition("term").sortWithinPartitions("term", key).write.mode(mode).parquet(path)
+    """Postings as Parquet, in ranges of (term, key), so that a query reads few row
+    groups and a term of very many documents is several tasks' work; ``append`` adds
+    documents.  The unordered postings are written first: ranges are found on them."""
+    raw = f"{path}-raw"
+    postings(docs, key, text).write.mode("overwrite").parquet(raw)
+    rows = docs.sparkSession.read.parquet(raw)
+    rows.repartitionByRange("term", key).sortWithinPartitions("term", key).write.mode(mode).option("parquet.block.size", str(8 << 20)).parquet(path)
+    _fs(docs.sparkSession, raw)[0].delete(_fs(docs.sparkSession, raw)[1], True)
 
 
 def drop_from_index(index: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     return index.join(gone.select(key).distinct(), key, "left_anti")
 
 
+def _fs(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+@dataclass(frozen=True)
+class Index:
+    """postings (term, key, tf, dl), the number of documents and their mean length."""
+
+    postings: DataFrame
+    key: str
+    n: float
+    avgdl: float
+
+    def signals(self, query: str, k1: float = K1, b: float = B) -> DataFrame:
+        """key, bm25, overlap of every document that holds a term of the query."""
+        return _scored(self.postings.where(F.col("term").isin(sorted(set(_split(query))))), self.key, self.n, self.avgdl, k1, b)
+
+    def bm25(self, query: str, k1: float = K1, b: float = B) -> DataFrame:
+        return self.signals(query, k1, b).select(self.key, F.col("bm25").alias("score"))
+
+    def vector(self, key) -> DataFrame:
+        """dim, weight: the terms of one document, by how often they occur."""
+        return self.postings.where(F.col(self.key) == key).select(F.col("term").alias("dim"), F.col("tf").cast("double").alias("weight"))
+
+    def similar(self, key) -> DataFrame:
+        """key, score: products of term counts with one document's.  Its terms are a
+        document's worth, and reach the scan as a filter."""
+        terms = {r.dim: r.weight for r in self.vector(key).collect()}
+        if not terms:
+            return self.postings.select(self.key, F.lit(0.0).alias("score")).limit(0)
+        weight = F.create_map(*[F.lit(x) for kv in sorted(terms.items()) for x in kv])
+        p = self.postings.where(F.col("term").isin(sorted(terms)) & (F.col(self.key) != key))
+        return p.groupBy(self.key).agg(F.sum(F.col("tf") * weight[F.col("term")]).alias("score"))
+
+
+def open_index(docs: DataFrame, key: str, text: str) -> Index | None:
+    """The index of a table of files, built in the shared folder where it is not there
+    yet; None for a frame without files.  Its name is a hash of the files' names, sizes
+    and times, so changed files get an index of their own."""
+    spark, files = docs.sparkSession, sorted(docs.inputFiles())
+    if not files:
+        return None
+    marks = [f"{key}|{text}"]
+    for f in files:
+        fs, at = _fs(spark, f)
+        status = fs.getFileStatus(at)
+        marks.append(f"{f}|{status.getLen()}|{status.getModificationTime()}")
+    path = f"{shared_dir(spark).rstrip('/')}/index-{hashlib.sha256(chr(10).join(marks).encode()).hexdigest()[:24]}"
+    fs, done = _fs(spark, f"{path}/stats/_SUCCESS")
+    if not fs.exists(done):
+        write_index(docs.select(key, text), key, text, f"{path}/postings")
+        # documents without a term count too
+        lengths = docs.select(F.size(T.tokens(F.col(text))).alias("dl"))
+        lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).write.mode("overwrite").parquet(f"{path}/stats")
+    stats = spark.read.parquet(f"{path}/stats").first()
+    return Index(spark.read.parquet(f"{path}/postings"), key, float(stats.n), float(stats.avgdl or 1.0))
+
+
 def query_postings(docs: DataFrame, key: str, text: str, terms: list[str]) -> DataFrame:
     """Postings of the query's terms alone, and the length of each document."""
     toks = docs.select(key, T.tokens(F.col(text)).alias("_t"))
@@ -37,19 +106,21 @@ def query_postings(docs: DataFrame, key: str, text: str, terms: list[str]) -> Da
     return toks.select(key, F.size("_t").alias("dl"), F.explode(wanted).alias("term")).groupBy("term", key, "dl").agg(F.count("*").alias("tf"))
 
 
-def signals(docs: DataFrame, key: str, text: str, query: str, k1: float = K1, b: float = B) -> DataFrame:
-    """key, bm25, overlap: BM25 and the number of distinct query terms, of every
-    document that holds one, from the same postings."""
-    terms = sorted(set(_split(query)))
-    stats = docs.agg(F.count("*").alias("n"), F.avg(F.size(T.tokens(F.col(text)))).alias("avgdl")).first()
-    p = query_postings(docs, key, text, terms)
+def _scored(p: DataFrame, key: str, n: float, avgdl: float, k1: float, b: float) -> DataFrame:
     df = p.groupBy("term").agg(F.count("*").alias("df"))  # a row per query term
-    n, avgdl = float(stats.n), float(stats.avgdl or 1.0)
     idf = F.ln(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     gain = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
     return p.join(F.broadcast(df), "term").groupBy(key).agg(F.sum(gain).alias("bm25"), F.count("*").cast("double").alias("overlap"))
 
 
+def signals(docs: DataFrame, key: str, text: str, query: str, k1: float = K1, b: float = B) -> DataFrame:
+    """key, bm25, overlap: BM25 and the number of distinct query terms, of every
+    document that holds one, from the same postings."""
+    stats = docs.agg(F.count("*").alias("n"), F.avg(F.size(T.tokens(F.col(text)))).alias("avgdl")).first()
+    p = query_postings(docs, key, text, sorted(set(_split(query))))
+    return _scored(p, key, float(stats.n), float(stats.avgdl or 1.0), k1, b)
+
+
 def bm25(docs: DataFrame, key: str, text: str, query: str, k1: float = K1, b: float = B) -> DataFrame:
     """key, score: BM25 of every document that holds a term of the query."""
     return signals(docs, key, text, query, k1, b).select(key, F.col("bm25").alias("score"))

@@ -11,13 +11,29 @@ from recallforge.catalog import register
 from recallforge.operators import audit as A
 
 
-@register("audit_timeline_union", "SELECT o_orderdate AS at, 'document' AS type, CAST(o_custkey AS VARCHAR) AS agent, CAST(o_orderkey AS VARCHAR) AS detail FROM orders UNION ALL SELECT l_shipdate, 'review', CAST(l_suppkey AS VARCHAR), CAST(l_orderkey AS VARCHAR) || ':' || CAST(l_linenumber AS VARCHAR) FROM lineitem UNION ALL SELECT ts, event_type, CAST(user_id AS VARCHAR), CAST(event_id AS VARCHAR) FROM events")
+@register(
+    "audit_timeline_union",
+    """SELECT o_orderdate AS at, 'document' AS type, CAST(o_custkey AS VARCHAR) AS agent, CAST(o_orderkey AS VARCHAR) AS detail FROM orders
+    UNION ALL SELECT l_shipdate, 'review', CAST(l_suppkey AS VARCHAR), CAST(l_orderkey AS VARCHAR) || ':' || CAST(l_linenumber AS VARCHAR) FROM lineitem WHERE l_returnflag = 'N'
+    UNION ALL SELECT l_shipdate, 'approval', CAST(l_suppkey AS VARCHAR), CAST(l_orderkey AS VARCHAR) || ':' || CAST(l_linenumber AS VARCHAR) FROM lineitem WHERE l_returnflag = 'A'
+    UNION ALL SELECT l_shipdate, 'violation', CAST(l_suppkey AS VARCHAR), CAST(l_orderkey AS VARCHAR) || ':' || CAST(l_linenumber AS VARCHAR) FROM lineitem WHERE l_returnflag = 'R'
+    UNION ALL SELECT ts, 'llm_call', CAST(user_id AS VARCHAR), CAST(event_id AS VARCHAR) FROM events WHERE event_type = 'click'
+    UNION ALL SELECT ts, 'bus', CAST(user_id AS VARCHAR), CAST(event_id AS VARCHAR) FROM events WHERE event_type = 'view'
+    UNION ALL SELECT ts, 'event', CAST(user_id AS VARCHAR), CAST(event_id AS VARCHAR) FROM events WHERE event_type NOT IN ('click', 'view')""",
+)
 def audit_timeline_union(spark, d):
     s = lambda c: F.col(c).cast("string")
-    o = M.table(spark, d, "orders").select(F.col("o_orderdate").alias("at"), F.lit("document").alias("type"), s("o_custkey").alias("agent"), s("o_orderkey").alias("detail"))
-    r = M.table(spark, d, "lineitem").select(F.col("l_shipdate").alias("at"), F.lit("review").alias("type"), s("l_suppkey").alias("agent"), F.concat_ws(":", s("l_orderkey"), s("l_linenumber")).alias("detail"))
-    e = M.table(spark, d, "events").select(F.col("ts").alias("at"), F.col("event_type").alias("type"), s("user_id").alias("agent"), s("event_id").alias("detail"))
-    return A.timeline([o, r, e])
+    row = lambda df, at, kind, who, what: df.select(F.col(at).alias("at"), F.lit(kind).alias("type"), s(who).alias("agent"), what.alias("detail"))
+    li, e = M.table(spark, d, "lineitem"), M.table(spark, d, "events")
+    line = F.concat_ws(":", s("l_orderkey"), s("l_linenumber"))
+    kind = F.col("event_type")
+    parts = [
+        row(M.table(spark, d, "orders"), "o_orderdate", "document", "o_custkey", s("o_orderkey")),
+        *(row(li.where(F.col("l_returnflag") == f), "l_shipdate", name, "l_suppkey", line) for f, name in (("N", "review"), ("A", "approval"), ("R", "violation"))),
+        row(e.where(kind == "click"), "ts", "llm_call", "user_id", s("event_id")), row(e.where(kind == "view"), "ts", "bus", "user_id", s("event_id")),
+        row(e.where(~kind.isin("click", "view")), "ts", "event", "user_id", s("event_id")),
+    ]
+    return A.timeline(parts)
 
 
 _SRC = """rv AS (SELECT o_custkey AS project_id, avg(l_quantity * 2) AS review FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1),

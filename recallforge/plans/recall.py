@@ -70,11 +70,11 @@ def surrogate_answer(spark, d):
     return R.surrogate(e, "agent", words, F.col("t"), "doc_id").select("agent", "doc_id", F.round("confidence", 6).alias("confidence"))
 
 
-@register("subject_canonicalisation", r"WITH al AS (SELECT n_name AS alias, 'nation:' || n_nationkey AS subject FROM nation), s AS (SELECT DISTINCT n_name AS surface FROM nation WHERE n_nationkey < 10 UNION SELECT lower(n_name) || ' ' FROM nation WHERE n_nationkey BETWEEN 5 AND 20 UNION SELECT DISTINCT p_name FROM part WHERE p_partkey < 50) SELECT surface, coalesce(e.subject, m.subject, 'subject:' || coalesce(nullif(trim(regexp_replace(lower(surface), '[^a-z0-9]+', '-', 'g'), '-'), ''), 'unknown')) AS subject, CASE WHEN e.subject IS NOT NULL THEN 1.0 WHEN m.subject IS NOT NULL THEN 0.85 ELSE 0.6 END::DOUBLE AS confidence FROM s LEFT JOIN al e ON e.alias = surface LEFT JOIN al m ON lower(m.alias) = lower(trim(surface))")
+@register("subject_canonicalisation", r"WITH al AS (SELECT n_name AS alias, 'nation:' || n_nationkey AS subject FROM nation), s AS (SELECT DISTINCT n_name AS surface FROM nation UNION SELECT lower(n_name) || ' ' FROM nation UNION SELECT DISTINCT p_name FROM part) SELECT surface, coalesce(e.subject, m.subject, 'subject:' || coalesce(nullif(trim(regexp_replace(lower(surface), '[^a-z0-9]+', '-', 'g'), '-'), ''), 'unknown')) AS subject, CASE WHEN e.subject IS NOT NULL THEN 1.0 WHEN m.subject IS NOT NULL THEN 0.85 ELSE 0.6 END::DOUBLE AS confidence FROM s LEFT JOIN al e ON e.alias = surface LEFT JOIN al m ON lower(m.alias) = lower(trim(surface))")
 def subject_canonicalisation(spark, d):
     n = M.table(spark, d, "nation")
     al = n.select(F.col("n_name").alias("alias"), F.concat(F.lit("nation:"), F.col("n_nationkey").cast("string")).alias("subject"))
-    s = n.where("n_nationkey < 10").select(F.col("n_name").alias("surface")).union(n.where("n_nationkey between 5 and 20").select(F.concat(F.lower("n_name"), F.lit(" ")))).union(M.table(spark, d, "part").where("p_partkey < 50").select("p_name")).distinct()
+    s = n.select(F.col("n_name").alias("surface")).union(n.select(F.concat(F.lower("n_name"), F.lit(" ")))).union(M.table(spark, d, "part").select("p_name")).distinct()
     return R.canonical(s, al)
 
 
@@ -140,7 +140,13 @@ def term_frequency_lift(spark, d):
     return r.join(g, "source").select("doc_id", F.round(F.col("rate") - (F.col("s") - F.col("rate")) / F.nullif(F.col("n") - 1, F.lit(0)), 6).alias("lift"))
 
 
-@register("transitive_causes", f"""{_S}, e AS (SELECT node_id AS effect, lag(node_id) OVER (PARTITION BY entity_id ORDER BY created_at, node_id) AS cause FROM states), h1 AS (SELECT effect AS node_id, cause FROM e WHERE effect % 100 = 99 AND cause IS NOT NULL), h2 AS (SELECT node_id, e.cause FROM h1 JOIN e ON e.effect = h1.cause WHERE e.cause IS NOT NULL), h3 AS (SELECT node_id, e.cause FROM h2 JOIN e ON e.effect = h2.cause WHERE e.cause IS NOT NULL) SELECT node_id, 1 AS hop, cause FROM h1 UNION ALL SELECT node_id, 2, cause FROM h2 UNION ALL SELECT node_id, 3, cause FROM h3""")
+def _causes_sql(hops: int = 6) -> str:
+    steps = ["h1 AS (SELECT effect AS node_id, cause FROM e WHERE cause IS NOT NULL)"] + [f"h{k} AS (SELECT node_id, e.cause FROM h{k - 1} JOIN e ON e.effect = h{k - 1}.cause WHERE e.cause IS NOT NULL)" for k in range(2, hops + 1)]
+    rows = " UNION ALL ".join(f"SELECT node_id, {k} AS hop, cause FROM h{k}" for k in range(1, hops + 1))
+    return f"{_S}, e AS (SELECT node_id AS effect, lag(node_id) OVER (PARTITION BY entity_id ORDER BY created_at, node_id) AS cause FROM states), {', '.join(steps)} {rows}"
+
+
+@register("transitive_causes", _causes_sql())
 def transitive_causes(spark, d):
     from pyspark.sql import Window
 
@@ -148,7 +154,7 @@ def transitive_causes(spark, d):
 
     w = Window.partitionBy("entity_id").orderBy("created_at", "node_id")
     e = M.states(spark, d).select(F.col("node_id").alias("effect"), F.lag("node_id").over(w).alias("cause"), F.lit(1.0).alias("confidence")).where("cause is not null")
-    return grammar.causes(e, M.states(spark, d).where("node_id % 100 = 99").select("node_id"), hops=3)
+    return grammar.causes(e, M.states(spark, d).select("node_id"))
 
 
 @register("ephemeral_expiry", f"SELECT event_id FROM events WHERE ts + to_seconds(CAST(value * 3600 AS BIGINT)) > TIMESTAMP '{M.NOW}'")

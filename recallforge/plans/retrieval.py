@@ -8,6 +8,7 @@ from recallforge import model as M
 from recallforge.catalog import register
 from recallforge.functions import text as T
 from recallforge.operators import retrieval as R
+from recallforge.shared import cut
 
 QUERY = "the edition with thereon ation under"
 _TERMS = "'ation', 'edition', 'the', 'thereon', 'under', 'with'"
@@ -19,8 +20,12 @@ df AS (SELECT term, count(*) AS df FROM p GROUP BY term),
 bm AS (SELECT doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score FROM p JOIN df USING (term), st GROUP BY doc_id)"""
 
 
+def _index(spark: SparkSession, d: str) -> R.Index:
+    return R.open_index(M.table(spark, d, "documents"), "doc_id", "text")
+
+
 def _bm25(spark: SparkSession, d: str, query: str = QUERY) -> DataFrame:
-    return R.bm25(M.table(spark, d, "documents"), "doc_id", "text", query)
+    return _index(spark, d).bm25(query)
 
 
 @register("bm25_topk", f"WITH {_BM25} SELECT doc_id, round(score, 6) AS score FROM bm ORDER BY bm.score DESC, doc_id LIMIT 50")
@@ -30,7 +35,7 @@ def bm25_topk(spark, d):
 
 @register("bm25_postings", f"WITH {_TOK} SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM (SELECT doc_id, unnest(t) AS term FROM toks) GROUP BY term HAVING count(DISTINCT doc_id) >= 2")
 def bm25_postings(spark, d):
-    p = R.postings(M.table(spark, d, "documents"), "doc_id", "text")
+    p = _index(spark, d).postings
     return p.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).where("df >= 2")
 
 
@@ -38,7 +43,9 @@ _OVERLAP = f"ov AS (SELECT doc_id, CAST(len(list_filter([{_TERMS}], lambda q: li
 
 
 def _signals(spark, d):
-    return R.signals(M.table(spark, d, "documents"), "doc_id", "text", QUERY)
+    """Signals of the documents that hold a query term, kept in the shared folder: lists,
+    fusion and scores read them several times."""
+    return cut(_index(spark, d).signals(QUERY))
 
 
 _FUSED = f"""{_BM25}, {_OVERLAP},
@@ -79,7 +86,7 @@ def hybrid_search(spark, d):
     u AS (SELECT doc_id, max(score) AS score FROM (SELECT * FROM bm UNION ALL SELECT * FROM x) GROUP BY doc_id) SELECT doc_id, round(score, 6) AS score FROM u ORDER BY u.score DESC, doc_id LIMIT 30""",
 )
 def query_expansion_topk(spark, d):
-    p = R.query_postings(M.table(spark, d, "documents"), "doc_id", "text", ["tion"]).select("doc_id", F.col("tf").cast("double").alias("score"))
+    p = _index(spark, d).postings.where("term = 'tion'").select("doc_id", F.col("tf").cast("double").alias("score"))
     return R.top(R.expand(_bm25(spark, d), p, "doc_id"), "doc_id", 30).select("doc_id", F.round("score", 6).alias("score"))
 
 
@@ -124,10 +131,7 @@ def vector_maxpool_centroid(spark, d):
     SELECT doc_id, score FROM s ORDER BY score DESC, doc_id LIMIT 20""",
 )
 def sparse_dot_topk(spark, d):
-    docs = M.table(spark, d, "documents")
-    w = R.postings(docs, "doc_id", "text").select("doc_id", F.col("term").alias("dim"), F.col("tf").cast("double").alias("weight"))
-    q = R.postings(docs.where("doc_id = 0"), "doc_id", "text").select(F.col("term").alias("dim"), F.col("tf").cast("double").alias("weight"))
-    return R.top(R.sparse_dot(w.where("doc_id <> 0"), q, "doc_id"), "doc_id", 20).select("doc_id", "score")
+    return R.top(_index(spark, d).similar(0), "doc_id", 20).select("doc_id", "score")
 
 
 EXEMPLARS = (

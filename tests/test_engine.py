@@ -97,7 +97,8 @@ def test_engine(spark, tmp_path):
     links = spark.createDataFrame([(1, 10), (1, 11), (2, 11), (2, 12), (3, 13)], "memory_id long, entity_id long")
     r = spark.createDataFrame([(1, datetime(2024, 1, 1), datetime(2024, 1, 2))], "memory_id long, range_start timestamp, range_end timestamp")
     e = Engine(m, links, ranges=r)
-    assert [x.memory_id for x in e.search("postgres mysql").collect()] == [1]
+    assert [(x.memory_id, x.score > 0) for x in e.search("postgres mysql").collect()] == [(1, True), (2, False)]  # the second by a shared entity
+    assert [x.memory_id for x in Engine(m).search("postgres mysql").collect()] == [1]
     assert e.search("postgres", domain="food").count() == 0
     assert e.search("postgres in march 2024", now=NOW).where("memory_id = 1").count() == 0
     assert e.recall("redis cache").first().entities == [11, 12]
@@ -114,3 +115,24 @@ def test_engine(spark, tmp_path):
 
     e.reranker = size
     assert e.search("the cache postgres", limit=1).first().memory_id == 1
+
+
+def test_engine_surface(spark):
+    m = spark.createDataFrame([(1, "Postgres replaced MySQL", datetime(2024, 1, 1)), (2, "the cache is Redis", datetime(2024, 1, 11)), (3, "lunch menu", datetime(2024, 2, 1))], "memory_id long, content string, created_at timestamp")
+    links = spark.createDataFrame([(1, 10), (1, 11), (2, 11), (2, 12), (3, 13)], "memory_id long, entity_id long")
+    nodes = spark.createDataFrame([(1, "atomic"), (2, "entity_state"), (3, "atomic")], "memory_id long, node_type string")
+    e = Engine(m, links, nodes=nodes)
+    assert [x.memory_id for x in e.search_level("postgres cache redis", ["entity_state"]).collect()] == [2]
+    assert e.synthesise("postgres mysql", budget=100, limit=1) == "[1] Postgres replaced MySQL"
+    names = spark.createDataFrame([(10, "Postgres"), (12, "Redis")], "entity_id long, name string")
+    assert e.arithmetic("how many days between Postgres and Redis", ["Postgres", "Redis"], names, NOW) == "10 days"
+    assert e.arithmetic("how many weeks since Redis", ["Redis"], names, datetime(2024, 1, 18)) == "1 weeks"
+    assert e.arithmetic("what is it", ["Redis"], names, NOW) is None and e.arithmetic("how many days since x", ["nobody"], names, NOW) is None
+    left = e.delete(spark.createDataFrame([(1,)], "memory_id long"))
+    assert left["memories"].count() == 2 and left["links"].count() == 3 and left["nodes"].count() == 2
+    assert e.feedback(e.search("redis", limit=1), "me", NOW).first().agent == "me"
+    assert e.topic_map(least=0.3, members=2).first().ids == [1, 2]
+    up = e.traverse(spark.createDataFrame([(1,)], "node long"), "bottom_up", summaries=spark.createDataFrame([(9, 5)], "abstract_id long, episode_id long"), members=spark.createDataFrame([(5, 1), (5, 2)], "episode_id long, member_id long"))
+    assert {(r.level, r.node) for r in up.collect()} == {(0, 1), (1, 5), (2, 9)}
+    with pytest.raises(ValueError):
+        e.traverse(m, "sideways")

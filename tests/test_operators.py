@@ -235,7 +235,7 @@ def test_hash_chain_and_timeline_of_everyone(spark, tmp_path):
     pd.DataFrame(events, columns=["event_id", "user_id", "event_type", "ts"]).sample(frac=1, random_state=0).to_parquet(tmp_path / "events.parquet", coerce_timestamps="us")
     day = pd.Timestamp(2024, 1, 2)
     pd.DataFrame([(1, 3, day), (2, 900, day)], columns=["o_orderkey", "o_custkey", "o_orderdate"]).to_parquet(tmp_path / "orders.parquet", coerce_timestamps="us")
-    pd.DataFrame([(1, 1, 2, day), (2, 1, 77, day)], columns=["l_orderkey", "l_linenumber", "l_suppkey", "l_shipdate"]).to_parquet(tmp_path / "lineitem.parquet", coerce_timestamps="us")
+    pd.DataFrame([(1, 1, 2, "N", day), (2, 1, 77, "R", day)], columns=["l_orderkey", "l_linenumber", "l_suppkey", "l_returnflag", "l_shipdate"]).to_parquet(tmp_path / "lineitem.parquet", coerce_timestamps="us")
     want = {}
     for i, user, kind, _ in events:
         n, head = want.get(user, (0, ""))
@@ -243,7 +243,7 @@ def test_hash_chain_and_timeline_of_everyone(spark, tmp_path):
     assert len(want) == 60
     assert {r.user_id: (r.n, r["head"]) for r in catalog.queries()["hash_chain"](spark, str(tmp_path)).collect()} == want
     got = sorted((r.type, r.agent, r.detail) for r in catalog.queries()["audit_timeline_union"](spark, str(tmp_path)).collect())
-    assert got == sorted([("document", "3", "1"), ("document", "900", "2"), ("review", "2", "1:1"), ("review", "77", "2:1"), *((kind, str(user), str(i)) for i, user, kind, _ in events)])
+    assert got == sorted([("document", "3", "1"), ("document", "900", "2"), ("review", "2", "1:1"), ("violation", "77", "2:1"), *(("event", str(user), str(i)) for i, user, _, _ in events)])
 
 
 def test_pagerank_runs_the_rounds_of_the_reference(spark, tmp_path):
@@ -271,3 +271,21 @@ def test_pagerank_runs_the_rounds_of_the_reference(spark, tmp_path):
         got = {r.node: r["rank"] for r in catalog.queries()[name](spark, str(tmp_path)).collect()}
         assert got == pytest.approx(rounds(start, start, 50), abs=2e-8)
         assert got != pytest.approx(rounds(start, start, few), abs=1e-4)
+
+
+def test_index_is_kept_and_follows_its_files(spark, tmp_path):
+    path = str(tmp_path / "docs.parquet")
+    pd.DataFrame({"doc_id": [1, 2, 3], "text": ["a b a", "b c", None]}).to_parquet(path)
+    docs = spark.read.parquet(path)
+    one = retrieval.open_index(docs, "doc_id", "text")
+    rounded = lambda x: sorted((r.doc_id, round(r.bm25, 9), r.overlap) for r in x.collect())
+    same = lambda x, y: rounded(x) == rounded(y)
+    assert one.n == 3 and same(one.signals("a c"), retrieval.signals(docs, "doc_id", "text", "a c"))
+    files = one.postings.inputFiles()
+    assert retrieval.open_index(docs, "doc_id", "text").postings.inputFiles() == files
+    assert {r.doc_id: r.score for r in one.similar(1).collect()} == {2: 1.0} and one.similar(9).count() == 0
+    pd.DataFrame({"doc_id": [1, 2, 3, 4], "text": ["a b a", "b c", None, "a"]}).to_parquet(path)
+    spark.catalog.refreshByPath(path)
+    new = retrieval.open_index(spark.read.parquet(path), "doc_id", "text")
+    assert new.postings.inputFiles() != files and new.bm25("a").count() == 2
+    assert retrieval.open_index(spark.createDataFrame([(1, "a")], "doc_id long, text string"), "doc_id", "text") is None
