@@ -45,8 +45,9 @@ SCORE_BYTES = 64
 #: in turn: of 10,000 documents in a learned language the dearest took 2.63; of those
 #: in the one left out, 1 in 20 less than 2.6 (en) to 4.3 (fr), half above 3.4 to 5.7.
 MOST_EXCESS = 2.75
-#: Evidence that a short text must exceed as well.
-SLACK_BITS = 64.0
+#: Evidence that a short text must exceed as well: about what a key or a number of
+#: twenty random characters in it costs.
+SLACK_BITS = 128.0
 
 _NORM = np.full(256, 0x20, np.uint8)
 _NORM[0x61:0x7B] = np.arange(0x61, 0x7B)
