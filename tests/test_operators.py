@@ -289,3 +289,37 @@ def test_index_is_kept_and_follows_its_files(spark, tmp_path):
     new = retrieval.open_index(spark.read.parquet(path), "doc_id", "text")
     assert new.postings.inputFiles() != files and new.bm25("a").count() == 2
     assert retrieval.open_index(spark.createDataFrame([(1, "a")], "doc_id long, text string"), "doc_id", "text") is None
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_salted_join_equals_a_join(spark, how):
+    from recallforge import shared
+
+    rows = [(i, 7 if i % 3 else i % 50) for i in range(4000)] + [(5000 + i, None) for i in range(20)]
+    left = spark.createDataFrame(rows, "i long, k long")
+    right = spark.createDataFrame([(k, f"v{k}") for k in range(0, 60, 1) if k != 5], "k long, v string")
+    sizes = left.where("k is not null").groupBy("k").agg(F.count("*").alias("n"))
+    hot = shared.hot_keys(sizes, "k", "n", 4020)
+    assert [r[0] for r in hot.collect()] == [7]
+    got = shared.salted_join(left, right, "k", hot, ["i"], how)
+    same = lambda df: sorted((r.i, -1 if r.k is None else r.k, r.v or "") for r in df.select("i", "k", "v").collect())
+    assert same(got) == same(left.join(right, "k", how))
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    from recallforge import shared
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return {}
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+    with pytest.raises(RuntimeError):
+        shared.shared_dir(Session())
