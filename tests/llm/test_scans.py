@@ -139,3 +139,14 @@ def test_redaction(spark, text, want):
     df = spark.createDataFrame([(1, text, 99)], "doc_id long, text string, n_chars long")
     r = S.redact(df).first()
     assert r.text == want and r.n_chars == (len(want) if want is not None and want != text else 99)
+
+
+def test_a_sieve_holds_every_key_and_few_others(spark):
+    from recallforge.llm import _io
+
+    keys = spark.range(0, 3000, 3).selectExpr("id k").unionByName(spark.createDataFrame([(None,), (-5,)], "k long"))
+    marked = _io.sifted(spark.range(3000).selectExpr("id doc").unionByName(spark.createDataFrame([(None,), (-5,)], "doc long")), "doc", _io.sieve(keys, "k")).collect()
+    assert len(marked) == 3002 and all(r._maybe for r in marked if r.doc is None or r.doc < 0 or r.doc % 3 == 0)
+    assert sum(r._maybe for r in marked) < 1002 + 20
+    empty = _io.sifted(spark.range(5).selectExpr("id doc"), "doc", _io.sieve(keys.limit(0), "k"))
+    assert empty.where("_maybe").count() == 0
