@@ -43,6 +43,18 @@ def overlap_clusters(sets: DataFrame, *, least: float = 0.3, members: int = 3) -
     return g.join(both, "cluster").select("cluster", "size", "ids", F.when(F.size("all") > 0, F.col("all")).otherwise(F.col("two")).alias("shared"))
 
 
+def topics(sets: DataFrame, *, least: float = 0.3, members: int = 3, words: int = 5) -> DataFrame:
+    """cluster, size, label, confidence: clusters of sets that overlap, named by their
+    ``words`` most frequent items (ties: smaller), with their share of all sets."""
+    g = overlap_clusters(sets, least=least, members=members).select("cluster", "size", "ids")
+    items = g.select("cluster", F.explode("ids").alias("id")).join(sets.select("id", F.explode(F.array_distinct("items")).alias("x")), "id")
+    n = items.groupBy("cluster", "x").agg(F.count("*").alias("c"))
+    best = F.slice(F.array_sort(F.collect_list(F.struct(F.negate("c").alias("c"), "x"))), 1, words)
+    label = n.groupBy("cluster").agg(F.transform(best, lambda e: e["x"]).alias("label"))
+    total = sets.where(F.size("items") > 0).agg(F.count("*").alias("_n"))
+    return g.join(label, "cluster").join(F.broadcast(total)).select("cluster", "size", "label", (F.col("size") / F.col("_n")).alias("confidence"))
+
+
 def pattern_kind(size: Column, confidence: Column, stable: float = 0.7) -> Column:
     """struct<stability, kind>: patterns of many episodes and sure ones are insights."""
     s = F.least(F.lit(1.0), size / 5.0) * confidence

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from recallforge import model as M
 from recallforge.catalog import register
-from recallforge.operators import consolidation as C, graph as G, ranking, retrieval as R
+from recallforge.operators import consolidation as C, graph as G, retrieval as R
 
 _L = f"WITH {M.LINKS_SQL}"
 _CO = f"""{_L}, few AS (SELECT memory_id, list_sort(list(DISTINCT entity_id))[1:12] AS e FROM links GROUP BY 1),
@@ -131,12 +131,25 @@ def hierarchy_descent(spark, d):
     return G.descend(n.unionByName(c), M.table(spark, d, "region").select(F.col("r_regionkey").cast("long").alias("node")))
 
 
-@register("topic_map", f"{_L}, n AS (SELECT memory_id % 50 AS topic, entity_id, count(*) AS c FROM links GROUP BY ALL) SELECT topic, string_agg(CAST(entity_id AS VARCHAR), ',' ORDER BY c DESC, entity_id) AS label FROM (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY topic ORDER BY c DESC, entity_id) <= 5) GROUP BY 1")
+def _topics_sql(rounds: int = 80) -> str:
+    """Orders that share half of their parts, tied step by step; topics of three."""
+    steps = [f"l{k} AS MATERIALIZED (SELECT u.a AS id, least(min(x.m), min(y.m)) AS m FROM u JOIN l{k - 1} x ON x.id = u.b JOIN l{k - 1} y ON y.id = u.a GROUP BY 1)" for k in range(1, rounds + 1)]
+    return f"""{_L}, n AS (SELECT memory_id AS id, count(*) AS n FROM links GROUP BY 1),
+    p AS (SELECT a.memory_id AS a, b.memory_id AS b, count(*) AS c FROM links a JOIN links b ON a.entity_id = b.entity_id AND a.memory_id < b.memory_id GROUP BY ALL),
+    e AS (SELECT a, b FROM p JOIN n na ON na.id = a JOIN n nb ON nb.id = b WHERE c::DOUBLE / (na.n + nb.n - c) >= 0.5), u AS MATERIALIZED (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+    l0 AS MATERIALIZED (SELECT a AS id, min(least(a, b)) AS m FROM u GROUP BY 1), {', '.join(steps)}, g AS (SELECT m, count(*) AS size FROM l{rounds} GROUP BY 1 HAVING count(*) >= 3),
+    w AS (SELECT m, entity_id, count(*) AS c FROM l{rounds} JOIN links ON memory_id = id GROUP BY ALL)
+    SELECT g.m AS cluster, size, string_agg(CAST(entity_id AS VARCHAR), ',' ORDER BY c DESC, entity_id) AS label, round(any_value(size)::DOUBLE / (SELECT count(*) FROM n), 8) AS confidence
+    FROM g JOIN (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY m ORDER BY c DESC, entity_id) <= 5) t ON t.m = g.m GROUP BY g.m, size"""
+
+
+@register("topic_map", _topics_sql())
 def topic_map(spark, d):
-    n = M.links(spark, d).groupBy((F.col("memory_id") % 50).alias("topic"), "entity_id").agg(F.count("*").alias("c"))
-    five = ranking.per_group(n, ["topic"], [F.desc("c"), "entity_id"], 5)
-    order = F.array_sort(F.collect_list(F.struct((-F.col("c")).alias("c"), "entity_id")))
-    return five.groupBy("topic").agg(F.array_join(F.transform(order, lambda x: x["entity_id"].cast("string")), ",").alias("label"))
+    from recallforge.operators import maintenance
+
+    sets = M.links(spark, d).groupBy(F.col("memory_id").alias("id")).agg(F.collect_list("entity_id").alias("items"))
+    t = maintenance.topics(sets, least=0.5)
+    return t.select("cluster", "size", F.array_join(F.transform("label", lambda x: x.cast("string")), ",").alias("label"), F.round("confidence", 8).alias("confidence"))
 
 
 _PM = f"""{_CO.replace('few AS', 'few0 AS').replace('FROM few),', 'FROM few0),')}, n AS (SELECT count(DISTINCT memory_id)::DOUBLE AS n FROM links), ic AS (SELECT entity_id, count(*) AS c FROM links GROUP BY 1),
