@@ -94,6 +94,16 @@ def slices(off: np.ndarray, limit: int = 2 << 20) -> Iterator[tuple[int, int]]:
         i = j
 
 
+def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes of each range, independent of its place."""
+    n = len(data)
+    p, q = _powers(n + 1)
+    cum = np.zeros(n + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * p[:n], dtype=np.uint64, out=cum[1:])
+    h = (cum[ends] - cum[starts]) * q[starts]
+    return mix(h ^ (ends - starts).astype(np.uint64) * _M2)
+
+
 class Words:
     """The words of rows i..j: byte ranges, and the first word of each row."""
 
@@ -123,12 +133,7 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word's bytes, independent of its place."""
-        n = len(self.low)
-        p, q = _powers(n + 1)
-        cum = np.zeros(n + 1, np.uint64)
-        np.cumsum((self.low.astype(np.uint64) + np.uint64(1)) * p[:n], dtype=np.uint64, out=cum[1:])
-        h = (cum[self.ends] - cum[self.starts]) * q[self.starts]
-        return mix(h ^ (self.ends - self.starts).astype(np.uint64) * _M2)
+        return range_hashes(self.low, self.starts, self.ends)
 
     def word(self, k: int) -> bytes:
         return self.low[self.starts[k] : self.ends[k]].tobytes()

@@ -1,4 +1,4 @@
-"""The queries of the ten training-data operators, and their SQL twins."""
+"""The queries of the training-data operators, and their SQL twins."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recallforge.llm import decontam, edit_count, graph_ann, langid, license_scan, ngram_join, packing, secret_scan, token_store, url_filter
+from recallforge.llm import decontam, edit_count, graph_ann, langid, license_scan, ngram_join, packing, piece_codec, secret_scan, token_store, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,7 @@ def queries() -> dict[str, Query]:
         "op8_secret_scan": secret_scan.op8_secret_scan,
         "op9_packing": packing.op9_packing,
         "op10_language_id": langid.op10_language_id,
+        "op11_piece_codec": piece_codec.op11_piece_codec,
     }
 
 
