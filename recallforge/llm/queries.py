@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recallforge.llm import decontam, edit_count, graph_ann, langid, license_scan, ngram_join, packing, piece_codec, secret_scan, token_store, url_filter, whitening
+from recallforge.llm import decontam, edit_count, graph_ann, langid, license_scan, ngram_join, packing, piece_codec, prefix_trie, secret_scan, token_store, url_filter, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +25,7 @@ def queries() -> dict[str, Query]:
         "op10_language_id": langid.op10_language_id,
         "op11_piece_codec": piece_codec.op11_piece_codec,
         "op12_whitening": whitening.op12_whitening,
+        "op13_prefix_trie": prefix_trie.op13_prefix_trie,
     }
 
 
