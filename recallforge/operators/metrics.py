@@ -90,6 +90,22 @@ def entity_f1(df: DataFrame, got: str, want: str) -> DataFrame:
     return df.withColumn("entity_f1", F.when(n > 0, 2.0 * both / n).otherwise(1.0))
 
 
+def graded_by_passages(questions: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """query_id, doc_id, rel: documents that hold runs of ``size`` words of a question; 2
+    where they hold half of its runs or more, else 1."""
+
+    def runs(rows: DataFrame, key: str) -> DataFrame:
+        words = rows.select(key, T.tokens(F.coalesce("text", F.lit(""))).alias("w")).where(F.size("w") >= size)
+        each = words.select(key, "w", F.explode(F.sequence(F.lit(1), F.size("w") - (size - 1))).alias("i"))
+        return each.select(key, F.xxhash64(F.slice("w", F.col("i"), F.lit(size))).alias("g")).distinct()
+
+    asked = runs(questions, "query_id")
+    held = runs(docs, "doc_id").join(asked.select("g").distinct(), "g", "left_semi")
+    shared = held.join(asked, "g").groupBy("query_id", "doc_id").agg(F.count("*").alias("n"))
+    all_runs = asked.groupBy("query_id").agg(F.count("*").alias("of"))
+    return shared.join(all_runs, "query_id").select("query_id", "doc_id", F.when(F.col("n") / F.col("of") >= 0.5, 2).otherwise(1).alias("rel"))
+
+
 def graded_by_jaccard(test: DataFrame, train: DataFrame, least: float = 0.0, high: float = 0.5) -> DataFrame:
     """query_id, doc_id, rel: sets (id, item) that overlap, 2 from ``high`` on."""
     t, r = test.select(F.col("id").alias("query_id"), "item").distinct(), train.select(F.col("id").alias("doc_id"), "item").distinct()

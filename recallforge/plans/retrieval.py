@@ -134,32 +134,6 @@ def sparse_dot_topk(spark, d):
     return R.top(_index(spark, d).similar(0), "doc_id", 20).select("doc_id", "score")
 
 
-EXEMPLARS = (
-    ("current", "what is the state of this now"), ("current", "the edition in use with the tion"), ("history", "what was it before then"),
-    ("history", "the older edition under the ation"), ("change", "what changed from one to another"), ("change", "thereon and after the edition"),
-)
-_EX = ", ".join(f"({i}, '{a}', '{t}')" for i, (a, t) in enumerate(EXEMPLARS))
-
-
-@register(
-    "intent_exemplar_classify",
-    rf"""WITH ex AS (SELECT * FROM (VALUES {_EX}) v(eid, intent, t)),
-    k AS (SELECT eid, intent, list_filter(regexp_split_to_array(lower(t), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS t FROM ex),
-    st AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM k),
-    p AS (SELECT eid, dl, term, count(*) AS tf FROM (SELECT eid, len(t) AS dl, unnest(t) AS term FROM k) WHERE term IN ({_TERMS}) GROUP BY ALL),
-    df AS (SELECT term, count(*) AS df FROM p GROUP BY term),
-    bm AS (SELECT eid, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score FROM p JOIN df USING (term), st GROUP BY eid),
-    f5 AS (SELECT * FROM bm ORDER BY score DESC, eid LIMIT 5),
-    g AS (SELECT intent, sum(score) AS s, row_number() OVER (ORDER BY sum(score) DESC, intent) AS r FROM f5 JOIN ex USING (eid) GROUP BY intent)
-    SELECT a.intent, round(a.s / (a.s + coalesce(b.s, 0)), 6) AS confidence FROM g a LEFT JOIN g b ON b.r = 2 WHERE a.r = 1""",
-)
-def intent_exemplar_classify(spark, d):
-    ex = spark.createDataFrame([(i, a, t) for i, (a, t) in enumerate(EXEMPLARS)], "eid int, intent string, t string")
-    hits = R.top(R.bm25(ex, "eid", "t", QUERY), "eid", 5).join(F.broadcast(ex), "eid").groupBy("intent").agg(F.sum("score").alias("s"))
-    two = hits.withColumn("r", F.row_number().over(Window.orderBy(F.desc("s"), "intent"))).where("r <= 2")  # intents are few
-    return two.agg(F.max_by("intent", -F.col("r")).alias("intent"), F.round(F.max("s") / F.sum("s"), 6).alias("confidence"))
-
-
 @register(
     "section_expansion",
     rf"""WITH s AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS sec, unnest(range(len(string_split(text, chr(10))))) AS idx FROM documents),

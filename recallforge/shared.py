@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -29,6 +30,11 @@ def shared_dir(spark: SparkSession) -> str:
     return set_dir
 
 
+def fresh_dir(spark: SparkSession, stem: str) -> str:
+    """A folder of its own in the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/{stem}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialised in the shared folder, so that a lost executor costs nothing that
     came before."""

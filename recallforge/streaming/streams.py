@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from recallforge.operators.fulltext import FullText
+
 
 def dedup(stream: DataFrame, text: str, ts: str, late: str = "1 hour") -> DataFrame:
     """The first row of each content within the watermark."""
@@ -93,3 +95,14 @@ def index_sink(stream: DataFrame, checkpoint: str, work: Callable[[DataFrame, in
     batch number; back-pressure comes from the source's trigger limits."""
     w = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(work)
     return (w.trigger(availableNow=True) if once else w.trigger(processingTime="10 seconds")).start()
+
+
+def fulltext_sink(stream: DataFrame, index: FullText, checkpoint: str, name: str, *, deleted: str = "deleted", order: str | None = None, once: bool = False) -> StreamingQuery:
+    """A stream of changes (the index's key and columns, ``deleted``) to a full-text index,
+    a commit each micro-batch.  The index notes the batches of ``name``, so one that is
+    delivered again changes nothing."""
+
+    def work(batch: DataFrame, number: int) -> None:
+        index.apply(batch, deleted=deleted, order=order, stream=name, batch=number)
+
+    return index_sink(stream, checkpoint, work, once=once)
