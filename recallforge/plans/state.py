@@ -7,7 +7,8 @@ from pyspark.sql import Window, functions as F
 from recallforge import model as M
 from recallforge.catalog import register
 from recallforge.functions import scores as S
-from recallforge.operators import grammar, predicates as P, ranking, scans, state
+from recallforge.operators import bitemporal, grammar, predicates as P, ranking, scans, state
+from recallforge.shared import cut
 
 _S = f"WITH {M.STATES_SQL}"
 _AT = "TIMESTAMP '2024-01-15 00:00:00'"
@@ -41,6 +42,33 @@ def state_as_of_probes(spark, d):
     return state.as_of_probes(M.states(spark, d).where("state_key = 'purchase'"), probes, at="moment").select("probe_id", "entity_id", "state_key", "moment", "node_id", "state_value")
 
 
+_BI = f"""{_S}, b AS (SELECT node_id, entity_id, state_key, state_value, created_at, CASE WHEN node_id % 7 <> 0 THEN created_at + to_hours(CAST(node_id % 11 AS INTEGER)) END AS valid_from,
+CASE WHEN node_id % 3 <> 0 THEN created_at + to_hours(CAST(node_id % 400 AS INTEGER)) END AS valid_to FROM states),
+p AS (SELECT event_id AS probe_id, user_id AS entity_id, state_key, ts AS moment FROM events, (SELECT DISTINCT state_key FROM states) WHERE event_type = 'error')"""
+
+
+@register(
+    "state_as_of_bitemporal",
+    f"""{_BI}, v AS (SELECT probe_id, arg_max(node_id, (valid_from, node_id)) AS node_id FROM p JOIN b USING (entity_id, state_key) WHERE valid_from <= moment AND (valid_to IS NULL OR valid_to > moment) GROUP BY probe_id, state_key),
+    c AS (SELECT probe_id, state_key, arg_max(node_id, (created_at, node_id)) AS node_id FROM p JOIN b USING (entity_id, state_key) WHERE created_at <= moment GROUP BY probe_id, state_key),
+    k AS (SELECT probe_id, state_key, node_id FROM v JOIN b USING (node_id))
+    SELECT probe_id, state_key, coalesce(k.node_id, c.node_id) AS node_id, k.node_id IS NOT NULL AS by_validity, state_value
+    FROM p LEFT JOIN k USING (probe_id, state_key) LEFT JOIN c USING (probe_id, state_key) JOIN (SELECT node_id, state_value FROM b) b ON b.node_id = coalesce(k.node_id, c.node_id)""",
+)
+def state_as_of_bitemporal(spark, d):
+    """States that overlap, end, or have no validity, asked for under every key."""
+    s, i = M.states(spark, d), F.col("node_id")
+    s = s.withColumns({
+        "valid_from": F.when(i % 7 != 0, F.col("created_at") + F.make_dt_interval(hours=(i % 11).cast("int"))),
+        "valid_to": F.when(i % 3 != 0, F.col("created_at") + F.make_dt_interval(hours=(i % 400).cast("int"))),
+    })
+    keys = s.select("state_key").distinct()  # the kinds of event
+    probes = M.table(spark, d, "events").where("event_type = 'error'").join(F.broadcast(keys)).withColumn("probe", F.monotonically_increasing_id())
+    probes = cut(probes.select("probe", F.col("event_id").alias("probe_id"), F.col("user_id").alias("entity_id"), "state_key", F.col("ts").alias("moment")))
+    found = bitemporal.as_of(s, probes, state.SUBJECT, "probe", "moment")
+    return found.join(probes, "probe").join(s.select("node_id", "state_value"), "node_id").select("probe_id", "state_key", "node_id", "by_validity", "state_value")
+
+
 @register("state_history", f"{_S} SELECT node_id, state_value, created_at, lag(state_value) OVER (ORDER BY created_at, node_id) AS before FROM states WHERE entity_id = 3 AND state_key = 'click'")
 def state_history(spark, d):
     w = Window.partitionBy(*state.SUBJECT).orderBy("created_at", "node_id")

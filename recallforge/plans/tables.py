@@ -7,7 +7,7 @@ from pyspark.sql import Window, functions as F
 from recallforge import model as M
 from recallforge.catalog import register
 from recallforge.functions import text as T
-from recallforge.operators import predicates as P, ranking, scans
+from recallforge.operators import predicates as P, ranking, routing, scans
 
 
 @register("multi_get", "SELECT doc_id, n_chars FROM documents WHERE doc_id IN (1, 5, 8, 144, 900)")
@@ -52,6 +52,29 @@ def path_routing(spark, d):
     return M.table(spark, d, "pages").withColumn("_r", r).select("page_id", "_r.domain", "_r.confidence")
 
 
+_RULES = [("m.*/e?/*", "mobile", 1), ("*.example.net/*.html", "saved", 5), ("blog.*[0-4]", "blog", 5)]
+_PREFIXES = [("spam-farm.example.org", "farm"), ("spam-farm.example.org/en/", "farm-en"), ("/thther.example.org/en", "thther"), ("none", "none")]
+_SLASH = r"regexp_replace(url, '^[^:]*://|[?#].*$', '', 'g')"
+
+
+@register(
+    "path_domains",
+    rf"""WITH p AS (SELECT page_id, {_SLASH} AS path FROM pages),
+    x AS (SELECT page_id, path, regexp_extract(path, '([^/]*)/*$', 1) AS name, lower(regexp_extract(path, '([^/]+)/+[^/]+/*$', 1)) AS parent FROM p),
+    r AS (SELECT page_id, CASE WHEN regexp_full_match(path, '.*\.example\.net/.*\.html') THEN {{'d': 'saved', 's': 'path_rule', 'c': 0.9}} WHEN regexp_full_match(path, 'blog\..*[0-4]') THEN {{'d': 'blog', 's': 'path_rule', 'c': 0.9}}
+    WHEN regexp_full_match(path, 'm\..*/e./.*') THEN {{'d': 'mobile', 's': 'path_rule', 'c': 0.9}} WHEN prefix(path, 'spam-farm.example.org/en/') THEN {{'d': 'farm-en', 's': 'path_rule', 'c': 0.9}}
+    WHEN prefix(path, 'spam-farm.example.org/') THEN {{'d': 'farm', 's': 'path_rule', 'c': 0.9}} WHEN prefix(path, 'thther.example.org/en/') THEN {{'d': 'thther', 's': 'path_rule', 'c': 0.9}}
+    WHEN parent = 'fr' THEN {{'d': 'french', 's': 'directory_name', 'c': 0.7}} WHEN lower(name) LIKE '_%.html' THEN {{'d': 'page', 's': 'extension', 'c': 0.5}}
+    ELSE {{'d': CASE WHEN parent = '' THEN 'general' ELSE parent END, 's': 'fallback', 'c': 0.3}} END AS r FROM x)
+    SELECT page_id, r.d AS domain, r.s AS source, CAST(r.c AS DOUBLE) AS confidence FROM r""",
+)
+def path_domains(spark, d):
+    pages = M.table(spark, d, "pages").select("page_id", F.regexp_replace("url", "^[^:]*://|[?#].*$", "").alias("path"))
+    pages = routing.by_prefix(pages, "path", spark.createDataFrame(_PREFIXES, "prefix string, domain string"))
+    r = routing.classify(F.col("path"), rules=_RULES, directories=routing.DIRECTORIES | {"fr": "french"}, extensions=routing.EXTENSIONS | {".html": "page"}, prefix_domain=F.col("prefix_domain"))
+    return pages.withColumn("_r", r).select("page_id", "_r.domain", "_r.source", "_r.confidence")
+
+
 @register("event_log_after", "SELECT event_id, event_type FROM events WHERE event_id > 1500 ORDER BY event_id LIMIT 500")
 def event_log_after(spark, d):
     return M.table(spark, d, "events").where("event_id > 1500").orderBy("event_id").limit(500).select("event_id", "event_type")
