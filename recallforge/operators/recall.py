@@ -255,6 +255,20 @@ def episode_bonus(hits: DataFrame, edges: DataFrame, nodes: DataFrame, seen: Dat
     return nodes.join(to, "node_id", "left_semi").select("memory_id").distinct().join(seen.select("memory_id"), "memory_id", "left_anti")
 
 
+def state_bonus(states: DataFrame, entities: DataFrame, seen: DataFrame, *, current_only: bool, most: int = 5) -> DataFrame:
+    """memory_id, place: memories behind states (entity_id, state_key, node_id, memory_id,
+    created_at) of the question's first ``most`` entities (entity_id, nth) that are not
+    among the results (memory_id) yet, entity by entity, oldest state first."""
+    mine = states.join(F.broadcast(entities.where(F.col("nth") < most)), "entity_id")
+    if current_only:
+        from recallforge.operators import state
+
+        mine = state.current(mine)
+    fresh = mine.where("memory_id is not null").join(F.broadcast(seen.select("memory_id")), "memory_id", "left_anti")
+    first = fresh.groupBy("memory_id").agg(F.min(F.struct("nth", "created_at", "node_id")).alias("_at"))
+    return first.withColumn("place", F.row_number().over(Window.orderBy("_at"))).drop("_at")  # states of few entities
+
+
 def synthesis(hits: DataFrame, budget: int, by: str = "score") -> DataFrame:
     """One row, content and used: texts of the hits (memory_id, score, content) in order
     as long as they fit the budget of characters, as numbered excerpts.  A bounded

@@ -114,7 +114,7 @@ def test_engine(spark, tmp_path):
         return t.str.len().astype(float)
 
     e.reranker = size
-    assert e.search("the cache postgres", limit=1).first().memory_id == 1
+    assert e.search("the cache postgres", limit=1, intent="fact_lookup").first().memory_id == 1
 
 
 def test_engine_surface(spark):
@@ -136,3 +136,39 @@ def test_engine_surface(spark):
     assert {(r.level, r.node) for r in up.collect()} == {(0, 1), (1, 5), (2, 9)}
     with pytest.raises(ValueError):
         e.traverse(m, "sideways")
+
+
+def test_engine_signals_and_recall(spark, tmp_path):
+    """Every signal moves the score it should, a range filters only where it is asked
+    for, and recall adds what the question's intent looks for."""
+    m = spark.createDataFrame(
+        [(1, "auth service runs on Postgres", datetime(2024, 1, 5)), (2, "auth service runs on Postgres", datetime(2023, 1, 5)), (3, "the cache is Redis", datetime(2024, 2, 1)), (4, "lunch menu", datetime(2024, 2, 1)), (5, "summary of outages", datetime(2024, 2, 1))],
+        "memory_id long, content string, created_at timestamp",
+    )
+    links = spark.createDataFrame([(1, 10), (1, 11), (2, 12), (3, 11), (4, 13)], "memory_id long, entity_id long")
+    entities = spark.createDataFrame([(10, "Auth Service"), (11, "Redis"), (13, "lunch")], "entity_id long, name string")
+    ranges = spark.createDataFrame([(2, datetime(2023, 1, 5), datetime(2023, 1, 6))], "memory_id long, range_start timestamp, range_end timestamp")
+    nodes = spark.createDataFrame([(1, 101, "entity_state", True), (2, 102, "entity_state", False), (5, 105, "abstract", True), (4, 104, "atomic", True)], "memory_id long, node_id long, node_type string, is_current boolean")
+    states = spark.createDataFrame([(101, 10, "db", "postgres", datetime(2024, 1, 5), 1), (90, 10, "db", "mysql", datetime(2022, 1, 5), 4)], "node_id long, entity_id long, state_key string, state_value string, created_at timestamp, memory_id long")
+    accesses = spark.createDataFrame([(1, datetime(2024, 6, 15, 11))], "memory_id long, accessed_at timestamp")
+    e = Engine(m, links, states, ranges, nodes, accesses=accesses, entities=entities, relations=spark.createDataFrame([(105, 104, "summarizes")], "source_id long, target_id long, edge_type string"), members=spark.createDataFrame([(7, 1), (7, 3)], "episode_id long, member_id long"))
+    assert e.named("how is the auth service, and redis?") == [("auth service", 10), ("redis", 11)]
+    assert e.keep_edges(str(tmp_path / "edges")).count() == 1 and e._edges_of(m.where("memory_id = 1")).count() == 1
+    ask = "status of the auth service on postgres"
+    got = {r.memory_id: r for r in e.scored(ask, now=NOW, intent="current_state_lookup").collect()}
+    assert got[1].graph == 1.0 and got[2].graph == 0.0 and got[1].activation > got[2].activation == -10
+    assert got[2].superseded and not got[1].superseded and got[1].score > got[2].score + 0.3 and got[1].recency > got[2].recency > 0
+    assert got[1].node_types == ["entity_state"] and got[1].names == ["auth service"]
+    # a year is a range, and only questions within one leave memories out
+    assert {r.memory_id for r in e.scored("auth service in 2023", now=NOW).collect()} >= {1, 2}
+    assert 2 not in {r.memory_id for r in e.scored("auth service in 2024", now=NOW).collect()}
+    assert 2 in {r.memory_id for r in e.scored("the latest auth service", now=NOW).collect()}
+    near = {r.memory_id: r.temporal for r in e.scored("auth service in 2023", now=NOW).collect()}
+    assert near[2] == 1.0 > near[1] > 0
+    old = e.recall(ask, intent="historical_lookup").collect()
+    assert [r.place for r in old] == list(range(1, len(old) + 1)) and {r.memory_id: r.path for r in old}[4] == "state_history_bonus"
+    assert {r.memory_id: r.siblings for r in old}[1] == [3] and {r.memory_id: r.entities for r in old}[1] == [10, 11]
+    assert 4 not in {r.memory_id for r in e.recall(ask, intent="current_state_lookup").collect()}
+    told = {r.memory_id: r.path for r in e.recall("summary of outages", intent="event_reconstruction").collect()}
+    assert told == {5: "event_reconstruction", 4: "episode_expansion_bonus"}
+    assert e.recall("summary of outages", intent="event_reconstruction", limit=1).count() == 1
