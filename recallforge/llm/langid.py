@@ -12,9 +12,9 @@ found by table look-up for all bytes of a batch at once, which gives the same
 code lengths as walking the trees.
 
 Sample bound: about ``per_language`` rows per label (default 400), drawn by a hash
-of doc_id at a rate that follows the label's count, and the ``max_grams`` most
-frequent 4-grams of each label, whatever the others hold: no label is dropped.  The
-broadcast has a row per gram and a column per label, at any corpus size.
+of the row (doc_id and text) at a rate that follows the label's count.  A label of
+which no row is drawn gives one, so no label is dropped.  The broadcast has a row per
+4-gram of the sample and a column per label, at any corpus size.
 
 The score is the share of the best language in the probability of the (shortened)
 text, so it compares languages; ``excess_bits`` says how far a text is from all of
@@ -31,13 +31,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from recallforge.llm import _io
 from recallforge.llm._text import slices, utf8
 
 PER_LANGUAGE = 400
-MAX_GRAMS = 1_000_000
 #: A decision counts as that of at most so many bytes in the score.
 SCORE_BYTES = 64
 #: Bits a byte beyond a language's own texts above which a text is in none of the
@@ -170,22 +169,25 @@ class Trees:
         return out
 
 
-def fit(rows: DataFrame, *, per_language: int = PER_LANGUAGE, max_grams: int = MAX_GRAMS) -> Trees | None:
+def fit(rows: DataFrame, *, per_language: int = PER_LANGUAGE) -> Trees | None:
     """Trees from ``rows`` (doc_id, text, lang), which may be used for learning.  Of a
     label's sample an eighth is kept from the tree, to tell how many bits a byte of the
     language takes in texts that the tree has not seen."""
     rows = rows.where("doc_id is not null and text is not null and lang is not null")
     rate = rows.groupBy("lang").agg(F.least(F.lit(1.0), per_language / F.count("*")).alias("rate"))
-    draw = F.pmod(F.xxhash64(F.lit("ppm"), "doc_id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    kept = F.pmod(F.xxhash64(F.lit("kept"), "doc_id"), F.lit(8)) == 0
+    mark = lambda name: F.xxhash64(F.lit(name), "doc_id", "text")
+    draw = F.pmod(mark("ppm"), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    kept = F.pmod(mark("kept"), F.lit(8)) == 0
     sample = rows.join(F.broadcast(rate), "lang").where(draw < F.col("rate")).select("lang", "text", kept.alias("kept"))
+    missed = rate.join(sample.select("lang").distinct(), "lang", "left_anti")
+    if not missed.isEmpty():  # equal rows are drawn alike, so all may be missed
+        one = rows.join(F.broadcast(missed.select("lang")), "lang", "left_semi").groupBy("lang").agg(F.min_by("text", mark("ppm")).alias("text"))
+        sample = sample.unionByName(one.withColumn("kept", F.lit(False)))
     few = sample.groupBy("lang").agg(F.count_if("kept").alias("a"), F.count_if(~F.col("kept")).alias("b")).where("a = 0 or b = 0").select("lang")
     sample = sample.join(F.broadcast(few.withColumn("few", F.lit(True))), "lang", "left")  # a label of few rows uses them for both
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     grams = (
         sample.where("few or not kept").select("lang", "text").mapInArrow(_grams, "lang string, gram long, n long")
-        .groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-        .withColumn("place", place).where(F.col("place") <= max_grams).drop("place").toPandas()
+        .groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     )
     langs = sorted(set(grams["lang"]))
     if not langs:

@@ -8,6 +8,10 @@ shard, so a global start needs only the per-shard totals.  Row groups and pages
 are sized by parameters; the writer leaves column and offset indexes, so a
 doc_id predicate or a metadata-only read touches only the pages it needs.
 
+There are as many shards as the table's size (as the plan estimates it) asks for,
+and two a core at least.  Shards end between documents, by doc_id and the beginning
+of the text, so rows that share a doc_id, or have none, are no single shard.
+
 Null text: empty, so the end id alone.  Empty table: no rows.  Repeated doc_ids
 are kept, ordered by text; a null doc_id sorts first.  Extra columns are ignored.
 """
@@ -30,6 +34,9 @@ TOKENIZER_FILE = "word_bpe_49k.json"
 END_ID = 2
 #: Distinct text pieces kept per Python worker before the cache starts anew.
 CACHE_PIECES = 300_000
+#: Input bytes of a shard; characters of a text that part rows of one doc_id.
+SHARD_BYTES = 256 << 20
+LEAD_CHARS = 64
 
 
 def tokenizer_path(name: str = TOKENIZER_FILE) -> str:
@@ -203,10 +210,13 @@ def write_tokens(
 ) -> None:
     """Encodes ``docs`` (doc_id, text) into token files under ``path``."""
     spark = docs.sparkSession
-    n = shards or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = docs.select("doc_id", "text")
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= 1 << 62:  # what the plan says of data without files
+        size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
+    n = shards or max(2 * spark.sparkContext.defaultParallelism, -(-size // SHARD_BYTES))
     ordered = (
-        docs.select("doc_id", "text")
-        .repartitionByRange(n, F.col("doc_id").asc_nulls_first())
+        rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), F.substring("text", 1, LEAD_CHARS).asc_nulls_first())
         .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
         .withColumn("shard", F.spark_partition_id())
     )

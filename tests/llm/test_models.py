@@ -134,13 +134,20 @@ def test_held_out_accuracy(spark):
 def test_every_label_keeps_its_grams(spark):
     rows = [(i, f"the cat and the hat number {'abc'[i % 3]}", "aa") for i in range(50)] + [(90, "zyx", "zz")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    trees = L.fit(df, max_grams=10)
+    trees = L.fit(df, per_language=10)
     assert trees.langs == ["aa", "zz"]
     assert [r.lang_pred for r in L.predict(df.where("doc_id = 90"), trees).collect()] == ["zz"]
     many = spark.range(4100).selectExpr("id doc_id", "'a b' text", "concat('l', id) lang")
     assert len(L.fit(many).langs) == 4100
 
 
+def test_labels_under_one_doc_id_or_one_text_stay(spark):
+    """Rows are drawn each, whatever doc_id they share; equal rows give one at least."""
+    rows = [(d, f"das haus {k} am see", f"d{d}") for d in range(5) for k in range(2000)] + [(7, "the house", f"e{k % 9}") for k in range(9000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert L.fit(df, per_language=20).langs == [*(f"d{d}" for d in range(5)), *(f"e{k}" for k in range(9))]
+
+
 def test_language_odd_rows(spark):
     rows = [(1, None, "en"), (4, "", "en"), (5, "123 !!", "de"), (6, "the house", "en"), (8, "das haus", "de"), (9, "日本", None), (None, "the house", "de"), (6, "the house", "en"), (10, "the " * 50_000, "en")]
     df = spark.createDataFrame([(i, t, x, 1.0) for i, t, x in rows], "doc_id long, text string, lang string, score double")

@@ -47,6 +47,21 @@ def test_odd_texts_and_order(spark, tmp_path):
     assert "ids" not in meta.columns and meta.count() == len(rows)
 
 
+def test_very_many_null_ids_are_many_shards(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [(None if k % 4 else 7, f"{rng.randrange(10**6)} words of text {k}") for k in range(20_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    K.write_tokens(df, str(tmp_path / "t"), shards=8)
+    sizes = [r["count"] for r in spark.read.parquet(str(tmp_path / "t")).groupBy("shard").count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 2 * len(rows) / 8
+    got = K.read_tokens(spark, str(tmp_path / "t")).orderBy("start").collect()
+    want = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    assert [r.doc_id for r in got] == [r[0] for r in want]
+    assert [list(r.ids) for r in got[:50]] == reference([t for _, t in want[:50]])
+    K.write_tokens(df, str(tmp_path / "sized"))
+    assert spark.read.parquet(str(tmp_path / "sized")).agg({"shard": "max"}).first()[0] < 2 * spark.sparkContext.defaultParallelism
+
+
 def test_empty_table(spark, tmp_path):
     K.write_tokens(spark.createDataFrame([], "doc_id long, text string"), str(tmp_path / "t"))
     assert K.token_digest(K.read_tokens(spark, str(tmp_path / "t"))).count() == 0
