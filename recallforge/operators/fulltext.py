@@ -23,7 +23,6 @@ changes to one key in one batch the last by ``order`` counts.
 
 from __future__ import annotations
 
-import json
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
@@ -34,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from recallforge.functions import stemming, text as T
+from recallforge.operators.ledger import Ledger
 from recallforge.shared import cut, shared_dir
 
 K1, B = 1.2, 0.75
@@ -130,49 +130,26 @@ class FullText:
 
     def __init__(self, spark: SparkSession, path: str, key: str, fields: tuple[Field, ...]):
         self.spark, self.path, self.key, self.fields = spark, path.rstrip("/"), key, tuple(fields)
+        self.ledger = Ledger(spark, path)
 
     # files
 
-    def _fs(self, path: str):
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
-
-    def _versions(self) -> list[int]:
-        fs, at = self._fs(f"{self.path}/manifest")
-        return sorted((int(s.getPath().getName()[1:-5]) for s in fs.listStatus(at)), reverse=True) if fs.exists(at) else []
-
     def manifest(self) -> Manifest:
-        """The newest whole manifest; the empty one where nothing was committed."""
-        for v in self._versions():
-            fs, at = self._fs(f"{self.path}/manifest/v{v:012d}.json")
-            stream = fs.open(at)
-            try:
-                raw = json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-            except ValueError:
-                continue  # being written
-            finally:
-                stream.close()
-            return Manifest(**{k: tuple(x) if isinstance(x, list) else x for k, x in raw.items()})
-        return Manifest(lengths=(0,) * len(self.fields))
+        """The newest manifest; the empty one where nothing was committed."""
+        raw = self.ledger.latest()
+        if raw is None:
+            return Manifest(lengths=(0,) * len(self.fields))
+        return Manifest(**{k: tuple(x) if isinstance(x, list) else x for k, x in raw.items()})
 
     def _commit(self, m: Manifest) -> Manifest:
-        """Makes ``m`` the index; an error if another commit came first."""
-        fs, at = self._fs(f"{self.path}/manifest/v{m.version:012d}.json")
-        out = fs.create(at, False)
-        out.write(json.dumps(m.__dict__).encode())
-        out.close()
+        self.ledger.commit(m.__dict__)
         return m
 
     def vacuum(self) -> None:
         """Deletes the files that the newest manifest doesn't name.  No search or commit
         may be under way."""
         m = self.manifest()
-        kept = {s["path"] for s in m.segments} | set(m.tombstones) | set(m.terms)
-        for kind in ("segments", "tombstones", "terms"):
-            fs, at = self._fs(f"{self.path}/{kind}")
-            for s in fs.listStatus(at) if fs.exists(at) else []:
-                if f"{kind}/{s.getPath().getName()}" not in kept:
-                    fs.delete(s.getPath(), True)
+        self.ledger.sweep(["segments", "tombstones", "terms"], {s["path"] for s in m.segments} | set(m.tombstones) | set(m.terms))
 
     # rows of a manifest
 
@@ -400,10 +377,10 @@ def open_table(docs: DataFrame, key: str, fields: tuple[Field, ...], name: str =
         marks += sorted(f"{folder}/{s.getPath().getName()}|{s.getLen()}|{s.getModificationTime()}" for s in inside if s.getPath().getName() in mine)
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{hashlib.sha256(chr(10).join(marks).encode()).hexdigest()[:24]}"
     done = FullText(spark, path, key, fields)
-    if not done._versions():
+    if not done.ledger.versions():
         new = FullText(spark, f"{path}-{uuid.uuid4().hex}", key, fields)
         new.add(docs)
-        fs, at = new._fs(new.path)
-        if not fs.rename(at, hadoop(path)) and not done._versions():
+        fs, at = new.ledger.fs(new.path)
+        if not fs.rename(at, hadoop(path)) and not done.ledger.versions():
             raise RuntimeError(f"the index could not be moved to {path}")
     return done

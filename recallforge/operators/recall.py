@@ -87,57 +87,133 @@ def episode_score(bm25: Column, sparse: Column | None, overlap: Column, domain:
     return sum((EPISODE_WEIGHTS[n] * scale * c for n, c in parts.items()), F.lit(0.0))
 
 
-def assign_episodes(fragments: DataFrame, by: str, *, least: float = 0.30, minutes: int = 1440, create: int = 2) -> DataFrame:
-    """fragment_id, episode_id: fragments (at, entities) of one domain in time order;
-    each joins the open episode that matches it best, by ``episode_score`` without
-    text signals, or opens one when it has ``create`` entities or more.  An episode
-    closes ``minutes`` after its last member.
-
-    Order-dependent within a domain, but only as far as episodes reach: fragments of a
-    domain are parted where ``minutes`` pass without any, and each part is a group of
-    its own.  Within a part only episodes that share an entity are compared."""
-    import pandas as pd
-
-    schema = "fragment_id long, episode_id long"
-    w = Window.partitionBy(by).orderBy("at", "fragment_id")
-    gap = F.col("at") > F.lag("at").over(w) + F.expr(f"interval {minutes} minutes")
-    parts = fragments.select(by, "fragment_id", "at", "entities").withColumn("_new", F.coalesce(gap, F.lit(False)).cast("int")).withColumn("_part", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["at", "fragment_id"])
-        window, scale = minutes * 60.0, 1.0 / (1.0 - EPISODE_WEIGHTS["sparse"])
-        opened: dict[int, list] = {}  # id -> entities, last time
-        holding: dict[str, set[int]] = {}  # entity -> open episodes
-        out = []
-        for f, at, names in zip(rows["fragment_id"], rows["at"], rows["entities"], strict=True):
-            names = set(names)
-            best, where = 0.0, None
-            for e in sorted({e for n in names for e in holding.get(n, ())}):
-                members, last = opened[e]
-                age = (at - last).total_seconds()
-                if age > window:  # closed
-                    for n in members:
-                        holding[n].discard(e)
-                    del opened[e]
-                    continue
-                overlap = len(names & members) / min(len(names), len(members))
-                s = scale * (EPISODE_WEIGHTS["overlap"] * overlap + EPISODE_WEIGHTS["domain"] + EPISODE_WEIGHTS["near"] * (1 - age / window))
-                if s > best:
-                    best, where = s, e
-            if where is not None and best >= least:
-                opened[where][0] |= names
-                opened[where][1] = at
-            elif len(names) >= create:
-                where = int(f)
-                opened[where] = [names, at]
-            else:
+class EpisodeWalk:
+    """Fragments of one piece in the order of time: each joins the open episode that
+    matches it best, or opens one.  Only episodes that share an entity are compared."""
+
+    def __init__(self, least: float, minutes: int, create: int):
+        self.least, self.window, self.create = least, minutes * 60.0, create
+        self.scale = 1.0 / (1.0 - EPISODE_WEIGHTS["sparse"])
+        self.opened: dict[int, list] = {}  # id -> entities, last time in seconds
+        self.holding: dict[str, set[int]] = {}  # entity -> open episodes
+
+    def hold(self, episode: int, names: set[str], at: float) -> None:
+        members, last = self.opened.setdefault(episode, [set(), at])
+        members |= names
+        self.opened[episode][1] = max(last, at)
+        for n in names:
+            self.holding.setdefault(n, set()).add(episode)
+
+    def _close(self, episode: int) -> None:
+        for n in self.opened.pop(episode)[0]:
+            self.holding[n].discard(episode)
+            if not self.holding[n]:
+                del self.holding[n]
+
+    def place(self, fragment: int, at: float, names: set[str]) -> int | None:
+        """The fragment's episode; None if it joins and opens none."""
+        best, where = 0.0, None
+        for e in sorted({e for n in names for e in self.holding.get(n, ())}):
+            members, last = self.opened[e]
+            if at - last > self.window:
+                self._close(e)
                 continue
-            for n in names:
-                holding.setdefault(n, set()).add(where)
-            out.append((int(f), where))
-        return pd.DataFrame(out, columns=["fragment_id", "episode_id"]).astype("int64")
+            overlap = len(names & members) / min(len(names), len(members))
+            s = self.scale * (EPISODE_WEIGHTS["overlap"] * overlap + EPISODE_WEIGHTS["domain"] + EPISODE_WEIGHTS["near"] * (1 - (at - last) / self.window))
+            if s > best:
+                best, where = s, e
+        if where is None or best < self.least:
+            if len(names) < self.create:
+                return None
+            where = fragment
+        self.hold(where, names, at)
+        return where
+
+    def close_before(self, at: float) -> None:
+        """Lets go of what has ended by then."""
+        for e in [e for e, (_, last) in self.opened.items() if at - last > self.window]:
+            self._close(e)
+
+
+def _pieces(rows: DataFrame, by: str, minutes: int) -> DataFrame:
+    """``rows`` (kind, id, by, at, entities) with ``piece``: rows of a domain that no
+    chain of shared entities joins never meet, nor do those of a chain that ``minutes``
+    of silence part."""
+    from recallforge.operators import graph
+
+    me = F.concat_ws(":", F.lit("row"), "kind", F.col("id").cast("string"))
+    names = rows.select(me.alias("src"), F.explode("entities").alias("e"), by)
+    edges = names.select("src", F.concat_ws(":", F.lit("entity"), F.xxhash64(F.col(by)).cast("string"), "e").alias("dst"))
+    found = graph.components(edges).withColumnRenamed("node", "_me")
+    placed = rows.withColumn("_me", me).join(found, "_me", "left").withColumn("_c", F.coalesce("component", "_me"))
+    w = Window.partitionBy("_c").orderBy("at", "id")
+    gap = F.coalesce(F.col("at") > F.lag("at").over(w) + F.expr(f"interval {minutes} minutes"), F.lit(False))
+    part = F.sum(gap.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return placed.withColumn("piece", F.xxhash64("_c", part)).drop("_me", "_c", "component")
+
+
+def episode_step(fragments: DataFrame, opened: DataFrame | None, by: str, *, least: float = 0.30, minutes: int = 1440, create: int = 2) -> DataFrame:
+    """What a batch of fragments does to the open episodes: rows of kind ``member``
+    (fragment_id, episode_id), and one of kind ``open`` for each episode that is open at
+    the end of its piece (episode_id, by, entities, at).
+
+    Pieces stream through their tasks in the order of time, so a task holds the open
+    episodes of one piece and not its rows."""
+    import pyarrow as pa
+
+    domain = dict(fragments.dtypes)[by]
+    rows = fragments.select(F.lit("f").alias("kind"), F.col("fragment_id").cast("long").alias("id"), by, F.col("at").cast("timestamp").alias("at"), F.col("entities").cast("array<string>").alias("entities"))
+    if opened is not None:
+        rows = rows.unionByName(opened.select(F.lit("e").alias("kind"), F.col("episode_id").alias("id"), by, "at", "entities"))
+    rows = rows.where("at is not null and id is not null").withColumn("entities", F.coalesce(F.array_distinct(F.filter("entities", lambda e: e.isNotNull())), F.array().cast("array<string>")))
+    # episodes of earlier batches come first in their piece, however young they are
+    order = ["piece", F.when(F.col("kind") == "e", 0).otherwise(1), "at", "id"]
+    schema = pa.schema([("kind", pa.string()), ("fragment_id", pa.int64()), ("episode_id", pa.int64()), ("by", pa.string()), ("entities", pa.list_(pa.string())), ("micros", pa.int64())])
+
+    def run(batches):
+        piece, walk, last, of = None, None, None, None
+        out: list[tuple] = []
+
+        def ends():
+            if walk is not None:
+                walk.close_before(last / 1e6)
+                out.extend(("open", None, e, of, sorted(names), round(at * 1e6)) for e, (names, at) in walk.opened.items())
+
+        def batch_of():
+            cols = zip(*out, strict=True) if out else [[]] * 6
+            made = pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
+            out.clear()
+            return made
+
+        for batch in batches:
+            for p, kind, i, d, at, names in zip(*(batch.column(c).to_pylist() for c in ("piece", "kind", "id", "by", "micros", "entities")), strict=True):
+                if p != piece:
+                    ends()
+                    piece, walk, last, of = p, EpisodeWalk(least, minutes, create), at, d
+                last = max(last, at)
+                if kind == "e":
+                    walk.hold(i, set(names), at / 1e6)
+                    continue
+                where = walk.place(i, at / 1e6, set(names))
+                if where is not None:
+                    out.append(("member", i, where, d, None, at))
+            yield batch_of()
+        ends()
+        yield batch_of()
+
+    ready = _pieces(rows, by, minutes).repartition("piece").sortWithinPartitions(*order)
+    ready = ready.select("piece", "kind", "id", F.col(by).cast("string").alias("by"), F.unix_micros("at").alias("micros"), "entities")
+    found = ready.mapInArrow(run, "kind string, fragment_id long, episode_id long, by string, entities array<string>, micros long")
+    return found.select("kind", "fragment_id", "episode_id", F.col("by").cast(domain).alias(by), "entities", F.timestamp_micros("micros").alias("at"))
 
-    return parts.groupBy(by, "_part").applyInPandas(walk, schema)
+
+def assign_episodes(fragments: DataFrame, by: str, *, least: float = 0.30, minutes: int = 1440, create: int = 2) -> DataFrame:
+    """fragment_id, episode_id: fragments (at, entities) of a domain in time order; each
+    joins the open episode that matches it best, by ``episode_score`` without text
+    signals, or opens one when it has ``create`` entities or more.  An episode closes
+    ``minutes`` after its last member."""
+    step = episode_step(fragments, None, by, least=least, minutes=minutes, create=create)
+    return step.where("kind = 'member'").select("fragment_id", "episode_id")
 
 
 def trajectory_scores(t: DataFrame, weights: dict[str, float], *, alpha: float = 0.2, decay: float = 0.05, least: int = 1) -> DataFrame:
