@@ -13,25 +13,14 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-#: Suffixes in the order they are tried, with what replaces them.
-_SUFFIXES = (("ization", "ize"), ("ational", "ate"), ("fulness", "ful"), ("iveness", "ive"), ("ations", "ate"), ("ation", "ate"), ("ments", "ment"), ("ingly", ""), ("edly", ""), ("ies", "y"), ("ing", ""), ("ed", ""), ("es", "e"), ("ly", ""), ("s", ""))
+from recallforge.functions import stemming
+
 _DETERMINERS = {"a", "an", "the", "this", "that", "these", "those", "our", "my", "your"}
 
 
 def stem(word: str) -> str:
-    """A light English stem: one suffix off when three letters with a vowel stay,
-    doubled final consonants and a final e dropped."""
-    w = word.lower()
-    if w.endswith(("ss", "us", "is")):
-        return w
-    for suffix, new in _SUFFIXES:
-        root = w[: -len(suffix)]
-        if w.endswith(suffix) and len(root) >= 3 and re.search("[aeiouy]", root):
-            w = root + new
-            break
-    if len(w) > 3 and w[-1] == w[-2] and w[-1] not in "aeiouylsz":
-        w = w[:-1]
-    return w[:-1] if len(w) > 3 and w.endswith("e") else w
+    """The English Snowball stem of a word, whatever its case."""
+    return stemming.stem(word.lower())
 
 
 def stems(text: str) -> str:

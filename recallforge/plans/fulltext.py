@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from recallforge import model as M
 from recallforge.catalog import register
-from recallforge.functions.stemming import stems_sql
-from recallforge.operators import exemplars, metrics as X
+from recallforge.functions import text as T
+from recallforge.functions.stemming import stemmed, stems_sql
+from recallforge.operators import exemplars, metrics as X, retrieval
 from recallforge.operators.fulltext import Field, FullText, open_table
 from recallforge.shared import fresh_dir
+from recallforge.streaming import ingest
 
 FIELDS = (Field("text", stem=True), Field("lang"), Field("source"))
 QUESTION = "the editions with thereon nations under licensed en"
@@ -120,3 +122,40 @@ _EXAMPLES = ", ".join(f"({k}, '{name}', '{text.replace(chr(39), chr(39) * 2)}')"
 def intent_exemplar_classify(spark, d):
     rows = M.table(spark, d, "conversations").withColumn("_i", exemplars.exemplar_intent(F.col("text")))
     return rows.select("conv_id", "turn", F.col("_i.intent").alias("intent"), F.round("_i.confidence", 6).alias("confidence"))
+
+
+@register("document_stems", f"WITH w AS (SELECT doc_id, unnest({_words('text')}) AS word FROM documents), voc AS (SELECT DISTINCT word FROM w), {stems_sql('voc')} SELECT stem, count(DISTINCT word) AS words, count(*) AS n FROM w JOIN stems USING (word) GROUP BY 1")
+def document_stems(spark, d):
+    words = F.explode(F.filter(T.tokens(F.coalesce("text", F.lit(""))), lambda t: F.octet_length(t) < 40))
+    counts = M.table(spark, d, "documents").select(words.alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    stems = counts.withColumn("stem", F.get(stemmed(F.array("word")), F.lit(0)))
+    return stems.groupBy("stem").agg(F.count("*").alias("words"), F.sum("n").alias("n"))
+
+
+@register(
+    "level_search_overfetch",
+    f"WITH {bm25_sql(_DOCS, f"SELECT 0 AS qid, '{QUESTION}' AS text")}, wide AS (SELECT * FROM scored ORDER BY score DESC, doc_id LIMIT 30) SELECT doc_id, lang, round(score, 6) AS score FROM wide JOIN documents USING (doc_id) WHERE lang IN ('en', 'fr') ORDER BY wide.score DESC, doc_id LIMIT 10",
+)
+def level_search_overfetch(spark, d):
+    """The ten best of one kind among three times as many of every kind."""
+    kinds = M.table(spark, d, "documents").select("doc_id", "lang").where(F.col("lang").isin("en", "fr"))
+    wide = _index(spark, d).search(QUESTION, 30).join(kinds, "doc_id")
+    return retrieval.top(wide, "doc_id", 10).select("doc_id", "lang", F.round("score", 6).alias("score"))
+
+
+def _capitalised(texts):
+    return texts.str.findall("[A-Z][a-z]+")
+
+
+@register(
+    "ingested_links",
+    r"""WITH n AS (SELECT DISTINCT conv_id * 1000 + turn AS memory_id, lower(name) AS name FROM (SELECT conv_id, turn, unnest(regexp_extract_all(text, '[A-Z][a-z]+')) AS name FROM conversations))
+    SELECT name, count(*) AS memories FROM n GROUP BY 1""",
+)
+def ingested_links(spark, d):
+    """All turns through the ingest stream's tables: memories of each entity."""
+    turns = M.table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("memory_id"), F.col("text").alias("content"), F.col("role").alias("domain"), F.lit(None).cast("timestamp").alias("at"), F.array().cast("array<string>").alias("entities"))
+    kept = ingest.Ingest(spark, fresh_dir(spark, "ingest"), _capitalised)
+    kept.apply(turns)
+    names = kept.read("entities").groupBy("entity_id").agg(F.lower(F.min("name")).alias("name"))
+    return kept.read("links").join(names, "entity_id").groupBy("name").agg(F.count("*").alias("memories"))

@@ -27,6 +27,11 @@ def entity_idf(spark, d):
     return G.document_frequency(M.links(spark, d)).select("entity_id", "df", F.round("idf", 6).alias("idf"))
 
 
+@register("cooccurrence_both_ways", f"{_CO} SELECT src, dst FROM co UNION SELECT dst, src FROM co")
+def cooccurrence_both_ways(spark, d):
+    return G.both_ways(G.cooccurrence(M.links(spark, d)))
+
+
 @register("cooccurrence_edges", f"{_CO} SELECT src, dst, count FROM co WHERE count >= 2")
 def cooccurrence_edges(spark, d):
     return G.cooccurrence(M.links(spark, d)).where("count >= 2")

@@ -12,14 +12,6 @@ from recallforge.operators import classify as K, grammar, predicates as P, quest
 _S = f"WITH {M.STATES_SQL}"
 
 
-@register(
-    "relation_intents",
-    "SELECT * FROM (VALUES ('current', 'current'), ('retired', 'retirement'), ('declared', 'origin'), ('state_at', 'current'), ('before_named', 'before_named'), ('after_named', 'sequence'), ('between', 'interval'), ('concurrent_with', 'concurrent'), ('during_interval', 'interval'), ('predecessor', 'predecessor'), ('cause_of', 'cause_of'), ('effect_of', 'cause_of'), ('chain_cause_of', 'transitive_cause'), ('trigger_of', 'cause_of'), ('contributing_factor', 'cause_of'), ('first', 'origin'), ('last', 'current'), ('nth', 'sequence')) v(relation, intent)",
-)
-def relation_intents(spark, d):
-    return spark.createDataFrame(list(Q.RELATION_INTENTS.items()), "relation string, intent string")
-
-
 @register("confident_answers", "SELECT event_id, (['high', 'medium', 'low', 'abstain', 'none'])[CAST(event_id % 5 AS INT) + 1] AS level FROM events WHERE event_id % 5 < 2")
 def confident_answers(spark, d):
     level = F.get(F.array(*map(F.lit, ("high", "medium", "low", "abstain", "none"))), (F.col("event_id") % 5).cast("int"))

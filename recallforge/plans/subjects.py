@@ -104,20 +104,6 @@ def entity_merge(spark, d):
     return S.merged_entities(a, f)
 
 
-@register("label_merge", "SELECT * FROM (VALUES (0, 'person'), (1, 'Service'), (2, 'table'), (3, 'Dose')) v(place, label)")
-def label_merge(spark, d):
-    labels = S.merged_labels(["person", "Service"], {"sw": ["service", "table"], "med": ["Dose", "TABLE"]}, ["sw", "med"], keep=True)
-    return spark.createDataFrame(list(enumerate(labels)), "place int, label string")
-
-
-@register("label_calls", "SELECT * FROM (VALUES (0, 11), (1, 2)) v(call, labels)")
-def label_calls(spark, d):
-    from recallforge.operators import scoring
-
-    calls = scoring.label_calls([f"l{k}" for k in range(11)] + ["date", "Duration"], ["date", "duration"])
-    return spark.createDataFrame([(k, len(c)) for k, c in enumerate(calls)], "call int, labels int")
-
-
 @register(
     "contradiction_candidates",
     f"""WITH {M.LINKS_SQL}, w AS (SELECT o_orderkey AS memory_id FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'P'), s AS (SELECT memory_id, memory_id + i AS other_id, 1.0 / i AS score FROM w, (SELECT unnest([1, 2, 3]) AS i) WHERE memory_id + i IN (SELECT o_orderkey FROM orders)),

@@ -75,6 +75,16 @@ def path_domains(spark, d):
     return pages.withColumn("_r", r).select("page_id", "_r.domain", "_r.source", "_r.confidence")
 
 
+_TURNS = r"""t AS (SELECT conv_id, turn, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS w FROM conversations)"""
+
+
+@register("overlap_coefficient", f"WITH {_TURNS} SELECT a.conv_id, a.turn, round(CASE WHEN least(len(a.w), len(b.w)) > 0 THEN len(list_intersect(a.w, b.w)) / least(len(a.w), len(b.w))::DOUBLE ELSE 0 END, 6) AS overlap FROM t a JOIN t b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1")
+def overlap_coefficient(spark, d):
+    t = M.table(spark, d, "conversations").select("conv_id", "turn", T.tokens(F.col("text")).alias("w"))
+    after = t.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("w").alias("v"))
+    return t.join(after, ["conv_id", "turn"]).select("conv_id", "turn", F.round(T.overlap(F.col("w"), F.col("v")), 6).alias("overlap"))
+
+
 @register("event_log_after", "SELECT event_id, event_type FROM events WHERE event_id > 1500 ORDER BY event_id LIMIT 500")
 def event_log_after(spark, d):
     return M.table(spark, d, "events").where("event_id > 1500").orderBy("event_id").limit(500).select("event_id", "event_type")
