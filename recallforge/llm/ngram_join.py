@@ -4,9 +4,12 @@ Texts are sets of hashed five-word shingles (all words, if fewer).  Documents wi
 equal sets form one record.  Records are split recursively: at each node of a path
 a record goes to the children named by its two smallest tokens under a hash seeded
 by that node, so records that share a sampled token meet again.  A bucket of at
-most ``small`` records is a leaf.  So is a larger one that a further split would
-not break up (its largest child keeps half of it, a group of near copies).  All
-others are split on, however deep: each level at least halves them.  Leaves are
+most ``small`` records is a leaf.  So is a larger one that splitting would not make
+cheaper: the pairs within its grandchildren are as many as its own.  Two records of
+similarity t share 2t children, so that shows a group of near copies, while a phrase
+that many texts share, which keeps one child together at most, is split on, however
+deep.  Records of so few tokens that one token more or less is below the threshold
+link with equal ones only, and have no paths.  Leaves are
 joined by brute force on the whole sets, exactly; a leaf of more than ``tile``
 records, or of very long ones, is dealt as tiles of record blocks, one task each.
 Runs repeat until a pair at the threshold is missed with a probability below
@@ -52,6 +55,8 @@ RECALL = 0.99
 DEPTH = 3
 SMALL = 256
 TILE = 768
+#: Pairs that stay together in one split of near copies, where only one is known.
+ONE_LEVEL = 1.25
 #: Tokens of a block of records, so a tile of long texts is not larger in memory.
 TILE_TOKENS = 1_000_000
 
@@ -149,20 +154,21 @@ def _deeper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _PATHS = "record binary, tokens int, path long, below array<long>"
 
 
-def _level(paths: DataFrame, small: int, last: bool, rows: int) -> DataFrame:
+def _level(paths: DataFrame, small: int, levels: int, rows: int) -> DataFrame:
     """What becomes of each (path, record) of a level, written: a leaf, to be split
-    by its children, or open, where the level is the last whose paths are known.
+    by its children, or open, where no level below it is known (``levels``).
     A bucket of one record has no pairs and goes."""
     sizes = paths.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
     hot = _io.hot_keys(sizes, "path", "n", rows)
     placed = _io.salted_join(paths, sizes, "path", hot, ["record"])
-    if last:
+    if not levels:
         state = F.when(F.col("n") <= small, "leaf").otherwise("open")
     else:
-        child = placed.where(F.col("n") > small).select("path", F.explode(F.array_distinct(F.slice("below", 1, 2))).alias("child"))
-        largest = child.groupBy("path", "child").agg(F.count("*").alias("c")).groupBy("path").agg(F.max("c").alias("c"))
-        placed = _io.salted_join(placed, largest, "path", hot, ["record"], "left")
-        state = F.when(F.col("c").isNull() | (2 * F.col("c") >= F.col("n")), "leaf").otherwise("split")
+        first, many, bar = (3, 4, 1.0) if levels > 1 else (1, 2, ONE_LEVEL)
+        child = placed.where(F.col("n") > small).select("path", F.explode(F.array_distinct(F.slice("below", first, many))).alias("child"))
+        pairs = child.groupBy("path", "child").agg(F.count("*").cast("double").alias("c")).groupBy("path").agg(F.sum(F.col("c") * F.col("c")).alias("c"))
+        placed = _io.salted_join(placed, pairs, "path", hot, ["record"], "left")
+        state = F.when(F.col("c").isNull() | (F.col("c") >= bar * F.col("n") * F.col("n")), "leaf").otherwise("split")
     placed = placed.withColumn("state", state)
     return _io.written(placed.select("path", "record", "tokens", "state", F.when(F.col("state") == "split", F.col("below")).alias("below")), "level")
 
@@ -186,7 +192,7 @@ def _leaves(paths: DataFrame, small: int, levels: int, rows: int) -> tuple[DataF
     ``levels`` levels.  ``rows``: those of the table, by which a path is hot."""
     leaves = None
     for k in range(levels, -1, -1):
-        step = _level(paths, small, k == 0, rows)
+        step = _level(paths, small, k, rows)
         part = step.where("state = 'leaf'").select("path", "record", "tokens")
         leaves = part if leaves is None else leaves.unionByName(part)
         if k:
@@ -300,7 +306,9 @@ def _classes(docs: DataFrame, threshold: tuple[int, int], recall: float, small:
         return some.join(named, some["doc_id"] == named["_id"])
 
     # one row per record and path, however many copies there are
-    paths = real.select("record", "tokens", F.explode("paths").alias("p")).groupBy("record", "p.path").agg(F.first("tokens").alias("tokens"), F.first("p.below").alias("below"))
+    p, q = threshold
+    linkable = real.where(q * F.col("tokens") >= p * (F.col("tokens") + 1))
+    paths = linkable.select("record", "tokens", F.explode("paths").alias("p")).groupBy("record", "p.path").agg(F.first("tokens").alias("tokens"), F.first("p.below").alias("below"))
     leaves, still = _leaves(paths, small, DEPTH - 1, count)
     # token sets of the records that need deeper paths, moved once
     deep = with_texts(still.select("record").distinct()).select("record", "text").mapInArrow(_whole_sets, "record binary, set binary")

@@ -167,3 +167,42 @@ def test_hot_paths_and_records_are_dealt(spark):
     got = found(J.classes(spark.createDataFrame(rows, "doc_id long, text string")))
     assert all(got[i] == (0, 2999) for i in range(3000)) and {got[5000 + i] for i in range(30)} == {v for v in [got[5000]]}
     assert got[5000][0] == 5000
+
+
+def test_a_phrase_that_many_short_texts_share_is_split_up(spark, monkeypatch):
+    """Leaves stay small, so comparisons grow with the texts and not with their square;
+    texts of seven words, which link with equal ones only, are in no leaf at all."""
+    import pandas as pd
+
+    largest = {}
+    written = J._io.written
+
+    def sizes(threshold):
+        return lambda key, rows: pd.DataFrame({"record": [b""], "other": [None], "links": [len(rows)]})
+
+    for words in (7, 9, 13):
+        for n in (1500, 6000):
+            rng = random.Random(n + words)
+            text = lambda: " ".join(["as is without any warranty", *(f"v{rng.randrange(10**6)}" for _ in range(words - 5))])  # noqa: B023, E731
+            rows = [(k, text()) for k in range(n)]
+            seen = []
+
+            def spy(df, stem):
+                out = written(df, stem)
+                if stem == "links":
+                    seen.append(out)  # noqa: B023
+                return out
+
+            with monkeypatch.context() as m:
+                m.setattr(J._io, "written", spy)
+                m.setattr(J, "_join_tile", sizes)
+                J._classes(spark.createDataFrame(rows, "doc_id long, text string"), J.THRESHOLD, J.RECALL, 64, J.TILE, J.TILE_TOKENS)
+            leaves = [r.links for r in seen[0].collect()]
+            largest[words, n] = max(leaves, default=0)
+    assert largest[7, 1500] == largest[7, 6000] == 0
+    assert 0 < max(largest.values()) <= 64
+
+
+def test_tiny_sets_link_with_equal_ones(spark):
+    rows = [(1, "a b c d e f g"), (2, "a b c d e f h"), (3, "a b c d e f g"), (4, "a b c d e f g h"), (5, "x b c d e f g h"), (6, "a b"), (7, "a b")]
+    assert found(J.classes(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
