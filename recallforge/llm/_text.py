@@ -84,7 +84,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, off
 
 
-def slices(off: np.ndarray, limit: int = 2 << 20) -> Iterator[tuple[int, int]]:
+def slices(off: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of at most ``limit`` bytes each (a longer text stands alone)."""
     i, n = 0, len(off) - 1
     while i < n:
