@@ -10,19 +10,20 @@ none fits, by its host's place in the link graph.  Host edges (``host_edges``) a
   spells out (weight: the number of pages, for each of the two);
 * parents: from a host to the nearest host above it that the table holds.
 
-Trust is personalised PageRank from the hosts that rules allow; distrust is the
-same on reversed edges from the hosts that rules block (who links to bad hosts is
-suspect).  A host is a seed, by the part of its pages, if rules of that verdict fit
-most of them.  Seeds of both verdicts send out mass, along and against the links;
-trust is the allowed seeds' part of all the mass that comes to a host along them,
-distrust the blocked seeds' part of what comes against them, from 0 to 1.  Neither
-shrinks as hosts, seeds or links become more.  A host is blocked if its distrust
-exceeds ``ratio`` times its trust by more than ``margin``; hosts that neither
-reaches are allowed.
+A host is a seed, by the part of its pages, if rules of a verdict fit most of them.
+Trust is personalised PageRank from the allowed seeds along the edges, distrust the same
+from the blocked seeds against them (who links to bad hosts is suspect).  Each is seen
+from the host that gets it: of a walk that starts at the host, goes on with probability
+``damping``, against the edges for trust and along them for distrust, by their weights,
+the part that ends at seeds, from 0 to 1 (a seed itself is 1).  So a host's own links
+count: one bad link among many is a small part, each step to a seed takes its share, and
+neither depends on the size of the table or on how many others link to the seed.  A host
+is blocked if its distrust exceeds ``ratio`` times its trust by more than ``margin``;
+hosts that neither reaches are allowed.
 
 All of it is DataFrame functions.  Only (host, mass) and (host, host, weight) move
-in the rounds; in-links are summed map-side first, so a host that everybody links
-to costs one row per task.  Ranks are cut in the shared folder every few rounds.
+in the rounds; in-links are summed map-side first, and the links of a host that has very
+many are dealt out.  Ranks are cut in the shared folder every few rounds.
 
 Host: after the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z
 lower-cased; path: then up to ``?``, ``#`` or the end.  Null url, or none with
@@ -44,7 +45,8 @@ DAMPING = 0.85
 #: Well under MARGIN: what a round may still change, as part of a host's mass.
 TOLERANCE = 1e-6
 RATIO = 1.0
-MARGIN = 1e-4
+#: About an eighth of a host's links by weight, or fourteen steps to a blocked host.
+MARGIN = 0.1
 #: Rounds between two cuts of the lineage.
 STRIDE = 4
 _LINK = r"""(?i)\b(?:href|src|action)\s*=\s*["']?\s*([^"'\s>]+)"""
@@ -105,31 +107,32 @@ def host_edges(rows: DataFrame) -> DataFrame:
     return linked.unionByName(named).unionByName(parent).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
-def _walk(edges: DataFrame, seeds: DataFrame, *, damping: float, rounds: int | None) -> DataFrame:
-    """The columns of ``seeds`` (host, one or more masses, the last the largest),
-    each propagated over (src, dst, weight) until no mass changes by more than
-    TOLERANCE of its host's largest, or less than TOLERANCE of every seed's mass
-    is still on its way; ``rounds``, if given, is the exact number instead."""
-    masses = [c for c in seeds.columns if c != "host"]
-    spread = edges.groupBy("src").agg(F.sum("weight").alias("all"))
-    shares = _io.cut(edges.join(spread, "src").select("src", "dst", (F.col("weight") / F.col("all")).alias("share")))
-    zero = [F.lit(0.0).alias(f"{c}_before") for c in masses]
-    restart = seeds.select("host", *[(F.col(c) * (1 - damping)).alias(c) for c in masses], *zero)
-    moving = F.lit(False)
-    for c in masses:
-        moving = moving | (F.abs(F.col(c) - F.col(f"{c}_before")) > TOLERANCE * F.col(masses[-1]))
+def _walk(edges: DataFrame, seeds: DataFrame, end: str, *, damping: float, rounds: int | None) -> DataFrame:
+    """host, mass: ``seeds`` (host, mass) propagated over (src, dst, weight), an edge's
+    share being that of the edges at its ``end``, until no mass changes by more than
+    TOLERANCE of itself, or less than TOLERANCE of the seeds' is still on its way;
+    ``rounds``, if given, is the exact number instead."""
+    spread = edges.groupBy(end).agg(F.sum("weight").alias("all"))
+    sizes = edges.groupBy(end).agg(F.count("*").alias("n"))
+    total = _io.salted_join(edges, spread, end, _io.hot_keys(sizes, end, "n", edges.count()), ["src", "dst"])
+    shares = _io.cut(total.select("src", "dst", (F.col("weight") / F.col("all")).alias("share")))
+    hot = _io.cut(_io.hot_keys(shares.groupBy("src").agg(F.count("*").alias("n")), "src", "n", shares.count()))
+    zero = F.lit(0.0).alias("before")
+    restart = seeds.select("host", (F.col("mass") * (1 - damping)).alias("mass"), zero)
+    moving = F.abs(F.col("mass") - F.col("before")) > TOLERANCE * F.col("mass")
     # after so many rounds less than TOLERANCE of the seeds' mass is on its way
     most, done, mass = rounds if rounds is not None else math.ceil(math.log(TOLERANCE / 2) / math.log(damping)), 0, seeds
     while done < most:
         for k in range(min(STRIDE, most - done), 0, -1):
-            moved = mass.join(shares, mass["host"] == shares["src"]).select(F.col("dst").alias("host"), *[(F.col(c) * F.col("share") * damping).alias(c) for c in masses], *zero)
+            passed = _io.salted_join(shares, mass.withColumnRenamed("host", "src"), "src", hot, ["dst"])
+            moved = passed.select(F.col("dst").alias("host"), (F.col("mass") * F.col("share") * damping).alias("mass"), zero)
             step = moved.unionByName(restart)
             if k == 1:  # the last round before a cut is compared with the one before it
-                step = step.unionByName(mass.select("host", *[F.lit(0.0).alias(c) for c in masses], *[F.col(c).alias(f"{c}_before") for c in masses]))
-            step = step.groupBy("host").agg(*[F.sum(c).alias(c) for x in masses for c in (x, f"{x}_before")])
-            mass, done = step.select("host", *masses), done + 1
+                step = step.unionByName(mass.select("host", F.lit(0.0).alias("mass"), F.col("mass").alias("before")))
+            step = step.groupBy("host").agg(F.sum("mass").alias("mass"), F.sum("before").alias("before"))
+            mass, done = step.select("host", "mass"), done + 1
         step = _io.cut(step)
-        mass = step.select("host", *masses)
+        mass = step.select("host", "mass")
         if rounds is None and step.where(moving).isEmpty():
             break
     return mass
@@ -138,7 +141,7 @@ def _walk(edges: DataFrame, seeds: DataFrame, *, damping: float, rounds: int | N
 def propagate(edges: DataFrame, seeds: DataFrame, *, damping: float = DAMPING, rounds: int | None = None) -> DataFrame:
     """host, mass: personalised PageRank of (src, dst, weight) from seeds (host,
     share), settled or after ``rounds``; mass of hosts without links is not passed on."""
-    return _walk(edges, seeds.select("host", F.col("share").alias("mass")), damping=damping, rounds=rounds)
+    return _walk(edges, seeds.select("host", F.col("share").alias("mass")), "src", damping=damping, rounds=rounds)
 
 
 def filter_urls(pages: DataFrame, rules=RULES, *, damping: float = DAMPING, rounds: int | None = None, ratio: float = RATIO, margin: float = MARGIN) -> DataFrame:
@@ -151,13 +154,13 @@ def filter_urls(pages: DataFrame, rules=RULES, *, damping: float = DAMPING, roun
     votes = votes.select("host", *[F.when(2 * F.col(c) > F.col("pages"), F.col(c) / F.col("pages")).otherwise(0.0).alias(c) for c in ("allow", "block")])
     seeds = _io.cut(votes.where("allow > 0 or block > 0"))
 
-    def part(links: DataFrame, column: str, name: str) -> DataFrame:
-        """host, name: which part of the seeds' mass at a host is that of ``column``."""
-        mass = _walk(links, seeds.select("host", F.col(column).alias("mass"), (F.col("allow") + F.col("block")).alias("whole")), damping=damping, rounds=rounds)
-        return mass.where("whole > 0").select("host", (F.col("mass") / F.nullif("whole", F.lit(0.0))).alias(name))
+    def reached(links: DataFrame, column: str, name: str) -> DataFrame:
+        """host, name: the part of a walk from the host that ends at seeds of ``column``."""
+        mass = _walk(links, seeds.where(F.col(column) > 0).select("host", F.col(column).alias("mass")), "dst", damping=damping, rounds=rounds)
+        return mass.select("host", F.least(F.lit(1.0), F.col("mass") / (1 - damping)).alias(name))
 
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
-    scores = part(edges, "allow", "trust").join(part(back, "block", "distrust"), "host", "full").fillna(0.0, ["trust", "distrust"])
+    scores = reached(edges, "allow", "trust").join(reached(back, "block", "distrust"), "host", "full").fillna(0.0, ["trust", "distrust"])
     bad = F.col("distrust") > ratio * F.col("trust") + margin
     scores = scores.select("host", F.round("trust", 9).alias("trust"), F.round("distrust", 9).alias("distrust"), F.when(bad, "block").otherwise("allow").alias("by_host"))
     return rows.drop("html").join(scores, "host", "left").select(

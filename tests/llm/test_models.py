@@ -240,20 +240,36 @@ def test_verdicts_do_not_depend_on_the_size_of_the_table(spark):
     for rows in (few, few + farm, few + seeds):
         got = {r.page_id: (r.verdict, r.distrust) for r in U.filter_urls(spark.createDataFrame(rows, schema)).collect()}
         assert [got[i][0] for i in (1, 2, 3, 4)] == ["block", "block", "block", "allow"]
-        assert got[2][1] == got[3][1] == 1
+        assert got[2][1] == pytest.approx(0.85, abs=1e-5) and got[3][1] == pytest.approx(0.85**2, abs=1e-5)
         assert {got[r[0]][0] for r in rows[4:]} <= {"block"}
     alone = [page(1, "http://lone.net/"), page(2, "http://lone.net")]  # the second has no path, so no rule
     alone.append(page(3, "http://lone.net/y"))
     other = [page(4, "http://a.com/", ["http://b.com/"])]
     for rows in (alone, alone + other):
         got = {r.page_id: (r.verdict, r.distrust) for r in U.filter_urls(spark.createDataFrame(rows, schema)).collect()}
-        assert got[2] == ("block", 1)
-
-
-def test_distrust_reaches_the_end_of_a_long_chain(spark):
-    rows = [page(0, "http://bad.net/x")] + [page(i, f"http://h{i}.com/", [f"http://h{i - 1}.com/" if i > 1 else "http://bad.net/x"]) for i in range(1, 21)]
-    df = spark.createDataFrame(rows, "page_id long, url string, html string")
-    assert {r.verdict for r in U.filter_urls(df).collect()} == {"block"}
+        assert got[2] == ("block", pytest.approx(2 / 3))
+
+
+def test_distrust_weakens_with_distance_and_dilution(spark):
+    """A chain of hosts behind a blocked one; hosts with one bad link among others; and a
+    neutral host that everybody links to, which passes nothing on."""
+    bad = "http://bad.net/x"
+    rows = [page(0, bad)] + [page(i, f"http://h{i}.com/", [f"http://h{i - 1}.com/" if i > 1 else bad]) for i in range(1, 21)]
+    some = {100: 0, 101: 1, 107: 7, 120: 20, 400: 300}
+    rows += [page(k, f"http://m{k}.com/", [bad, *(f"http://neutral{i}.com/" for i in range(n))]) for k, n in some.items()]
+    rows += [page(1000 + i, f"http://fan{i}.com/", ["http://hub.com/"]) for i in range(3000)] + [page(900, "http://hub.com/", [f"http://fan{i}.com/" for i in range(3000)])]
+    got = {r.page_id: r for r in U.filter_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i].verdict for i in range(21)] == ["block"] * 15 + ["allow"] * 6
+    for i in range(1, 21):
+        assert got[i].distrust == pytest.approx(0.85**i, rel=1e-4)
+    for k, n in some.items():
+        # the host of the table counts twice, as a link and as a name
+        assert got[k].distrust == pytest.approx(0.85 * 2 / (n + 2), rel=1e-4)
+        assert got[k].verdict == ("block" if n <= 7 else "allow")
+    assert got[900].verdict == "allow" == got[1000].verdict
+
+
+def test_ranks_along_a_chain(spark):
     links = [(f"h{i + 1}", f"h{i}") for i in range(12)]
     e = spark.createDataFrame([(b, a, 1.0) for a, b in links], "src string, dst string, weight double")
     got = {r.host: r.mass for r in U.propagate(e, spark.createDataFrame([("h0", 1.0)], "host string, share double")).collect()}
@@ -300,21 +316,15 @@ def brute_urls(pages, rules=U.RULES):
         seeds[h] = {v: s if 2 * s > 1 else 0.0 for v, s in share.items()}
 
     def part(links, verdict):
-        out = Counter()
-        for (a, _), w in links.items():
-            out[a] += w
-
-        def rank(start):
-            r = dict(start)
-            for _ in range(200):
-                n = defaultdict(float, {h: 0.15 * s for h, s in start.items()})
-                for (a, b), w in links.items():
-                    n[b] += 0.85 * r.get(a, 0.0) * w / out[a]
-                r = n
-            return r
-
-        one, all_ = rank({h: s[verdict] for h, s in seeds.items()}), rank({h: sum(s.values()) for h, s in seeds.items()})
-        return {h: one.get(h, 0.0) / m for h, m in all_.items() if m}
+        total, start, r = Counter(), {h: s[verdict] for h, s in seeds.items() if s[verdict]}, {}
+        for (_, b), w in links.items():
+            total[b] += w
+        for _ in range(200):
+            n = defaultdict(float, {h: 0.15 * s for h, s in start.items()})
+            for (a, b), w in links.items():
+                n[b] += 0.85 * r.get(a, 0.0) * w / total[b]
+            r = n
+        return {h: min(1.0, m / 0.15) for h, m in r.items()}
 
     trust, distrust = part(edges, "allow"), part({(b, a): w for (a, b), w in edges.items()}, "block")
     return {i: v or ("block" if distrust.get(h, 0.0) > trust.get(h, 0.0) + U.MARGIN else "allow") for i, h, v, _ in judged}, len(edges)
