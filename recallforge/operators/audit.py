@@ -14,12 +14,13 @@ def timeline(parts: list[DataFrame]) -> DataFrame:
 
 def compliance(review: Column, penalty: Column, citations: Column, denied: Column, kinds: Column) -> Column:
     """0.40 mean review, 0.20 what violations leave of 100, 0.15 citations (ten
-    points each, 100 at most), 0.15 for no denial, 0.10 the share of document kinds."""
+    points each, 100 at most), 0.15 for no denial, 0.10 the share of document kinds.
+    Parts of whole numbers are divided, so each is the double next to its decimal."""
     return (
         0.40 * F.coalesce(review, F.lit(0.0))
-        + 0.20 * F.greatest(F.lit(0), 100 - F.coalesce(penalty, F.lit(0)))
-        + 0.15 * F.least(F.lit(100), 10 * F.coalesce(citations, F.lit(0)))
-        + 0.15 * F.when(F.coalesce(denied, F.lit(0)) > 0, 0).otherwise(100)
+        + F.greatest(F.lit(0), 100 - F.coalesce(penalty, F.lit(0))) / 5
+        + F.least(F.lit(100), 10 * F.coalesce(citations, F.lit(0))) * 15 / 100
+        + F.when(F.coalesce(denied, F.lit(0)) > 0, 0).otherwise(100) * 15 / 100
         + 0.10 * (F.coalesce(kinds, F.lit(0.0)) * 100)
     )
 
