@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from recallforge.functions import scores, text as T
+from recallforge.shared import kept
+
+#: Runs of words that are broadcast (8 bytes each).
+MOST_RUNS = 2_000_000
 
 
 def _judged(runs: DataFrame, qrels: DataFrame) -> DataFrame:
@@ -97,10 +101,14 @@ def graded_by_passages(questions: DataFrame, docs: DataFrame, size: int) -> Data
     def runs(rows: DataFrame, key: str) -> DataFrame:
         words = rows.select(key, T.tokens(F.coalesce("text", F.lit(""))).alias("w")).where(F.size("w") >= size)
         each = words.select(key, "w", F.explode(F.sequence(F.lit(1), F.size("w") - (size - 1))).alias("i"))
-        return each.select(key, F.xxhash64(F.slice("w", F.col("i"), F.lit(size))).alias("g")).distinct()
-
-    asked = runs(questions, "query_id")
-    held = runs(docs, "doc_id").join(asked.select("g").distinct(), "g", "left_semi")
+        return each.select(key, F.xxhash64(F.slice("w", F.col("i"), F.lit(size))).alias("g"))
+
+    asked = kept(runs(questions, "query_id").distinct())
+    wanted = asked.select("g").distinct()
+    if asked.count() <= MOST_RUNS:
+        wanted = F.broadcast(wanted)
+    # runs of no question go before anything is moved
+    held = runs(docs, "doc_id").join(wanted, "g", "left_semi").distinct()
     shared = held.join(asked, "g").groupBy("query_id", "doc_id").agg(F.count("*").alias("n"))
     all_runs = asked.groupBy("query_id").agg(F.count("*").alias("of"))
     return shared.join(all_runs, "query_id").select("query_id", "doc_id", F.when(F.col("n") / F.col("of") >= 0.5, 2).otherwise(1).alias("rel"))

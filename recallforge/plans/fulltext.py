@@ -10,7 +10,7 @@ from recallforge.functions import text as T
 from recallforge.functions.stemming import stemmed, stems_sql
 from recallforge.operators import exemplars, metrics as X, retrieval
 from recallforge.operators.fulltext import Field, FullText, open_table
-from recallforge.shared import fresh_dir
+from recallforge.shared import fresh_dir, kept
 from recallforge.streaming import ingest
 
 FIELDS = (Field("text", stem=True), Field("lang"), Field("source"))
@@ -78,7 +78,8 @@ _GRAMS = lambda t, k: rf"SELECT DISTINCT {k}, unnest(list_transform(range(1, len
 def batch_search_quality(spark, d):
     runs = _runs(spark, d).select(F.col("qid").alias("query_id"), F.col("key").alias("doc_id"), "rank")
     asked, docs = M.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"), M.table(spark, d, "documents").select("doc_id", "text")
-    qrels = X.graded_by_passages(asked, docs, 8)
+    # both are read by every metric
+    runs, qrels = kept(runs), kept(X.graded_by_passages(asked, docs, 8))
     judged = qrels.agg(F.count_distinct("query_id").alias("judged"))
     return X.all_metrics(runs, qrels).join(judged).select("judged", *[F.round(c, 6).alias(c) for c in ("ndcg_10", "mrr_10", "recall_10")])
 

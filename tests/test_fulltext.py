@@ -139,6 +139,39 @@ def test_commits_give_what_a_rebuild_gives(spark, tmp_path):
     assert index.manifest().n == 3
 
 
+def test_batches_are_scored_where_documents_are(spark, tmp_path, monkeypatch):
+    """No join of questions and postings: after commits, deletes and with many equal
+    scores, for more documents than a slice holds."""
+    monkeypatch.setattr(X.FullText, "_candidates", None)
+    rng = random.Random(7)
+    docs = some_docs(rng, 1500) | {k: ("word3 word7", "red") for k in range(700, 900)}
+    index = X.FullText(spark, str(tmp_path / "i"), "id", FIELDS)
+    index.add(frame(spark, dict([*docs.items()][:1000])).repartition(3))
+    index.add(frame(spark, {k: v for k, v in docs.items() if k >= 950}))
+    index.delete(spark.createDataFrame([(k,) for k in range(0, 1500, 9)], "id long"))
+    live = {k: v for k, v in docs.items() if k % 9}
+    questions = {k: " ".join(rng.choices(VOCABULARY + ["unheard"], k=4)) for k in range(8)} | {50: None, 51: "unheard", 52: "word3 red"}
+    asked = spark.createDataFrame(list(questions.items()), "q long, text string")
+    got = {q: [] for q in questions}
+    for r in sorted(index.batch(asked, "q", "text", 5).collect(), key=lambda r: r.rank):
+        got[r.qid].append((r.key, round(r.score, 6)))
+    assert got == {q: plain(live, t or "", 5) for q, t in questions.items()}
+
+
+def test_postings_are_made_without_a_shuffle(spark, tmp_path, monkeypatch):
+    """Ranges are documents of one task: each document in one range, none above the bound."""
+    monkeypatch.setattr(X, "RANGE_DOCS", 8)
+    index = X.FullText(spark, str(tmp_path / "i"), "id", FIELDS)
+    m = index.add(frame(spark, some_docs(random.Random(5), 100)).repartition(3))
+    rows = index._postings(m)
+    keys = rows.select("range", F.explode("docs.key").alias("key")).distinct()
+    assert keys.groupBy("key").count().where("count > 1").isEmpty()
+    assert 12 <= rows.select("range").distinct().count() <= 20 and rows.where("n > 8 or n <> size(docs)").isEmpty()
+    # no more ranges than tasks and slices make: hashed ranges would spread over every task
+    files = rows.select("range", F.input_file_name().alias("f")).distinct()
+    assert files.groupBy("range").count().where("count > 1").isEmpty()
+
+
 def test_a_stream_of_changes_and_a_repeated_batch(spark, tmp_path):
     rng = random.Random(3)
     index = X.FullText(spark, str(tmp_path / "i"), "id", FIELDS)
