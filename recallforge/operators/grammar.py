@@ -17,50 +17,76 @@ def linear_zones(states: DataFrame) -> DataFrame:
     return z.groupBy(*SUBJECT, "zone").agg(F.count("*").alias("members"), F.min("created_at").alias("start"), F.min_by("node_id", at).alias("first_node"), F.max_by("node_id", at).alias("terminal"))
 
 
+def _walk(nodes: list[int], forward: dict[int, list[tuple[str, int]]], incoming: set[int]) -> list[tuple]:
+    """zone, members, start, terminal, ended_by of one subject's nodes, in order."""
+    starts = [x for x in reversed(nodes) if x not in incoming]
+    rows, seen = [], set()
+    while starts:
+        node = starts.pop()
+        if node in seen:
+            continue
+        members, ended = [node], None
+        seen.add(node)
+        while True:
+            steps = sorted(forward.get(members[-1], []))
+            go = next((s for k, s in steps if k == "refines" and s not in seen), None)
+            if go is not None:
+                members.append(go)
+                seen.add(go)
+                continue
+            end = next(((k, s) for k, s in steps if k in ("supersedes", "retires")), None)
+            if end:
+                ended = end[1]
+                if end[0] == "supersedes":
+                    starts.append(end[1])
+            break
+        rows.append((len(rows), members, members[0], members[-1], ended))
+    return rows
+
+
+def _walked(batches):
+    """Rows sorted by subject, its nodes (in order) before its edges, to zones.  A
+    subject may go on in the next batch; only its own rows are held."""
+    import pyarrow as pa
+
+    schema = pa.schema([("subject", pa.string()), ("zone", pa.int32()), ("members", pa.list_(pa.int64())), ("start", pa.int64()), ("terminal", pa.int64()), ("ended_by", pa.int64())])
+    out: list[tuple] = []
+    subject, nodes, forward, incoming = None, [], {}, set()
+
+    def full() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+
+    for batch in batches:
+        for name, node, target, kind in zip(*(batch.column(c).to_pylist() for c in ("subject", "node_id", "target_id", "edge_type")), strict=True):
+            if name != subject or not (nodes or forward):
+                out += [(subject, *z) for z in _walk(nodes, forward, incoming)]
+                subject, nodes, forward, incoming = name, [], {}, set()
+                if len(out) >= 10_000:
+                    yield full()
+                    out = []
+            if kind is None:
+                nodes.append(node)
+            else:
+                forward.setdefault(target, []).append((kind, node))
+                incoming.add(node)
+    out += [(subject, *z) for z in _walk(nodes, forward, incoming)]
+    if out:
+        yield full()
+
+
 def graph_zones(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Zones over explicit edges per subject: start at nodes without an incoming
     edge, follow refines, end at supersedes (which opens the next) or retires.
 
     nodes: subject, node_id, at; edges: subject, source_id, target_id, edge_type
-    (the later node is the source).  One subject's chain is walked in order, so a
-    group is one subject."""
-    import pandas as pd
-
-    out = "subject string, zone int, members array<long>, start long, terminal long, ended_by long"
-
-    def walk(key, n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
-        n = n.sort_values(["at", "node_id"])
-        forward: dict[int, list[tuple[str, int]]] = {}
-        incoming = set()
-        for s, t, k in zip(e["source_id"], e["target_id"], e["edge_type"], strict=True):
-            forward.setdefault(int(t), []).append((k, int(s)))
-            incoming.add(int(s))
-        starts = [int(x) for x in n["node_id"] if int(x) not in incoming]
-        rows, seen = [], set()
-        while starts:
-            node = starts.pop(0)
-            if node in seen:
-                continue
-            members, ended = [node], None
-            seen.add(node)
-            while True:
-                steps = sorted(forward.get(members[-1], []))
-                go = next((s for k, s in steps if k == "refines" and s not in seen), None)
-                if go is not None:
-                    members.append(go)
-                    seen.add(go)
-                    continue
-                end = next(((k, s) for k, s in steps if k in ("supersedes", "retires")), None)
-                if end:
-                    ended = end[1]
-                    if end[0] == "supersedes":
-                        starts.insert(0, end[1])
-                break
-            rows.append((key[0], len(rows), members, members[0], members[-1], ended))
-        frame = pd.DataFrame(rows, columns=["subject", "zone", "members", "start", "terminal", "ended_by"])
-        return frame.astype({"ended_by": "Int64"})
-
-    return nodes.groupBy("subject").cogroup(edges.groupBy("subject")).applyInPandas(walk, out)
+    (the later node is the source).  One subject's chain is walked in order; subjects
+    stream through their tasks sorted, so a task calls Python once a batch, not once a
+    subject."""
+    none = F.lit(None)
+    n = nodes.select("subject", F.lit(0).alias("_kind"), "at", F.col("node_id").cast("long").alias("node_id"), none.cast("long").alias("target_id"), none.cast("string").alias("edge_type"))
+    e = edges.where("edge_type is not null").select("subject", F.lit(1).alias("_kind"), none.cast(nodes.schema["at"].dataType).alias("at"), F.col("source_id").cast("long").alias("node_id"), F.col("target_id").cast("long").alias("target_id"), "edge_type")
+    rows = n.unionByName(e).repartition("subject").sortWithinPartitions("subject", "_kind", F.col("at").asc_nulls_last(), "node_id")
+    return rows.select("subject", "node_id", "target_id", "edge_type").mapInArrow(_walked, "subject string, zone int, members array<long>, start long, terminal long, ended_by long")
 
 
 def current_zone(zones: DataFrame) -> DataFrame:
