@@ -8,6 +8,7 @@ from recallforge import model as M
 from recallforge.catalog import register
 from recallforge.functions import text as T
 from recallforge.operators import predicates as P, ranking, routing, scans
+from recallforge.shared import dealt
 
 
 @register("multi_get", "SELECT doc_id, n_chars FROM documents WHERE doc_id IN (1, 5, 8, 144, 900)")
@@ -203,7 +204,10 @@ def signal_coverage(spark, d):
 @register("cluster_coverage", "SELECT o_custkey, count(*) AS parts FROM (SELECT o_custkey, l_suppkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL HAVING count(DISTINCT o_orderkey) >= 2) GROUP BY 1")
 def cluster_coverage(spark, d):
     li = M.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_suppkey")
-    g = M.table(spark, d, "orders").join(li, "o_orderkey").groupBy("o_custkey", "l_suppkey").agg(F.countDistinct("o_orderkey").alias("n")).where("n >= 2")
+    # two orders or more: no set of a pair's orders is held; as many tasks as rows ask for
+    pairs = M.table(spark, d, "orders").join(li, "o_orderkey").select("o_custkey", "l_suppkey", "o_orderkey")
+    pairs = pairs.repartition(dealt(li.count()), "o_custkey", "l_suppkey")
+    g = pairs.groupBy("o_custkey", "l_suppkey").agg(F.min("o_orderkey").alias("first"), F.max("o_orderkey").alias("last")).where("first < last")
     return g.groupBy("o_custkey").agg(F.count("*").alias("parts"))
 
 
