@@ -155,11 +155,13 @@ def qa_recall(runs: DataFrame, gold: DataFrame, k: int = 5) -> DataFrame:
     return j.groupBy("query_id").agg(F.bool_or("_f").alias("found"))
 
 
-def unique_anchors(tokens: DataFrame, asked: DataFrame) -> DataFrame:
+def unique_anchors(tokens: DataFrame, asked: DataFrame, tasks: int = 8) -> DataFrame:
     """memory_id, unique_anchor: whether a memory has a token of the question (token) that
-    no other of its chain has.  tokens: chain, memory_id, token, each once."""
-    n = tokens.groupBy("chain", "token").agg(F.count("*").alias("_n"))
-    only = tokens.join(n.where("_n = 1"), ["chain", "token"]).join(F.broadcast(asked.select("token").distinct()), "token", "left_semi").select("memory_id").distinct().withColumn("_u", F.lit(True))
+    no other of its chain has: the smallest and the largest memory of the two are one.
+    tokens: chain, memory_id, token, however often; dealt over ``tasks``."""
+    mine = tokens.where("chain is not null").join(F.broadcast(asked.select("token").distinct()), "token", "left_semi")
+    ends = mine.repartition(tasks, "chain", "token").groupBy("chain", "token").agg(F.min("memory_id").alias("memory_id"), F.max("memory_id").alias("_last"))
+    only = ends.where("memory_id = _last").select("memory_id").repartition(tasks, "memory_id").distinct().withColumn("_u", F.lit(True))
     return tokens.select("memory_id").distinct().join(only, "memory_id", "left").select("memory_id", F.coalesce("_u", F.lit(False)).alias("unique_anchor"))
 
 

@@ -1,6 +1,11 @@
 import re
+from collections import Counter
+from itertools import combinations
+
+from pyspark.sql import functions as F
 
 from recallforge import catalog, shared
+from recallforge.operators import consolidation, graph, metrics, subjects
 
 SF = "/root/testdata/sf0.001"
 
@@ -12,3 +17,16 @@ def test_coverage_is_dealt_by_rows(spark, monkeypatch):
     plan = df._jdf.queryExecution().toString()
     n = shared.dealt(spark.read.parquet(f"{SF}/lineitem.parquet").count())
     assert n > 8 and re.search(rf"RepartitionByExpression .*\b{n}\b", plan) and "distinct" not in plan.lower()
+
+
+def _dealt(df, spark, table, by):
+    plan, n = df._jdf.queryExecution().toString(), shared.dealt(spark.read.parquet(f"{SF}/{table}.parquet").count())
+    return n > 8 and re.search(rf"RepartitionByExpression \[{by}#\d+L?[^\n]*\], {n}\b", plan) is not None
+
+
+def test_anchors_are_dealt_and_rows_may_repeat(spark, monkeypatch):
+    monkeypatch.setattr(shared, "TASK_ROWS", 500)
+    assert _dealt(catalog.queries()["chain_unique_anchor"](spark, SF), spark, "lineitem", "o_orderkey")
+    tokens = spark.createDataFrame([(1, 10, "a"), (1, 10, "a"), (1, 11, "b"), (1, 12, "b"), (2, 13, "a"), (None, 14, "a"), (3, 15, "z")], "chain long, memory_id long, token string")
+    asked = spark.createDataFrame([("a",), ("b",)], "token string")
+    assert {r[0] for r in metrics.unique_anchors(tokens, asked).where("unique_anchor").collect()} == {10, 13}
