@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from recallforge.functions import text as T
 from recallforge.operators import classify
+from recallforge.shared import dealt
 
 #: The least confidence of a classifier that counts.
 FLOOR = 0.3
@@ -144,18 +145,24 @@ def merged_labels(universal: list[str], by_domain: dict[str, list[str]], domains
     return list(out.values())
 
 
-def contradiction_candidates(new: DataFrame, similar: DataFrame, links: DataFrame, memories: DataFrame, *, most: int = 5) -> DataFrame:
+def contradiction_candidates(new: DataFrame, similar: DataFrame, links: DataFrame, memories: DataFrame, *, most: int = 5, tasks: int | None = None) -> DataFrame:
     """memory_id, candidate_id, place: what a new memory may contradict: the ``most``
     most similar ones (memory_id, other_id, score), filled up with memories that share an
-    entity; those of other domains alone are left out.  Verdicts are the caller's."""
+    entity; those of other domains alone are left out.  Verdicts are the caller's.
+
+    Fill goes by memory id, so of an entity's memories the 2 * ``most`` + 1 smallest can
+    come in: all but the new one, its similar ones and those that fill it up are past
+    ``most``.  An entity of many memories makes no more pairs than that for each."""
     from recallforge.operators import ranking
 
+    tasks = tasks or dealt(links.count())
     near = ranking.per_group(similar.where("memory_id <> other_id").select("memory_id", F.col("other_id").alias("candidate_id"), "score"), ["memory_id"], [F.desc("score"), "candidate_id"], most)
-    own = links.join(new.select("memory_id"), "memory_id", "left_semi")
-    shared = own.join(links.select(F.col("memory_id").alias("candidate_id"), "entity_id"), "entity_id").where("memory_id <> candidate_id").select("memory_id", "candidate_id").distinct()
-    fill = shared.join(near.select("memory_id", "candidate_id"), ["memory_id", "candidate_id"], "left_anti")
-    every = near.select("memory_id", "candidate_id", F.lit(0).alias("_p"), F.negate("score").alias("_s")).unionByName(fill.select("memory_id", "candidate_id", F.lit(1).alias("_p"), F.lit(0.0).alias("_s")))
-    head = ranking.per_group(every, ["memory_id"], ["_p", "_s", "candidate_id"], most)
+    own = links.join(new.select("memory_id"), "memory_id", "left_semi").where("entity_id is not null").repartition(tasks, "entity_id")
+    low = links.where("memory_id is not null and entity_id is not null").select(F.col("memory_id").alias("candidate_id"), "entity_id").distinct().repartition(tasks, "entity_id")
+    shared = own.join(ranking.per_group(low, ["entity_id"], ["candidate_id"], 2 * most + 1), "entity_id").where("memory_id <> candidate_id")
+    every = near.select("memory_id", "candidate_id", F.lit(0).alias("_p"), F.negate("score").alias("_s")).unionByName(shared.select("memory_id", "candidate_id", F.lit(1).alias("_p"), F.lit(0.0).alias("_s")))
+    once = every.repartition(tasks, "memory_id").groupBy("memory_id", "candidate_id").agg(F.min(F.struct("_p", "_s")).alias("_o")).select("memory_id", "candidate_id", "_o.*")
+    head = ranking.per_group(once, ["memory_id"], ["_p", "_s", "candidate_id"], most)
     d = head.join(memories.select("memory_id", F.col("domains").alias("_a")), "memory_id").join(memories.select(F.col("memory_id").alias("candidate_id"), F.col("domains").alias("_b")), "candidate_id")
     fits = (F.size("_a") <= 0) | (F.size("_b") <= 0) | F.arrays_overlap("_a", "_b")
     return d.where(fits).select("memory_id", "candidate_id", F.when(F.col("_p") == 0, "similar").otherwise("linked").alias("how"))

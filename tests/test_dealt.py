@@ -30,3 +30,24 @@ def test_anchors_are_dealt_and_rows_may_repeat(spark, monkeypatch):
     tokens = spark.createDataFrame([(1, 10, "a"), (1, 10, "a"), (1, 11, "b"), (1, 12, "b"), (2, 13, "a"), (None, 14, "a"), (3, 15, "z")], "chain long, memory_id long, token string")
     asked = spark.createDataFrame([("a",), ("b",)], "token string")
     assert {r[0] for r in metrics.unique_anchors(tokens, asked).where("unique_anchor").collect()} == {10, 13}
+
+
+def test_contradictions_of_a_frequent_entity_are_dealt_and_whole(spark, monkeypatch):
+    """Each new memory gets the first five others, though its similar ones are among the
+    first; an entity of 400 memories gives each only what can come in."""
+    monkeypatch.setattr(shared, "TASK_ROWS", 500)
+    assert _dealt(catalog.queries()["contradiction_candidates"](spark, SF), spark, "lineitem", "entity_id")
+    links = spark.range(400).select("id", F.lit(7)).toDF("memory_id", "entity_id")
+    new = spark.range(0, 400, 3).toDF("memory_id")
+    near = new.where("memory_id >= 6").selectExpr("memory_id", "explode(array(0, 1, 2)) as other_id", "1D as score")
+    m = links.select("memory_id", F.array(F.lit("d")).alias("domains"))
+    found = subjects.contradiction_candidates(new, near, links, m)
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.memory_id, set()).add((r.candidate_id, r.how))
+    for k in range(0, 400, 3):
+        similar = {0, 1, 2} if k >= 6 else set()
+        fill = [c for c in range(400) if c != k and c not in similar][: 5 - len(similar)]
+        assert got[k] == {(c, "similar") for c in similar} | {(c, "linked") for c in fill}
+    monkeypatch.undo()
+    assert "WindowGroupLimit" in found._jdf.queryExecution().toString() and re.search(r"RepartitionByExpression \[entity_id", found._jdf.queryExecution().toString())
