@@ -51,3 +51,20 @@ def test_contradictions_of_a_frequent_entity_are_dealt_and_whole(spark, monkeypa
         assert got[k] == {(c, "similar") for c in similar} | {(c, "linked") for c in fill}
     monkeypatch.undo()
     assert "WindowGroupLimit" in found._jdf.queryExecution().toString() and re.search(r"RepartitionByExpression \[entity_id", found._jdf.queryExecution().toString())
+
+
+def test_rare_pairs_are_dealt_and_frequent_ones_counted_in_place(spark, monkeypatch):
+    monkeypatch.setattr(shared, "TASK_ROWS", 500)
+    sets = {b: sorted({(b * 7 + i * i) % 5 for i in range(4)}) for b in range(300)}
+    rows = spark.createDataFrame([(b, i) for b, s in sets.items() for i in s] + [(None, 1), (5, None)], "b long, i long")
+    brute = Counter(p for s in sets.values() for p in combinations(s, 2))
+    for few in (True, False):
+        monkeypatch.setattr(graph, "combines", lambda kinds, made, few=few: few)
+        pairs, n = consolidation.pair_counts(rows, "b", "i")
+        assert n == 300 and {(r.a, r.b): r.ab for r in pairs.collect()} == brute
+    monkeypatch.undo()
+    assert graph.combines(500, 10**6) and not graph.combines(10**6, 10**7)
+    monkeypatch.setattr(shared, "TASK_ROWS", 500)
+    for q in ("pmi_associations", "strong_associations", "cooccurrence_edges"):
+        plan = catalog.queries()[q](spark, SF)._jdf.queryExecution().toString()
+        assert re.search(r"RepartitionByExpression \[(a|src)#\d+L?, (b|dst)#\d+L?\], \d+", plan), q
