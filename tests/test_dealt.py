@@ -68,3 +68,9 @@ def test_rare_pairs_are_dealt_and_frequent_ones_counted_in_place(spark, monkeypa
     for q in ("pmi_associations", "strong_associations", "cooccurrence_edges"):
         plan = catalog.queries()[q](spark, SF)._jdf.queryExecution().toString()
         assert re.search(r"RepartitionByExpression \[(a|src)#\d+L?, (b|dst)#\d+L?\], \d+", plan), q
+
+
+def test_cycle_counts_pairs_once(spark):
+    """The learned associations are a table that both of their readers share."""
+    df = catalog.queries()["maintenance_cycle"](spark, SF)
+    assert any("/kept-" in f for f in df.inputFiles())
