@@ -87,3 +87,9 @@ def test_watch(spark, tmp_path):
     q = loaders.watch(spark, str(src), exclude="skip").writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start(str(out))
     q.awaitTermination(60)
     assert [r.text for r in spark.read.parquet(str(out)).collect()] == ["one"]
+
+
+def test_texts_are_cut_in_slices():
+    """A worker holds a slice's strings, not a batch's; a long text is a slice of its own."""
+    assert list(C.slices([3, 4, 5, 20, 0, 1], 8)) == [(0, 2), (2, 3), (3, 4), (4, 6)]
+    assert list(C.slices([])) == []
