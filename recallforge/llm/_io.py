@@ -8,9 +8,9 @@ from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from recallforge.shared import cut, hot_keys, salted_join, shared_dir
+from recallforge.shared import cut, hot_keys, hot_list, salted_join, shared_dir
 
-__all__ = ["apart", "cut", "fresh_path", "held", "hot_keys", "release", "salted_join", "scratch", "shared_dir", "sieve", "sifted", "table", "written"]
+__all__ = ["apart", "cut", "fresh_path", "held", "hot_keys", "hot_list", "release", "salted_join", "scratch", "shared_dir", "sieve", "sifted", "table", "written"]
 
 _written: list[str] = []
 

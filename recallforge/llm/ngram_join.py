@@ -154,12 +154,12 @@ def _deeper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _PATHS = "record binary, tokens int, path long, below array<long>"
 
 
-def _level(paths: DataFrame, small: int, levels: int, rows: int) -> DataFrame:
+def _level(paths: DataFrame, small: int, levels: int) -> DataFrame:
     """What becomes of each (path, record) of a level, written: a leaf, to be split
     by its children, or open, where no level below it is known (``levels``).
     A bucket of one record has no pairs and goes."""
-    sizes = paths.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
-    hot = _io.hot_keys(sizes, "path", "n", rows)
+    sizes = _io.written(paths.groupBy("path").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
+    hot = _io.hot_list(sizes, "path", "n")
     placed = _io.salted_join(paths, sizes, "path", hot, ["record"])
     if not levels:
         state = F.when(F.col("n") <= small, "leaf").otherwise("open")
@@ -186,13 +186,13 @@ def _split_up(level: DataFrame, levels: int) -> DataFrame:
     return level.where("state = 'split'").select("record", "tokens", F.explode(F.array_distinct(F.array(*parts))).alias("k")).select("k.path", "record", "tokens", "k.below").distinct()
 
 
-def _leaves(paths: DataFrame, small: int, levels: int, rows: int) -> tuple[DataFrame, DataFrame]:
+def _leaves(paths: DataFrame, small: int, levels: int) -> tuple[DataFrame, DataFrame]:
     """((path, record, tokens) of leaves, (path, record) of buckets still to split):
     ``paths`` has path, record, tokens and below, the paths under it on the next
-    ``levels`` levels.  ``rows``: those of the table, by which a path is hot."""
+    ``levels`` levels."""
     leaves = None
     for k in range(levels, -1, -1):
-        step = _level(paths, small, k, rows)
+        step = _level(paths, small, k)
         part = step.where("state = 'leaf'").select("path", "record", "tokens")
         leaves = part if leaves is None else leaves.unionByName(part)
         if k:
@@ -309,20 +309,20 @@ def _classes(docs: DataFrame, threshold: tuple[int, int], recall: float, small:
     p, q = threshold
     linkable = real.where(q * F.col("tokens") >= p * (F.col("tokens") + 1))
     paths = linkable.select("record", "tokens", F.explode("paths").alias("p")).groupBy("record", "p.path").agg(F.first("tokens").alias("tokens"), F.first("p.below").alias("below"))
-    leaves, still = _leaves(paths, small, DEPTH - 1, count)
+    leaves, still = _leaves(paths, small, DEPTH - 1)
     # token sets of the records that need deeper paths, moved once
     deep = with_texts(still.select("record").distinct()).select("record", "text").mapInArrow(_whole_sets, "record binary, set binary")
     deep = _io.written(deep.groupBy("record").agg(F.first("set").alias("set")), "sets")
     while not still.isEmpty():
         wanted = still.groupBy("record").agg(F.collect_list("path").alias("open"))
         paths = wanted.join(deep, "record").select("record", "open", "set").mapInArrow(_deeper, _PATHS)
-        done, still = _leaves(paths, small, DEPTH, count)
+        done, still = _leaves(paths, small, DEPTH)
         leaves = leaves.unionByName(done)
     # leaves with the same members are one leaf
     marks = leaves.groupBy("path").agg(F.count("*").alias("n"), F.sum("tokens").alias("t"), F.bit_xor(F.xxhash64("record")).alias("x"), F.sum(F.shiftright(F.xxhash64(F.lit(7), "record"), 20)).alias("s"))
     blocks = F.greatest(F.ceil(F.col("n") / tile), F.ceil(F.col("t") / tile_tokens)).cast("int")
-    kept = marks.groupBy("n", "t", "x", "s").agg(F.min("path").alias("path")).select("path", "n", blocks.alias("blocks"))
-    members = _io.salted_join(leaves, kept.drop("n"), "path", _io.hot_keys(kept, "path", "n", count), ["record"])
+    kept = _io.written(marks.groupBy("n", "t", "x", "s").agg(F.min("path").alias("path")).select("path", "n", blocks.alias("blocks")), "kept")
+    members = _io.salted_join(leaves, kept.drop("n"), "path", _io.hot_list(kept, "path", "n"), ["record"])
     members = members.withColumn("block", F.pmod(F.xxhash64(F.lit(11), "record", "path"), F.col("blocks")).cast("int"))
     # a record of block b goes to the tiles (b, x) and (x, b)
     tiles = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.col("path").alias("leaf"), F.least("block", x).alias("row_block"), F.greatest("block", x).alias("col_block"), F.col("block").alias("block")))
