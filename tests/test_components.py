@@ -7,7 +7,7 @@ import random
 import pytest
 
 from recallforge import shared
-from recallforge.operators import graph
+from recallforge.operators import graph, maintenance
 
 
 def brute(edges):
@@ -70,3 +70,9 @@ def test_components_of_names(spark):
     assert got == {"a": "a", "b": "a", "c": "a", "z": "y", "y": "y"}
     with pytest.raises(RuntimeError):
         graph.components(spark.createDataFrame([(k, k + 1) for k in range(9)], "src long, dst long"), 1).count()
+
+
+def test_a_topic_is_whole_however_long_its_chain(spark):
+    """Neighbours of a chain share half of their items; 200 steps lie between its ends."""
+    sets = spark.createDataFrame([(k, [k, k + 1, k + 2]) for k in range(201)], "id long, items array<long>")
+    assert [(r.cluster, r.size) for r in maintenance.topics(sets, least=0.5).collect()] == [(0, 201)]
