@@ -5,7 +5,7 @@ from itertools import combinations
 from pyspark.sql import functions as F
 
 from recallforge import catalog, shared
-from recallforge.operators import consolidation, graph, metrics, subjects
+from recallforge.operators import consolidation, graph, maintenance, metrics, subjects
 
 SF = "/root/testdata/sf0.001"
 
@@ -74,3 +74,29 @@ def test_cycle_counts_pairs_once(spark):
     """The learned associations are a table that both of their readers share."""
     df = catalog.queries()["maintenance_cycle"](spark, SF)
     assert any("/kept-" in f for f in df.inputFiles())
+
+
+def test_few_items_are_counted_without_their_pairs(spark):
+    """Pairs and baskets of both ways are those of brute force, whatever the items are."""
+    sets = {b: sorted({f"i{(b * 7 + i * i) % 11}" for i in range(b % 5)}) for b in range(300)}
+    rows = spark.createDataFrame([(b, i) for b, s in sets.items() for i in s] + [(1, "i1"), (None, "i3"), (5, None)], "b long, i string")
+    held = Counter(i for s in {**sets, 1: sorted({*sets[1], "i1"})}.values() for i in s)
+    brute = Counter(p for b, s in sets.items() for p in combinations(sorted({*s, *(["i1"] if b == 1 else [])}), 2))
+    pairs, n = consolidation.pair_counts(rows, "b", "i")
+    assert "explode" not in pairs._jdf.queryExecution().toString()
+    assert n == len([b for b, s in sets.items() if s or b in (1, 5)]) and {(r.a, r.b): r.ab for r in pairs.collect()} == brute
+    once = held + Counter(["i3"])  # the rows without a basket hold it once
+    assert all(r.cc == once[r.a] * once[r.b] for r in pairs.collect())
+
+
+def test_learned_associations_are_the_same_however_counted(spark, monkeypatch):
+    links = spark.createDataFrame([(m, (m * m + k * 5) % 23) for m in range(12) for k in range(m % 4)] + [(3, None)], "memory_id long, entity_id long")
+    searches = spark.createDataFrame([(s, (s * 5 + k * k) % 13) for s in range(200) for k in range(4)] + [(7, 3), (999, 3), (None, 1)], "search_id long, memory_id long")
+    found = lambda: {(r.a, r.b): round(r.strength, 12) for r in maintenance.learned(links, searches).collect()}
+    few = found()
+    assert "explode" not in maintenance.learned(links, searches)._jdf.queryExecution().toString()
+    monkeypatch.setattr(consolidation, "KINDS", 0)
+    many = found()
+    assert few == many and few
+    monkeypatch.setattr(maintenance, "TASK_ROWS", 0)
+    assert found() == few
