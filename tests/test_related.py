@@ -19,3 +19,12 @@ def test_related_episodes_make_each_pair_once(spark):
     assert len(got) == len(want) and set(got) == want
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert plan.startswith("Project") and "LeftAnti" not in plan  # pairs are neither made distinct nor joined again
+
+
+def test_only_the_entities_before_the_shared_one_are_moved(spark):
+    """A pair with many common entities is made at the first one, from what comes before it."""
+    topics = spark.createDataFrame([(e, k) for e in range(6) for k in range(e, 12)] + [(9, None)], "episode_id long, entity long")
+    df = R.related_episodes(topics, spark.createDataFrame([(1, 0), (1, 2), (2, 5)], "seed long, episode_id long"))
+    assert sorted(map(tuple, df.collect())) == [(1, 1), (1, 3), (1, 4), (1, 5), (2, 0), (2, 1), (2, 2), (2, 3), (2, 4)]
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("slice(") == 2 and "array_intersect" not in plan
